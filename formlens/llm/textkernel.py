@@ -46,6 +46,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a chunk of documents: byte spans, owning document (index in the chunk) and hash."""
 
+    raw: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
     start: np.ndarray
@@ -101,7 +102,7 @@ def words(text: pa.Array, lower: bool = True) -> Words:
     h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
     first = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    return Words(data, off, start, end, doc, h, first)
+    return Words(raw, data, off, start, end, doc, h, first)
 
 
 def shingle_sets(w: Words, size: int = 5) -> Iterator[np.ndarray]:
