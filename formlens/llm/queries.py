@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from formlens.llm.ball_search import quantised, top_k
 from formlens.llm.common import Scratch, table
 from formlens.llm.jaccard_join import near_duplicates
+from formlens.llm.media import document_media
 from formlens.llm.quality import held_out, score_quality, train_quality
+from formlens.llm.url_filter import judge_urls
+from formlens.llm.warc_zip import page_records, read_archives, write_archives
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +29,29 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, Scratch(spark, "op6"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+
+
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "op10"))
+    return page_records(read_archives(archives))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_exact_topk": op3_exact_topk,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_url_filter": op6_url_filter,
+    "op7_media_columns": op7_media_columns,
+    "op10_warc_zip": op10_warc_zip,
 }
 
 OP5_SQL = r"""
@@ -59,4 +81,13 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 10
 """
 
-ORACLES = {"op3_exact_topk": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL}
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN g.kept IS NULL OR g.kept = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.kept <> p.page_id THEN g.kept END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+ORACLES = {"op10_warc_zip": OP10_SQL, "op3_exact_topk": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL}
