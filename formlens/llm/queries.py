@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from formlens.llm.ball_search import quantised, top_k
 from formlens.llm.common import Scratch, table
 from formlens.llm.jaccard_join import near_duplicates
+from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.media import document_media
 from formlens.llm.quality import held_out, score_quality, train_quality
+from formlens.llm.subword import encode_samples
 from formlens.llm.url_filter import judge_urls
 from formlens.llm.warc_zip import page_records, read_archives, write_archives
 
@@ -45,12 +47,26 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_archives(archives))
 
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_samples(table(spark, sf_dir, "documents"), PIECES, k=2)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, Scratch(spark, "op8"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_topk": op3_exact_topk,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_media_columns": op7_media_columns,
+    "op8_line_dedup": op8_line_dedup,
     "op10_warc_zip": op10_warc_zip,
 }
 
@@ -90,4 +106,20 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
 FROM p LEFT JOIN g USING (payload_digest)
 """
 
-ORACLES = {"op10_warc_zip": OP10_SQL, "op3_exact_topk": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL}
+OP8_SQL = """
+WITH l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text <> '')),
+w AS (SELECT *, CASE WHEN line = '' THEN 0 ELSE length(line) - length(replace(line, ' ', '')) + 1 END AS w FROM l),
+m AS (SELECT y.doc_id, y.i, y.w, x.doc_id AS other, y.i - x.i AS shift
+  FROM w y JOIN w x ON x.line = y.line AND (x.doc_id < y.doc_id OR x.doc_id = y.doc_id AND x.i < y.i)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS run FROM m),
+t AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, other, shift, run) AS total FROM r),
+g AS (SELECT DISTINCT doc_id, i FROM t WHERE total >= 50),
+k AS (SELECT w.doc_id, string_agg(line, chr(10) ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS text, count(*) AS n_lines, count(g.i) AS n_removed
+  FROM w LEFT JOIN g USING (doc_id, i) GROUP BY w.doc_id)
+SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text,
+  CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op8_line_dedup": OP8_SQL, "op10_warc_zip": OP10_SQL, "op3_exact_topk": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL}
