@@ -1,12 +1,76 @@
-"""Corpus pipeline: quality, line dedup, near duplicates, mixing and subword encoding of `documents`."""
+"""Corpus pipeline over ``documents``: quality, line dedup, near duplicates, mixing, subword encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formlens.llm.common import Scratch, table
+from formlens.llm.jaccard_join import BROADCAST_ROWS, near_duplicates
+from formlens.llm.line_dedup import dedup_lines
+from formlens.llm.mixing import mix_sources
+from formlens.llm.quality import score_quality, train_quality
+from formlens.llm.queries import PIECES
+from formlens.llm.subword import encode_samples
+
+_used: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """Scratch of a stage; that of stages before goes, as their results are written by now."""
+    while _used:
+        _used.pop().drop()
+    _used.append(Scratch(spark, name))
+    return _used[0]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from their labels outside the held-out fold."""
+    columns = docs.columns
+    _scratch(spark, "quality")
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, score="_score", predicted="_predicted").filter("_predicted = 1").select(*columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those of which no line is left go."""
+    columns = docs.columns
+    out = dedup_lines(docs, _scratch(spark, "lines")).filter("n_removed < n_lines or n_removed = 0")
+    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", size).select(*columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least doc_id."""
+    scratch = _scratch(spark, "near")
+    gone = scratch.save(near_duplicates(docs, scratch).filter("doc_id <> component_id").select("doc_id"), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled towards the target weights of sources, languages and topics."""
+    return mix_sources(docs, _scratch(spark, "mixing")).filter("sampled").select(*docs.columns)
+
+
+def subwords(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of each document."""
+    _scratch(spark, "subwords")
+    return encode_samples(docs, PIECES, k=2)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("line dedup", line_dedup), ("near duplicates", one_of_each), ("mixing", mixing), ("subwords", subwords)]
+#: The first stage is a trained model, so SQL can't express the rows; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents`` of sf_dir, each written and read again."""
+    docs, kept = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = kept.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

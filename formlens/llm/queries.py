@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from formlens.llm.ball_search import quantised, top_k
 from formlens.llm.common import Scratch, table
 from formlens.llm.jaccard_join import near_duplicates
+from formlens.llm.license_scan import document_licences
 from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.media import document_media
+from formlens.llm.mixing import mix_sources, mixing_sql
 from formlens.llm.quality import held_out, score_quality, train_quality
 from formlens.llm.subword import encode_samples
 from formlens.llm.url_filter import judge_urls
@@ -59,14 +61,25 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, Scratch(spark, "op8"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op4"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "p", "sampled")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_topk": op3_exact_topk,
+    "op4_license_scan": op4_license_scan,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_media_columns": op7_media_columns,
     "op8_line_dedup": op8_line_dedup,
+    "op9_source_mixing": op9_source_mixing,
     "op10_warc_zip": op10_warc_zip,
 }
 
@@ -122,4 +135,4 @@ SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE coalesce(k.text, ''
 FROM documents d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op8_line_dedup": OP8_SQL, "op10_warc_zip": OP10_SQL, "op3_exact_topk": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL}
+ORACLES = {"op9_source_mixing": mixing_sql(), "op8_line_dedup": OP8_SQL, "op10_warc_zip": OP10_SQL, "op3_exact_topk": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL}
