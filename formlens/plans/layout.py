@@ -1 +1,89 @@
-"""Layout queries."""
+"""Layout queries over the derived line tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from formlens.functions import core as c
+from formlens.operators import layout as y
+from formlens.plans.registry import query
+
+B = "[●○•◦▪■□◯‣⁃]"
+BULLETED = f"regexp_matches(text, '^\\s*{B}')"
+STRIPPED = "regexp_replace(text, '^[\\s●○•◦▪■□◯‣⁃​﻿]+', '')"
+EMPTY = f"({BULLETED} AND {STRIPPED} = '')"
+QUESTION = "regexp_matches(text, '^\\s*\\d+\\s*[.)]\\s')"
+P = "PARTITION BY doc_id, page ORDER BY y0, x0, line_no"
+FOLD = "translate(text, '‐‑‒–—―−‘’“”​﻿', '-------''''\"\"')"
+NORMAL = f"lower(trim(regexp_replace({FOLD}, '\\s+', ' ', 'g')))"
+FEW = "doc_id < 50"
+few = lambda x: x.filter(FEW)
+fn = lambda name, f, sql, table="lines": query(name, lambda x: x.select("doc_id", "line_no", f(F.col("text")).alias("v")), table, f"SELECT doc_id, line_no, {sql} AS v FROM {table}")
+
+query("doc_lines", lambda x: x.filter(F.trim("text") != "").select("doc_id", "line_no", "text"), "raw_lines", "SELECT doc_id, line_no, text FROM raw_lines WHERE trim(text) <> ''")
+fn("bullet_strip", c.strip_bullet, STRIPPED)
+fn("empty_bullets", c.is_empty_bullet, EMPTY)
+fn("question_starts", c.is_question_start, QUESTION)
+fn("text_normalize", c.normalize_text, NORMAL)
+fn("text_alnum", c.alnum_only, "regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')")
+fn("text_truncate", lambda t: c.truncate_text(t, 40), "CASE WHEN length(text) > 40 THEN rtrim(left(text, 40)) || ' [truncated]' ELSE text END", "raw_lines")
+fn("option_tokens", y.option_token, "nullif(upper(regexp_extract(translate(text, 'АВСЕНІабсеіⅠ', 'ABCEHIabceiI'), '^\\s*\\(?([A-Ha-h]|[IVXivx]{1,4})[.)]\\s', 1)), '')")
+fn("find_occurrences", lambda t: F.size(c.occurrences(F.lower(F.left(t, F.lit(200))), F.lit("aa"))), "CAST(len(list_filter(range(1, greatest(length(left(text, 200)), 1)), lambda i: substr(lower(left(text, 200)), i, 2) = 'aa')) AS INT)", "raw_lines")
+query("underscore_runs", lambda x: x.select("doc_id", "line_no", F.posexplode(c.underscore_runs(F.col("text"))).alias("k", "r")).select("doc_id", "line_no", "k", "r.start", "r.length"), "lines",
+      """WITH s AS (SELECT doc_id, line_no, regexp_extract_all(text, '_+') AS r, regexp_split_to_array(text, '_+') AS g FROM lines WHERE contains(text, '_')),
+e AS (SELECT doc_id, line_no, unnest(range(len(r))) AS k, r, g FROM s)
+SELECT doc_id, line_no, CAST(k AS INT) AS k, CAST(list_sum(list_transform(g[1:k + 1], lambda z: length(z))) + coalesce(list_sum(list_transform(r[1:k], lambda z: length(z))), 0) AS INT) AS start, CAST(length(r[k + 1]) AS INT) AS length FROM e""")
+query("inline_blanks", lambda x: x.filter(F.col("text").contains("_")).select("doc_id", "line_no", F.size(F.regexp_extract_all("text", F.lit("_+"), F.lit(0))).alias("n"), c.placeholder_text(F.col("text"), F.lit(1)).alias("t")), "lines",
+      "WITH s AS (SELECT doc_id, line_no, regexp_split_to_array(text, '_+') AS g FROM lines WHERE contains(text, '_')) SELECT doc_id, line_no, CAST(len(g) - 1 AS INT) AS n, trim(regexp_replace(array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{s' || CAST(i - 1 AS VARCHAR) || '}}' || p END), ''), '\\s+', ' ', 'g')) AS t FROM s")
+query("video_ids", lambda x: x.select("doc_id", "line_no", c.video_id(F.expr("CASE CAST(line_no % 4 AS INT) WHEN 0 THEN 'https://youtu.be/abcdefghij' || CAST(line_no % 10 AS STRING) WHEN 1 THEN 'https://www.youtube.com/watch?t=1&v=ABCDEFGHIJK' WHEN 2 THEN 'https://example.com/v' ELSE 'abc_def-123' END")).alias("v")), "raw_lines", "SELECT doc_id, line_no, CASE CAST(line_no % 4 AS INT) WHEN 0 THEN 'abcdefghij' || CAST(line_no % 10 AS VARCHAR) WHEN 1 THEN 'ABCDEFGHIJK' WHEN 3 THEN 'abc_def-123' END AS v FROM raw_lines")
+query("reading_order", y.reading_order, "lines", "SELECT doc_id, page, line_no, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY round_even(y0 / 3, 0) * 3, x0, line_no) AS INT) AS rank FROM lines")
+query("logical_units", y.logical_units, "lines", f"WITH f AS (SELECT *, CASE WHEN coalesce({BULLETED} OR {QUESTION} OR y0 - lag(y1) OVER ({P}) > 14, true) THEN 1 ELSE 0 END AS s FROM lines) SELECT doc_id, page, line_no, sum(s) OVER ({P} ROWS UNBOUNDED PRECEDING) AS unit FROM f")
+query("prompt_groups", y.prompt_groups, "lines", f"""WITH f AS (SELECT *, CASE WHEN coalesce(y0 - lag(y1) OVER ({P}) < 10 AND abs(x0 - lag(x0) OVER ({P})) < 30, false) THEN 0 ELSE 1 END AS s FROM lines),
+g AS (SELECT *, sum(s) OVER ({P} ROWS UNBOUNDED PRECEDING) AS grp FROM f)
+SELECT doc_id, page, grp, count(*) AS n_lines, min(line_no) AS first_line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY y0, x0, line_no) AS text FROM g GROUP BY doc_id, page, grp""")
+query("group_bbox", y.group_bbox, "lines", "SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM lines GROUP BY ALL")
+query("line_text", lambda x: y.line_text(y.glyphs(few(x))), "lines", f"SELECT doc_id, page, line_no, text, x0, x0 + 5.0 * length(text) AS x1 FROM lines WHERE {FEW} AND text <> ''")
+query("mc_label_boxes", lambda x: y.label_box(y.glyphs(few(x))), "lines", f"SELECT doc_id, page, line_no, x0, x0 + 5.0 * n AS x1 FROM (SELECT *, least(nullif(strpos(left(text, 8), '.'), 0), nullif(strpos(left(text, 8), ')'), 0)) AS n FROM lines WHERE {FEW}) WHERE n IS NOT NULL")
+ANSWERS = f"b AS (SELECT *, max(CASE WHEN NOT {BULLETED} AND trim(text) <> '' THEN line_no END) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prompt_line, coalesce(lead(y0) OVER ({P}), 732.0) AS bottom FROM lines), ba AS (SELECT doc_id, page, line_no, prompt_line, y0 AS top, bottom FROM b WHERE {EMPTY})"
+query("bullet_answers", y.bullet_answers, "lines", f"WITH {ANSWERS} SELECT * FROM ba")
+query("bullet_parts", lambda x: y.bullet_parts(y.bullet_answers(x)), "lines", f"WITH {ANSWERS} SELECT doc_id, page, line_no, prompt_line, CAST(row_number() OVER (PARTITION BY doc_id, page, prompt_line ORDER BY line_no) AS INT) AS part, count(*) OVER (PARTITION BY doc_id, page, prompt_line) AS parts FROM ba")
+STACK = "o AS (SELECT doc_id, page, line_no, ascii(regexp_extract(text, '^\\s*([A-H])[.)]\\s', 1)) - 64 AS ord FROM lines WHERE regexp_matches(text, '^\\s*([A-H])[.)]\\s')), so AS (SELECT doc_id, page, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_options FROM o GROUP BY doc_id, page, line_no - ord HAVING count(*) >= 2 AND min(ord) = 1 AND max(ord) = count(*))"
+INLINE = "i0 AS (SELECT doc_id, page, line_no, regexp_extract_all(text, '(?:^|\\s)([A-H])[.)]\\s', 1) AS l FROM lines), io AS (SELECT doc_id, page, line_no, CAST(len(l) AS INT) AS n_options FROM i0 WHERE len(l) >= 3 AND array_to_string(l, '') = substr('ABCDEFGH', 1, len(l)))"
+OPEN = f"pr AS (SELECT * FROM lines WHERE {QUESTION} AND NOT contains(text, '_')), orr AS (SELECT p.doc_id, p.page, p.line_no, p.y1 AS top, coalesce(min(l.y0), 732.0) AS bottom FROM pr p LEFT JOIN lines l ON l.doc_id = p.doc_id AND l.page = p.page AND l.y0 >= p.y1 AND l.x0 < p.x1 AND l.x1 > p.x0 GROUP BY ALL HAVING coalesce(min(l.y0), 732.0) - p.y1 >= 25)"
+DASH = f"td AS (SELECT doc_id, page, line_no FROM lines WHERE regexp_matches(text, '^\\s*\\S.*\\S\\s*[-–—]\\s*$') AND NOT contains(text, '_') AND NOT {BULLETED} AND 612 - x1 >= 25)"
+query("mc_stacked", y.stacked_options, "lines", f"WITH {STACK} SELECT * FROM so")
+query("mc_inline", y.inline_options, "lines", f"WITH {INLINE} SELECT * FROM io")
+query("mc_stems", lambda x: y.stems(x, y.stacked_options(x)), "lines", f"WITH {STACK}, n AS (SELECT *, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS below FROM lines) SELECT so.doc_id, so.page, first_line, n.line_no AS stem_line, n.text AS stem FROM so JOIN n ON n.doc_id = so.doc_id AND n.page = so.page AND n.line_no = first_line - 1 WHERE below - y1 <= 26")
+query("open_responses", y.open_responses, "lines", f"WITH {OPEN} SELECT * FROM orr")
+query("trailing_dash", y.trailing_dash, "lines", f"WITH {DASH} SELECT * FROM td")
+INBOX = "(x0 + x1) / 2 BETWEEN 72 AND 540 AND (y0 + y1) / 2 BETWEEN 300 AND 420"
+query("lines_outside", lambda x: y.outside(x, y.tables(x)).select("doc_id", "page", "line_no"), "lines", f"SELECT doc_id, page, line_no FROM lines WHERE NOT (doc_id % 7 = 0 AND {INBOX})")
+query("cell_text", lambda x: y.cell_text(y.glyphs(few(x)), y.tables(few(x))), "lines", f"""WITH g AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE {FEW} AND doc_id % 7 = 0),
+k AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y FROM g)
+SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS "row", CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS col, string_agg(ch, '' ORDER BY line_no, i) AS text FROM k WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL""")
+images = lambda x: x.select("doc_id", "page").distinct().select("doc_id", "page", F.expr("inline(filter(array(named_struct('x0', 100D, 'y0', 300D, 'x1', 500D, 'y1', 320D, 'on', page % 3 = 0), named_struct('x0', 0D, 'y0', 0D, 'x1', 612D, 'y1', 792D, 'on', doc_id % 50 = 0)), b -> b.on))"))
+query("scanned_pages", lambda x: y.scanned_pages(x.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height")), images(x)), "lines", "SELECT DISTINCT doc_id, page, doc_id % 50 = 0 AS scanned FROM lines")
+FOUND = f"""{STACK}, {INLINE}, {OPEN}, {ANSWERS}, {DASH}, t AS (SELECT so.doc_id, so.page, l.line_no, 0 AS r FROM so JOIN lines l ON l.doc_id = so.doc_id AND l.page = so.page AND l.line_no BETWEEN first_line AND last_line
+  UNION ALL SELECT doc_id, page, line_no, 1 FROM io UNION ALL SELECT doc_id, page, line_no, 2 FROM orr UNION ALL SELECT doc_id, page, line_no, 3 FROM ba UNION ALL SELECT doc_id, page, line_no, 4 FROM td UNION ALL SELECT doc_id, page, line_no, 5 FROM lines WHERE contains(text, '_')),
+da AS (SELECT doc_id, page, line_no, (['multiple_choice', 'multiple_choice_inline', 'open_response', 'bullet', 'trailing_dash', 'inline_blank'])[min(r) + 1] AS kind FROM t GROUP BY ALL)"""
+query("detect_all", lambda x: y.numbered_units(y.detect(x)), "lines", f"WITH {FOUND} SELECT *, 'u' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS VARCHAR) AS unit_id FROM da")
+query("doc_summary", lambda x: y.doc_summary(y.detect(x)), "lines", f"WITH {FOUND} SELECT doc_id, kind, count(*) AS n FROM da GROUP BY ROLLUP (doc_id, kind)")
+query("page_text", y.page_text, "lines", "WITH p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL) SELECT doc_id, string_agg('[page ' || CAST(page AS VARCHAR) || ']' || chr(10) || t, chr(10) ORDER BY page) AS text FROM p GROUP BY doc_id")
+query("anchor_resolve", lambda x: y.resolve_anchors(x.filter("k = 3").select("doc_id", "page", F.col("line_no").alias("item_no"), F.when(F.col("doc_id") % 20 == 0, "no such text at all").otherwise(F.left("text", F.lit(15))).alias("anchor_text")), x), "lines", f"""WITH n AS (SELECT doc_id, page, line_no, {NORMAL} AS hay FROM lines),
+a AS (SELECT doc_id, page, line_no AS item_no, {NORMAL} AS needle FROM (SELECT doc_id, page, line_no, CASE WHEN doc_id % 20 = 0 THEN 'no such text at all' ELSE left(text, 15) END AS text FROM lines WHERE k = 3)),
+h AS (SELECT a.doc_id, a.page, item_no, min(line_no) FILTER (WHERE needle <> '' AND contains(hay, needle)) AS line_no FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.page = a.page GROUP BY a.doc_id, a.page, item_no, needle)
+SELECT *, CASE WHEN line_no IS NULL THEN 'anchor not found' END AS dropped FROM h""")
+bands = lambda x: x.groupBy("doc_id", "page", F.floor(F.col("k") / 5).cast("int").alias("band")).agg(F.min("y0").alias("b0"), F.max("y1").alias("b1"), F.count_if(F.col("text").contains("_")).alias("expected"))
+query("detector_score", lambda x: y.score_bands(y.detect(x).join(x.select("doc_id", "page", "line_no", F.col("y0").alias("y")), ["doc_id", "page", "line_no"]), bands(x)), "lines", f"""WITH {FOUND}, bd AS (SELECT doc_id, page, CAST(floor(k / 5) AS INT) AS band, min(y0) AS b0, max(y1) AS b1, count(*) FILTER (WHERE contains(text, '_')) AS expected FROM lines GROUP BY 1, 2, 3),
+h AS (SELECT da.doc_id, da.page, da.line_no, min(band) AS band FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no JOIN bd ON bd.doc_id = da.doc_id AND bd.page = da.page AND l.y0 >= b0 AND l.y0 < b1 GROUP BY 1, 2, 3),
+c AS (SELECT doc_id, page, band, count(*) AS n FROM h GROUP BY ALL), r AS (SELECT bd.*, coalesce(n, 0) AS n FROM bd LEFT JOIN c ON c.doc_id = bd.doc_id AND c.page = bd.page AND c.band = bd.band)
+SELECT sum(least(n, expected)) AS correct, sum(greatest(expected - n, 0)) AS missed, sum(greatest(n - expected, 0)) AS surplus FROM r""")
+REPLY = "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '{\"s1\":\"x' || CAST(doc_id AS STRING) || '\",\"p0_u2\":\"y\"}' WHEN 1 THEN '```json {\"u1\": \"z\", \"note\": \"n\"} ```' WHEN 2 THEN '<think>{\"s9\":\"no\"}</think> So: {\"s3\":\"w\"} done' ELSE 'garbage' END"
+FLAT = "SELECT doc_id, 's1' AS slot, 'x' || CAST(doc_id AS VARCHAR) AS answer FROM dd WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'u2', 'y' FROM dd WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'u1', 'z' FROM dd WHERE doc_id % 4 = 1 UNION ALL SELECT doc_id, 's3', 'w' FROM dd WHERE doc_id % 4 = 2"
+replies = lambda x: x.select("doc_id").distinct().select("doc_id", F.expr(REPLY).alias("reply"))
+query("json_extract", lambda x: replies(x).select("doc_id", F.get_json_object(y.json_object(F.col("reply")), "$.s3").alias("s3")), "raw_lines", "SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'w' END AS s3 FROM raw_lines")
+query("answers_flat", lambda x: y.flat_answers(replies(x)), "raw_lines", f"WITH dd AS (SELECT DISTINCT doc_id FROM raw_lines) {FLAT}")
+query("overlays", lambda x: y.overlays(y.numbered_units(y.detect(x)), y.flat_answers(replies(x))), "lines", f"WITH {FOUND}, u AS (SELECT *, 'u' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS VARCHAR) AS unit_id FROM da), dd AS (SELECT DISTINCT doc_id FROM lines), f AS ({FLAT}) SELECT u.doc_id, u.page, u.unit_id, coalesce(answer, '') AS text FROM u LEFT JOIN f ON f.doc_id = u.doc_id AND f.slot = u.unit_id")
+query("snip_boxes", lambda x: y.snip_box(x.select("doc_id", "page", "line_no", F.col("x1").alias("ax"), F.col("x0").alias("bx"), F.col("y0").alias("ay"), F.when(F.col("k") == 7, F.col("y0") + 1).otherwise(F.col("y1")).alias("by"))), "lines", "SELECT doc_id, page, line_no, greatest(x0 - 4, 0) AS x0, greatest(y0 - 4, 0) AS y0, least(x1 + 4, 612.0) AS x1, least(y1 + 4, 792.0) AS y1 FROM lines WHERE k <> 7")
+query("ocr_axis_fix", lambda x: y.fix_axes(x.filter("k < 6").select("doc_id", "page", "line_no", *(F.when(F.col("doc_id") % 3 == 0, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "y0"), ("y0", "x0"), ("x1", "y1"), ("y1", "x1"))))), "lines", "WITH f AS (SELECT * FROM lines WHERE k < 6), v AS (SELECT doc_id, page, count(*) AS n FROM f GROUP BY ALL) SELECT f.doc_id, f.page, line_no, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y0 ELSE x0 END AS x0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x0 ELSE y0 END AS y0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y1 ELSE x1 END AS x1, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x1 ELSE y1 END AS y1 FROM f JOIN v ON v.doc_id = f.doc_id AND v.page = f.page")
+query("active_formats", lambda x: x.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.array_join(F.expr("CASE WHEN size(array_intersect(slice(array('open', 'bogus', 'bullet', 'inline'), 1, CAST(n % 4 AS INT)), array('bullet', 'inline', 'open', 'table'))) = 0 THEN array('bullet', 'inline', 'open', 'table') ELSE array_intersect(slice(array('open', 'bogus', 'bullet', 'inline'), 1, CAST(n % 4 AS INT)), array('bullet', 'inline', 'open', 'table')) END"), ",").alias("formats")), "raw_lines", "SELECT doc_id, CASE CAST(count(*) % 4 AS INT) WHEN 0 THEN 'bullet,inline,open,table' WHEN 3 THEN 'open,bullet' ELSE 'open' END AS formats FROM raw_lines GROUP BY doc_id")
