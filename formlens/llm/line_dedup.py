@@ -15,6 +15,8 @@ length depends on its lines alone.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def _key(docs: DataFrame) -> tuple[Column, int]:
     if n == 0 or (n == distinct and low >= 0 and high < 1 << (62 - BITS) and (longest or 0) < 1 << BITS):
         return F.col("doc_id") * (1 << BITS), 1 << BITS
     room = 1 << 31
-    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)"), F.lit(1 << 64).cast("decimal(20,0)"))
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63)), F.lit(Decimal(1 << 64)))
     text = F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("decimal(10,0)")
     return ((doc * F.lit(1 << 30).cast("decimal(11,0)") + text).cast("decimal(31,0)") * F.lit(room).cast("decimal(10,0)")).cast("decimal(38,0)"), room
 
