@@ -62,7 +62,7 @@ def peaks(df: DataFrame, tz: float = 0.0) -> DataFrame:
     return hour.join(dow).select(
         "peak_hour",
         F.coalesce(F.concat(F.lpad(F.col("peak_hour").cast("string"), 2, "0"), F.lit(":00")), F.lit(NONE)).alias("peak_hour_label"),
-        F.coalesce(F.element_at(F.array(*map(F.lit, DOW)), F.col("d") + 1), F.lit(NONE)).alias("peak_dow_label"),
+        F.coalesce(F.when(F.col("d").isNotNull(), F.get(F.array(*map(F.lit, DOW)), F.col("d"))), F.lit(NONE)).alias("peak_dow_label"),
     )
 
 
