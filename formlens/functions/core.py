@@ -100,6 +100,11 @@ def truncate_text(text: Column, limit: int, marker: str = " [truncated]") -> Col
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit))), F.lit(marker))).otherwise(text)
 
 
+def clamp(value: Column, low: float, high: float, default: float) -> Column:
+    """Value within bounds; the default where there is none (greatest and least skip nulls)."""
+    return F.when(value.isNull(), F.lit(default)).otherwise(F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+
+
 def video_id(url: Column) -> Column:
     """The 11-character id of a bare id, ``v=`` or path form; null otherwise."""
     found = [F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in (r"^([A-Za-z0-9_-]{11})$", r"[?&]v=([A-Za-z0-9_-]{11})(?:[&#]|$)", r"^(?:https?://)?(?:www\.|m\.)?(?:youtu\.be|youtube\.com/(?:embed|shorts|live|v))/([A-Za-z0-9_-]{11})(?:[/?#&]|$)")]

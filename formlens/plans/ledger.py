@@ -41,4 +41,5 @@ query("ts_labels", lambda p: p.select("event_id", F.coalesce(F.concat(F.date_for
 query("parse_timestamps", lambda p: p.select("event_id", c.parse_ts(F.when(F.col("event_id") % 3 == 0, F.lit("bad")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, F.lit("Z")).otherwise(F.lit("+02:00"))))).alias("t")), "payments", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN date_trunc('second', ts) - CASE WHEN event_id % 2 = 0 THEN INTERVAL 0 HOUR ELSE INTERVAL 2 HOUR END END AS t FROM payments")
 query("report_detail", lambda x: x.filter(c.is_reported(F.col("feedback"))).select("job_id", "ts", F.trim("feedback").alias("feedback"), c.label_or(F.col("style"), "Typed text").alias("style")), "assignments", "SELECT job_id, ts, trim(feedback) AS feedback, coalesce(nullif(trim(style), ''), 'Typed text') AS style FROM assignments WHERE trim(coalesce(feedback, '')) <> ''")
 query("report_snapshots", lambda x: x.filter(c.is_reported(F.col("feedback"))).join(x.filter("event_id % 20 = 0").select("job_id", F.lit(True).alias("hit")), "job_id", "left").select("job_id", F.coalesce("hit", F.lit(False)).alias("has_snapshot")), "assignments", "SELECT job_id, event_id % 20 = 0 AS has_snapshot FROM assignments WHERE trim(coalesce(feedback, '')) <> ''")
-query("settings_clamp", lambda u: u.select("user_id", F.coalesce(F.least(F.greatest(F.expr("try_cast(CASE WHEN user_id % 9 = 0 THEN 'x' ELSE CAST(user_id % 60 AS STRING) END AS double)"), F.lit(6.0)), F.lit(48.0)), F.lit(12.0)).alias("size")), "users", "SELECT user_id, coalesce(least(greatest(TRY_CAST(CASE WHEN user_id % 9 = 0 THEN 'x' ELSE CAST(user_id % 60 AS VARCHAR) END AS DOUBLE), 6.0), 48.0), 12.0) AS size FROM users")
+SIZE = "try_cast(CASE WHEN user_id % 9 = 0 THEN 'x' ELSE CAST(user_id % 60 AS STRING) END AS double)"
+query("settings_clamp", lambda u: u.select("user_id", c.clamp(F.expr(SIZE), 6.0, 48.0, 12.0).alias("size")), "users", f"SELECT user_id, CASE WHEN {SIZE} IS NULL THEN 12.0 ELSE least(greatest({SIZE}, 6.0), 48.0) END AS size FROM users")

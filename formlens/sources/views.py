@@ -62,11 +62,13 @@ RAW_DUCK = "SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) A
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A product table by name; ``lines`` and ``raw_lines`` derive from documents."""
+    """A product table by name; ``lines`` and ``raw_lines`` derive from documents, other names are base tables."""
     if name in ("lines", "raw_lines"):
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
         raw = spark.sql(RAW_SPARK, documents=docs)
         return raw if name == "raw_lines" else spark.sql(LINES.replace("@RR@", "regexp_replace(text, '[a-z]{{7,}}', '____')").replace("FROM raw_lines", "FROM {raw_lines}"), raw_lines=raw)
+    if name not in VIEWS:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     base, text = VIEWS[name]
     if not base:
         return spark.sql(text)
