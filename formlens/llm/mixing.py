@@ -58,17 +58,36 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], scratch: Scratch, roun
     """(source, lang, topic, t) with t > 0 -> the same and w, raked to the target shares of all tokens."""
     for dim in DIMS:
         cells = cells.withColumn(f"_{dim}", F.sum("t").over(Window.partitionBy(dim)).cast("double"))
-    cells = scratch.save(cells.coalesce(1), "cells")
+    cells = scratch.save(cells, "cells")
     total = float(cells.agg(F.sum("t")).first()[0] or 0)
     cells = cells.select("*", F.col("t").cast("double").alias("w"), *((_shares(cells, d, targets[d]) * total).alias(f"target_{d}") for d in DIMS))
     for i in range(rounds):
         for dim in DIMS:
             cells = cells.withColumn("w", F.col("w") * F.col(f"target_{dim}") / F.sum("w").over(Window.partitionBy(dim)))
         if i % 5 == 4 or i == rounds - 1:
-            cells = scratch.save(cells.coalesce(1), f"raked-{i}")
+            cells = scratch.save(cells, f"raked-{i}")
     return cells
 
 
+def _scale(cells: DataFrame, budget: float) -> float | None:
+    """The c for which the sum of t * min(1, c * f) is the budget's share of all tokens; None if no c gives so much.
+
+    Starts with no factor cut at 1 and cuts those above 1 / c until none is new; each step is one sum
+    over the cells, and c only grows.
+    """
+    total = float(cells.agg(F.sum("t")).first()[0] or 0)
+    cut, c = -1, 0.0
+    while True:
+        free = F.col("f") * F.lit(c) <= 1
+        n, full, rest = cells.agg(F.count_if(~free), F.sum(F.when(~free, F.col("t"))), F.sum(F.when(free, F.col("w")))).first()
+        if n == cut:
+            return c
+        left = budget * total - float(full or 0)
+        if not rest or left < 0:
+            return None
+        cut, c = n, left / float(rest)
+
+
 def mix_sources(docs: DataFrame, scratch: Scratch, targets: Mapping[str, Target] | None = None, budget: float = 0.5, rounds: int = 10, seed: int = 17) -> DataFrame:
     """``docs`` with topic, tokens, p (probability to be sampled) and sampled (boolean).
 
@@ -86,14 +105,9 @@ def mix_sources(docs: DataFrame, scratch: Scratch, targets: Mapping[str, Target]
     cell = [F.coalesce(F.col(d).cast("string"), F.lit(UNKNOWN)) for d in ("source", "lang")] + [F.col("topic")]
     cells = rows.groupBy(*(c.alias(d) for c, d in zip(cell, DIMS, strict=True))).agg(F.sum("tokens").alias("t")).filter("t > 0")
     cells = rake(cells, targets, scratch, rounds).withColumn("f", F.col("w") / F.col("t"))
-    # With the k largest factors at 1, the others are scaled by c; the right k is the first whose c keeps the next at 1 or less.
-    down = Window.orderBy(F.desc("f"), *DIMS).rowsBetween(Window.unboundedPreceding, -1)
-    up = Window.orderBy(F.desc("f"), *DIMS).rowsBetween(0, Window.unboundedFollowing)
-    total = float(cells.agg(F.sum("t")).first()[0] or 0)
-    steps = cells.select("f", ((budget * total - F.coalesce(F.sum("t").over(down), F.lit(0))) / F.sum("w").over(up)).alias("c"))
-    scale = steps.filter("c * f <= 1").agg(F.max("c")).first()[0]
+    scale = _scale(cells, budget)
     p = F.least(F.lit(1.0), F.col("f") * F.lit(scale)) if scale is not None else F.when(F.col("f") > 0, 1.0).otherwise(0.0)
-    chosen = scratch.save(cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.round(p, 9).alias("p")).coalesce(1), "probabilities")
+    chosen = scratch.save(cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.round(p, 9).alias("p")), "probabilities")
     few = chosen.count() <= BROADCAST_CELLS
     on = [c == F.col(f"_{d}") for c, d in zip(cell, DIMS, strict=True)]
     out = rows.join(F.broadcast(chosen) if few else chosen, on, "left").drop(*(f"_{d}" for d in DIMS))
