@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from formlens.llm.common import Scratch, partitions
 from formlens.llm.components import connected_components
-from formlens.llm.textkernel import U, as_text, chunks, mix, set_key, shingle_sets, words
+from formlens.llm.textkernel import U, as_text, chunks, mix, release, set_key, shingle_sets, words
 
 GROUP_LIMIT = 24
-FLUSH = 1 << 19
+FLUSH = 1 << 18
+SPREAD = 4  # buckets per partition
 BLOCK_SHINGLES = 1 << 20
 BROADCAST_ROWS = 1 << 20
 
@@ -108,6 +109,7 @@ def _base(size: int):
                 yield _batch(rows, BASE)
                 rows = []
         yield _batch(rows, BASE)
+        release()
 
     return run
 
@@ -150,6 +152,7 @@ def _signature_rows(size: int, bands: Bands, buckets: int):
                 parts, held = [], 0
         if parts:
             yield packed(parts)
+        release()
 
     return run, "bucket int, sig binary, high binary, key binary, slack binary, tag binary"
 
@@ -221,7 +224,7 @@ def _collisions(limit: int):
                 x["key"], x["slack"], x["tag"] = np.frombuffer(row["key"], np.int64), np.frombuffer(row["slack"], np.uint8), np.frombuffer(row["tag"], np.uint8)
                 parts.append(x)
                 held += len(x)
-                if held > 1 << 22:  # keeps memory bounded when one signature fills the bucket
+                if held > 1 << 21:  # keeps memory bounded when one signature fills the bucket
                     rest, few, many, hot = compact(parts, hot)
                     out = count_hot(many)
                     if out is not None:
@@ -230,6 +233,7 @@ def _collisions(limit: int):
                     held = len(rest) + len(few)
         if parts:
             yield from finish()
+        release()
 
     return run
 
@@ -303,8 +307,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
     nodes = base.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     nodes = scratch.save(nodes, "nodes")
 
-    build, schema = _signature_rows(shingle, bands, parts)
-    signed = known.select("doc_id", "text").mapInArrow(build, schema).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
+    build, schema = _signature_rows(shingle, bands, parts * SPREAD)
+    signed = known.select("doc_id", "text").mapInArrow(build, schema).repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
     found = scratch.save(signed.mapInArrow(_collisions(group_limit), "tag int, a long, b long, hot long, slack long"), "found")
 
     heads = base.join(nodes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).groupBy("key").agg(F.max("n").alias("n"), F.first("sketch").alias("s"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.textkernel import U, _powers, as_text, chunks, mix
+from formlens.llm.textkernel import U, _powers, as_text, chunks, mix, release
 
 MARK = 0x2581
 NONE, BYTES = -1, -2
@@ -298,7 +298,7 @@ def _ids(lattice: Lattice, v: Vocabulary, place: np.ndarray, option: np.ndarray)
     return np.concatenate([*parts, ids[last:]])
 
 
-def encode_samples(docs: DataFrame, model_path: str, k: int = 2, alpha: float = 1.0, key: str = "doc_id", chunk_bytes: int = 3 << 20) -> DataFrame:
+def encode_samples(docs: DataFrame, model_path: str, k: int = 2, alpha: float = 1.0, key: str = "doc_id", chunk_bytes: int = 1 << 19) -> DataFrame:
     """(key, text) -> doc_id, sample (from 1, by falling perturbed value), ids, n_pieces, log_prob, perturbed, inclusion, decoded.
 
     One row per document and distinct segmentation, fewer than ``k`` where there are fewer; inclusion is
@@ -323,6 +323,7 @@ def encode_samples(docs: DataFrame, model_path: str, k: int = 2, alpha: float =
                 own = ids.take(pa.array([r[0] for r in rows], pa.int64()))
                 columns = [own, pa.array([r[1] for r in rows], pa.int32()), lists, pa.array(size), *(pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)), pa.array([v.decode(r[2]) == raw[r[0]] for r in rows])]
                 yield pa.record_batch(columns, schema=SAMPLE)
+        release()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SAMPLE_DDL)
 

@@ -6,6 +6,7 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-c
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,14 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their task, beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """64-bit finaliser; every salt is another hash function."""
     x = x ^ U((salt * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
@@ -33,7 +42,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         step = np.full(size, _BASE, U)
         step[0] = 1
         _POW = np.cumprod(step, dtype=U)
@@ -56,7 +65,7 @@ class Words:
     first: np.ndarray  # first word of each document, and the end
 
 
-def chunks(text: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(text: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``max_bytes`` of text each (one row at least)."""
     if not len(text):
         return
