@@ -107,11 +107,19 @@ def stacked_options(lines: DataFrame) -> DataFrame:
     return runs.filter("n_options >= 2 and low = 1 and high = n_options").select(*PAGE, "first_line", "last_line", "n_options")
 
 
+def inline_labels(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?:^|\s)([A-H])[.)]\s"), F.lit(1))
+
+
+def has_inline_options(text: Column) -> Column:
+    """Three labels or more, in sequence from A."""
+    labels = inline_labels(text)
+    return (F.size(labels) >= 3) & (F.array_join(labels, "") == F.substring(F.lit("ABCDEFGH"), F.lit(1), F.size(labels)))
+
+
 def inline_options(lines: DataFrame) -> DataFrame:
     """Three labels or more in sequence on one line."""
-    found = F.regexp_extract_all(F.col("text"), F.lit(r"(?:^|\s)([A-H])[.)]\s"), F.lit(1))
-    rows = lines.select(*PAGE, "line_no", found.alias("labels"))
-    return rows.filter((F.size("labels") >= 3) & (F.array_join("labels", "") == F.substring(F.lit("ABCDEFGH"), F.lit(1), F.size("labels")))).select(*PAGE, "line_no", F.size("labels").alias("n_options"))
+    return lines.filter(has_inline_options(F.col("text"))).select(*PAGE, "line_no", F.size(inline_labels(F.col("text"))).alias("n_options"))
 
 
 def stems(lines: DataFrame, options: DataFrame, gap: float = 26.0) -> DataFrame:
@@ -130,10 +138,13 @@ def open_responses(lines: DataFrame) -> DataFrame:
     return out.filter(F.col("bottom") - F.col("top") >= ROOM).select(*PAGE, "line_no", "top", "bottom")
 
 
-def trailing_dash(lines: DataFrame, width: float = 612.0) -> DataFrame:
-    """Labels that end in a dash, with room to the right."""
-    text = F.col("text")
-    return lines.filter(text.rlike(r"^\s*\S.*\S\s*[-–—]\s*$") & ~text.contains("_") & ~is_bulleted(text) & (F.lit(width) - F.col("x1") >= ROOM)).select(*PAGE, "line_no")
+def ends_in_dash(text: Column, x1: Column, width: float = 612.0) -> Column:
+    """A label that ends in a dash, with room to the right."""
+    return text.rlike(r"^\s*\S.*\S\s*[-–—]\s*$") & ~text.contains("_") & ~is_bulleted(text) & (F.lit(width) - x1 >= ROOM)
+
+
+def trailing_dash(lines: DataFrame) -> DataFrame:
+    return lines.filter(ends_in_dash(F.col("text"), F.col("x1"))).select(*PAGE, "line_no")
 
 
 def tables(lines: DataFrame) -> DataFrame:
@@ -169,15 +180,15 @@ KINDS = ["multiple_choice", "multiple_choice_inline", "open_response", "bullet",
 
 
 def detect(lines: DataFrame) -> DataFrame:
-    """The first detector in order of precedence that takes each line: doc_id, page, line_no, kind."""
-    taken = [
-        stacked_options(lines).select(*PAGE, F.explode(F.sequence("first_line", "last_line")).alias("line_no")), inline_options(lines), open_responses(lines),
-        bullet_answers(lines), trailing_dash(lines), lines.filter(F.col("text").contains("_")),
-    ]
-    rows = None
-    for rank, df in enumerate(taken):
-        df = df.select(*PAGE, "line_no", F.lit(rank).alias("rank"))
-        rows = df if rows is None else rows.unionByName(df)
+    """The first detector in order of precedence that takes each line: doc_id, page, line_no, kind.
+
+    The detectors that look at a line alone share one pass; one aggregate keeps the first of all.
+    """
+    text = F.col("text")
+    alone = F.when(has_inline_options(text), 1).when(is_empty_bullet(text), 3).when(ends_in_dash(text, F.col("x1")), 4).when(text.contains("_"), 5)
+    stacked = stacked_options(lines).select(*PAGE, F.explode(F.sequence("first_line", "last_line")).alias("line_no"), F.lit(0).alias("rank"))
+    rows = stacked.unionByName(open_responses(lines).select(*PAGE, "line_no", F.lit(2).alias("rank")))
+    rows = rows.unionByName(lines.select(*PAGE, "line_no", alone.alias("rank")).filter("rank is not null"))
     first = rows.groupBy(*PAGE, "line_no").agg(F.min("rank").alias("rank"))
     return first.select(*PAGE, "line_no", F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1).alias("kind"))
 
