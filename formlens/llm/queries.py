@@ -135,4 +135,10 @@ SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE coalesce(k.text, ''
 FROM documents d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op9_source_mixing": mixing_sql(), "op8_line_dedup": OP8_SQL, "op10_warc_zip": OP10_SQL, "op3_exact_topk": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL}
+ORACLES = {
+    "op3_exact_topk": OP3_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op9_source_mixing": mixing_sql(),
+    "op10_warc_zip": OP10_SQL,
+}
