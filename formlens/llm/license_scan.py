@@ -45,7 +45,7 @@ FAMILIES = sorted(NAMES)
 
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and inner dots."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![a-z0-9])|(?<![a-z0-9])\."), lambda w: w != "")
+    return F.array_remove(F.split(F.btrim(F.lower(text), F.lit(".")), r"\.*[^a-z0-9.]+\.*"), "")
 
 
 def grams(w: Column) -> Column:
@@ -81,7 +81,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "paragraph", words(F.col("line")).alias("w")).filter(F.size("w") > 0)
 
 
-def train_licences(docs: DataFrame, scratch: Scratch, max_negatives: int = 4000, max_grams: int = 2048, least_lead: float = 0.3) -> LicenceModel:
+def train_licences(docs: DataFrame, scratch: Scratch, max_negatives: int = 4000, max_grams: int = 2048, least_lead: float = 0.5) -> LicenceModel:
     """Fit on the notices and at most about ``max_negatives`` corpus paragraphs without licence words, chosen by a hash.
 
     The vocabulary is every gram of the notices, and the most frequent others up to ``max_grams``. Leads
