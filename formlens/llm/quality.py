@@ -122,14 +122,14 @@ def fit(texts: list[np.ndarray], label: np.ndarray, dims: int, smoothing: float
     rows = []
     for t in texts:
         v = ratio[t]
-        rows.append((np.r_[t, dims], np.r_[v / max(float(np.sqrt(v @ v)), 1e-12), 1.0]))
+        rows.append((np.r_[t, dims].astype(np.int32), np.r_[v / max(float(np.sqrt(v @ v)), 1e-12), 1.0].astype(np.float32)))
     weight_of = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * cost
     kept_out = np.arange(len(y)) % 5 == 4
     inner = np.flatnonzero(~kept_out) if len(set(y[kept_out])) == 2 == len(set(y[~kept_out])) else np.arange(len(y))
     outer = np.flatnonzero(kept_out) if len(inner) < len(y) else inner
     w = dual_coordinate_descent([rows[i] for i in inner], y[inner], weight_of[inner], dims + 1, epochs)
     slope, offset = _sigmoid(np.array([w[rows[i][0]] @ rows[i][1] for i in outer]), y[outer])
-    return QualityModel(dims, ratio, w[:dims], float(w[dims]), slope, offset)
+    return QualityModel(dims, ratio.astype(np.float32), w[:dims].astype(np.float32), float(w[dims]), slope, offset)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -164,7 +164,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, dims: int = 1 << 18, max_r
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = text.join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text").mapInArrow(_feature_rows(dims), "doc_id long, label int, f binary")
     got = sorted(found.limit(4 * max_rows).collect(), key=lambda r: (r.doc_id, r.label, bytes(r.f)))
-    return fit([np.frombuffer(bytes(r.f), np.int32).astype(np.int64) for r in got], np.array([r.label for r in got], int), dims)
+    model = fit([np.frombuffer(bytes(r.f), np.int32) for r in got], np.array([r.label for r in got], int), dims)
+    del got
+    release()
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, score: str = "score", predicted: str = "predicted") -> DataFrame:
