@@ -115,7 +115,9 @@ def fit(texts: list[np.ndarray], label: np.ndarray, dims: int, smoothing: float
     if len(set(label.tolist())) < 2:
         share = (label.sum() + 1) / (len(label) + 2)
         return QualityModel(dims, np.zeros(dims), np.zeros(dims), 0.0, 1.0, float(np.log(share / (1 - share))))
-    count = [np.bincount(np.concatenate([t for t, y in zip(texts, label, strict=True) if y == k] or [np.zeros(0, int)]), minlength=dims) + smoothing for k in (0, 1)]
+    count = np.full((2, dims), smoothing)
+    for t, y in zip(texts, label, strict=True):
+        count[y, t] += 1  # a text's features don't repeat
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
     ratio[(count[0] + count[1]) <= 2 * smoothing] = 0.0
     y = np.where(label == 1, 1.0, -1.0)
@@ -163,8 +165,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, dims: int = 1 << 18, max_r
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = text.join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text").mapInArrow(_feature_rows(dims), "doc_id long, label int, f binary")
-    got = sorted(found.limit(4 * max_rows).collect(), key=lambda r: (r.doc_id, r.label, bytes(r.f)))
-    model = fit([np.frombuffer(bytes(r.f), np.int32) for r in got], np.array([r.label for r in got], int), dims)
+    got = sorted(found.limit(4 * max_rows).collect(), key=lambda r: (r.doc_id, r.label, len(r.f)))
+    model = fit([np.frombuffer(r.f, np.int32) for r in got], np.array([r.label for r in got], int), dims)
     del got
     release()
     return model
