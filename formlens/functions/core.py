@@ -114,8 +114,14 @@ def video_id(url: Column) -> Column:
 def occurrences(text: Column, needle: Column) -> Column:
     """All positions (from 1) of a needle, overlapping ones too; none for an empty needle."""
     n = F.length(needle)
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.when((n == 0) | (F.length(text) < n), F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: F.substr(text, i, n) == needle))
+    # Pieces that overlap by n - 1 characters, as a substring's cost grows with its place in the text.
+    size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.length(text)))).cast("int")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), size)
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("at"), F.substr(text, s, size + n - 1).alias("t")))
+    held = F.filter(pieces, lambda p: F.contains(p["t"], needle))
+    hits = lambda p: F.filter(F.sequence(F.lit(1), F.length(p["t"])), lambda i: F.substr(p["t"], i, n) == needle)
+    found = F.flatten(F.transform(held, lambda p: F.transform(hits(p), lambda i: i + p["at"] - 1)))
+    return F.when((n == 0) | (F.length(text) < n), F.array().cast("array<int>")).otherwise(found)
 
 
 def underscore_runs(text: Column) -> Column:

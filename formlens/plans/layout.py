@@ -28,7 +28,7 @@ fn("text_normalize", c.normalize_text, NORMAL)
 fn("text_alnum", c.alnum_only, "regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')")
 fn("text_truncate", lambda t: c.truncate_text(t, 40), "CASE WHEN length(text) > 40 THEN rtrim(left(text, 40)) || ' [truncated]' ELSE text END", "raw_lines")
 fn("option_tokens", y.option_token, "nullif(upper(regexp_extract(translate(text, 'АВСЕНІабсеіⅠ', 'ABCEHIabceiI'), '^\\s*\\(?([A-Ha-h]|[IVXivx]{1,4})[.)]\\s', 1)), '')")
-fn("find_occurrences", lambda t: F.size(c.occurrences(F.lower(F.left(t, F.lit(200))), F.lit("aa"))), "CAST(len(list_filter(range(1, greatest(length(left(text, 200)), 1)), lambda i: substr(lower(left(text, 200)), i, 2) = 'aa')) AS INT)", "raw_lines")
+fn("find_occurrences", lambda t: F.size(c.occurrences(F.lower(t), F.lit("aa"))), "CAST(len(list_filter(range(1, greatest(length(left(text, 200)), 1)), lambda i: substr(lower(left(text, 200)), i, 2) = 'aa')) AS INT)", "raw_lines")
 query("underscore_runs", lambda x: x.select("doc_id", "line_no", F.posexplode(c.underscore_runs(F.col("text"))).alias("k", "r")).select("doc_id", "line_no", "k", "r.start", "r.length"), "lines",
       """WITH s AS (SELECT doc_id, line_no, regexp_extract_all(text, '_+') AS r, regexp_split_to_array(text, '_+') AS g FROM lines WHERE contains(text, '_')),
 e AS (SELECT doc_id, line_no, unnest(range(len(r))) AS k, r, g FROM s)

@@ -1,7 +1,9 @@
 """Queries over all documents, where the registered SQL covers a part of them only."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from formlens.functions import core as c
 from formlens.plans import ORACLES, QUERIES
 from tests.test_queries import SF, duck, plain  # noqa: F401
 
@@ -24,3 +26,14 @@ def test_all_documents(spark, duck, name):  # noqa: F811
     assert "doc_id <" not in sql and "doc_id %" not in sql
     got, want = rows(spark, duck, name, sql)
     assert got == want
+
+
+def test_occurrences_in_whole_lines(spark, duck):  # noqa: F811
+    got = {(r.doc_id, r.line_no): r.v for r in QUERIES["find_occurrences"](spark, SF).collect()}
+    texts = duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    at = lambda t, n: [i + 1 for i in range(len(t)) if t.startswith(n, i)]
+    assert got == {(d, i): len(at(line.lower(), "aa")) for d, text in texts for i, line in enumerate(text.split("\n"))}
+    odd = ["a" * 700, "xaa" * 5000 + "é", "b" * 63 + "aab", "a", "", "é" * 200 + "aa", None]
+    df = spark.createDataFrame([(t, n) for t in odd for n in ("aa", "aab", "é", "a" * 130)], "t string, n string")
+    for r in df.select("t", "n", c.occurrences(F.col("t"), F.col("n")).alias("v")).collect():
+        assert r.v == at(r.t or "", r.n)
