@@ -214,12 +214,52 @@ def page_text(lines: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(whole, lambda s: s["t"]), "\n").alias("text"))
 
 
+def _place_anchors(texts: list[str], needles: list[str]) -> list[int | None]:
+    """Index of the line where each needle's chosen occurrence starts, or None."""
+    page, owner = [], []
+    for i, t in enumerate(texts):
+        if t:
+            page.append(t)
+            owner += [i] * (len(t) + 1)  # one separator behind each line
+    whole = " ".join(page)
+    kept = [i for i, ch in enumerate(whole) if ch.isalnum()]
+    loose = "".join(whole[i] for i in kept)
+
+    def spans(hay: str, needle: str):
+        at = hay.find(needle) if needle else -1
+        while at >= 0:
+            yield at, at + len(needle) - 1
+            at = hay.find(needle, at + 1)
+
+    used, cursor, out = set(), -1, []
+    for needle in needles:
+        found = list(spans(whole, needle))
+        if not found and len(bare := "".join(filter(str.isalnum, needle))) >= 3:
+            found = [(kept[a], kept[b]) for a, b in spans(loose, bare)]
+        free = [f for f in found if f[0] not in used]
+        start, end = next((f for f in free if f[0] >= cursor), free[0] if free else (None, None))
+        if start is not None:
+            used.add(start)
+            cursor = max(cursor, end)
+        out.append(None if start is None else owner[start])
+    return out
+
+
 def resolve_anchors(anchors: DataFrame, lines: DataFrame) -> DataFrame:
-    """First line of the page that has the anchor's normalised text; anchors without one are dropped with a reason."""
-    a = anchors.withColumn("needle", normalize_text(F.col("anchor_text")))
-    hay = lines.select(*PAGE, "line_no", normalize_text(F.col("text")).alias("hay"))
-    hit = a.join(hay, PAGE, "left").groupBy(*PAGE, "item_no", "needle").agg(F.min(F.when((F.length("needle") > 0) & F.contains(F.col("hay"), F.col("needle")), F.col("line_no"))).alias("line_no"))
-    return hit.select(*PAGE, "item_no", "line_no", F.when(F.col("line_no").isNull(), "anchor not found").alias("dropped"))
+    """Line where each anchor's text starts in the joined page text; anchors without one are dropped with a reason.
+
+    A page's anchors go in order of item_no: each takes the first unused occurrence at or after the end of
+    those before, else the first unused one. An anchor without an exact occurrence (of normalised text) is
+    looked up by its letters and digits, three at least.
+    """
+    place = F.udf(_place_anchors, "array<int>", useArrow=True)
+    asked = anchors.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("item_no", F.coalesce(normalize_text(F.col("anchor_text")), F.lit("")).alias("needle")))).alias("a"))
+    texts = lines.join(anchors.select(*PAGE).distinct(), PAGE, "left_semi").groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_no", normalize_text(F.col("text")).alias("hay")))).alias("l"))
+    rows = asked.join(texts, PAGE, "left").withColumn("l", F.coalesce("l", F.array().cast("array<struct<line_no:int,hay:string>>")))
+    rows = rows.withColumn("at", place(F.col("l.hay"), F.col("a.needle")))
+    hit = rows.select(*PAGE, "l", F.explode(F.arrays_zip(F.col("a.item_no").alias("item_no"), F.col("at").alias("at"))).alias("h"))
+    hit = hit.select(*PAGE, F.col("h.item_no").alias("item_no"), F.get(F.col("l.line_no"), F.col("h.at")).alias("line_no"))
+    return hit.withColumn("dropped", F.when(F.col("line_no").isNull(), "anchor not found"))
 
 
 def score_bands(found: DataFrame, bands: DataFrame) -> DataFrame:

@@ -73,6 +73,10 @@ query("anchor_resolve", lambda x: y.resolve_anchors(x.filter("k = 3").select("do
 a AS (SELECT doc_id, page, line_no AS item_no, {NORMAL} AS needle FROM (SELECT doc_id, page, line_no, CASE WHEN doc_id % 20 = 0 THEN 'no such text at all' ELSE left(text, 15) END AS text FROM lines WHERE k = 3)),
 h AS (SELECT a.doc_id, a.page, item_no, min(line_no) FILTER (WHERE needle <> '' AND contains(hay, needle)) AS line_no FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.page = a.page GROUP BY a.doc_id, a.page, item_no, needle)
 SELECT *, CASE WHEN line_no IS NULL THEN 'anchor not found' END AS dropped FROM h""")
+query("anchor_repeats", lambda x: y.resolve_anchors(x.filter("k between 3 and 7").select("doc_id", "page", F.col("line_no").alias("item_no"), F.lit(" ○").alias("anchor_text")), x), "lines", """WITH n AS (SELECT doc_id, page, line_no, sum(length(text) - length(replace(text, '○', ''))) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS upto FROM lines),
+a AS (SELECT doc_id, page, line_no AS item_no, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS r FROM lines WHERE k BETWEEN 3 AND 7),
+h AS (SELECT a.doc_id, a.page, item_no, min(n.line_no) FILTER (WHERE upto >= r) AS line_no FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.page = a.page GROUP BY a.doc_id, a.page, item_no)
+SELECT *, CASE WHEN line_no IS NULL THEN 'anchor not found' END AS dropped FROM h""")
 bands = lambda x: x.groupBy("doc_id", "page", F.floor(F.col("k") / 5).cast("int").alias("band")).agg(F.min("y0").alias("b0"), F.max("y1").alias("b1"), F.count_if(F.col("text").contains("_")).alias("expected"))
 query("detector_score", lambda x: y.score_bands(y.detect(x).join(x.select("doc_id", "page", "line_no", F.col("y0").alias("y")), ["doc_id", "page", "line_no"]), bands(x)), "lines", f"""WITH {FOUND}, bd AS (SELECT doc_id, page, CAST(floor(k / 5) AS INT) AS band, min(y0) AS b0, max(y1) AS b1, count(*) FILTER (WHERE contains(text, '_')) AS expected FROM lines GROUP BY 1, 2, 3),
 h AS (SELECT da.doc_id, da.page, da.line_no, min(band) AS band FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no JOIN bd ON bd.doc_id = da.doc_id AND bd.page = da.page AND l.y0 >= b0 AND l.y0 < b1 GROUP BY 1, 2, 3),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formlens.functions import core as c
+from formlens.operators import layout as y
 from formlens.plans import ORACLES, QUERIES
 from tests.test_queries import SF, duck, plain  # noqa: F401
 
@@ -37,3 +38,14 @@ def test_occurrences_in_whole_lines(spark, duck):  # noqa: F811
     df = spark.createDataFrame([(t, n) for t in odd for n in ("aa", "aab", "é", "a" * 130)], "t string, n string")
     for r in df.select("t", "n", c.occurrences(F.col("t"), F.col("n")).alias("v")).collect():
         assert r.v == at(r.t or "", r.n)
+
+
+def test_anchors_take_occurrences_in_order(spark):
+    lines = [(1, 0, i, t) for i, t in enumerate(["Name: ____ Name: ____", "", "Date of", "  birth – day", "Name: ____", "e.g. (this)"])] + [(2, 0, 7, "Name:")]
+    asked = ["Name:", "name:", "NAME:", "Name:", "date  of birth", "e g this", "eg", "Birth - Day", None, "no such"]
+    anchors = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(asked)] + [(2, 0, 0, "Name:"), (3, 0, 0, "Name:")], "doc_id long, page int, item_no int, anchor_text string")
+    rows = y.resolve_anchors(anchors, spark.createDataFrame(lines, "doc_id long, page int, line_no int, text string")).collect()
+    got = {(r.doc_id, r.item_no): r.line_no for r in rows}
+    assert [got[1, i] for i in range(len(asked))] == [0, 0, 4, None, 2, 5, None, 3, None, None]
+    assert got[2, 0] == 7 and got[3, 0] is None and len(rows) == len(asked) + 2
+    assert all((r.dropped == "anchor not found") == (r.line_no is None) for r in rows)
