@@ -271,9 +271,20 @@ def score_bands(found: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def json_object(text: Column) -> Column:
-    """The JSON object inside a model's reply: thoughts and fences dropped, else from the first { to the last }."""
+    """The first balanced {..} of a model's reply, thoughts and fences dropped; braces in strings don't count."""
     bare = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
-    return F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    at = F.instr(bare, "{")
+
+    def step(s: Column, ch: Column) -> Column:
+        free = ~s["quoted"] & ~s["escaped"]
+        depth = s["depth"] + F.when(free & (ch == "{"), 1).when(free & (ch == "}"), -1).otherwise(0)
+        end = F.when(s["end"] > 0, s["end"]).when(free & (ch == "}") & (depth == 0), s["i"] + 1).otherwise(0)
+        quoted = F.when(~s["escaped"] & (ch == '"'), ~s["quoted"]).otherwise(s["quoted"])
+        return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), quoted.alias("quoted"), (~s["escaped"] & (ch == "\\")).alias("escaped"), end.alias("end"))
+
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("end"))
+    size = F.aggregate(F.split(F.substr(bare, at), ""), zero, step)["end"]
+    return F.when(at == 0, F.lit("")).otherwise(F.substr(bare, at, size))
 
 
 def flat_answers(df: DataFrame, key: str = "doc_id", column: str = "reply") -> DataFrame:

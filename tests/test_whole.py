@@ -49,3 +49,14 @@ def test_anchors_take_occurrences_in_order(spark):
     assert [got[1, i] for i in range(len(asked))] == [0, 0, 4, None, 2, 5, None, 3, None, None]
     assert got[2, 0] == 7 and got[3, 0] is None and len(rows) == len(asked) + 2
     assert all((r.dropped == "anchor not found") == (r.line_no is None) for r in rows)
+
+
+def test_first_balanced_object(spark):
+    cases = {
+        'a {"s1": "x"} and {"s2": "y"}': '{"s1": "x"}', '<think>{"s9": 1}</think> {"s1": {"a": "}"}} {': '{"s1": {"a": "}"}}', '{"q": "\\"}{"} tail }': '{"q": "\\"}{"}',
+        "none": "", "{ never closed": "", "": "", "é {}": "{}", None: None,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    assert [r.v for r in df.select("i", y.json_object(F.col("t")).alias("v")).orderBy("i").collect()] == list(cases.values())
+    two = spark.createDataFrame([(1, 'So {"s1": "x", "p0_u2": "y"}, not {"s3": "z"}')], "doc_id long, reply string")
+    assert {(r.slot, r.answer) for r in y.flat_answers(two).collect()} == {("s1", "x"), ("u2", "y")}
