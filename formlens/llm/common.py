@@ -1,19 +1,25 @@
-"""Shared scratch tables, size checks and session settings of the training-data operators."""
+"""Shared scratch tables, row numbers and session settings of the training-data operators."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from itertools import accumulate
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); a local one only where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="formlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -28,6 +34,7 @@ class Scratch:
         self.spark = spark
         importable(spark)
         self.path = f"{shared_dir(spark)}/formlens/{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._leave)  # results are lazy: they may read these tables as long as the session lives
 
     def write(self, df: DataFrame, table: str, **options: str) -> str:
         path = f"{self.path}/{table}"
@@ -39,10 +46,36 @@ class Scratch:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.write(df, table, **options))
 
+    def measured(self, df: DataFrame, table: str, *figures: Column) -> tuple[DataFrame, dict]:
+        """``save``, and aggregates of the rows that come along with the write (for sizes only: a repeated task may count twice)."""
+        seen = Observation()
+        stored = self.save(df.observe(seen, *figures), table)
+        return stored, seen.get
+
     def drop(self, table: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def _leave(self) -> None:
+        if SparkContext._active_spark_context is not None:
+            self.drop()
+
+
+def row_numbers(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """``df`` stored with the column ``name``: numbers from 0 without gaps in the given order, unique for each row.
+
+    A distributed sort; the driver sees one count for each partition of it.
+    """
+    rows = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = scratch.save(rows, f"numbered{name}").withColumn("_part", F.shiftright("_at", 33))
+    counts = sorted(tuple(r) for r in rows.groupBy("_part").agg(F.count("*")).collect())
+    if not counts:
+        return rows.select(*df.columns, F.col("_at").alias(name))
+    since = dict(zip((p for p, _ in counts), [0, *accumulate(n for _, n in counts)]))
+    starts = F.broadcast(df.sparkSession.createDataFrame(list(since.items()), "_part long, _since long"))
+    within = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(starts, "_part").select(*df.columns, (F.col("_since") + within).alias(name))
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,124 +1,166 @@
-"""Line deduplication: repeated runs of lines by distributed prefix doubling over line IDs, native.
-
-A line's place is one number, document order first, so "earlier" is "smaller". The rank of a place at
-level j names the 2**j lines from there by the first place where they stand; level j + 1 ranks the
-pairs of level-j ranks 2**j apart, and only runs that occur twice go on (a suffix with a rank of its
-own is settled). Two ranks that overlap name a run of any length. Suffixes that share a name of l lines
-are an interval of the suffix array with a longest common prefix of at least l; its first place is the
-copy that stays.
-
-A line goes if it lies in a run of consecutive lines of at least ``min_words`` words together that
-stands earlier as a whole. Every such line lies in a least run (from its first line on, or up to its
-last line) that does, so naming the two least runs of each repeated line is enough, and a least run's
-length depends on its lines alone.
+"""Line deduplication: suffix array over line-ID sequences by distributed prefix doubling, native.
+
+A line's place is one number, document order first, so "earlier" is "smaller".
+
+* Prefix doubling. Level 0 ranks the lines that occur twice or more; level j + 1 sorts the pairs of
+  level-j ranks 2**j apart, and a pair's rank is its number in that order: the suffix array by 2**j
+  lines. Pairs that occur once drop out, as no other suffix shares them. Pairs are counted before
+  they are sorted, so a frequent one is one row there.
+* Longest-common-prefix intervals. From the highest level down, suffixes that share a prefix of l
+  lines ("branch") and the rank of the next 2**i lines share l + 2**i: a child branch. Its least place
+  also stays in the parent, where it stands for the child. After level 0 each branch is an interval
+  with its exact longest common prefix, and the intervals have no more than two rows a place.
+* Maximal runs. A rank whose suffixes all follow the same repeated line is left out: each of its runs
+  goes on to the left, and the longer run is found there.
+* Each suffix of an interval but its least place starts a run that stands earlier. Runs of
+  ``min_words`` words together are deleted.
+
+A line goes exactly if it lies in a run of consecutive lines of at least ``min_words`` words together
+that stands earlier as a whole.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Scratch
+from formlens.llm.common import Scratch, row_numbers
 
-BITS = 24  # lines of a document in a plain key
+ROOM = 62  # bits of a place: document number and line number
 BROADCAST_ROWS = 1 << 18
+HOT_PARTS = 1 << 10
 
 
-def _key(docs: DataFrame) -> tuple[Column, int]:
-    """Order key of a row's document, and the room between two documents.
+def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``docs`` with _d, the number of each row's document in order, and the bits that a line number takes.
 
-    A long, if ids are small and unique; else a decimal of id, text hash and place, so that rows with
-    equal or null ids (null last) are told apart by their texts; equal rows are one document.
+    Small unique ids are their own numbers; else rows are numbered by id (null last) and text, so that
+    repeated and null ids are told apart.
     """
-    low, high, n, distinct, longest = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count_distinct("doc_id"), F.max(F.octet_length("text"))).first()
-    if n == 0 or (n == distinct and low >= 0 and high < 1 << (62 - BITS) and (longest or 0) < 1 << BITS):
-        return F.col("doc_id") * (1 << BITS), 1 << BITS
-    room = 1 << 31
-    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63)), F.lit(Decimal(1 << 64)))
-    text = F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("decimal(10,0)")
-    return ((doc * F.lit(1 << 30).cast("decimal(11,0)") + text).cast("decimal(31,0)") * F.lit(room).cast("decimal(10,0)")).cast("decimal(38,0)"), room
-
-
-def _named(rows: DataFrame, by: list[str], place: str) -> DataFrame:
-    """Rows whose ``by`` occurs at two places or more, with r: the first of them."""
-    first = rows.groupBy(*by).agg(F.min(place).alias("r"), F.max(place).alias("z")).filter("r < z").drop("z")
-    return rows.join(first, by)
-
-
-def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> tuple[DataFrame, Column, int]:
-    """Maximal runs of lines to delete: d (document key), first, end (line numbers, end exclusive)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    key, room = _key(docs)
-    kind = "long" if room == 1 << BITS else "decimal(38,0)"
-    whole = lambda c: c.cast(kind)
-    lines = docs.filter("text <> ''").select(key.alias("d"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    low, high, n, distinct, most = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count_distinct("doc_id"), F.max(newlines)).first()
+    bits = ((most or 0) + 1).bit_length()
+    if n == 0 or (n == distinct and low >= 0 and high < 1 << (ROOM - bits)):
+        return docs.withColumn("_d", F.col("doc_id").cast("long")), bits
+    if n >= 1 << (ROOM - bits):
+        raise ValueError(f"{n} documents of up to {most} lines need more than {ROOM} bits")
+    return row_numbers(docs, [F.asc_nulls_last("doc_id"), F.sha2("text", 256)], scratch, "_d"), bits
+
+
+class Names:
+    """Stored names, one row for each key, with their number of rows n."""
+
+    def __init__(self, names: DataFrame, scratch: Scratch, table: str, broadcast_rows: int):
+        self.rows, seen = scratch.measured(names, table, F.count("*").alias("count"), F.sum("n").alias("total"))
+        self.count, self.few = seen["count"], seen["count"] <= broadcast_rows
+        self.hot = max((seen["total"] or 0) // HOT_PARTS, 1)
+
+    def join(self, rows: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+        """``rows`` with the columns of their names but n.
+
+        Few names are broadcast. Of many, those with over a ``HOT_PARTS``-th of all rows are (there
+        can't be more than ``HOT_PARTS``), so a frequent key never meets in one task.
+        """
+        if self.few:
+            return rows.join(F.broadcast(self.rows.drop("n")), by, how)
+        hot, rest = self.rows.filter(F.col("n") > self.hot).drop("n"), self.rows.filter(F.col("n") <= self.hot).drop("n")
+        others = rows.join(F.broadcast(hot.select(*by)), by, "left_anti")
+        return rows.join(F.broadcast(hot), by).unionByName(others.join(rest, by, how))
+
+
+def _ranks(lines: DataFrame, scratch: Scratch, min_words: int, broadcast_rows: int) -> list[DataFrame]:
+    """For each level the places whose 2**level lines stand twice: d, g, r (rank), w (their words), left, f (first place with r), varied (r has several left neighbours)."""
+    number = F.monotonically_increasing_id()  # after a sort: increasing in the sort's order
+    by = ["k1", "k2", "k3"]
+    names = lines.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").orderBy(*by).withColumn("r", number)
+    places = Names(names, scratch, "names-0", broadcast_rows).join(lines, by).select("d", "g", "r", "w")
+    # Stretches of consecutive repeated lines that can't hold a run of min_words words go.
+    line = Window.partitionBy("d").orderBy("g")
+    places = places.withColumn("s", F.col("g") - F.row_number().over(line))
+    places = places.withColumn("total", F.sum("w").over(Window.partitionBy("d", "s"))).filter(F.col("total") >= min_words)
+    places = scratch.save(places.select("d", "g", "r", "w", F.max("r").over(line.rangeBetween(-1, -1)).alias("left")), "places")
+    figures = [F.count("*").alias("n"), F.min("g").alias("f"), ((F.count("left") < F.count("*")) | (F.min("left") < F.max("left"))).alias("varied")]
+    names = Names(places.groupBy("r").agg(*figures).filter("n > 1"), scratch, "first-0", broadcast_rows)
+    levels = []
+    rows, by = places, ["r"]
+    while names.count:
+        levels.append(scratch.save(names.join(rows, by).select("d", "g", "r", "w", "left", "f", "varied"), f"rank-{len(levels)}"))
+        step, by = 1 << (len(levels) - 1), ["r1", "r2"]
+        there = Window.partitionBy("d").orderBy("g").rangeBetween(step, step)
+        rows = levels[-1].select("d", "g", F.col("r").alias("r1"), "left", (F.col("w") + F.max("w").over(there)).alias("w"), F.max("r").over(there).alias("r2")).filter("r2 is not null")
+        names = rows.groupBy(*by).agg(*figures).filter("n > 1").orderBy(*by).withColumn("r", number)
+        names = Names(names, scratch, f"names-{len(levels)}", broadcast_rows)
+    return levels
+
+
+def _intervals(levels: list[DataFrame], scratch: Scratch, broadcast_rows: int) -> DataFrame | None:
+    """Rows of the longest-common-prefix intervals: b (interval), g, l (lines shared), w (their words)."""
+    rows, none = None, F.lit(0).cast("long")
+    for level in range(len(levels) - 1, -1, -1):
+        # Suffixes that share no more than this level's lines, and those that stand for a longer prefix.
+        ranks = fresh = levels[level]
+        if level + 1 < len(levels):
+            fresh = fresh.join(levels[level + 1].filter("g <> f").select("g"), "g", "left_anti")
+        fresh = fresh.filter("varied").select(F.lit(-1).cast("long").alias("b"), "g", none.alias("l"), none.alias("w"), "r", F.col("w").alias("w2"))
+        if rows is not None:
+            at = ranks.select(F.col("g").alias("at"), "r", F.col("w").alias("w2"))
+            fresh = rows.withColumn("at", F.col("g") + F.col("l")).join(at, "at", "left").drop("at").unionByName(fresh)
+        rows = scratch.save(fresh, f"branch-{level}")
+        known, alone = rows.filter("r is not null"), rows.filter("r is null and b >= 0")
+        child = known.groupBy("b", "r").agg(F.count("*").alias("n"), F.min("g").alias("f")).filter("n > 1")
+        child = Names(child.withColumn("child", F.monotonically_increasing_id() + F.lit(level << 56)), scratch, f"child-{level}", broadcast_rows)
+        # A row goes to its child; what has none stays in its branch, and so does the least place of each child.
+        row = lambda b, l, w: F.struct(b.alias("b"), F.col("g").alias("g"), l.alias("l"), w.alias("w"))
+        deeper = F.when(F.col("child").isNotNull(), row(F.col("child"), F.col("l") + (1 << level), F.col("w") + F.col("w2")))
+        stay = F.when((F.col("b") >= 0) & (F.col("child").isNull() | (F.col("g") == F.col("f"))), row(F.col("b"), F.col("l"), F.col("w")))
+        rows = child.join(known, ["b", "r"], "left").select(F.inline(F.array_compact(F.array(deeper, stay))))
+        rows = rows.unionByName(alone.select("b", "g", "l", "w"))
+    return rows
+
+
+def repeated_runs(keyed: DataFrame, bits: int, scratch: Scratch, min_words: int = 50, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(_d, text) -> maximal stretches of lines to delete: d, first, end (line numbers, end exclusive)."""
+    lines = keyed.filter("text <> ''").select(F.col("_d").alias("d"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     words = F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    lines = lines.select("d", whole(F.col("d") + F.col("i")).alias("g"), F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), F.length("line").alias("k3"), words.cast("int").alias("w"))
-    if kind != "long":
-        lines = lines.dropDuplicates(["g"])
+    place = F.shiftleft("d", bits) + F.col("i")
+    lines = lines.select("d", place.alias("g"), F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), F.length("line").alias("k3"), words.cast("long").alias("w"))
     lines = scratch.save(lines, "lines")
-    ranks = [scratch.save(_named(lines, ["k1", "k2", "k3"], "g").select("d", "g", "r", "w"), "rank-0")]
-
-    # Stretches of consecutive repeated lines, with the words before and through each line.
-    stretch = ranks[0].withColumn("s", whole(F.col("g") - F.row_number().over(Window.partitionBy("d").orderBy("g"))))
-    through = F.sum("w").over(Window.partitionBy("d", "s").orderBy("g").rowsBetween(Window.unboundedPreceding, 0))
-    stretch = scratch.save(stretch.select("d", "s", "g", through.alias("to"), (through - F.col("w")).alias("since")), "stretch")
-    starts = stretch.select("d", "s", "g", F.col("since").alias("x"))
-    ends = stretch.select("d", "s", whole(F.col("g") + 1).alias("g"), F.col("to").alias("x"))
-    side = lambda df, shift, point: df.select("d", "s", "g", (F.col("x") + shift).alias("x"), F.lit(point).alias("point"))
-    near = Window.partitionBy("d", "s").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("point"), F.col("g")), ignorenulls=True)
-    down, up = [F.desc("x"), F.desc("point"), F.desc("g")], [F.asc("x"), F.desc("point"), F.asc("g")]
-    ahead = side(starts, min_words, False).unionByName(side(ends, 0, True)).withColumn("m", seen.over(near.orderBy(*down)))
-    ahead = ahead.filter("not point and m > g").select("d", F.col("g").alias("a"), F.col("m").alias("z"))
-    behind = side(ends, -min_words, False).unionByName(side(starts, 0, True)).withColumn("m", seen.over(near.orderBy(*up)))
-    behind = behind.filter("not point and m < g").select("d", F.col("m").alias("a"), F.col("g").alias("z"))
-    runs = ahead.unionByName(behind).distinct()
-    size = (F.col("z") - F.col("a")).cast("int")
-    runs = scratch.save(runs.select("d", "a", "z", size.alias("l"), F.floor(F.log2(size + F.lit(0.5))).cast("int").alias("level")), "runs")
-    top = runs.agg(F.max("level")).first()[0]
-
-    copies = None
-    for level in range(0 if top is None else top + 1):
-        if level:
-            step = 1 << (level - 1)
-            left = ranks[-1].select("g", F.col("r").alias("r1"))
-            right = ranks[-1].select(whole(F.col("g") - step).alias("g"), F.col("r").alias("r2"))
-            ranks.append(scratch.save(_named(left.join(right, "g"), ["r1", "r2"], "g").select("g", "r"), f"rank-{level}"))
-        here = runs.filter(F.col("level") == level).withColumn("b", whole(F.col("z") - (1 << level)))
-        here = here.join(ranks[-1].select(F.col("g").alias("a"), F.col("r").alias("r1")), "a").join(ranks[-1].select(F.col("g").alias("b"), F.col("r").alias("r2")), "b")
-        later = _named(here, ["l", "r1", "r2"], "a").filter("a > r").select("d", "a", "z")
-        copies = later if copies is None else copies.unionByName(later)
-    if copies is None:
-        copies = runs.select("d", "a", "z")
-    before = Window.partitionBy("d").orderBy("a", "z").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = (F.col("a") > F.coalesce(F.max("z").over(before), F.col("a") - 1)).cast("int")
-    merged = copies.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(Window.partitionBy("d").orderBy("a", "z").rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy("d", "run").agg((F.min("a") - F.first("d")).cast("int").alias("first"), (F.max("z") - F.first("d")).cast("int").alias("end"))
-    return scratch.save(merged.select("d", "first", "end"), "spans"), key, room
-
-
-def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame:
+    rows = _intervals(_ranks(lines, scratch, min_words, broadcast_rows), scratch, broadcast_rows)
+    schema = "d long, first int, end int"
+    if rows is None:
+        return keyed.sparkSession.createDataFrame([], schema)
+    rows = scratch.save(rows.filter(F.col("w") >= min_words), "intervals")
+    least = rows.groupBy("b").agg(F.count("*").alias("n"), F.min("g").alias("least")).filter("n > 1")
+    runs = Names(least, scratch, "least", broadcast_rows).join(rows, ["b"]).filter("g > least")
+    runs = runs.select(F.shiftright("g", bits).alias("d"), F.col("g").bitwiseAND((1 << bits) - 1).alias("a"), "l")
+    runs = runs.groupBy("d", "a").agg((F.col("a") + F.max("l")).alias("z"))
+    before = Window.partitionBy("d").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = (F.col("a") > F.coalesce(F.max("z").over(before), F.lit(-1))).cast("int")
+    runs = runs.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(Window.partitionBy("d").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("d", "run").agg(F.min("a").cast("int").alias("first"), F.max("z").cast("int").alias("end"))
+    return scratch.save(merged.select("d", "first", "end"), "spans")
+
+
+def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = 50, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from ``text``, and two more columns: n_lines and n_removed.
 
     Lines are split at newlines; a line's words are its spaces plus one, an empty line has none.
-    Documents are ordered by doc_id, rows with equal ids by a hash of their texts, null ids last; rows
-    equal in both are one document and keep or lose the same lines. Null and empty texts have no line
-    and stay as they are; a document whose lines all go has an empty text. Other columns pass through;
-    columns called n_lines or n_removed are replaced.
+    Documents are ordered by doc_id, rows with equal ids by a hash of their texts, null ids last; each
+    row is a document of its own, so of equal rows one keeps its lines. Null and empty texts have no
+    line and stay as they are; a document whose lines all go has an empty text. Other columns pass
+    through; columns called n_lines, n_removed, _d or _spans are replaced or dropped. An empty table
+    gives no rows. Spans are broadcast if there are at most ``broadcast_rows``, else joined by a shuffle.
     """
-    spans, key, _ = repeated_runs(docs, scratch, min_words)
-    spans = scratch.save(spans.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("_spans")), "by-document")
-    few = spans.count() <= BROADCAST_ROWS
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*columns).withColumn("_d", key)
-    joined = rows.join(F.broadcast(spans) if few else spans, rows["_d"] == spans["d"], "left")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_d", "_spans")]
+    keyed, bits = _keyed(docs.select(*columns), scratch)
+    runs = repeated_runs(keyed.select("_d", F.col("text").cast("string").alias("text")), bits, scratch, min_words, broadcast_rows)
+    few = runs.count() <= broadcast_rows
+    spans = runs.groupBy(F.col("d").alias("_d")).agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("_spans"))
+    joined = keyed.join(F.broadcast(spans) if few else spans, "_d", "left")
     lines = F.split(F.col("text"), "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("_spans", lambda s: (i >= s["first"]) & (i < s["end"])))
     gone = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     count = F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    out = [text.alias("text") if c == "text" else F.col(c) for c in columns]
+    out: list[Column] = [text.alias("text") if c == "text" else F.col(c) for c in columns]
     return joined.select(*out, count.cast("int").alias("n_lines"), F.coalesce(gone, F.lit(0)).alias("n_removed"))
