@@ -52,6 +52,11 @@ class Scratch:
         stored = self.save(df.observe(seen, *figures), table)
         return stored, seen.get
 
+    def qualified(self, table: str) -> str:
+        """URI of a folder of files that tasks write themselves."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
     def drop(self, table: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -91,3 +96,24 @@ def importable(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Names:
+    """Stored names, one row for each key, with their number of rows n."""
+
+    def __init__(self, names: DataFrame, scratch: Scratch, table: str, broadcast_rows: int = 1 << 16, hot_parts: int = 1 << 10):
+        self.rows, seen = scratch.measured(names, table, F.count("*").alias("count"), F.sum("n").alias("total"))
+        self.count, self.few = seen["count"], seen["count"] <= broadcast_rows
+        self.hot = max((seen["total"] or 0) // hot_parts, 1)
+
+    def join(self, rows: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+        """``rows`` with the columns of their names but n.
+
+        Up to ``broadcast_rows`` names are broadcast. Of more, those with over a ``hot_parts``-th of all
+        rows are (there can't be more than ``hot_parts``), so a frequent key never meets in one task.
+        """
+        if self.few:
+            return rows.join(F.broadcast(self.rows.drop("n")), by, how)
+        hot, rest = self.rows.filter(F.col("n") > self.hot).drop("n"), self.rows.filter(F.col("n") <= self.hot).drop("n")
+        others = rows.join(F.broadcast(hot.select(*by)), by, "left_anti")
+        return rows.join(F.broadcast(hot), by).unionByName(others.join(rest, by, how))

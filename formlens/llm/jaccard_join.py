@@ -1,16 +1,18 @@
 """Near-duplicate self-join of word-shingle sets by PartEnum signatures, exact for the Jaccard threshold.
 
 Sizes are cut into bands whose ends differ by the threshold at most, so similar sets lie in one band
-or in neighbouring ones. For a band ("tag") a similar pair differs in at most k elements; the hash
-domain is cut into n1 > k partitions, hence such a pair agrees on at least n1 - k of them, and each
-non-empty partition's content gives one signature (the enumeration of one partition at a time).
+or in neighbouring ones. For a band ("tag") a similar pair differs in at most k elements. The hash
+domain is cut into n1 > k / 2 partitions, each of these into n2 parts; a pair differs in at most one
+element in some partition, hence agrees there on n2 - 1 parts at least. Every subset of n2 - 1 parts
+gives a signature.
 
-* Equal sets share one key and are joined once.
+* Equal sets share one key and are joined once; keys that clash are drawn anew.
 * A signature held by at most ``group_limit`` sets yields its pairs. A more frequent one ("hot")
-  yields none: a set with m non-empty partitions agrees with each partner on at least m - k of them,
-  so while fewer than m - k of its signatures are hot, a signature that isn't hot finds the partner.
-* The rest (both sets mostly hot, such as large groups of near copies) are compared block by block
-  within the tag; a block that already connects two sets never compares them again.
+  yields a pair with one of its sets for each other: a number that grows with the sets, not the pairs.
+* A set meets each partner in at least ``slack`` partitions, so while fewer of its signatures are hot,
+  a signature that isn't hot finds the partner. The others are "dense". A hot signature all of whose
+  dense sets are connected by now needs no more pairs; sets whose hot signatures that are not settled
+  so still use up the slack are compared block by block, those of one component left out.
 * Candidates pass a sound filter (histogram distance never exceeds set distance) and then an exact
   count of common shingles.
 """
@@ -25,29 +27,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Scratch, partitions
+from formlens.llm.common import Names, Scratch, partitions
 from formlens.llm.components import connected_components
 from formlens.llm.textkernel import U, as_text, chunks, mix, release, set_key, shingle_sets, words
 
 GROUP_LIMIT = 24
 FLUSH = 1 << 18
 SPREAD = 4  # buckets per partition
+LARGEST = 1 << 34  # elements of a set
+SMALL, FAMILIES = 8, 3  # up to this distance, so many families
+PLAIN = 1 << 17  # signatures below are codes of sets without slack
 BLOCK_SHINGLES = 1 << 20
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 16
 
 
 class Bands:
-    """Size bands and partition counts for a threshold of ``percent`` in a hundred."""
+    """Size bands ("tags") and partition counts for a threshold of ``percent`` in a hundred."""
 
     def __init__(self, percent: int):
         if not 50 <= percent <= 100:
             raise ValueError("percent must be between 50 and 100")
         self.percent = percent
         low, self.top = [1], []
-        while low[-1] < 1 << 34:
-            self.top.append(low[-1] * 100 // percent)
+        while low[-1] < LARGEST:  # at 100 only equal sets link, and one band will do
+            self.top.append(low[-1] * 100 // percent if percent < 100 else LARGEST)
             low.append(self.top[-1] + 1)
         self.low = np.array(low)
+        self.small = sum(self.distance(t) <= SMALL for t in range(len(self.top)))
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.low, n, side="right")) - 1
@@ -56,21 +62,57 @@ class Bands:
         """Most elements in which two similar sets of at most top[tag] elements each differ."""
         return 2 * self.top[tag] * (100 - self.percent) // (100 + self.percent)
 
-    def parts(self, tag: int) -> int:
+    def parts(self, tag: int) -> tuple[int, int, int]:
+        """First-level partitions, second-level partitions of each, and families (independent ways to partition).
+
+        Of n1 partitions at most half the distance can differ in two elements or more. Small sets have
+        more second-level partitions and families, as their partitions are often nearly empty.
+        """
         k = self.distance(tag)
-        return 1 if k == 0 else max(math.ceil(1.2 * (k + 1)) + 2, min(3 * (k + 1), 30))
+        if k <= 1:
+            return 1, 5 if k else 1, FAMILIES if tag < self.small else 1
+        if k <= SMALL:
+            return k // 2 + 2, 5, FAMILIES
+        return math.ceil(1.1 * (k // 2 + 1)) + 2, 3, 1
+
 
+def signatures(u: np.ndarray, bands: Bands, tag: int, family: int = 0) -> tuple[np.ndarray, int]:
+    """Signatures of a set for one tag and family, and the slack: in how many partitions it surely meets a similar set.
 
-def signatures(u: np.ndarray, bands: Bands, tag: int) -> tuple[np.ndarray, int]:
-    """Signatures of a set for one tag, and by how many non-empty partitions it exceeds the distance."""
-    n1 = bands.parts(tag)
-    part = (((mix(u, 3) >> U(32)) * U(n1)) >> U(32)).astype(np.uint16 if n1 < 65536 else np.int64)
-    order = np.argsort(part, kind="stable")
-    part = part[order].astype(np.int64)
-    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    content = np.add.reduceat(mix(u, 4)[order], first)
-    sig = mix(content + U(tag * 0x1000003 + 1) + part[first].astype(U) * U(0x9E3779B97F4A7C15), 5)
-    return sig, len(sig) - bands.distance(tag)
+    A partition's signatures are its contents without one second-level part each: all subsets of
+    n2 - 1 of the n2 parts. Subsets without elements sign nothing; a partition is safe if none of its
+    subsets is empty. Two similar sets differ in at most one element in all but k // 2 partitions, so
+    they share a signature in each safe one of those.
+    """
+    n1, n2, _ = bands.parts(tag)
+    salt = 30 + 3 * family
+    part = (((mix(u, salt) >> U(32)) * U(n1)) >> U(32)).astype(np.int64)
+    cell = part * n2 + (((mix(u, salt + 1) >> U(32)) * U(n2)) >> U(32)).astype(np.int64)
+    order = np.argsort(cell.astype(np.uint16) if n1 * n2 < 65536 else cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    content, full = np.zeros(n1 * n2, U), np.zeros(n1 * n2, np.int64)
+    content[cell[first]] = np.add.reduceat(mix(u, salt + 2)[order], first)
+    full[cell[first]] = 1
+    content, full = content.reshape(n1, n2), full.reshape(n1, n2)
+    whole, filled = content.sum(1, dtype=U)[:, None], full.sum(1)[:, None]
+    if n2 == 1:
+        subset, used = content, full > 0
+    else:
+        subset, used = whole - content, filled - full > 0
+    sig = mix(subset + np.arange(n1 * n2, dtype=U).reshape(n1, n2) * U(0x9E3779B97F4A7C15) + U((tag * FAMILIES + family) * 0x1000003 + 1), 5)
+    return sig[used], int((used.all(1)).sum()) - bands.distance(tag) // 2
+
+
+def signed(u: np.ndarray, bands: Bands) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(code of tag and family, signatures, slack) of a set under its own and the next tag. Without slack the tag's code is one more, a shared signature."""
+    band = bands.of(len(u))
+    for tag in (band, band + 1):
+        if tag < len(bands.top):
+            for family in range(bands.parts(tag)[2]):
+                sig, slack = signatures(u, bands, tag, family)
+                code = tag * FAMILIES + family
+                yield code, sig if slack > 0 else np.r_[sig, np.array([code], U)], max(slack, 0)
 
 
 def sketch(u: np.ndarray, lean: int = 4) -> np.ndarray:
@@ -100,11 +142,11 @@ def _documents(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[i
             yield from zip(ids.slice(lo, hi - lo).to_pylist(), shingle_sets(words(text.slice(lo, hi - lo)), size), strict=True)
 
 
-def _base(size: int):
+def _base(size: int, salt: int):
     def run(batches):
         rows: list[tuple] = []
         for doc, u in _documents(batches, size):
-            rows.append((doc, len(u), set_key(u), sketch(u).tobytes() if len(u) else b""))
+            rows.append((doc, len(u), set_key(u, salt), set_key(u, salt + 1000), sketch(u).tobytes() if len(u) else b""))
             if len(rows) == 4096:
                 yield _batch(rows, BASE)
                 rows = []
@@ -119,10 +161,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-BASE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary())])
+BASE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("other", pa.int64()), ("sketch", pa.binary())])
 
 
-def _signature_rows(size: int, bands: Bands, buckets: int):
+def _signature_rows(size: int, bands: Bands, buckets: int, salt: int):
     schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("high", pa.binary()), ("key", pa.binary()), ("slack", pa.binary()), ("tag", pa.binary())])
 
     def packed(parts):
@@ -139,13 +181,10 @@ def _signature_rows(size: int, bands: Bands, buckets: int):
         for _, u in _documents(batches, size):
             if not len(u):
                 continue
-            key, band = set_key(u), bands.of(len(u))
-            for tag in (band, band + 1):
-                sig, slack = signatures(u, bands, tag)
-                if slack <= 0:  # may agree with a partner on empty partitions only: always compared in blocks
-                    sig = np.r_[sig, np.zeros(1, U)]
+            key = set_key(u, salt)
+            for code, sig, slack in signed(u, bands):
                 m = len(sig)
-                parts.append((sig, np.full(m, key, np.int64), np.full(m, min(max(slack, 0), 255), np.uint8), np.full(m, tag, np.uint8)))
+                parts.append((sig, np.full(m, key, np.int64), np.full(m, min(slack, 255), np.uint8), np.full(m, code, np.uint16)))
                 held += m
             if held >= FLUSH:
                 yield packed(parts)
@@ -161,74 +200,85 @@ CANDIDATE = pa.schema([("tag", pa.int32()), ("a", pa.int64()), ("b", pa.int64())
 
 
 def _collisions(limit: int):
-    """Rows of one bucket after the other -> candidate pairs (tag null), or hot signature counts of a set under a tag (b null)."""
-    entry = np.dtype([("sig", U), ("key", np.int64), ("slack", np.uint8), ("tag", np.uint8)])
+    """Rows of one bucket after the other -> candidate pairs (tag null), or hot signature counts of a set under a tag (b null).
+
+    A signature of at most ``limit`` sets gives its pairs; of a more frequent one each set is paired
+    with one of them, the pivot.
+    """
+    entry = np.dtype([("sig", U), ("key", np.int64), ("slack", np.uint8), ("tag", np.uint16)])
+    nothing = (np.zeros(0, U), np.zeros(0, np.int64))
+
+    def groups(y):
+        first = np.flatnonzero(np.r_[True, y["sig"][1:] != y["sig"][:-1]]) if len(y) else np.zeros(0, np.int64)
+        return first, np.diff(np.r_[first, len(y)])
 
     def compact(parts, hot):
-        """Distinct entries by signature; those of hot signatures apart."""
+        """Distinct entries by signature: single ones, those of a few sets, those of hot signatures; and the hot signatures with pivots."""
         x = np.concatenate(parts)
-        order = np.argsort(x["sig"], kind="stable")
-        sig = x["sig"][order]
-        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        count = np.diff(np.r_[first, len(sig)])
-        keep = np.repeat((count > 1) | (sig[first] == 0) | np.isin(sig[first], hot), count)
-        rest = x[order[~keep]]
-        y = x[order[keep]]
+        x = x[np.argsort(x["sig"], kind="stable")]
+        first, count = groups(x)
+        keep = np.repeat((count > 1) | (x["sig"][first] < PLAIN) | np.isin(x["sig"][first], hot[0]), count)
+        rest, y = x[~keep], x[keep]
         y = y[np.lexsort((y["key"], y["sig"]))]
         if len(y):
             y = y[np.r_[True, (y["sig"][1:] != y["sig"][:-1]) | (y["key"][1:] != y["key"][:-1])]]
-            first = np.flatnonzero(np.r_[True, y["sig"][1:] != y["sig"][:-1]])
-            count = np.diff(np.r_[first, len(y)])
-            high = (count > limit) | (y["sig"][first] == 0) | np.isin(y["sig"][first], hot)
-            mask = np.repeat(high, count)
-            return rest, y[~mask], y[mask], np.union1d(hot, y["sig"][first[high]])
-        return rest, y, y, hot
+        first, count = groups(y)
+        known = np.isin(y["sig"][first], hot[0])
+        high = (count > limit) | (y["sig"][first] < PLAIN) | known
+        new = first[high & ~known]
+        sig = np.r_[hot[0], y["sig"][new]]
+        order = np.argsort(sig)
+        mask = np.repeat(high, count)
+        return rest, y[~mask], y[mask], (sig[order], np.r_[hot[1], y["key"][new]][order])
+
+    def pairs(p):
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        p = p[np.r_[True, (p[1:] != p[:-1]).any(1)]]
+        none = pa.nulls(len(p), pa.int64())
+        return pa.record_batch([pa.nulls(len(p), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], schema=CANDIDATE)
 
     def run(batches):
-        bucket, parts, held, hot, counted = None, [], 0, np.zeros(0, U), []
-
-        def count_hot(y):
-            if len(y):
-                z = np.sort(y[["key", "tag", "slack"]], order=["key", "tag"])
-                first = np.flatnonzero(np.r_[True, (z["key"][1:] != z["key"][:-1]) | (z["tag"][1:] != z["tag"][:-1])])
-                return pa.record_batch([pa.array(z["tag"][first], pa.int32()), pa.array(z["key"][first]), pa.nulls(len(first), pa.int64()), pa.array(np.diff(np.r_[first, len(z)]), pa.int64()), pa.array(z["slack"][first], pa.int64())], schema=CANDIDATE)
+        bucket, parts, held, hot = None, [], 0, nothing
+
+        def hot_rows(y):
+            if not len(y):
+                return
+            z = np.sort(y[["key", "tag", "slack"]], order=["key", "tag"])
+            first = np.flatnonzero(np.r_[True, (z["key"][1:] != z["key"][:-1]) | (z["tag"][1:] != z["tag"][:-1])])
+            yield pa.record_batch([pa.array(z["tag"][first], pa.int32()), pa.array(z["key"][first]), pa.nulls(len(first), pa.int64()), pa.array(np.diff(np.r_[first, len(z)]), pa.int64()), pa.array(z["slack"][first], pa.int64())], schema=CANDIDATE)
+            y = y[y["sig"] >= PLAIN]
+            pivot = hot[1][np.searchsorted(hot[0], y["sig"])]
+            apart = pivot != y["key"]
+            if apart.any():
+                yield pairs(np.stack([np.minimum(pivot, y["key"])[apart], np.maximum(pivot, y["key"])[apart]], 1))
 
         def finish():
-            _, few, many, _ = compact(parts, hot)
-            out = count_hot(many)
-            if out is not None:
-                yield out
-            if len(few):
-                first = np.flatnonzero(np.r_[True, few["sig"][1:] != few["sig"][:-1]])
-                count = np.diff(np.r_[first, len(few)])
-                found = []
-                for c in np.unique(count[count > 1]):
-                    at = first[count == c]
-                    i, j = np.triu_indices(int(c), 1)
-                    found.append(np.stack([few["key"][(at[:, None] + i).ravel()], few["key"][(at[:, None] + j).ravel()]], 1))
-                if found:
-                    p = np.concatenate(found)
-                    p = p[np.lexsort((p[:, 1], p[:, 0]))]
-                    p = p[np.r_[True, (p[1:] != p[:-1]).any(1)]]
-                    none = pa.nulls(len(p), pa.int64())
-                    yield pa.record_batch([pa.nulls(len(p), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], schema=CANDIDATE)
+            nonlocal hot
+            _, few, many, hot = compact(parts, hot)
+            yield from hot_rows(many)
+            first, count = groups(few)
+            found = []
+            for c in np.unique(count[count > 1]):
+                at = first[count == c]
+                i, j = np.triu_indices(int(c), 1)
+                found.append(np.stack([few["key"][(at[:, None] + i).ravel()], few["key"][(at[:, None] + j).ravel()]], 1))
+            if found:
+                yield pairs(np.concatenate(found))
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] != bucket:
                     if parts:
                         yield from finish()
-                    bucket, parts, held, hot = row["bucket"], [], 0, np.zeros(0, U)
-                x = np.empty(len(row["tag"]), entry)
+                    bucket, parts, held, hot = row["bucket"], [], 0, nothing
+                x = np.empty(len(row["slack"]), entry)
                 x["sig"] = np.frombuffer(row["sig"], np.uint32) | (np.frombuffer(row["high"], np.uint32).astype(U) << U(32))
-                x["key"], x["slack"], x["tag"] = np.frombuffer(row["key"], np.int64), np.frombuffer(row["slack"], np.uint8), np.frombuffer(row["tag"], np.uint8)
+                x["key"], x["slack"], x["tag"] = np.frombuffer(row["key"], np.int64), np.frombuffer(row["slack"], np.uint8), np.frombuffer(row["tag"], np.uint16)
                 parts.append(x)
                 held += len(x)
                 if held > 1 << 21:  # keeps memory bounded when one signature fills the bucket
                     rest, few, many, hot = compact(parts, hot)
-                    out = count_hot(many)
-                    if out is not None:
-                        yield out
+                    yield from hot_rows(many)
                     parts = [rest, few]
                     held = len(rest) + len(few)
         if parts:
@@ -238,6 +288,20 @@ def _collisions(limit: int):
     return run
 
 
+def _resigned(bands: Bands):
+    """(key, comp, u) -> tag, sig, key, comp, slack: the signatures of dense sets once more."""
+
+    def run(batches):
+        schema = pa.schema([("tag", pa.int32()), ("sig", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("slack", pa.int64())])
+        for batch in batches:
+            for key, comp, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for code, sig, slack in signed(np.frombuffer(u.as_py(), U), bands):
+                    m = len(sig)
+                    yield pa.record_batch([pa.array(np.full(m, code, np.int32)), pa.array(sig.view(np.int64)), *(pa.array(np.full(m, x, np.int64)) for x in (key, comp, min(slack, 255)))], schema=schema)
+
+    return run, "tag int, sig long, key long, comp long, slack long"
+
+
 def _close(percent: int):
     """Drop candidate pairs whose sizes or histograms rule the threshold out."""
 
@@ -264,7 +328,7 @@ def _verified(percent: int):
 
 
 def _block_links(percent: int):
-    """Edges that connect similar sets of one pair of blocks; connected sets are not compared again."""
+    """Edges that connect similar sets of one pair of blocks; sets of one component are not compared."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
@@ -273,7 +337,7 @@ def _block_links(percent: int):
         n = np.array([len(u) for u in sets])
         bits = max(4, math.ceil(math.log2(max(int(n.min()), 1) / 4)))
         hist = np.stack([np.minimum(np.bincount((u >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255) for u in sets]).astype(np.int16)
-        label, edges = np.arange(len(sets)), []
+        label, edges = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1], []
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for x in left:
             ys = right[right > x] if i == j else right
@@ -303,31 +367,44 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
     spark, bands, parts = docs.sparkSession, Bands(percent), partitions(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = source.filter("doc_id is not null")
-    base = scratch.save(source.mapInArrow(_base(shingle), "doc_id long, n long, key long, sketch binary"), "base")
-    nodes = base.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    nodes = scratch.save(nodes, "nodes")
-
-    build, schema = _signature_rows(shingle, bands, parts * SPREAD)
-    signed = known.select("doc_id", "text").mapInArrow(build, schema).repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    found = scratch.save(signed.mapInArrow(_collisions(group_limit), "tag int, a long, b long, hot long, slack long"), "found")
+    salt, clashes = -1, True
+    while clashes:  # two sets with one key but different second keys: other keys for all
+        salt += 1
+        base = scratch.save(source.mapInArrow(_base(shingle, salt), "doc_id long, n long, key long, other long, sketch binary"), f"base-{salt}")
+        nodes = base.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size"), F.count("*").alias("n"), (F.min("other") < F.max("other")).alias("clash"))
+        nodes, seen = scratch.measured(nodes, f"nodes-{salt}", F.count_if("clash").alias("clashes"))
+        clashes = seen["clashes"] > 0
+    rows = base.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    groups, nodes = nodes.select("key", "n"), nodes.filter("rep is not null").select("key", "rep", F.col("size").alias("n"))
+
+    build, schema = _signature_rows(shingle, bands, parts * SPREAD, salt)
+    dealt = known.select("doc_id", "text").mapInArrow(build, schema).repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
+    found = scratch.save(dealt.mapInArrow(_collisions(group_limit), "tag int, a long, b long, hot long, slack long"), "found")
 
     heads = base.join(nodes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).groupBy("key").agg(F.max("n").alias("n"), F.first("sketch").alias("s"))
     pairs = found.filter("b is not null").select("a", "b").distinct()
     pairs = pairs.join(heads.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(heads.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
     pairs = scratch.save(pairs.mapInArrow(_close(percent), "a long, b long"), "pairs")
-    dense = found.filter("b is null").groupBy("tag", F.col("a").alias("key")).agg(F.sum("hot").alias("hot"), F.max("slack").alias("slack"))
-    dense = scratch.save(dense.filter("hot >= slack").select("tag", "key"), "dense")
+
+    def in_all_families(signs: DataFrame) -> DataFrame:
+        """(tag, key) of sets whose signatures in ``signs`` leave no slack in any family of the tag."""
+        tags = signs.groupBy("tag", "key").agg(F.sum("hot").alias("hot"), F.max("slack").alias("slack")).filter("hot >= slack")
+        tags = tags.groupBy(F.floor(F.col("tag") / FAMILIES).cast("int").alias("tag"), "key").agg(F.count("*").alias("families"))
+        return tags.filter(F.col("families") == F.when(F.col("tag") < bands.small, FAMILIES).otherwise(1)).select("tag", "key")
+
+    dense, seen = scratch.measured(in_all_families(found.filter("b is null").withColumnRenamed("a", "key")), "dense", F.count("*").alias("n"))
+    some_dense = seen["n"] > 0
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(dense.select("key")).distinct()
-    wanted = scratch.save(wanted.join(nodes, "key").select("key", F.col("rep").alias("doc_id")), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
+    wanted, seen = scratch.measured(wanted.join(nodes, "key").select("key", F.col("rep").alias("doc_id")), "wanted", F.count("*").alias("n"))
+    few = seen["n"] <= BROADCAST_ROWS
     texts = known.join(F.broadcast(wanted.select("doc_id")) if few else wanted.select("doc_id"), "doc_id", "left_semi")
 
     def sets(batches):
         for batch in batches:
-            rows = [(set_key(u), u.tobytes()) for _, u in _documents([batch], shingle) if len(u)]
-            for lo in range(0, len(rows), 256):
-                yield _batch(rows[lo : lo + 256], pa.schema([("key", pa.int64()), ("u", pa.binary())]))
+            made = [(set_key(u, salt), u.tobytes()) for _, u in _documents([batch], shingle) if len(u)]
+            for lo in range(0, len(made), 256):
+                yield _batch(made[lo : lo + 256], pa.schema([("key", pa.int64()), ("u", pa.binary())]))
 
     stored = texts.mapInArrow(sets, "key long, u binary").join(wanted.select("key"), "key", "left_semi")
     stored = scratch.save(stored.dropDuplicates(["key"]), "sets")
@@ -342,20 +419,35 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
     label = label.join(label.select(F.col("x").alias("l"), F.col("l").alias("up")), "l", "left").select("x", F.coalesce("up", "l").alias("l"))
     open_pairs = pairs.join(label.select(F.col("x").alias("a"), F.col("l").alias("la")), "a", "left").join(label.select(F.col("x").alias("b"), F.col("l").alias("lb")), "b", "left")
     open_pairs = open_pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    others = checked(open_pairs.join(stars, ["a", "b"], "left_anti"))
+    edges = scratch.save(stars.unionByName(checked(open_pairs.join(stars, ["a", "b"], "left_anti"))), "edges")
+    edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    component = connected_components(edges, scratch)
 
-    count = dense.join(nodes.select("key", "n"), "key").groupBy("tag").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    dealt = dense.join(F.broadcast(count), "tag").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("tag", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocks = dealt.join(stored, "key").groupBy("tag", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    if some_dense:
+        # A frequent signature whose dense sets are all connected is settled; sets with enough others are compared in blocks.
+        comp = component.select(F.col("node").alias("key"), F.col("component").alias("comp"))
+        dense_sets = stored.join(dense.select("key").distinct(), "key").join(comp, "key", "left").select("key", F.coalesce("comp", "key").alias("comp"), "u")
+        make, schema = _resigned(bands)
+        signs = dense_sets.mapInArrow(make, schema)
+        unsettled = signs.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("sig")
+        unsettled, seen = scratch.measured(unsettled, "unsettled", F.count("*").alias("n"))
+        if seen["n"]:
+            hit = signs.join(F.broadcast(unsettled) if seen["n"] <= BROADCAST_ROWS else unsettled, "sig", "left_semi")
+            left_over = in_all_families(hit.select("tag", "key", F.lit(1).alias("hot"), "slack")).join(dense, ["tag", "key"], "left_semi")
+            left_over = scratch.save(left_over, "left-over")
+            count = left_over.join(nodes.select("key", "n"), "key").groupBy("tag").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+            dealt = left_over.join(F.broadcast(count), "tag").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            dealt = dealt.select("tag", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+            links = dealt.join(dense_sets, "key").groupBy("tag", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+            links, seen = scratch.measured(links, "block-links", F.count("*").alias("n"))
+            if seen["n"]:
+                component = connected_components(edges.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch, "cc2")
 
-    edges = stars.unionByName(others).unionByName(blocks).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    component = connected_components(edges, scratch)
     component = component.join(nodes.select(F.col("key").alias("node"), "rep"), "node")
     least = component.groupBy("component").agg(F.min("rep").alias("least"))
     linked = component.join(least, "component").select(F.col("node").alias("key"), "least")
-    of_key = nodes.join(linked, "key", "left").select("key", F.coalesce("least", "rep").alias("least"))
-    out = base.join(of_key, "key", "left")
-    own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    of_key = nodes.join(linked, "key", "left").select("key", F.coalesce("least", "rep").alias("least")).join(groups, "key")
+    out = Names(of_key, scratch, "classes", BROADCAST_ROWS).join(rows.filter("n_shingles > 0 and doc_id is not null"), ["key"])
+    out = out.select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return out.unionByName(rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id")))

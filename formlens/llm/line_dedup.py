@@ -24,11 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Scratch, row_numbers
+from formlens.llm.common import Names, Scratch, row_numbers
 
 ROOM = 62  # bits of a place: document number and line number
-BROADCAST_ROWS = 1 << 18
-HOT_PARTS = 1 << 10
+BROADCAST_ROWS = 1 << 16
 
 
 def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -47,27 +46,6 @@ def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     return row_numbers(docs, [F.asc_nulls_last("doc_id"), F.sha2("text", 256)], scratch, "_d"), bits
 
 
-class Names:
-    """Stored names, one row for each key, with their number of rows n."""
-
-    def __init__(self, names: DataFrame, scratch: Scratch, table: str, broadcast_rows: int):
-        self.rows, seen = scratch.measured(names, table, F.count("*").alias("count"), F.sum("n").alias("total"))
-        self.count, self.few = seen["count"], seen["count"] <= broadcast_rows
-        self.hot = max((seen["total"] or 0) // HOT_PARTS, 1)
-
-    def join(self, rows: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-        """``rows`` with the columns of their names but n.
-
-        Few names are broadcast. Of many, those with over a ``HOT_PARTS``-th of all rows are (there
-        can't be more than ``HOT_PARTS``), so a frequent key never meets in one task.
-        """
-        if self.few:
-            return rows.join(F.broadcast(self.rows.drop("n")), by, how)
-        hot, rest = self.rows.filter(F.col("n") > self.hot).drop("n"), self.rows.filter(F.col("n") <= self.hot).drop("n")
-        others = rows.join(F.broadcast(hot.select(*by)), by, "left_anti")
-        return rows.join(F.broadcast(hot), by).unionByName(others.join(rest, by, how))
-
-
 def _ranks(lines: DataFrame, scratch: Scratch, min_words: int, broadcast_rows: int) -> list[DataFrame]:
     """For each level the places whose 2**level lines stand twice: d, g, r (rank), w (their words), left, f (first place with r), varied (r has several left neighbours)."""
     number = F.monotonically_increasing_id()  # after a sort: increasing in the sort's order

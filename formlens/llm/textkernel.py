@@ -1,7 +1,8 @@
 """Vectorised word and shingle hashing over Arrow text batches (numpy, one pass over the bytes).
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. Words get a
-64-bit polynomial hash from one prefix sum over the batch, so no Python object is made per word.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. A word's hash is
+the sum of its bytes' mixed (place, byte) codes, so no Python object is made per word and, unlike in a
+polynomial over 2**64, words of a regular structure don't collide.
 """
 
 from __future__ import annotations
@@ -14,9 +15,6 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POW = np.ones(1, U)
-_INV = np.ones(1, U)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -39,16 +37,15 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, 1 << 19)
-        step = np.full(size, _BASE, U)
-        step[0] = 1
-        _POW = np.cumprod(step, dtype=U)
-        step[1:] = pow(_BASE, -1, 1 << 64)
-        _INV = np.cumprod(step, dtype=U)
-    return _POW, _INV
+def run_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run [start, end) of codes below 2**32; runs are in order, not empty and don't overlap."""
+    if not len(start):
+        return np.zeros(0, U)
+    size = end - start
+    first = np.r_[0, np.cumsum(size)[:-1]]
+    place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+    code = code[place + np.repeat(start, size)].astype(U) | place.astype(U) << U(32)
+    return mix(np.add.reduceat(mix(code, 41), first) + size.astype(U))
 
 
 @dataclass
@@ -105,10 +102,7 @@ def words(text: pa.Array, lower: bool = True) -> Words:
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * power[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
+    h = run_hashes(data, start, end)
     first = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     return Words(raw, data, off, start, end, doc, h, first)
@@ -131,8 +125,8 @@ def shingle_sets(w: Words, size: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
-def set_key(u: np.ndarray) -> int:
-    """Order-free 64-bit key of a set of hashes, as a signed integer (0 for the empty set)."""
+def set_key(u: np.ndarray, salt: int = 0) -> int:
+    """Order-free 64-bit key of a set of hashes, as a signed integer (0 for the empty set); every salt is another function."""
     if not len(u):
         return 0
-    return int(mix(np.array([mix(u, 21).sum(dtype=U)], U) + U(len(u)), 22).view(np.int64)[0])
+    return int(mix(np.array([mix(u, 21 + 2 * salt).sum(dtype=U)], U) + U(len(u)), 22 + 2 * salt).view(np.int64)[0])

@@ -16,7 +16,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=80):
     sets, root = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
 
     def find(x):
@@ -28,7 +28,7 @@ def brute(rows):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             common, both = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-            if sets[a] and sets[b] and 100 * common >= 80 * both:
+            if sets[a] and sets[b] and 100 * common >= percent * both:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in ids}
@@ -68,7 +68,7 @@ def test_odd_rows(spark):
 
 def test_signatures_meet_and_sketch_is_sound():
     bands, rnd = Bands(80), np.random.default_rng(3)
-    for n in (5, 17, 60, 333, 1200):
+    for n in (5, 9, 17, 37, 60, 333, 1200):
         for _ in range(20):
             a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
             d = 2 * len(a) // 18
@@ -76,11 +76,45 @@ def test_signatures_meet_and_sketch_is_sound():
             if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
                 continue
             tag = max(bands.of(len(a)), bands.of(len(b)))
-            (x, sx), (y, sy) = signatures(a, bands, tag), signatures(b, bands, tag)
-            assert len(np.intersect1d(x, y)) > 0 or max(sx, sy) <= 0
+            for family in range(bands.parts(tag)[2]):
+                (x, sx), (y, sy) = signatures(a, bands, tag, family), signatures(b, bands, tag, family)
+                assert len(np.intersect1d(x, y)) >= max(sx, sy)
             assert sketch_distance(sketch(a), sketch(b)) <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
 
 
+@pytest.mark.parametrize("percent", [50, 99, 100])
+def test_other_thresholds(spark, percent):
+    words = [f"w{i}" for i in range(1500)]
+    texts = [words, [*words[:700], "new", *words[701:]], words[1:], words[:1000], ["x"], words]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, percent)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Frequent signatures: a chain of sets of which far ones don't link, and sets that share a passage only."""
+    rnd, words = random.Random(5), [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        if i % 10 == 9:
+            words = words[2:] + [f"v{i}", f"u{i}"]
+        rows.append((i, " ".join([*words, *rnd.choices("abcdef", k=2)])))
+    rows += [(1000 + i, " ".join(words[:25] + [f"own{i}x{j}" for j in range(40)])) for i in range(60)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), group_limit=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_words_of_a_regular_structure_differ(spark):
+    """Thue-Morse words, which collide in every polynomial hash over a power of two."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    w = words(pa.array([a, b]))
+    assert w.hash[0] != w.hash[1]
+    got = near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2)}
+
+
 def test_kernel_words():
     w = words(pa.array(["Ab  c\x0bD", "", "é É", "a"]))
     assert np.diff(w.first).tolist() == [3, 0, 2, 1]
