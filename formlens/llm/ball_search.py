@@ -1,9 +1,9 @@
 """Exact top-k inner-product search: a ball tree per shard, branch and bound by inner-product bounds.
 
 A shard is a run of at most ``shard_rows`` rows of an input partition, so no shuffle builds it and no
-key can swell it. Queries come in blocks of a checked size. A first round takes each shard's most
-promising leaf; the best k-th score that any shard reaches is every shard's floor in the second
-round, which visits nodes by falling bound q.centre + |q| radius until the bound is below the
+key can swell it. Queries are packed into blocks, and each pair of a shard and a block is one row of
+work. A first round takes each shard's most promising leaf; the best k-th score that any shard
+reaches is every shard's floor in the second round, which visits nodes by falling bound q.centre + |q| radius until the bound is below the
 current k-th score. Nodes that may tie with it are visited, so ties are exact.
 """
 
@@ -14,9 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from formlens.llm.common import Scratch
 
@@ -136,15 +135,33 @@ def search_tree(t: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, k: int
         yield from ((int(qid[i]), -v, s) for s, v in best)
 
 
-def _search(qid: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None, first_leaf: bool):
-    dims = q.shape[1]
+BLOCK = pa.schema([("qid", pa.binary()), ("floor", pa.binary()), ("q", pa.binary())])
+BLOCK_DDL = "qid binary, floor binary, q binary"
+
+
+def _pack(dims: int):
+    """Queries (vec_id, v, floor, block) of one block -> one row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("vec_id").to_numpy()
+        order = np.argsort(ids)
+        parts = [ids[order], table.column("floor").to_numpy()[order], _matrix(table.column("v"), dims)[order]]
+        return pa.table([pa.array([x.tobytes()], pa.binary()) for x in parts], schema=BLOCK)
+
+    return run
+
+
+def _search(dims: int, k: int, first_leaf: bool):
+    """Pairs of a shard and a block -> the block's results in the shard; with ``first_leaf`` only each query's k-th score so far."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for row in batch.to_pylist():
-                t = {"ids": np.frombuffer(row["ids"], np.int64), "values": np.frombuffer(row["values"], np.int64).reshape(-1, dims), "span": np.frombuffer(row["span"], np.int32).reshape(-1, 2), "child": np.frombuffer(row["child"], np.int32).reshape(-1, 2), "centre": np.frombuffer(row["centre"], np.float64).reshape(-1, dims), "radius": np.frombuffer(row["radius"], np.float64)}
-                found = list(search_tree(t, qid, q, k, floor, first_leaf))
-                if first_leaf:  # only each query's k-th score is needed
+            for i in range(len(batch)):
+                view = {f.name: batch.column(j)[i].as_buffer() for j, f in enumerate(batch.schema) if pa.types.is_binary(f.type)}
+                t = {"ids": np.frombuffer(view["ids"], np.int64), "values": np.frombuffer(view["values"], np.int64).reshape(-1, dims), "span": np.frombuffer(view["span"], np.int32).reshape(-1, 2), "child": np.frombuffer(view["child"], np.int32).reshape(-1, 2), "centre": np.frombuffer(view["centre"], np.float64).reshape(-1, dims), "radius": np.frombuffer(view["radius"], np.float64)}
+                qid, q = np.frombuffer(view["qid"], np.int64), np.frombuffer(view["q"], np.int64).reshape(-1, dims)
+                found = list(search_tree(t, qid, q, k, None if first_leaf else np.frombuffer(view["floor"], np.int64), first_leaf))
+                if first_leaf:
                     kth: dict[int, list[int]] = {}
                     for query, _, s in found:
                         kth.setdefault(query, []).append(s)
@@ -155,36 +172,29 @@ def _search(qid: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None, fi
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10, shard_rows: int = 8192, block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10, shard_rows: int = 8192, block: int = 2048) -> DataFrame:
     """Exact k best rows of ``vectors`` (vec_id, v array<bigint>) by inner product for every query.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; fewer than k rows
     if there are fewer. Rows with the query's own vec_id never answer it; queries that repeat an id
     count once (the least vector). Shorter vectors count as padded with zeros. Scores beyond the long
-    range stop at its ends. Empty tables give no rows.
+    range stop at its ends. Empty tables give no rows. The number of jobs doesn't depend on the rows:
+    blocks of about ``block`` queries and shards are paired by Spark.
     """
     found = "query_id long, vec_id long, score long"
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = scratch.save(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     size = vectors.agg(F.max(F.size("v"))).first()[0] or 0
     n, longest = queries.agg(F.count("*"), F.max(F.size("v"))).first()
-    dims = max(size, longest or 0, 1)
+    dims, least = max(size, longest or 0, 1), F.lit(LONG.min).cast("long")
     trees = scratch.save(vectors.select("vec_id", "v").mapInArrow(_trees(dims, shard_rows), TREE_DDL), "trees")
-    blocks = -(-n // block)
-    results = []
-    for b in range(blocks):
-        rows = sorted(queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect())
-        qid = np.array([r.vec_id for r in rows], np.int64)
-        q = np.zeros((len(rows), dims), np.int64)
-        for i, r in enumerate(rows):
-            q[i, : len(r.v)] = r.v
-        start = dict(trees.mapInArrow(_search(qid, q, k, None, True), found).groupBy("query_id").agg(F.max("score")).collect())
-        floor = np.array([start.get(int(i), LONG.min) for i in qid], np.int64)
-        results.append(scratch.save(trees.mapInArrow(_search(qid, q, k, floor, False), found), f"found-{b}"))
-    if not results:
-        schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-        return vectors.sparkSession.createDataFrame([], schema)
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    out = out.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
+
+    def paired(asked: DataFrame, name: str) -> DataFrame:
+        packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // block))))).groupBy("block").applyInArrow(_pack(dims), BLOCK_DDL)
+        return trees.crossJoin(scratch.save(packed, name))
+
+    first = paired(queries.withColumn("floor", least), "blocks-1").mapInArrow(_search(dims, k, True), found)
+    floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.max("score").alias("floor"))
+    asked = queries.join(scratch.save(floors, "floors"), "vec_id", "left").withColumn("floor", F.coalesce("floor", least))
+    out = scratch.save(paired(asked, "blocks-2").mapInArrow(_search(dims, k, False), found), "found")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return out.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
