@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm.ball_search import quantised, top_k
-from formlens.llm.common import Scratch, table
+from formlens.llm.common import Scratch, partitions, table
 from formlens.llm.jaccard_join import near_duplicates
 from formlens.llm.license_scan import document_licences
 from formlens.llm.line_dedup import dedup_lines
@@ -45,8 +45,9 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "op10"))
-    return page_records(read_archives(archives))
+    scratch = Scratch(spark, "op10")
+    archives = write_archives(table(spark, sf_dir, "pages"), scratch)
+    return page_records(read_archives(archives.repartition(partitions(spark), "path")), scratch)
 
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"

@@ -2,8 +2,8 @@
 
 An archive holds ``archive/data.warc`` and ``indexes/index.cdxj``, both stored, not deflated. The reader
 takes the end record (or the ZIP64 one), the central directory, the index, and then just the byte
-range of each record; nothing is extracted. Archives are rows of a table (archive_id, size, content)
-that Spark writes and reads, or files of any store that pyarrow opens.
+range of each record; nothing is extracted. Archives are files of any store that pyarrow opens, written
+and read by the tasks of a table of their paths.
 """
 
 from __future__ import annotations
@@ -13,19 +13,21 @@ import io
 import json
 import struct
 import zipfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Scratch
+from formlens.llm.common import Names, Scratch
 
 Read = Callable[[int, int], bytes]
 WARC, INDEX = "archive/data.warc", "indexes/index.cdxj"
-ARCHIVE = pa.schema([("archive_id", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
-RECORD = pa.schema([("archive_id", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
+ARCHIVE = pa.schema([("path", pa.string()), ("size", pa.int64())])
+RECORD = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
 
 
 def warc_record(kind: str, record_id: str, uri: str | None, digest: str, refers_to: str | None, payload: bytes) -> bytes:
@@ -70,7 +72,7 @@ def members(read: Read, size: int) -> dict[str, Member]:
     if at < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack("<HII", tail[at + 10 : at + 20])
-    if (count, length, start) != (count & 0xFFFE, length, start) or 0xFFFF == count or 0xFFFFFFFF in (length, start):
+    if count == 0xFFFF or 0xFFFFFFFF in (length, start):
         where = tail[max(0, at - 20) : at]
         if where[:4] == b"PK\6\7":
             record = read(struct.unpack("<Q", where[8:16])[0], 56)
@@ -146,14 +148,32 @@ def archive(records: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
-def pack(limit: int):
-    """Rows page_id, url, payload, digest, record_type, refers_to -> archives of about ``limit`` bytes (one record at least)."""
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system of a URI or local path, and the path in it."""
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), uri.removeprefix("file:")
 
-    def built(records):
-        data = archive(records)
-        return pa.record_batch([pa.array([hashlib.sha1(data).hexdigest()[:20]]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], schema=ARCHIVE)
+
+def pack(limit: int, folder: str):
+    """Rows page_id, url, payload, digest, record_type, refers_to -> path, size of archives of about ``limit`` bytes (one record at least) in ``folder``.
+
+    An archive is named by its content and moved into place, so a repeated task writes the same files.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
+        store, root = _store(folder)
+        store.create_dir(root, recursive=True)
+
+        def built(records):
+            data = archive(records)
+            name = f"{hashlib.sha1(data).hexdigest()}.zip"
+            part = f"{root}/{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(data)
+            store.move(part, f"{root}/{name}")
+            return pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([len(data)], pa.int64())], schema=ARCHIVE)
+
         records, held = [], 0
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to")]
@@ -172,37 +192,29 @@ def pack(limit: int):
     return run
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, least: int = 1000, limit: int = 4 << 20) -> DataFrame:
-    """(page_id, url, html) -> stored table of archives (archive_id, size, content).
+def write_archives(pages: DataFrame, scratch: Scratch, folder: str | None = None, least: int = 1000, limit: int = 16 << 20) -> DataFrame:
+    """(page_id, url, html) -> stored table of the archives written to ``folder`` (one of ``scratch`` if none is given): path, size.
 
     Null html counts as empty. Of records with equal payloads of at least ``least`` bytes those with
     the largest page_id are responses and the others revisit it; null page_ids never are the largest
-    (all stay responses if there is no other). Repeated rows are records of their own.
+    (all stay responses if there is no other). Repeated rows are records of their own. An empty table
+    gives no archive.
     """
     data = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), data.alias("payload"), F.sha1(data).alias("digest"))
     large = F.octet_length("payload") >= least
-    first = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").select("digest", "kept")
-    rows = rows.join(first, "digest", "left")
+    # Decided by digests alone; payloads are shuffled only if the repeated digests are too many to broadcast.
+    first = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    rows = Names(first, scratch, "repeated").join(rows, ["digest"], "left")
     revisit = large & F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("kept")).alias("refers_to"))
-    return scratch.save(rows.mapInArrow(pack(limit), "archive_id string, size long, content binary"), "archives", compression="zstd")
-
-
-def _records(batch: int = 512):
-    def run(batches: Iterator[pa.RecordBatch]):
-        for rows in batches:
-            for name, size, content in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
-                view = memoryview(content.as_buffer())
-                yield from _record_batches(name, read_records(lambda at, n, v=view: bytes(v[at : at + n]), size), batch)
-
-    return run
+    return scratch.save(rows.mapInArrow(pack(limit, folder or scratch.qualified("archives")), "path string, size long"), "paths")
 
 
-def _record_batches(name: str, records, batch: int):
+def _record_batches(name: str, records, batch: int = 512):
     held: list[dict] = []
     for offset, record in records:
-        held.append({"archive_id": name, "offset": offset, **record})
+        held.append({"path": name, "offset": offset, **record})
         if len(held) == batch:
             yield pa.RecordBatch.from_pylist(held, schema=RECORD)
             held = []
@@ -210,33 +222,32 @@ def _record_batches(name: str, records, batch: int):
         yield pa.RecordBatch.from_pylist(held, schema=RECORD)
 
 
-RECORD_DDL = "archive_id string, offset long, record_id string, record_type string, target_uri string, digest string, refers_to string, payload binary"
+RECORD_DDL = "path string, offset long, record_id string, record_type string, target_uri string, digest string, refers_to string, payload binary"
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """Table of archives -> one row per WARC record."""
-    return archives.select("archive_id", "size", "content").mapInArrow(_records(), RECORD_DDL)
+def read_archives(paths: DataFrame) -> DataFrame:
+    """Table whose column ``path`` holds URIs or local paths that pyarrow opens -> one row per WARC record, by range reads only.
 
-
-def read_archive_files(paths: DataFrame) -> DataFrame:
-    """One-column table of URIs or local paths that pyarrow opens -> one row per WARC record, by range reads only."""
+    Null paths are left out; a path that repeats repeats its records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        from pyarrow import fs
-
         for rows in batches:
             for path in rows.column(0).to_pylist():
-                store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                store, name = _store(path)
                 with store.open_input_file(name) as f:
-                    yield from _record_batches(path, read_records(lambda at, n, f=f: f.read_at(n, at), f.size()), 512)
+                    yield from _record_batches(path, read_records(lambda at, n, f=f: f.read_at(n, at), f.size()))
 
-    return paths.mapInArrow(run, RECORD_DDL)
+    return paths.select("path").filter("path is not null").mapInArrow(run, RECORD_DDL)
 
 
-def page_records(records: DataFrame) -> DataFrame:
+def page_records(records: DataFrame, scratch: Scratch) -> DataFrame:
     """Records read back -> page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit takes both of its full payload from the response."""
     ident = lambda c: F.expr(f"try_cast({c} as bigint)")
-    rows = records.select(ident("record_id").alias("page_id"), "record_type", ident("refers_to").alias("refers_to"), "digest", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"))
-    kept = rows.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), F.col("sha1").alias("digest")).agg(F.max("n").alias("full"))
-    rows = rows.join(kept, ["refers_to", "digest"], "left")
-    return rows.select("page_id", F.coalesce("n", "full").alias("payload_bytes"), F.coalesce("sha1", "digest").alias("payload_digest"), "record_type", "refers_to")
+    rows = records.select(ident("record_id").alias("page_id"), "record_type", ident("refers_to").alias("refers_to"), "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"))
+    rows = scratch.save(rows, "records")
+    asked = rows.filter("record_type = 'revisit'").groupBy("refers_to", "digest").agg(F.count("*").alias("n"))
+    kept = rows.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), F.col("sha1").alias("digest")).agg(F.max("bytes").alias("full"))
+    full = Names(asked.join(kept, ["refers_to", "digest"]), scratch, "revisited")
+    out = full.join(rows.filter("record_type = 'revisit'"), ["refers_to", "digest"], "left").unionByName(rows.filter("record_type <> 'revisit'"), allowMissingColumns=True)
+    return out.select("page_id", F.coalesce("bytes", "full").alias("payload_bytes"), F.coalesce("sha1", "digest").alias("payload_digest"), "record_type", "refers_to")

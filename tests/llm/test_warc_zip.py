@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from formlens.llm.common import Scratch
-from formlens.llm.warc_zip import INDEX, WARC, archive, members, page_records, parse_record, read_archive_files, read_archives, read_records, warc_record, write_archives
+from formlens.llm.warc_zip import INDEX, WARC, archive, members, page_records, parse_record, read_archives, read_records, warc_record, write_archives
 
 
 def reader(data):
@@ -70,12 +70,15 @@ def test_pages_and_odd_rows(spark, tmp_path):
     big = "<p>" + "é" * 600
     rows = [(1, "u\r\nX: y", big), (2, "u2", big), (9, "u9", big), (3, None, "small"), (4, "u4", "small"), (5, "u5", None), (6, "u6", ""), (None, "u", big), (9, "again", big), (7, "u7", "q" * 300_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as digest")
-    archives = write_archives(df, Scratch(spark, "t"), limit=10_000)
-    got = page_records(read_archives(archives)).collect()
+    scratch = Scratch(spark, "t")
+    archives = write_archives(df, scratch, str(tmp_path), limit=10_000)
+    got = page_records(read_archives(archives), scratch).collect()
     sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
     want = [(p, len((t or "").encode()), sha(t), "revisit" if t == big and p != 9 else "response", 9 if t == big and p != 9 else None) for p, _, t in rows]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    assert page_records(read_archives(write_archives(df.limit(0), Scratch(spark, "t")))).collect() == []
-    path = tmp_path / "a.wacz"
-    path.write_bytes(archives.first().content)
-    assert read_archive_files(spark.createDataFrame([(str(path),)], "path string")).count() >= 1
+    assert {r.path for r in archives.collect()} == {str(p) for p in tmp_path.iterdir()} and archives.count() > 1
+    scratch = Scratch(spark, "t")
+    assert page_records(read_archives(write_archives(df.limit(0), scratch)), scratch).collect() == []
+    stored = tmp_path / "64.wacz"
+    stored.write_bytes(zip64(next(tmp_path.glob("*.zip")).read_bytes()))
+    assert read_archives(spark.createDataFrame([(str(stored),), (None,)], "path string")).count() >= 1
