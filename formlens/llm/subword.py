@@ -1,7 +1,8 @@
 """Subword sampling without replacement over SentencePiece lattices, and exact decoding.
 
-Text gets the usual leading word mark; words start at each mark, no piece crosses into the next word,
-so a document's lattice is the chain of its words' lattices. A perturbed A-star search emits the k
+Text gets the usual leading word mark. A word starts at each mark that no other mark precedes, and if no
+piece has a mark after another character, no piece crosses into the next word, so a document's lattice
+is the chain of its words' lattices (with such pieces the whole text is one word). A perturbed A-star search emits the k
 segmentations with the largest Gumbel-perturbed log-probabilities: the agenda holds subtrees ("the
 path so far up to a piece, then another piece than those taken"), their exact log-mass is the bound,
 the best one is popped and its best leaf drawn; the sets left beside the drawn path get Gumbels
@@ -22,24 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.textkernel import U, _powers, as_text, chunks, mix, release
+from formlens.llm.textkernel import U, as_text, chunks, mix, release, run_hashes
 
 MARK = 0x2581
 NONE, BYTES = -1, -2
+MOST = 62  # characters of a piece: barred sizes are bits of a long
 SAMPLE = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("decoded", pa.bool_())])
 SAMPLE_DDL = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, inclusion double, decoded boolean"
 
 
-def _hash(total: np.ndarray, at: np.ndarray, size) -> np.ndarray:
-    _, inverse = _powers(len(total))
-    return (total[at + size] - total[at]) * inverse[at]
-
-
-def _prefix(points: np.ndarray) -> np.ndarray:
-    power, _ = _powers(len(points) + 1)
-    total = np.zeros(len(points) + 1, U)
-    np.cumsum((points.astype(U) + U(1)) * power[: len(points)], out=total[1:])
-    return total
+def _grow(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one code point longer."""
+    return mix(h + (points.astype(U) + U(1)) * U(0x9E3779B97F4A7C15), 51)
 
 
 class Vocabulary:
@@ -51,30 +46,37 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         pieces, score = [sp.id_to_piece(i) for i in range(n)], np.array([sp.get_score(i) for i in range(n)])
-        plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and "▁" not in pieces[i][1:]]
+        plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         if len({float(score[i]).is_integer() for i in plain}) == 1 and float(score[plain[-1]]).is_integer():
             rank = score[plain].max() - score[plain]  # merge ranks: frequency falls about as 1 / rank
             score[plain] = -np.log(rank + 1) - np.log(np.sum(1 / (rank + 1)))
         self.weight, self.floor = score, float(score[plain].min()) - 10
         self.longest = max(len(pieces[i]) for i in plain)
+        if self.longest > MOST:
+            raise ValueError(f"pieces of over {MOST} characters are not supported")
         self.byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.breaks = not any("\n" in pieces[i] for i in plain)
-        self.key, self.id, self.more = np.zeros(slots, U), np.full(slots, NONE, np.int32), np.zeros(slots, bool)
+        self.crosses = any("▁" in pieces[i].lstrip("▁") for i in plain)
         self.shift, self.mask = U(64 - int(np.log2(slots))), slots - 1
-        used = np.zeros(slots, bool)
-        for i in plain:
-            total = _prefix(np.array([ord(c) for c in pieces[i]], np.int64))
-            for size in range(1, len(pieces[i]) + 1):
-                h = _hash(total, np.zeros(1, np.int64), size)
-                at = int(self.slot(h)[0])
-                while used[at] and self.key[at] != h[0]:
-                    at = (at + 1) & self.mask
-                used[at], self.key[at] = True, h[0]
-                if size == len(pieces[i]):
-                    self.id[at] = i
-                else:
-                    self.more[at] = True
-        self.used = used
+        h, rows, made = np.zeros(len(plain), U), np.arange(len(plain)), []
+        for size in range(1, self.longest + 1):
+            rows = rows[[len(pieces[plain[r]]) >= size for r in rows]]
+            h[rows] = _grow(h[rows], np.array([ord(pieces[plain[r]][size - 1]) for r in rows]))
+            whole = np.array([len(pieces[plain[r]]) == size for r in rows])
+            made.append((h[rows], np.where(whole, np.array(plain)[rows], NONE), ~whole))
+        key, where = np.unique(np.concatenate([m[0] for m in made]), return_inverse=True)
+        ids, more = np.full(len(key), NONE, np.int32), np.zeros(len(key), bool)
+        np.maximum.at(ids, where, np.concatenate([m[1] for m in made]).astype(np.int32))
+        np.logical_or.at(more, where, np.concatenate([m[2] for m in made]))
+        self.key, self.id, self.more, self.used = np.zeros(slots, U), np.full(slots, NONE, np.int32), np.zeros(slots, bool), np.zeros(slots, bool)
+        at, todo = self.slot(key), np.arange(len(key))
+        while len(todo):
+            free = todo[~self.used[at[todo]]]
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.used[at[put]], self.key[at[put]], self.id[at[put]], self.more[at[put]] = True, key[put], ids[put], more[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            at[todo] = (at[todo] + 1) & self.mask
         raw = [b""] * n
         for i in plain:
             raw[i] = pieces[i].replace("▁", " ").encode()
@@ -121,14 +123,17 @@ class Lattice:
             if len(j):
                 points[at] = MARK
                 points[at + 1 : at + 1 + len(j)] = np.where(j == 32, MARK, np.where(j == MARK, 0x110000, j))
-        begins = points == MARK
+        begins = np.zeros(len(points), bool)
+        begins[self.doc_at[:-1][size > 0]] = True
+        if not v.crosses:
+            mark = points == MARK
+            begins[1:] |= mark[1:] & ~mark[:-1]
         if v.breaks:
             begins |= points == 10
         start = np.flatnonzero(begins)
         self.first = np.searchsorted(start, self.doc_at)  # first word of each document
         end = np.r_[start[1:], len(points)] if len(start) else start
-        total = _prefix(points)
-        _, where, uid = np.unique(mix(_hash(total, start, end - start)), return_index=True, return_inverse=True)
+        _, where, uid = np.unique(run_hashes(points, start, end), return_index=True, return_inverse=True)
         length = (end - start)[where]
         base = np.r_[0, np.cumsum(length)]
         n = int(base[-1])
@@ -139,16 +144,18 @@ class Lattice:
     def _fill(self, v: Vocabulary, alpha: float, left: np.ndarray) -> None:
         """Options (pieces that match) of every position, those nearest to their word's end first: size, id, log-probability, distribution."""
         n = len(left)
-        total, rows, found = _prefix(self.points), np.arange(n), []
+        rows, h, found = np.arange(n), np.zeros(n, U), []
         many = np.zeros(n, np.int64)
         for size in range(1, v.longest + 1):
-            got, more = v.find(_hash(total, rows, size))
+            h = _grow(h, self.points[rows + size - 1])
+            got, more = v.find(h)
             if size == 1:
                 got[got == NONE] = BYTES
             hit = got != NONE
             found.append((rows[hit], got[hit]))
             many[found[-1][0]] += 1
-            rows = rows[more & (left[rows] > size)]
+            on = more & (left[rows] > size)
+            rows, h = rows[on], h[on]
         order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 65536 else left, kind="stable")
         edge = np.r_[0, np.cumsum(many[order])]
         self.lo, self.hi = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -305,7 +312,7 @@ def encode_samples(docs: DataFrame, model_path: str, k: int = 2, alpha: float =
     then 1. ``decoded`` tells that decoding the ids gave the text's bytes back. Null and empty texts
     have one empty segmentation. A null key is seeded as 0 and stays null; repeated rows repeat their
     samples. ``model_path`` must be readable on every executor. Characters outside the vocabulary go
-    by byte pieces. Other columns are not read; an empty table gives no rows.
+    by byte pieces; a literal word mark does too. Pieces of over 62 characters are an error. Other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -54,6 +54,22 @@ def test_exhausts_small_lattices():
     assert {tuple(r[2]) for r in rows} == set(truth) and len(rows) == len(truth) and all(r[5] == 1.0 for r in rows)
 
 
+def test_pieces_of_several_word_marks_are_sampled():
+    v = vocabulary(PIECES)
+    truth = segmentations("▁▁a", v)
+    rows = list(sample_segmentations(["  a"], np.array([5], np.uint64), v, len(truth) + 3))
+    assert {tuple(r[2]) for r in rows} == set(truth) and any(len(t) < 4 and v.raw_start[t[0] + 1] - v.raw_start[t[0]] > 1 for t in truth)
+    assert all(abs(r[3] - truth[tuple(r[2])]) < 1e-9 for r in rows)
+
+
+def test_words_of_a_regular_structure_decode(spark):
+    """Thue-Morse words, which collide in every polynomial hash over a power of two."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert all(r.decoded for r in encode_samples(spark.createDataFrame([(1, f"{a} {b}")], "doc_id long, text string"), PIECES).collect())
+
+
 def test_round_trip_and_odd_rows(spark):
     texts = ["plain words here", " lead and  double ", "ünï🙂\tçode\nline ▁ mark", "", None, "x" * 3000, "\n\n", "日本語テスト", "word " * 5000]
     docs = spark.createDataFrame([(i, t, [1], 0.5) for i, t in enumerate(texts)] + [(None, "null key", [2], 0.1), (0, texts[0], [3], 0.2)], "doc_id long, text string, ids array<int>, log_prob double")
