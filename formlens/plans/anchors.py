@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from formlens.operators import anchors as n
 from formlens.operators import layout as y
 from formlens.operators import metering as m
-from formlens.plans.layout import EMPTY, FEW, FOUND, QUESTION, STACK, images
+from formlens.plans.layout import EMPTY, FOUND, QUESTION, STACK, images
 from formlens.plans.registry import query
 from formlens.sources.io import context_blocks
 
@@ -31,11 +31,11 @@ query("ocr_boxes", lambda x: x.select("doc_id", "page", "line_no", *((F.array_mi
 query("ocr_prompts", lambda x: x.filter(F.col("text").contains("___")).select("doc_id", "line_no", F.split("text", "_{3,}").alias("g"), (F.col("doc_id") % 2).cast("int").alias("more")).select("doc_id", "line_no", F.concat(F.array_join(F.transform("g", lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("{{s"), i.cast("string"), F.lit("}}"), p))), ""), F.when(F.col("more") == 1, F.concat(F.lit(" {{s"), F.size("g").cast("string"), F.lit("}}"))).otherwise("")).alias("prompt")), "lines",
       "WITH s AS (SELECT doc_id, line_no, regexp_split_to_array(text, '_{3,}') AS g FROM lines WHERE contains(text, '___')) SELECT doc_id, line_no, array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{s' || CAST(i - 1 AS VARCHAR) || '}}' || p END), '') || CASE WHEN doc_id % 2 = 1 THEN ' {{s' || CAST(len(g) AS VARCHAR) || '}}' ELSE '' END AS prompt FROM s")
 query("open_regions", lambda x: n.clamped_regions(x, images(x)), "lines", f"WITH q AS (SELECT *, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_no) AS nxt FROM lines WHERE {QUESTION}), b AS (SELECT doc_id, page, 100.0 AS bx0, 500.0 AS bx1, 300.0 AS oy FROM (SELECT DISTINCT doc_id, page FROM lines) WHERE page % 3 = 0) SELECT q.doc_id, q.page, line_no, y1 AS top, least(coalesce(any_value(nxt), 732.0), coalesce(min(oy), 732.0)) AS bottom FROM q LEFT JOIN b ON b.doc_id = q.doc_id AND b.page = q.page AND oy >= y1 AND bx0 < x1 AND bx1 > x0 GROUP BY q.doc_id, q.page, line_no, y1")
-CHARS = f"""g0 AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE {FEW} AND doc_id % 7 = 0),
+CHARS = f"""g0 AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE text <> ''),
 ch AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y, y1 FROM g0),
 ce AS (SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS r, CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS c, string_agg(ch, '' ORDER BY line_no, i) AS text, max(y1) AS u FROM ch WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL)"""
 query("table_prompts", lambda x: n.table_prompts(y.cell_text(y.glyphs(x), y.tables(x))), "lines", f"WITH {CHARS} SELECT b.doc_id, b.page, string_agg(coalesce('[under \"' || trim(h.text) || '\"] ', '') || trim(b.text), chr(10) ORDER BY b.r, b.c) AS prompt FROM ce b LEFT JOIN ce h ON h.doc_id = b.doc_id AND h.page = b.page AND h.c = b.c AND h.r = 0 WHERE b.r > 0 GROUP BY b.doc_id, b.page")
-query("table_regions", lambda x: n.table_regions(y.glyphs(x), y.tables(x)), "lines", f"WITH {CHARS}, k AS (SELECT doc_id, page, CAST(i // 3 AS INT) AS r, CAST(i % 3 AS INT) AS c FROM (SELECT DISTINCT doc_id, page FROM lines WHERE {FEW} AND doc_id % 7 = 0), (SELECT unnest(range(6)) AS i)) SELECT k.doc_id, k.page, k.r AS \"row\", k.c AS col, coalesce(u, 300.0 + 60.0 * k.r) AS top, 360.0 + 60.0 * k.r AS bottom FROM k LEFT JOIN ce ON ce.doc_id = k.doc_id AND ce.page = k.page AND ce.r = k.r AND ce.c = k.c WHERE 360.0 + 60.0 * k.r - coalesce(u, 300.0 + 60.0 * k.r) >= 30")
+query("table_regions", lambda x: n.table_regions(y.glyphs(x), y.tables(x)), "lines", f"WITH {CHARS}, k AS (SELECT doc_id, page, CAST(i // 3 AS INT) AS r, CAST(i % 3 AS INT) AS c FROM (SELECT DISTINCT doc_id, page FROM lines), (SELECT unnest(range(6)) AS i)) SELECT k.doc_id, k.page, k.r AS \"row\", k.c AS col, coalesce(u, 300.0 + 60.0 * k.r) AS top, 360.0 + 60.0 * k.r AS bottom FROM k LEFT JOIN ce ON ce.doc_id = k.doc_id AND ce.page = k.page AND ce.r = k.r AND ce.c = k.c WHERE 360.0 + 60.0 * k.r - coalesce(u, 300.0 + 60.0 * k.r) >= 30")
 query("cell_slots", lambda x: n.cell_slots(x, y.tables(x)), "lines", f"WITH {CHARS}, s AS (SELECT doc_id, page, r, c, CAST(len(regexp_extract_all(text, '_+')) AS INT) AS n FROM ce WHERE contains(text, '_')) SELECT doc_id, page, r AS \"row\", c AS col, n, sum(n) OVER (PARTITION BY doc_id ORDER BY page, r, c) - n + 1 AS first_slot FROM s")
 ITEM = "CASE CAST(line_no % 4 AS INT) WHEN 0 THEN 'inline' WHEN 1 THEN 'weird' ELSE 'open' END"
 query("anchor_items", lambda x: n.anchor_items(x.filter("k = 3 or k = 4").groupBy("doc_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "page", F.expr(ITEM).alias("kind"), F.left("text", F.lit(15)).alias("anchor_text"), F.when(F.col("doc_id") % 5 == 0, "beside").otherwise("after").alias("blank_position")))), lambda s: s.dropFields("line_no"))).alias("reply"))), "lines", f"WITH a AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INT) AS item_no, page, {ITEM} AS kind, left(text, 15) AS anchor_text, CASE WHEN doc_id % 5 = 0 THEN 'beside' ELSE 'after' END AS blank_position FROM lines WHERE k IN (3, 4)) SELECT * FROM a WHERE kind <> 'weird' AND blank_position = 'after' AND trim(anchor_text) <> ''")

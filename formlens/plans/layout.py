@@ -16,8 +16,6 @@ QUESTION = "regexp_matches(text, '^\\s*\\d+\\s*[.)]\\s')"
 P = "PARTITION BY doc_id, page ORDER BY y0, x0, line_no"
 FOLD = "translate(text, '‐‑‒–—―−‘’“”​﻿', '-------''''\"\"')"
 NORMAL = f"lower(trim(regexp_replace({FOLD}, '\\s+', ' ', 'g')))"
-#: The SQL of six queries still has this filter; the queries themselves cover all documents (tests/test_whole.py).
-FEW = "doc_id < 50"
 fn = lambda name, f, sql, table="lines": query(name, lambda x: x.select("doc_id", "line_no", f(F.col("text")).alias("v")), table, f"SELECT doc_id, line_no, {sql} AS v FROM {table}")
 
 query("doc_lines", lambda x: x.filter(F.trim("text") != "").select("doc_id", "line_no", "text"), "raw_lines", "SELECT doc_id, line_no, text FROM raw_lines WHERE trim(text) <> ''")
@@ -28,7 +26,7 @@ fn("text_normalize", c.normalize_text, NORMAL)
 fn("text_alnum", c.alnum_only, "regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')")
 fn("text_truncate", lambda t: c.truncate_text(t, 40), "CASE WHEN length(text) > 40 THEN rtrim(left(text, 40)) || ' [truncated]' ELSE text END", "raw_lines")
 fn("option_tokens", y.option_token, "nullif(upper(regexp_extract(translate(text, 'АВСЕНІабсеіⅠ', 'ABCEHIabceiI'), '^\\s*\\(?([A-Ha-h]|[IVXivx]{1,4})[.)]\\s', 1)), '')")
-fn("find_occurrences", lambda t: F.size(c.occurrences(F.lower(t), F.lit("aa"))), "CAST(len(list_filter(range(1, greatest(length(left(text, 200)), 1)), lambda i: substr(lower(left(text, 200)), i, 2) = 'aa')) AS INT)", "raw_lines")
+fn("find_occurrences", lambda t: F.size(c.occurrences(F.lower(t), F.lit("aa"))), "CAST(coalesce(list_sum(list_transform(regexp_extract_all(lower(text), 'a+'), lambda r: length(r) - 1)), 0) AS INT)", "raw_lines")
 query("underscore_runs", lambda x: x.select("doc_id", "line_no", F.posexplode(c.underscore_runs(F.col("text"))).alias("k", "r")).select("doc_id", "line_no", "k", "r.start", "r.length"), "lines",
       """WITH s AS (SELECT doc_id, line_no, regexp_extract_all(text, '_+') AS r, regexp_split_to_array(text, '_+') AS g FROM lines WHERE contains(text, '_')),
 e AS (SELECT doc_id, line_no, unnest(range(len(r))) AS k, r, g FROM s)
@@ -42,8 +40,8 @@ query("prompt_groups", y.prompt_groups, "lines", f"""WITH f AS (SELECT *, CASE W
 g AS (SELECT *, sum(s) OVER ({P} ROWS UNBOUNDED PRECEDING) AS grp FROM f)
 SELECT doc_id, page, grp, count(*) AS n_lines, min(line_no) AS first_line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY y0, x0, line_no) AS text FROM g GROUP BY doc_id, page, grp""")
 query("group_bbox", y.group_bbox, "lines", "SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM lines GROUP BY ALL")
-query("line_text", lambda x: y.line_text(y.glyphs(x)), "lines", f"SELECT doc_id, page, line_no, text, x0, x0 + 5.0 * length(text) AS x1 FROM lines WHERE {FEW} AND text <> ''")
-query("mc_label_boxes", lambda x: y.label_box(y.glyphs(x)), "lines", f"SELECT doc_id, page, line_no, x0, x0 + 5.0 * n AS x1 FROM (SELECT *, least(nullif(strpos(left(text, 8), '.'), 0), nullif(strpos(left(text, 8), ')'), 0)) AS n FROM lines WHERE {FEW}) WHERE n IS NOT NULL")
+query("line_text", lambda x: y.line_text(y.glyphs(x)), "lines", f"SELECT doc_id, page, line_no, text, x0, x0 + 5.0 * length(text) AS x1 FROM lines WHERE text <> ''")
+query("mc_label_boxes", lambda x: y.label_box(y.glyphs(x)), "lines", f"SELECT doc_id, page, line_no, x0, x0 + 5.0 * n AS x1 FROM (SELECT *, least(nullif(strpos(left(text, 8), '.'), 0), nullif(strpos(left(text, 8), ')'), 0)) AS n FROM lines) WHERE n IS NOT NULL")
 ANSWERS = f"b AS (SELECT *, max(CASE WHEN NOT {BULLETED} AND trim(text) <> '' THEN line_no END) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prompt_line, coalesce(lead(y0) OVER ({P}), 732.0) AS bottom FROM lines), ba AS (SELECT doc_id, page, line_no, prompt_line, y0 AS top, bottom FROM b WHERE {EMPTY})"
 query("bullet_answers", y.bullet_answers, "lines", f"WITH {ANSWERS} SELECT * FROM ba")
 query("bullet_parts", lambda x: y.bullet_parts(y.bullet_answers(x)), "lines", f"WITH {ANSWERS} SELECT doc_id, page, line_no, prompt_line, CAST(row_number() OVER (PARTITION BY doc_id, page, prompt_line ORDER BY line_no) AS INT) AS part, count(*) OVER (PARTITION BY doc_id, page, prompt_line) AS parts FROM ba")
@@ -57,8 +55,8 @@ query("mc_stems", lambda x: y.stems(x, y.stacked_options(x)), "lines", f"WITH {S
 query("open_responses", y.open_responses, "lines", f"WITH {OPEN} SELECT * FROM orr")
 query("trailing_dash", y.trailing_dash, "lines", f"WITH {DASH} SELECT * FROM td")
 INBOX = "(x0 + x1) / 2 BETWEEN 72 AND 540 AND (y0 + y1) / 2 BETWEEN 300 AND 420"
-query("lines_outside", lambda x: y.outside(x, y.tables(x.filter("doc_id % 7 = 0"))).select("doc_id", "page", "line_no"), "lines", f"SELECT doc_id, page, line_no FROM lines WHERE NOT (doc_id % 7 = 0 AND {INBOX})")
-query("cell_text", lambda x: y.cell_text(y.glyphs(x), y.tables(x)), "lines", f"""WITH g AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE {FEW} AND doc_id % 7 = 0),
+query("lines_outside", lambda x: y.outside(x, y.tables(x)).select("doc_id", "page", "line_no"), "lines", f"SELECT doc_id, page, line_no FROM lines WHERE NOT ({INBOX})")
+query("cell_text", lambda x: y.cell_text(y.glyphs(x), y.tables(x)), "lines", f"""WITH g AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE text <> ''),
 k AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y FROM g)
 SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS "row", CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS col, string_agg(ch, '' ORDER BY line_no, i) AS text FROM k WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL""")
 images = lambda x: x.select("doc_id", "page").distinct().select("doc_id", "page", F.expr("inline(filter(array(named_struct('x0', 100D, 'y0', 300D, 'x1', 500D, 'y1', 320D, 'on', page % 3 = 0), named_struct('x0', 0D, 'y0', 0D, 'x1', 612D, 'y1', 792D, 'on', doc_id % 50 = 0)), b -> b.on))"))

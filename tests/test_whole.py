@@ -1,33 +1,11 @@
-"""Queries over all documents, where the registered SQL covers a part of them only."""
+"""Operators on odd lines, anchors and replies."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from formlens.functions import core as c
 from formlens.operators import layout as y
-from formlens.plans import ORACLES, QUERIES
-from tests.test_queries import SF, duck, plain  # noqa: F401
-
-CUTS = [" AND doc_id % 7 = 0", "WHERE doc_id < 50 AND ", "WHERE doc_id < 50"]
-
-
-def rows(spark, duck, name, sql):  # noqa: F811
-    df, want = QUERIES[name](spark, SF), duck.sql(sql)
-    order = sorted(df.columns)
-    assert order == sorted(want.columns)
-    got = sorted(repr(tuple(plain(r[c]) for c in order)) for r in df.collect())
-    return got, sorted(repr(tuple(plain(r[want.columns.index(c)]) for c in order)) for r in want.fetchall())
-
-
-@pytest.mark.parametrize("name", ["line_text", "mc_label_boxes", "cell_text", "table_prompts", "table_regions", "cell_slots"])
-def test_all_documents(spark, duck, name):  # noqa: F811
-    sql = ORACLES[name]
-    for cut, whole in zip(CUTS, ["", "WHERE ", ""]):
-        sql = sql.replace(cut, whole)
-    assert "doc_id <" not in sql and "doc_id %" not in sql
-    got, want = rows(spark, duck, name, sql)
-    assert got == want
-
+from formlens.plans import QUERIES
+from tests.test_queries import SF, duck  # noqa: F401
 
 def test_occurrences_in_whole_lines(spark, duck):  # noqa: F811
     got = {(r.doc_id, r.line_no): r.v for r in QUERIES["find_occurrences"](spark, SF).collect()}
