@@ -1,20 +1,29 @@
 """Licence scan: a trained paragraph classifier with an unknown class, confirmed by templates; native.
 
-A multinomial logistic regression over word 1- and 2-gram indicators is fitted on notices of each
-licence family and, as the unknown class, on paragraphs of the corpus itself. A second, one-feature
-regression on rows kept out of the first turns the margin over the unknown class into a calibrated
-probability. A predicted family counts as confirmed if one of its templates shares enough words with
-the paragraph. Weights are a table of bounded size; paragraphs meet it in a join.
+A paragraph is a line, or a line and the two after it up to a blank one, so notices and licence texts
+that wrap are seen whole. A multinomial logistic regression over word 1- and 2-gram indicators is
+fitted on notices, headers and body passages of each licence family and, as the unknown class, on
+paragraphs of the corpus and on sentences that speak of licences otherwise. A second, one-feature
+regression turns the margin over the unknown class into a calibrated probability; it learns from
+wordings that the first hasn't seen. A predicted family is confirmed if one of its templates shares
+enough words with the paragraph. Scoring is one projection without a shuffle.
+
+Lines far from any word of a "strong" gram are left out before. The other grams' leads over the unknown
+class add up to too little to reach the least probability, so this can't change a result.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlens.llm.common import Scratch
@@ -28,19 +37,77 @@ NAMES = {
     "CC-BY-NC": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"],
     "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"],
     "CC0": ["CC0 1.0 Universal", "Creative Commons Zero", "CC0-1.0"],
+    "EPL": ["Eclipse Public License 2.0", "Eclipse Public License, version 1.0", "EPL-2.0"],
     "GPL": ["GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL v3", "GPL-3.0"],
+    "ISC": ["ISC License", "ISC licence"],
     "LGPL": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPL-3.0"],
     "MIT": ["MIT License", "MIT licence", "Expat License"],
     "MPL": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+#: Headers and body passages of the licences' texts.
+PASSAGES = {
+    "AGPL": [
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the Corresponding Source of your version",
+    ],
+    "Apache-2.0": [
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of",
+    ],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,",
+    ],
+    "CC-BY": ["To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"],
+    "CC-BY-NC": ["To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/", "You may not use the material for commercial purposes; attribution, non-commercial use only under Creative Commons"],
+    "CC-BY-SA": ["To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/", "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original under Creative Commons ShareAlike"],
+    "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "GPL": [
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL": [
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library",
+    ],
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction,",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,"],
 }
-#: Wordings of a notice.
+#: Wordings of a notice, and those that calibration keeps to itself.
 NOTICES = [
-    "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.",
-    "This program is free software: you can redistribute it under the terms of the {}.", "Distributed under the terms of the {}.", "This software is available under {}.",
-    "License: {}", "SPDX-License-Identifier: {}", "You may use this file under the terms of the {}.", "See the {} for details.", "Code is under the {}, all rights reserved by the authors.", "{}",
+    "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.",
+    "This program is free software: you can redistribute it under the terms of the {}.", "This software is available under {}.",
+    "License: {}", "SPDX-License-Identifier: {}", "See the {} for details.", "Code is under the {}, all rights reserved by the authors.", "{}",
+]
+KEPT_OUT = ["You may use this file under the terms of the {}.", "The sources are published under {} only.", "Distribution is governed by the {}.", "Project license is {}; contributions welcome.", "Copyright the authors, {}"]
+#: Sentences that speak of licences without giving one.
+MENTIONS = [
+    "He renewed his driving licence at the city office.", "The restaurant lost its license to serve alcohol.", "A fishing license costs twelve dollars.", "Poetic license allows for many things.",
+    "The company sold a license for the patent to a competitor.", "Please check the license plate of the car.", "Her medical license was suspended in version 2 of the story.", "All rights reserved by the hotel for early check in.",
+    "The terms of the agreement were published on Monday.", "Students at MIT built a robot.", "The Apache helicopter landed near the river.", "Permission to leave the room was granted to everyone.",
+    "You may not park here without permission of the owner.", "The software is available for download.", "This version of the general public transport plan was released in May.", "Public notice: the office is closed and all copies of the form are gone.",
+    "The work was released to the public last year.", "Free software downloads are listed for details below.", "Creative people share their attribution of success in the commons.", "The following conditions are met by most of the applicants.",
+    "Warranty claims must be made in writing, and the purchase receipt must be included.", "License fees rose, said the ministry, and the code of conduct was revised.", "Licensed electricians only.", "The universal rule under the old law was simple.",
 ]
 UNKNOWN = "unknown"
 FAMILIES = sorted(NAMES)
+CLASSES = [*FAMILIES, UNKNOWN]
+JOINED = 3  # lines of a joined paragraph
+MARGIN = 1e-3  # over rounding
 
 
 def words(text: Column) -> Column:
@@ -61,97 +128,166 @@ def _values(spark: SparkSession, rows: list[tuple], names: list[str], kinds: str
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(family, template) of every name."""
-    return _values(spark, [(f, n) for f in FAMILIES for n in NAMES[f]], ["family", "template"], "family:string,template:string")
+    """(family, template) of every name and passage."""
+    return _values(spark, [(f, n) for f in FAMILIES for n in NAMES[f] + PASSAGES[f]], ["family", "template"], "family:string,template:string")
 
 
 @dataclass
 class LicenceModel:
-    weights: DataFrame  # gram, w: one weight for each class, FAMILIES and then unknown
-    positive: list[str]  # words that speak for a family more than for the unknown class
-    bias: list[float]
+    vocabulary: list[str]
+    fit: LogisticRegressionModel
     slope: float
     offset: float
+    least: float
+    strong: list[str]  # a paragraph without these words isn't judged known; empty: no such promise
 
+    def scored(self, df: DataFrame) -> DataFrame:
+        """``df`` with g (grams) -> the same with family (the best) and p_known, without g."""
+        vector = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="g", outputCol="_x").setBinary(True)
+        raw = self.fit.transform(vector.transform(df)).withColumn("_s", vector_to_array("rawPrediction"))
+        best = F.greatest(*(F.struct(F.col("_s")[i].alias("s"), F.lit(f).alias("f")) for i, f in enumerate(FAMILIES)))
+        raw = raw.withColumn("_best", best).withColumn("margin", F.round(F.col("_best.s") - F.col("_s")[len(FAMILIES)], 6))
+        p = 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("margin") + F.lit(self.offset))))
+        keep = [c for c in df.columns if c != "g"]
+        return raw.select(*keep, "g", F.col("_best.f").alias("family"), "margin", F.round(p, 6).alias("p_known"))
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, paragraph (line number from 0), w (its words); lines without words are left out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return rows.select("doc_id", "paragraph", words(F.col("line")).alias("w")).filter(F.size("w") > 0)
 
+def _joined(lines: Column, i: Column) -> Column:
+    """Line i and those after it, up to a blank one."""
+    part = F.slice(lines, i + 1, JOINED)
+    blank = F.array_position(F.transform(part, lambda x: F.btrim(x) == ""), True).cast("int")
+    return F.array_join(F.when(blank > 0, F.slice(part, 1, blank - 1)).otherwise(part), " ")
 
-def train_licences(docs: DataFrame, scratch: Scratch, max_negatives: int = 4000, max_grams: int = 2048, least_lead: float = 0.5) -> LicenceModel:
-    """Fit on the notices and at most about ``max_negatives`` corpus paragraphs without licence words, chosen by a hash.
 
-    The vocabulary is every gram of the notices, and the most frequent others up to ``max_grams``. Leads
-    over the unknown class below ``least_lead`` are set to none, which keeps the model sparse.
+def paragraphs(docs: DataFrame, strong: list[str]) -> DataFrame:
+    """(row, doc_id, text) -> row, doc_id, paragraph (line number from 0), joined (of several lines), g (its grams).
+
+    Of each text the lines that hold a ``strong`` word, and the joined paragraphs that reach them; all if there is none.
+    """
+    holds = (lambda x: F.arrays_overlap(words(x), F.array(*map(F.lit, strong)))) if strong else (lambda x: F.lit(True))
+    rows = docs.filter("text <> ''").select("row", "doc_id", F.split("text", "\n").alias("lines"))
+    rows = rows.withColumn("held", F.filter(F.transform("lines", lambda x, i: F.when(holds(x), i)), lambda i: i.isNotNull())).filter(F.size("held") > 0)
+    first = F.array_distinct(F.flatten(F.transform("held", lambda i: F.sequence(F.greatest(i - JOINED + 1, F.lit(0)), i))))
+    one = F.transform("held", lambda i: F.struct(i.alias("paragraph"), F.lit(False).alias("joined"), F.get("lines", i).alias("t")))
+    more = F.transform(first, lambda i: F.struct(i.alias("paragraph"), F.lit(True).alias("joined"), _joined(F.col("lines"), i).alias("t")))
+    rows = rows.select("row", "doc_id", F.inline(F.concat(one, more)))
+    return rows.select("row", "doc_id", "paragraph", "joined", words(F.col("t")).alias("w")).filter(F.size("w") > 0).select("row", "doc_id", "paragraph", "joined", grams(F.col("w")).alias("g"))
+
+
+def known_wordings(spark: SparkSession) -> DataFrame:
+    """family, line, kept_out: notices in all wordings, and passages whole and in halves."""
+    rows = [(f, w.format(n), False) for f in FAMILIES for n in NAMES[f] for w in NOTICES]
+    rows += [(f, w.format(n), True) for f in FAMILIES for n in NAMES[f] for w in KEPT_OUT]
+    for f in FAMILIES:
+        for p in PASSAGES[f]:
+            w = p.split(" ")
+            half = len(w) // 2
+            rows += [(f, p, False), (f, " ".join(w[:half]), len(w) >= 24), (f, " ".join(w[half:]), False)]
+    rows += [(UNKNOWN, m, i % 3 == 0) for i, m in enumerate(MENTIONS)]
+    return _values(spark, rows, ["family", "line", "kept_out"], "family:string,line:string,kept_out:boolean")
+
+
+def train_licences(docs: DataFrame, scratch: Scratch, max_negatives: int = 2000, max_grams: int = 2048, common: float = 0.01, least: float = 0.5) -> LicenceModel:
+    """Fit on the wordings, and on one paragraph each of about ``max_negatives`` documents, chosen by a hash, as unknown.
+
+    Paragraphs that hold a licence's full name are not taken as unknown. The vocabulary is every gram of
+    the wordings, and the most frequent others up to ``max_grams``, but for grams whose words all stand in
+    more than a ``common`` share of the corpus paragraphs. ``least`` is the probability from which
+    a paragraph counts as known.
     """
     spark = docs.sparkSession
-    notices = templates(spark).select("family", F.explode(F.array(*(F.replace(F.lit(n), F.lit("{}"), F.col("template")) for n in NOTICES))).alias("line"))
-    notices = notices.select("family", words(F.col("line")).alias("w"))
-    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(100)) < 20).limit(max_negatives)
-    name_words = sorted({"license", "licence", "licensed", "licences", "licenses", "copyright", "gnu", "gpl", "apache", "mit", "bsd", "mozilla", "creative"})
-    none = paragraphs(some).filter(~F.arrays_overlap("w", F.array(*map(F.lit, name_words)))).select(F.lit(UNKNOWN).alias("family"), "w").limit(max_negatives)
-    # Common words of the notices alone are no notice.
-    plain = notices.select(F.lit(UNKNOWN).alias("family"), F.array_except("w", F.flatten(F.array(*(words(F.lit(n)) for f in FAMILIES for n in NAMES[f])))).alias("w"))
-    rows = notices.unionByName(none).unionByName(plain.filter(F.size("w") > 0).distinct()).withColumn("g", grams(F.col("w")))
-    label = F.array_position(F.array(*map(F.lit, [*FAMILIES, UNKNOWN])), F.col("family")).cast("double") - 1
-    rows = rows.select("g", label.alias("label"), (F.pmod(F.xxhash64("g", "family"), F.lit(4)) == 0).alias("kept_out"))
-    rows = scratch.save(rows.coalesce(2), "training")
-    counts = CountVectorizer(inputCol="g", outputCol="x", binary=True, vocabSize=max_grams).fit(rows.filter(label_known := F.col("label") < len(FAMILIES)))
-    others = CountVectorizer(inputCol="g", outputCol="x", binary=True, vocabSize=max(1, max_grams - len(counts.vocabulary)), minDF=2).fit(rows.filter(~label_known)) if rows.filter(~label_known).count() else counts
-    vocabulary = list(dict.fromkeys([*counts.vocabulary, *others.vocabulary]))
-    vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="x").setBinary(True)
+    count = docs.count()
+    share = math.ceil(min(1.0, max_negatives / max(count, 1)) * 1_000_000)
+    hashed = F.xxhash64("doc_id", "text")
+    some = docs.filter(F.pmod(hashed, F.lit(1_000_000)) < share).select(F.split("text", "\n").alias("lines"), hashed.alias("h"))
+    line = _joined(F.col("lines"), F.pmod(F.col("h"), F.size("lines")).cast("int"))
+    named = reduce(or_, (F.contains(F.lower(line), F.lit(n.lower())) for f in FAMILIES for n in NAMES[f]))
+    none = some.filter(F.col("lines").isNotNull() & ~named).select(F.lit(UNKNOWN).alias("family"), line.alias("line"), (F.pmod(F.col("h"), F.lit(5)) == 0).alias("kept_out"))
+    rows = known_wordings(spark).unionByName(none).select("family", "kept_out", grams(words(F.col("line"))).alias("g")).filter(F.size("g") > 0)
+    label = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double") - 1
+    rows = scratch.save(rows.select("g", "kept_out", label.alias("label")).coalesce(4), "training")
+    known = F.col("label") < len(FAMILIES)
+    counts = rows.filter("not kept_out").select(known.alias("known"), F.explode("g").alias("g")).groupBy("known", "g").count()
+    counts = sorted(((r["known"], r["count"], r.g) for r in counts.filter("known or count > 1").collect()), key=lambda r: (-r[1], r[2]))
+    seen = {g: n for is_known, n, g in counts if not is_known}
+    often = common * rows.filter(~known & ~F.col("kept_out")).count()
+    telling = lambda g: any(seen.get(w, 0) <= often for w in g.split(" "))
+    own = [g for is_known, _, g in counts if is_known and telling(g)]
+    vocabulary = [*own, *(g for g in seen if g not in set(own) and telling(g))][: max(max_grams, len(own))]
+    vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="_x").setBinary(True)
     data = vector.transform(rows)
-    fit = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=2e-3, elasticNetParam=0.3, maxIter=40, standardization=False).fit(data.filter("not kept_out"))
-    matrix, bias = fit.coefficientMatrix.toArray(), [float(b) for b in fit.interceptVector.toArray()]
-    while len(bias) < len(FAMILIES) + 1:
-        bias.append(-20.0)
-    weights = {}
-    for j, gram in enumerate(vocabulary):
-        w = [round(float(matrix[c][j]), 9) if c < len(matrix) else 0.0 for c in range(len(FAMILIES) + 1)]
-        w = [x if x - w[-1] >= least_lead else min(x, w[-1]) for x in w[:-1]] + w[-1:]  # a small lead over the unknown class is none
-        if any(x != w[-1] for x in w):
-            weights[gram] = w
-    table = scratch.save(_values(spark, list(weights.items()), ["gram", "w"], "gram:string,w:array<double>").coalesce(1), "weights")
-    # A paragraph with none of these words has no gram that speaks for a family.
-    positive = sorted({g.split(" ")[0] for g, w in weights.items() if max(w[:-1]) > w[-1]})
-    scored = _margins(rows.filter("kept_out").withColumn("id", F.monotonically_increasing_id()).select("id", "g", "label"), table, bias, ["id", "label"])
-    scored = scored.select("margin", (F.col("label") < len(FAMILIES)).cast("double").alias("known"))
-    slope, offset = 1.0, 0.0
-    if scored.select("known").distinct().count() == 2:
-        one = LogisticRegression(featuresCol="m", labelCol="known", regParam=1e-3, maxIter=50).fit(VectorAssembler(inputCols=["margin"], outputCol="m").transform(scored))
-        slope, offset = float(one.coefficients[0]), float(one.intercept)
-    return LicenceModel(table, positive, bias, slope, offset)
-
-
-def _margins(rows: DataFrame, weights: DataFrame, bias: list[float], by: list[str]) -> DataFrame:
-    """Rows with g (grams) -> by, family (the best), margin over the unknown class."""
-    hit = rows.select(*by, F.explode("g").alias("gram")).join(F.broadcast(weights), "gram")
-    sums = hit.groupBy(*by).agg(*(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(bias))))
-    best = F.greatest(*(F.struct((F.col(f"s{i}") + bias[i]).alias("s"), F.lit(f).alias("f")) for i, f in enumerate(FAMILIES)))
-    return sums.select(*by, best["f"].alias("family"), F.round(best["s"] - (F.col(f"s{len(FAMILIES)}") + bias[-1]), 6).alias("margin"))
-
-
-def scan_licences(docs: DataFrame, model: LicenceModel, scratch: Scratch, least: float = 0.5, similarity: float = 0.6) -> DataFrame:
-    """(doc_id, text) -> doc_id, paragraph, family, p_known, template, similarity, confirmed of every paragraph not judged unknown.
-
-    ``similarity`` is the least share of a template's words (1- and 2-grams) that the paragraph must
-    have to confirm the family. Whole texts are scanned, line by line. Null and empty texts have no
-    paragraph; rows with equal ids are scanned on their own; a null doc_id stays null.
+    # The unknown class is the last, so that it is there even without rows of its own.
+    fit = LogisticRegression(featuresCol="_x", labelCol="label", family="multinomial", regParam=1e-3, elasticNetParam=0.5, maxIter=20, standardization=False).fit(data.filter("not kept_out"))
+    model = LicenceModel(vocabulary, fit, 1.0, 0.0, least, [])
+    held = model.scored(rows.filter("kept_out")).select("margin", known.cast("double").alias("known"))
+    one = LogisticRegression(featuresCol="m", labelCol="known", regParam=1e-3, maxIter=20).fit(VectorAssembler(inputCols=["margin"], outputCol="m").transform(held))
+    model.slope, model.offset = float(one.coefficients[0]), float(one.intercept)
+    model.strong = _strong_words(model, seen)
+    return model
+
+
+def _strong_words(model: LicenceModel, seen: dict[str, int]) -> list[str]:
+    """A word of each strong gram of each family; empty if a paragraph without any gram would be judged known.
+
+    The others' leads over the unknown class, all together, don't reach the least probability. The
+    words most often ``seen`` in the corpus are left to those as far as they go.
+    """
+    matrix, bias = model.fit.coefficientMatrix.toArray(), model.fit.interceptVector.toArray()
+    rare = [min(g.split(" "), key=lambda w: (seen.get(w, 0), -len(w))) for g in model.vocabulary]
+    order = sorted(range(len(rare)), key=lambda j: -seen.get(rare[j], 0))
+    strong: set[str] = set()
+    for f in range(len(FAMILIES)):
+        lead = matrix[f] - matrix[-1]
+        room = (math.log(model.least / (1 - model.least)) - model.offset) / model.slope - (bias[f] - bias[-1]) if model.slope > 0 else 0.0
+        if room <= MARGIN:
+            return []
+        for j in order:
+            if lead[j] > 0:
+                if lead[j] < room - MARGIN:
+                    room -= lead[j]
+                else:
+                    strong.add(rare[j])
+    return sorted(strong)
+
+
+def scan_licences(docs: DataFrame, model: LicenceModel, scratch: Scratch, similarity: float = 0.6) -> DataFrame:
+    """(doc_id, text) -> doc_id, paragraph, joined, family, p_known, template, similarity, confirmed of every notice.
+
+    ``similarity`` is the share that the best template of the family must have in common with the
+    paragraph: of its 1- and 2-grams or, for paragraphs of 12 grams and more, of the paragraph's. Single
+    lines that are confirmed are notices; so are the best of the joined paragraphs that overlap, if they
+    hold no such line, and single lines that stay unconfirmed and lie in none of those. Whole texts are
+    scanned. Null and empty texts have no paragraph; rows with equal ids are scanned on their own; a
+    null doc_id stays null.
     """
-    rows = paragraphs(docs).filter(F.arrays_overlap("w", F.array(*map(F.lit, model.positive or [""]))))
-    rows = scratch.save(rows.select(F.monotonically_increasing_id().alias("id"), "doc_id", "paragraph", "w"), "paragraphs").withColumn("g", grams(F.col("w"))).drop("w")
-    found = _margins(rows.select("id", "g"), model.weights, model.bias, ["id"])
-    p = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("margin") + F.lit(model.offset))))
-    found = scratch.save(found.withColumn("p_known", F.round(p, 6)).filter(F.col("p_known") >= least), "known")
-    known = found.join(rows, "id")
-    form = templates(docs.sparkSession).select("family", "template", grams(words(F.col("template"))).alias("tg"))
-    share = F.round(F.size(F.array_intersect("tg", "g")) / F.size("tg"), 6)
-    pairs = known.join(F.broadcast(form), "family").select("id", "doc_id", "paragraph", "family", "p_known", F.struct(share.alias("s"), F.length("template").alias("n"), F.col("template").alias("t")).alias("m"))
-    top = pairs.groupBy("id", "doc_id", "paragraph", "family", "p_known").agg(F.max("m").alias("m"))
-    return top.select("doc_id", "paragraph", "family", "p_known", F.col("m.t").alias("template"), F.col("m.s").alias("similarity"), (F.col("m.s") >= similarity).alias("confirmed"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = model.scored(paragraphs(rows, model.strong)).filter(F.col("p_known") >= model.least)
+    form = templates(docs.sparkSession).select("family", F.col("template"), grams(words(F.col("template"))).alias("tg"))
+    form = form.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("template", "tg"))).alias("forms"))
+    common = lambda t: F.size(F.array_intersect(t["tg"], F.col("g")))
+    share = lambda t: F.round(F.greatest(common(t) / F.size(t["tg"]), F.when(F.size("g") >= 12, common(t) / F.size("g")).otherwise(0.0)), 6)
+    best = F.array_max(F.transform("forms", lambda t: F.struct(share(t).alias("s"), F.length(t["template"]).alias("n"), t["template"].alias("t"))))
+    found = found.join(F.broadcast(form), "family").withColumn("m", best)
+    found = found.select("row", "doc_id", "paragraph", "joined", "family", "p_known", F.col("m.t").alias("template"), F.col("m.s").alias("similarity"), (F.col("m.s") >= similarity).alias("confirmed"))
+    found = scratch.save(found, "found")
+    near = lambda a, b: Window.partitionBy("row").orderBy("paragraph").rangeBetween(a, b)
+    sure = ~F.col("joined") & F.col("confirmed")
+    found = found.withColumn("taken", F.max(sure).over(near(0, JOINED - 1)))
+    rank = F.when(F.col("joined") & ~F.col("taken"), F.struct("confirmed", "similarity", "p_known", (-F.col("paragraph")).alias("first")))
+    found = found.withColumns({"rank": rank, "top": F.max(rank).over(near(1 - JOINED, JOINED - 1))})
+    found = found.withColumn("chosen", F.col("rank").isNotNull() & (F.col("rank") == F.col("top")))
+    inside = F.max(F.col("chosen") & F.col("joined")).over(near(1 - JOINED, 0))
+    found = found.withColumn("inside", inside)
+    keep = sure | (F.col("chosen") & F.col("joined")) | (~F.col("joined") & ~F.col("confirmed") & ~F.col("inside"))
+    found = found.filter(keep)
+    # A licence's text in several paragraphs on end is one notice.
+    order = Window.partitionBy("row").orderBy("paragraph", "joined")
+    body = F.col("joined") | ~F.col("template").isin([n for f in FAMILIES for n in NAMES[f]])
+    again = body & (F.lag("family").over(order) == F.col("family")) & (F.col("paragraph") - F.lag("paragraph").over(order) <= 2 * JOINED)
+    found = found.withColumn("again", F.coalesce(again, F.lit(False))).withColumn("notice", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(order))
+    parts = F.struct("confirmed", "similarity", "p_known", "joined", "template")
+    out = found.groupBy("row", "doc_id", "family", "notice").agg(F.min("paragraph").alias("paragraph"), F.max(parts).alias("m"))
+    return out.select("doc_id", "paragraph", "m.joined", "family", "m.p_known", "m.template", "m.similarity", "m.confirmed")
 
 
 def document_licences(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -1,8 +1,8 @@
 import re
-
+from dataclasses import replace
 
 from formlens.llm.common import Scratch, table
-from formlens.llm.license_scan import document_licences, scan_licences, train_licences
+from formlens.llm.license_scan import document_licences, known_wordings, scan_licences, train_licences
 
 SF = "/root/testdata/sf0.01"
 #: The notices that the corpus plants.
@@ -20,6 +20,34 @@ def test_planted_and_new_wordings_and_odd_rows(spark):
     assert {(r.doc_id, r.paragraph, r.family) for r in got} == {(3, 1, "MPL"), (None, 0, "BSD"), (6, 1, "AGPL")}
     assert scan_licences(docs.limit(0), model, Scratch(spark, "t")).collect() == []
 
+    # Wrapped notices, licence texts and unseen wordings; none of these lines is a training line.
+    lines = {r.line for r in known_wordings(spark).collect()}
+    filler = "Some words of a plain story that goes on.\nAnd on it goes, line by line.\n"
+    new = {
+        1: ("This program is distributed under the terms of the GNU\nGeneral Public License, version 3.", "GPL"),
+        2: ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal in the\nSoftware without restriction, including without limitation the rights to use, copy,\nmodify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "MIT"),
+        3: ("Redistribution and use in source and binary\nforms, with or without modification, are permitted provided that\nthe following conditions are met:", "BSD"),
+        4: ("These files may be shared, as the Apache License, Version 2.0 allows.", "Apache-2.0"),
+        5: ("The images of this book come under the Creative Commons Attribution-ShareAlike 4.0\nInternational License", "CC-BY-SA"),
+        6: ("distributed freely; you can redistribute it and/or modify it\nunder the terms of the GNU Lesser General Public License as published by the\nFree Software Foundation", "LGPL"),
+    }
+    same = lines & {x for t, _ in new.values() for x in t.split("\n")}
+    assert same == set()
+    rows = [(i, f"{filler}{t}\n{filler}") for i, (t, _) in new.items()] + [(9, filler + "\nShe got her driving licence in version 3 of the tests.\nThe general public was happy."), (10, "The license office reserved all rights to close the permission desk.")]
+    got = scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model, Scratch(spark, "t")).collect()
+    assert {(r.doc_id, r.family) for r in got if r.confirmed} == {(i, f) for i, (_, f) in new.items()}
+    assert {r.doc_id for r in got} == set(new)
+
+
+def test_leaving_out_texts_changes_nothing(spark):
+    """The words that texts must hold are a promise of the model: without them the result is the same."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    model = train_licences(docs, Scratch(spark, "t"))
+    assert 0 < len(model.strong) < 300
+    some = docs.filter("doc_id % 5 = 0")
+    rows = lambda m: sorted(map(str, scan_licences(some, m, Scratch(spark, "t")).collect()))
+    assert rows(model) == rows(replace(model, strong=[]))
+
 
 def test_one_row_per_document(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.\nReleased under the MIT License."), (2, None), (2, "plain text of no licence"), (None, "Apache-2.0")], "doc_id long, text string")
