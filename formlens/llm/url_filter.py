@@ -1,7 +1,8 @@
 """URL filter: longest matching host/path rule, else gradient-boosted trees on lexical features.
 
 The URLs that a rule decides are the labelled ones; the trees learn from a bounded, hash-chosen part
-of them and judge the rest.
+of them and judge the rest. A labelled URL's suffix statistics leave out its own fold of five, so they
+never hold its label, and the last fold is kept out of training: p_block there measures the trees.
 """
 
 from __future__ import annotations
@@ -15,10 +16,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Scratch
+from formlens.llm.common import Names, Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_entropy", "f_params", "f_param_length", "f_marks", "f_fragment", "f_suffix_rate", "f_suffix_count"]
+FEATURES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_entropy", "f_params", "f_param_length", "f_marks", "f_fragment"]
+LEVELS = 3  # labels of the longest host suffix that has statistics
+SUFFIX_FEATURES = [f"f_suffix{i}_{c}" for i in range(1, LEVELS + 1) for c in ("rate", "count")]
+
+
+FOLDS = 5
+
+
+def url_fold(url: Column) -> Column:
+    """Fold of a url, 0 to 4; the trees never learn from the last."""
+    return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -56,14 +67,14 @@ def lexical(df: DataFrame) -> DataFrame:
         "f_params": F.when(query == "", 0).otherwise(_count(query, "&") + 1), "f_param_length": F.length(query),
         "f_marks": _count(url, "-_%~@"), "f_fragment": F.instr(url, "#") > 0,
     }
-    return df.select("*", *(c.cast("double").alias(n) for n, c in made.items()), F.substring_index("host", ".", -1).alias("suffix"))
+    return df.select("*", *(c.cast("double").alias(n) for n, c in made.items()))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], scratch: Scratch, max_rows: int = 20_000, trees: int = 12, depth: int = 4) -> DataFrame:
     """(page_id, url) -> page_id, host, path, rule, verdict, p_block; one row per input row.
 
-    At most about ``max_rows`` rule-labelled urls, chosen by a hash of the url, fit the trees; suffix
-    statistics count all labelled rows. Without both classes among the labelled urls the trees are
+    At most about ``max_rows`` rule-labelled urls outside the last fold, chosen by a hash of the url, fit
+    the trees; suffix statistics count all labelled rows (of the other folds, for a labelled url). Without both classes among the labelled urls the trees are
     left out: every other url then gets the labelled class (allow, if there is none). Null urls are
     judged by the features of an empty text. Other columns are not read.
     """
@@ -72,14 +83,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], scratch: Scra
     df = df.withColumns({"host": host, "path": path})
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     df = scratch.save(lexical(df.withColumns({"rule": rule, "label": verdict})), "lexical")
-    suffix = df.filter("label is not null").groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("blocked"))
-    df = df.join(suffix, "suffix", "left").withColumns({
-        "f_suffix_rate": (F.coalesce("blocked", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2),
-        "f_suffix_count": F.log1p(F.coalesce("n", F.lit(0)).cast("double")),
-    })
-    known = df.filter("label is not null").select(*FEATURES, "url", (F.col("label") == "block").cast("double").alias("y"))
+    fold, blocked = url_fold(F.col("url")), F.col("label") == "block"
+    per_fold = [c for i in range(FOLDS) for c in (F.count_if(fold == i).alias(f"n{i}"), F.count_if((fold == i) & blocked).alias(f"b{i}"))]
+    others = lambda c: sum((F.when(F.col("label").isNotNull() & (fold == i), 0).otherwise(F.coalesce(f"{c}{i}", F.lit(0))) for i in range(FOLDS)), F.lit(0))
+    for level in range(1, LEVELS + 1):
+        columns, suffix = df.columns, F.substring_index("host", ".", -level).alias("suffix")
+        stats = Names(df.filter("label is not null").groupBy(suffix).agg(F.count("*").alias("n"), *per_fold), scratch, f"suffixes-{level}")
+        rate, count = (others("b") + 1) / (others("n") + 2), F.log1p(others("n").cast("double"))
+        df = stats.join(df.withColumn("suffix", suffix), ["suffix"], "left").select(*columns, rate.alias(f"f_suffix{level}_rate"), count.alias(f"f_suffix{level}_count"))
+    known = df.filter(F.col("label").isNotNull() & (fold < FOLDS - 1)).select(*FEATURES, *SUFFIX_FEATURES, "url", (F.col("label") == "block").cast("double").alias("y"))
     seen = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    vector = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
+    vector = VectorAssembler(inputCols=FEATURES + SUFFIX_FEATURES, outputCol="features", handleInvalid="keep")
     if len(seen) == 2:
         share = min(1.0, max_rows / sum(seen.values()))
         part = known.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).limit(2 * max_rows)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from formlens.llm.common import Scratch, table
 from formlens.llm.queries import URL_RULES
-from formlens.llm.url_filter import judge_urls
+from formlens.llm.url_filter import FOLDS, judge_urls, url_fold
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,6 +35,15 @@ def test_learns_a_lexical_pattern(spark):
     assert right > 0.95
 
 
+def test_trees_on_rule_labelled_urls_they_have_not_seen(spark):
+    """Real urls: the last fold's rule verdicts, which the trees didn't learn from."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url")
+    got = judge_urls(pages, URL_RULES, Scratch(spark, "t")).join(pages, "page_id").filter(F.col("rule").isNotNull() & (url_fold(F.col("url")) == FOLDS - 1))
+    right = got.agg(F.count("*").alias("n"), F.avg(((F.col("p_block") >= 0.5) == (F.col("verdict") == "block")).cast("double")).alias("right"), F.avg((F.col("verdict") == "block").cast("double")).alias("share")).first()
+    print(right)
+    assert right.n > 100 and right.right > max(right.share, 1 - right.share)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 1), (2, "", 2), (3, "no scheme/path", 3), (4, "HTTP://WWW.Example.COM/en/x?q#f", 4), (5, "http://x.net?/es/", 5), (6, "http://x.net/es/" + "a" * 50000, 6), (None, "http://É.net/fr/", 7), (4, "http://com/", 8), (8, "://", 9)]
     got = {str(r.page_id) + str(r.host)[:8]: (r.host, r.path[:4], r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, host int"), URL_RULES, Scratch(spark, "t"), trees=2).collect()}
