@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Scratch
+from formlens.llm.common import Names, Scratch
 
 WIDTH, ROW = 64, 192
 ITEM = "array<struct<position:int,kind:string,text:string,ref:string,caption:string,n_bytes:bigint>>"
@@ -150,10 +150,14 @@ def media_features(store: DataFrame) -> DataFrame:
     return store.select("ref", "media").mapInArrow(run, "ref string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def resolve(sequences: DataFrame, media: DataFrame, key: str) -> DataFrame:
-    """One row per item of each sequence, with the columns of ``media`` (one row per ref) where its ref is known."""
+def resolve(sequences: DataFrame, media: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """One row per item of each sequence, with the columns of ``media`` where its ref is known.
+
+    ``media`` may repeat a ref with the same values; a payload that many items ask for is broadcast.
+    """
     items = sequences.select(key, F.explode("items").alias("i")).select(key, "i.*")
-    return items.join(media, "ref", "left")
+    one = media.groupBy("ref").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in media.columns if c != "ref"))
+    return Names(one, scratch, "features").join(items, ["ref"], "left")
 
 
 def document_media(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -170,6 +174,5 @@ def document_media(docs: DataFrame, scratch: Scratch) -> DataFrame:
     label = F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown"))
     page = F.concat(F.lit("<article><h1>Document "), label, F.lit('</h1><figure><img src="'), F.col("ref"), F.lit('" data-bytes="'), F.col("n"), F.lit('"><figcaption>Payload of '), label, F.lit("</figcaption></figure></article>"))
     sequences = interleave(rows.select("doc_id", page.alias("html")), "doc_id")
-    found = media_features(store).dropDuplicates(["ref"])
-    out = resolve(sequences, found, "doc_id").filter("kind = 'media'")
+    out = resolve(sequences, media_features(store), "doc_id", scratch).filter("kind = 'media'")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

@@ -43,7 +43,7 @@ def test_sequences_keep_positions_and_captions(spark):
     assert [(i["position"], i["kind"], i["text"], i["ref"], i["caption"]) for i in items] == [(0, "text", "One & two", None, None), (1, "media", None, "m:1", "A cat"), (2, "text", "tail", None, None), (3, "media", None, "m:2", None)]
     assert parse_sequence(None) == [] and parse_sequence("") == [] and parse_sequence('<img src="a" data-bytes="x9">')[0]["n_bytes"] is None
     store = spark.createDataFrame([("m:1", "hello")], "ref string, t string").select("ref", pixmap(payload(F.col("t"))).alias("media"))
-    got = resolve(interleave(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")), media_features(store), "page_id").orderBy("position").collect()
+    got = resolve(interleave(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")), media_features(store), "page_id", Scratch(spark, "t")).orderBy("position").collect()
     assert [r.payload_bytes for r in got] == [None, 192, None, None]
 
 
