@@ -54,19 +54,38 @@ def _shares(cells: DataFrame, dim: str, target: Target) -> Column:
     return F.pow(own, F.lit(float(target))) / F.lit(float(whole))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Target], scratch: Scratch, rounds: int = 10) -> DataFrame:
-    """(source, lang, topic, t) with t > 0 -> the same and w, raked to the target shares of all tokens."""
+def marginal_gap(cells: DataFrame) -> float:
+    """Largest deviation of a raked marginal from its target, as a share of all tokens."""
+    total, gap = cells.agg(F.sum("t")).first()[0] or 1, 0.0
+    for dim in DIMS:
+        off = cells.groupBy(dim).agg(F.abs(F.sum("w") - F.first(f"target_{dim}")).alias("off")).agg(F.max("off")).first()[0]
+        gap = max(gap, float(off or 0) / float(total))
+    return gap
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Target], scratch: Scratch, rounds: int = 10, tolerance: float | None = None, turns: int = 100) -> DataFrame:
+    """(source, lang, topic, t) with t > 0 -> the same and w, raked to the target shares of all tokens.
+
+    ``rounds`` rounds; with a ``tolerance`` as many times ``rounds`` as the marginals take to be that
+    close to their targets, and an error if they aren't after ``turns`` times (targets that contradict each
+    other). Up to ``BROADCAST_CELLS`` cells are raked in one task, more by shuffles.
+    """
     for dim in DIMS:
         cells = cells.withColumn(f"_{dim}", F.sum("t").over(Window.partitionBy(dim)).cast("double"))
     cells = scratch.save(cells, "cells")
-    total = float(cells.agg(F.sum("t")).first()[0] or 0)
+    count, total = cells.agg(F.count("*"), F.sum("t")).first()
+    total, near = float(total or 0), (lambda df: df.coalesce(1)) if count <= BROADCAST_CELLS else (lambda df: df)
     cells = cells.select("*", F.col("t").cast("double").alias("w"), *((_shares(cells, d, targets[d]) * total).alias(f"target_{d}") for d in DIMS))
-    for i in range(rounds):
-        for dim in DIMS:
-            cells = cells.withColumn("w", F.col("w") * F.col(f"target_{dim}") / F.sum("w").over(Window.partitionBy(dim)))
-        if i % 5 == 4 or i == rounds - 1:
-            cells = scratch.save(cells, f"raked-{i}")
-    return cells
+    for turn in range(turns):
+        for i in range(rounds):
+            cells = near(cells)
+            for dim in DIMS:
+                cells = cells.withColumn("w", F.col("w") * F.col(f"target_{dim}") / F.sum("w").over(Window.partitionBy(dim)))
+            if i % 5 == 4 or i == rounds - 1:
+                cells = scratch.save(cells, f"raked-{turn}-{i}")
+        if tolerance is None or marginal_gap(cells) <= tolerance:
+            return cells
+    raise ValueError("the target shares contradict each other")
 
 
 def _scale(cells: DataFrame, budget: float) -> float | None:
@@ -88,7 +107,7 @@ def _scale(cells: DataFrame, budget: float) -> float | None:
         cut, c = n, left / float(rest)
 
 
-def mix_sources(docs: DataFrame, scratch: Scratch, targets: Mapping[str, Target] | None = None, budget: float = 0.5, rounds: int = 10, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, scratch: Scratch, targets: Mapping[str, Target] | None = None, budget: float = 0.5, rounds: int = 10, seed: int = 17, tolerance: float | None = None) -> DataFrame:
     """``docs`` with topic, tokens, p (probability to be sampled) and sampled (boolean).
 
     ``targets`` gives each of source, lang and topic a power or a mapping of shares (default: powers
@@ -104,7 +123,7 @@ def mix_sources(docs: DataFrame, scratch: Scratch, targets: Mapping[str, Target]
     rows = docs.withColumns({"topic": topic(F.col("text")), "tokens": tokens(F.col("text"))})
     cell = [F.coalesce(F.col(d).cast("string"), F.lit(UNKNOWN)) for d in ("source", "lang")] + [F.col("topic")]
     cells = rows.groupBy(*(c.alias(d) for c, d in zip(cell, DIMS, strict=True))).agg(F.sum("tokens").alias("t")).filter("t > 0")
-    cells = rake(cells, targets, scratch, rounds).withColumn("f", F.col("w") / F.col("t"))
+    cells = rake(cells, targets, scratch, rounds, tolerance).withColumn("f", F.col("w") / F.col("t"))
     scale = _scale(cells, budget)
     p = F.least(F.lit(1.0), F.col("f") * F.lit(scale)) if scale is not None else F.when(F.col("f") > 0, 1.0).otherwise(0.0)
     chosen = scratch.save(cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.round(p, 9).alias("p")), "probabilities")

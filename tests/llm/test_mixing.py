@@ -3,7 +3,7 @@ from collections import defaultdict
 import pytest
 
 from formlens.llm.common import Scratch, table
-from formlens.llm.mixing import mix_sources, rake
+from formlens.llm.mixing import marginal_gap, mix_sources, rake, tokens, topic
 
 SF = "/root/testdata/sf0.01"
 
@@ -21,6 +21,23 @@ def test_marginals_are_met(spark):
     assert by["lang", "y"] / by["lang", "z"] == pytest.approx(y / z, rel=1e-6)
 
 
+def test_convergence_is_checked(spark):
+    cells = spark.createDataFrame([(s, l, t, 10 + 7 * i) for i, (s, l, t) in enumerate((s, l, t) for s in "ab" for l in "xy" for t in "pq")], "source string, lang string, topic string, t long")
+    targets = {"source": {"a": 0.1, "b": 0.9}, "lang": {"x": 0.2, "y": 0.8}, "topic": {"p": 0.5, "q": 0.5}}
+    close = rake(cells, targets, Scratch(spark, "t"), rounds=5, tolerance=1e-9)
+    assert marginal_gap(close) <= 1e-9 < marginal_gap(rake(cells, targets, Scratch(spark, "t"), rounds=1))
+    pair = cells.filter("(source = 'a') = (lang = 'x')")
+    with pytest.raises(ValueError):
+        rake(pair, targets, Scratch(spark, "t"), rounds=2, tolerance=1e-9, turns=2)
+
+
+def test_the_corpus_is_mixed_to_its_targets(spark):
+    """Ten rounds bring the corpus' own marginals to their targets."""
+    docs = table(spark, SF, "documents").selectExpr("source", "lang", "text")
+    cells = docs.select("source", "lang", topic(docs.text).alias("topic"), tokens(docs.text).alias("t")).groupBy("source", "lang", "topic").sum("t").withColumnRenamed("sum(t)", "t").filter("t > 0")
+    assert marginal_gap(rake(cells, {"source": 0.5, "lang": 0.7, "topic": 0.7}, Scratch(spark, "t"))) < 1e-4
+
+
 def test_expected_tokens_meet_the_budget(spark):
     rows = mix_sources(table(spark, SF, "documents"), Scratch(spark, "t"), budget=0.4).collect()
     total = sum(r.tokens for r in rows)
