@@ -83,6 +83,7 @@ class Vocabulary:
         for b in range(256):
             raw[self.byte[b]] = bytes([b])
         self.raw_start = np.r_[0, np.cumsum([len(x) for x in raw])]
+        self.raw_size = np.diff(self.raw_start)
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
     def slot(self, h: np.ndarray) -> np.ndarray:
@@ -98,11 +99,15 @@ class Vocabulary:
         here = self.key[at] == h
         return np.where(here, self.id[at], NONE), here & self.more[at]
 
+    def pieces(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a piece sequence, and how many each piece has."""
+        start, size = self.raw_start[ids], self.raw_size[ids]
+        before = np.cumsum(size) - size
+        return self.raw[np.repeat(start - before, size) + np.arange(size.sum())], size
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a piece sequence without the leading word mark."""
-        start, size = self.raw_start[ids], self.raw_start[ids + 1] - self.raw_start[ids]
-        at = np.arange(size.sum()) + np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size)
-        return self.raw[at].tobytes()[1:]
+        return self.pieces(ids)[0].tobytes()[1:]
 
 
 @lru_cache(maxsize=2)
@@ -144,8 +149,9 @@ class Lattice:
     def _fill(self, v: Vocabulary, alpha: float, left: np.ndarray) -> None:
         """Options (pieces that match) of every position, those nearest to their word's end first: size, id, log-probability, distribution."""
         n = len(left)
-        rows, h, found = np.arange(n), np.zeros(n, U), []
-        many = np.zeros(n, np.int64)
+        rows, h, found = np.arange(n, dtype=np.int32), np.zeros(n, U), []
+        many = np.zeros(n, np.int32)
+        left = left.astype(np.int32)
         for size in range(1, v.longest + 1):
             h = _grow(h, self.points[rows + size - 1])
             got, more = v.find(h)
@@ -158,9 +164,9 @@ class Lattice:
             rows, h = rows[on], h[on]
         order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 65536 else left, kind="stable")
         edge = np.r_[0, np.cumsum(many[order])]
-        self.lo, self.hi = np.empty(n, np.int64), np.empty(n, np.int64)
+        self.lo, self.hi = np.empty(n, np.int32), np.empty(n, np.int32)
         self.lo[order], self.hi[order] = edge[:-1], edge[1:]
-        self.size, self.id, row = np.empty(edge[-1], np.int64), np.empty(edge[-1], np.int32), np.empty(edge[-1], np.int64)
+        self.size, self.id, row = np.empty(edge[-1], np.int32), np.empty(edge[-1], np.int32), np.empty(edge[-1], np.int32)
         free = self.lo.copy()
         for size, (at, got) in enumerate(found, 1):
             e = free[at]
@@ -298,6 +304,11 @@ def _ids(lattice: Lattice, v: Vocabulary, place: np.ndarray, option: np.ndarray)
     plain = np.flatnonzero(ids == BYTES)
     if not len(plain):
         return ids
+    code = lattice.points[place[plain]]
+    if code.max() < 0x80:
+        ids = ids.copy()
+        ids[plain] = v.byte[code]
+        return ids
     parts, last = [], 0
     for i, c in zip(plain.tolist(), lattice.points[place[plain]].tolist(), strict=True):
         parts += [ids[last:i], v.byte[np.frombuffer(chr(MARK if c == 0x110000 else c).encode("utf-8", "surrogatepass"), np.uint8)]]
@@ -327,8 +338,12 @@ def encode_samples(docs: DataFrame, model_path: str, k: int = 2, alpha: float =
                 size = np.array([len(r[2]) for r in rows], np.int32)
                 flat = np.concatenate([np.zeros(0, np.int32), *(r[2] for r in rows)])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat))
+                back, long = v.pieces(flat)
+                end = np.r_[0, np.cumsum(long)][np.cumsum(size)] if len(size) else size
+                back, first = back.tobytes(), np.r_[0, end]
+                decoded = [back[a + 1 : b] == raw[r[0]] for r, a, b in zip(rows, first[:-1].tolist(), end.tolist(), strict=True)]
                 own = ids.take(pa.array([r[0] for r in rows], pa.int64()))
-                columns = [own, pa.array([r[1] for r in rows], pa.int32()), lists, pa.array(size), *(pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)), pa.array([v.decode(r[2]) == raw[r[0]] for r in rows])]
+                columns = [own, pa.array([r[1] for r in rows], pa.int32()), lists, pa.array(size), *(pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)), pa.array(decoded, pa.bool_())]
                 yield pa.record_batch(columns, schema=SAMPLE)
         release()
 
