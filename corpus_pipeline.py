@@ -1,7 +1,12 @@
 """Corpus pipeline over ``documents``: quality, line dedup, near duplicates, mixing, subword encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents, whatever they are.
+
+In every stage null and empty texts are documents without lines, words or tokens: quality scores them
+as a text without features, line dedup and near duplicates leave them alone, mixing gives them their
+cell's probability, and they have one empty segmentation. Rows with equal or null doc_ids are documents
+of their own (mixing and sampling seed them alike). An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Scratch, table
+from formlens.llm.common import Scratch, row_numbers, table
 from formlens.llm.jaccard_join import BROADCAST_ROWS, near_duplicates
 from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.mixing import mix_sources
@@ -45,11 +50,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least doc_id."""
-    scratch = _scratch(spark, "near")
-    gone = scratch.save(near_duplicates(docs, scratch).filter("doc_id <> component_id").select("doc_id"), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: that with the least doc_id.
+
+    Repeated or null doc_ids: rows are numbered by doc_id (null last) and text first, so that exactly
+    one row of a group stays. Documents without words are alone and stay.
+    """
+    scratch, columns = _scratch(spark, "near"), docs.columns
+    n, distinct = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == distinct:
+        docs = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    else:
+        docs = row_numbers(docs.drop("_row"), [F.asc_nulls_last("doc_id"), F.sha2("text", 256)], scratch, "_row")
+    gone = near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"), scratch).filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
+    gone, seen = scratch.measured(gone, "gone", F.count("*").alias("n"))
+    few = seen["n"] <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
