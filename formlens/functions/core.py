@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 #: How a style label reads when the text is typed.
 TYPED = ["", "typed text", "none", "typed"]
-BULLETS = "●○•◦▪■□◯‣⁃"
-DASHES = "‐‑‒–—―−"
+#: List marks, and the characters that text matching folds or drops.
+BULLETS = "●○■▪◆◇•·"
+BLANKS = "\u200b\u200c\u200d"
+DASHES = "‐‑‒–—―−﹘﹣－·•"
+SINGLE_QUOTES, DOUBLE_QUOTES = "‘’ʼ`´", "“”"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff\u00ad"
+#: Cyrillic and Greek letters that stand for a label's Latin ones.
+LOOK_ALIKES = {"А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "Α": "A", "Β": "B", "Ε": "E", "Η": "H"}
+#: Answer formats and what they are called.
+FORMATS = {"inline_blanks": "Fill-in-the-blank", "open_response": "Open response", "bullet_answer": "Bullet list", "table": "Table / chart", "multiple_choice": "Multiple choice"}
 
 
 def pct(part: Column, whole: Column) -> Column:
@@ -65,13 +73,62 @@ def error_class(error: Column) -> Column:
     return F.split_part(error, F.lit(":"), F.lit(1))
 
 
+def error_text(error: Column) -> Column:
+    """Error class and the first 200 characters of what it says."""
+    kind = error_class(error)
+    rest = F.trim(F.substr(error, F.length(kind) + 2))
+    return F.when(rest == "", kind).otherwise(F.concat(kind, F.lit(": "), F.left(rest, F.lit(200))))
+
+
+def short_ua(ua: Column) -> Column:
+    """A user agent's first 200 characters; empty for null."""
+    return F.left(F.coalesce(ua, F.lit("")), F.lit(200))
+
+
+def valid_job_id(job: Column) -> Column:
+    """1 to 64 characters of the URL-safe base64 alphabet."""
+    return F.coalesce(job, F.lit("")).rlike(r"\A[A-Za-z0-9_-]{1,64}\z")
+
+
+def format_label(ident: Column) -> Column:
+    """What a format id is called; an unknown id stays."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in FORMATS.items() for x in kv)), ident), ident)
+
+
+def active_formats(asked: Column) -> Column:
+    """Those of the asked formats that are known, in the order asked; all known ones if that leaves none."""
+    known = F.array(*map(F.lit, FORMATS))
+    kept = F.array_intersect(F.coalesce(asked, F.array().cast("array<string>")), known)
+    return F.when(F.size(kept) == 0, known).otherwise(kept)
+
+
+def token_live(expires: Column, as_of: Column) -> Column:
+    """Whether a token still counts: an expiry that can't be read counts as valid."""
+    return F.coalesce(parse_ts(expires) >= as_of, F.lit(True))
+
+
+def ocr_box(box: Column, width: float, height: float, scale: float = 1000.0) -> Column:
+    """Corners in thousandths of the page, in any order -> struct<x0,y0,x1,y1> in points."""
+    side = lambda pick, i, size: pick(F.array(box[i], box[i + 2])) * size / scale
+    return F.struct(side(F.array_min, 0, width).alias("x0"), side(F.array_min, 1, height).alias("y0"), side(F.array_max, 0, width).alias("x1"), side(F.array_max, 1, height).alias("y1"))
+
+
+def ocr_placeholders(text: Column, slots: Column) -> Column:
+    """Runs of three underscores or more replaced by the slots in turn; surplus slots follow at the end."""
+    parts = F.split(text, "_{3,}")
+    mark = lambda s: F.concat(F.lit("{{"), s, F.lit("}}"))
+    filled = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.coalesce(mark(F.get(slots, i - 1)), F.lit("")), p)))
+    surplus = F.transform(F.slice(slots, F.size(parts), F.greatest(F.size(slots) - F.size(parts) + 1, F.lit(0))), lambda s: F.concat(F.lit(" "), mark(s)))
+    return F.concat(F.array_join(filled, ""), F.array_join(surplus, ""))
+
+
 def account_hash(subject: Column) -> Column:
     return F.concat(F.lit("u"), F.left(F.sha2(subject, 256), F.lit(16)))
 
 
 def strip_bullet(text: Column) -> Column:
     """Text after leading spaces, bullets and zero-width characters."""
-    return F.regexp_replace(text, rf"^[\s{BULLETS}​﻿]+", "")
+    return F.regexp_replace(text, rf"^[\s{BULLETS}{BLANKS}]+", "")
 
 
 def is_bulleted(text: Column) -> Column:
@@ -88,7 +145,7 @@ def is_question_start(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Dashes and quotes folded, zero-width characters dropped, spaces collapsed, lower case."""
-    folded = F.translate(text, DASHES + "‘’“”​﻿", "-" * len(DASHES) + "''\"\"")
+    folded = F.translate(text, DASHES + SINGLE_QUOTES + DOUBLE_QUOTES + ZERO_WIDTH, "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
     return F.lower(F.trim(F.regexp_replace(folded, r"\s+", " ")))
 
 

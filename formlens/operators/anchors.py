@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlens.functions.core import clamp, is_empty_bullet, is_question_start, underscore_runs
-from formlens.operators.layout import BOTTOM, PAGE, ROOM, cell_text, glyphs, stacked_options, stems
+from formlens.functions.core import clamp, is_empty_bullet, is_question_start, placeholder_text, underscore_runs
+from formlens.operators.layout import BOTTOM, LETTERS, PAGE, ROMAN, ROOM, cell_chars, glyphs, open_responses, option_lines, outside, stems
 
 
 def page_base(anchors: DataFrame, pages: DataFrame) -> DataFrame:
@@ -17,14 +17,26 @@ def page_base(anchors: DataFrame, pages: DataFrame) -> DataFrame:
     return anchors.join(shift, "doc_id").select("doc_id", "item_no", (F.col("page") - F.col("s")).alias("page"))
 
 
-def slots(lines: DataFrame, width: int = 15, advance: float = 5.0, reach: float = 60.0) -> DataFrame:
-    """The first underscore run within reach after the anchor at a line's start, else a box made there."""
-    end = F.col("x0") + advance * F.least(F.length("text"), F.lit(width))
-    rows = lines.withColumns({"end": end, "runs": underscore_runs(F.col("text"))})
-    near = F.filter("runs", lambda r: (F.col("x0") + advance * r["start"] >= F.col("end")) & (F.col("x0") + advance * r["start"] <= F.col("end") + reach))
-    run = F.get(near, 0)
-    start = F.col("x0") + advance * run["start"]
-    return rows.withColumn("run", run).select(*PAGE, "line_no", F.coalesce(start, F.col("end") + 2).alias("sx0"), F.coalesce(start + advance * run["length"], F.col("end") + 2 + reach).alias("sx1"), run.isNull().alias("made"))
+def slots(anchors: DataFrame, advance: float = 5.0, reach: float = 60.0, made: float = 130.0, margin: float = 572.0) -> DataFrame:
+    """Blank beside each anchor (first and last character a0 and a1, position before or after) on its line: position, sx0, sx1, underscores.
+
+    The nearest underscore run on the anchor's side within ``reach``; else a box made there: after the
+    anchor up to the next printed text or the margin, before it at most ``made`` wide.
+    """
+    left = lambda i: F.col("x0") + advance * i
+    after = F.get(F.filter("runs", lambda r: r["start"] > F.col("a1")), 0)
+    before = F.try_element_at(F.filter("runs", lambda r: r["start"] + r["length"] <= F.col("a0")), F.lit(-1))
+    is_after = F.col("position") == "after"
+    rows = anchors.withColumn("runs", underscore_runs(F.col("text"))).withColumn("run", F.when(is_after, after).otherwise(before))
+    gap = F.when(is_after, left(F.col("run.start")) - left(F.col("a1") + 1)).otherwise(left(F.col("a0")) - left(F.col("run.start") + F.col("run.length")))
+    near = F.coalesce(gap <= reach, F.lit(False))
+    rest = F.substr("text", F.col("a1") + 2)
+    printed = F.when(F.trim(rest) != "", F.col("a1") + 1 + F.length(rest) - F.length(F.ltrim(rest)))
+    limit, start = F.least(F.lit(margin), left(printed) - 4), left(F.col("a1") + 1) + 3
+    end = F.when(limit - start >= 8, limit).otherwise(start + made)
+    sx0 = F.when(near, left(F.col("run.start"))).when(is_after, start).otherwise(F.greatest(F.col("x0"), left(F.col("a0")) - made))
+    sx1 = F.when(near, left(F.col("run.start") + F.col("run.length"))).when(is_after, end).otherwise(left(F.col("a0")) - 2)
+    return rows.select(*PAGE, "line_no", "position", sx0.alias("sx0"), sx1.alias("sx1"), F.when(near, F.col("run.length")).otherwise(0).alias("underscores"))
 
 
 def regions(anchors: DataFrame, lines: DataFrame) -> DataFrame:
@@ -42,13 +54,25 @@ def bullets_between(lines: DataFrame) -> DataFrame:
     return q.join(b, PAGE).filter((F.col("bullet") > F.col("line_no")) & (F.col("bullet") < F.col("until"))).select(*PAGE, "line_no", "bullet")
 
 
+def choice_options(lines: DataFrame, advance: float = 5.0) -> DataFrame:
+    """Options of each run: first_line, opt, label, system, text (wrapped lines joined) and the box of the label."""
+    rows = option_lines(lines)
+    end = F.regexp_instr(F.left("text", F.lit(8)), F.lit("[.)]"))
+    label = F.col("token").isNotNull()
+    size = F.when(end > 0, end).otherwise(F.least(F.length("text"), F.lit(8)))
+    only = lambda c: F.when(label, F.col(c))
+    boxes = [F.min(only("x0")).alias("x0"), F.min(only("y0")).alias("y0"), F.max(F.when(label, F.col("x0") + advance * size)).alias("x1"), F.max(only("y1")).alias("y1")]
+    parts = F.sort_array(F.collect_list(F.struct("y0", "x0", "line_no", F.trim("text").alias("text"))))
+    each = rows.groupBy(*PAGE, "first_line", "opt").agg(*boxes, F.first("system").alias("system"), F.max("token").alias("label"), parts.alias("p"))
+    return each.select(*PAGE, "first_line", "opt", "label", "system", F.array_join(F.transform("p", lambda s: s["text"]), " ").alias("text"), "x0", "y0", "x1", "y1")
+
+
 def choice_units(lines: DataFrame) -> DataFrame:
-    """Runs of options with their stem, texts and common box."""
-    runs = stacked_options(lines)
-    held = runs.join(lines, PAGE).filter(F.col("line_no").between(F.col("first_line"), F.col("last_line")))
-    parts = F.sort_array(F.collect_list(F.struct("line_no", "text")))
-    out = held.groupBy(*PAGE, "first_line").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(F.transform(parts, lambda p: p["text"]), " | ").alias("options"))
-    return out.join(stems(lines, runs).select(*PAGE, "first_line", "stem"), [*PAGE, "first_line"], "left")
+    """Runs of options with their stem, texts and the common box of their labels."""
+    options = F.sort_array(F.collect_list(F.struct("opt", "text")))
+    out = choice_options(lines).groupBy(*PAGE, "first_line").agg(F.count("*").alias("n"), F.first("system").alias("system"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), options.alias("o"))
+    out = out.select(*PAGE, "first_line", "n", "system", "x0", "y0", "x1", "y1", F.array_join(F.transform("o", lambda x: x["text"]), " | ").alias("options"))
+    return out.join(stems(lines).select(*PAGE, "first_line", "stem"), [*PAGE, "first_line"], "left")
 
 
 def suppress(units: DataFrame, bands: DataFrame) -> DataFrame:
@@ -61,7 +85,8 @@ def chosen_option(units: DataFrame, answers: DataFrame) -> DataFrame:
     """Option label that an answer names: its leading letters, else their first; null if it isn't offered."""
     token = F.nullif(F.regexp_extract(F.upper(F.trim("answer")), r"^\(?([A-Z]+)", 1), F.lit(""))
     rows = units.join(answers, [*PAGE, "first_line"]).withColumn("token", token)
-    offered = F.slice(F.array(*map(F.lit, "ABCDEFGH")), F.lit(1), F.col("n").cast("int"))
+    labels = lambda system: F.slice(F.array(*map(F.lit, system)), F.lit(1), F.col("n").cast("int"))
+    offered = F.when(F.col("system") == "roman", labels(ROMAN)).otherwise(labels(LETTERS))
     first = F.left("token", F.lit(1))
     return rows.select(*PAGE, "first_line", F.when(F.array_contains(offered, F.col("token")), F.col("token")).when(F.array_contains(offered, first), first).alias("label"))
 
@@ -75,12 +100,19 @@ def clamped_regions(lines: DataFrame, obstacles: DataFrame) -> DataFrame:
 
 
 def table_prompts(cells: DataFrame) -> DataFrame:
-    """Body cells as lines that name their header: [under "h"] text."""
-    head = cells.filter("row = 0").select(*PAGE, "col", F.trim("text").alias("h"))
-    body = cells.filter("row > 0").join(head, [*PAGE, "col"], "left")
-    line = F.concat(F.coalesce(F.concat(F.lit('[under "'), F.col("h"), F.lit('"] ')), F.lit("")), F.trim("text"))
-    parts = F.sort_array(F.collect_list(F.struct("row", "col", line.alias("t"))))
-    return body.groupBy(*PAGE).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("prompt"))
+    """Cells (row, col, n, text with placeholders) as the lines of a prompt.
+
+    The first row is the header if none of its cells has a blank; the others' lines then name it, else
+    every line names its row and column. Empty cells have no line.
+    """
+    head = F.max(F.when(F.col("row") == 0, F.col("n"))).over(Window.partitionBy(*PAGE))
+    rows = cells.withColumn("has_header", F.coalesce(head, F.lit(0)) == 0)
+    names = rows.filter("row = 0").select(*PAGE, "col", F.col("text").alias("h"))
+    body = rows.filter("text <> '' and (row > 0 or not has_header)").join(names, [*PAGE, "col"], "left")
+    named = F.concat(F.lit('  [under "'), F.coalesce("h", F.lit("")), F.lit('"] '), F.col("text"))
+    placed = F.concat(F.lit("  [r"), F.col("row").cast("string"), F.lit("c"), F.col("col").cast("string"), F.lit("] "), F.col("text"))
+    parts = F.sort_array(F.collect_list(F.struct("row", "col", F.when(F.col("has_header"), named).otherwise(placed).alias("t"))))
+    return body.groupBy(*PAGE).agg(F.concat(F.lit("TABLE:\n"), F.array_join(F.transform(parts, lambda p: p["t"]), "\n")).alias("prompt"))
 
 
 def table_regions(chars: DataFrame, boxes: DataFrame, rows: int = 2, columns: int = 3, room: float = 30.0) -> DataFrame:
@@ -95,23 +127,111 @@ def table_regions(chars: DataFrame, boxes: DataFrame, rows: int = 2, columns: in
     return out.filter(F.col("cy1") - F.col("top") >= room).select(*PAGE, "row", "col", "top", F.col("cy1").alias("bottom"))
 
 
+def cell_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Text of each line within each table cell, with n, its number of blanks."""
+    parts = F.sort_array(F.collect_list(F.struct("char_no", "ch")))
+    rows = cell_chars(glyphs(lines), boxes).groupBy(*PAGE, "row", "col", "line_no").agg(F.array_join(F.transform(parts, lambda s: s["ch"]), "").alias("text"))
+    return rows.withColumn("n", F.regexp_count("text", F.lit("_+")))
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """first_slot: number of each row's first blank in its document. Pages are summed first, so no window spans a document's rows."""
+    page = Window.partitionBy(*PAGE)
+    per = rows.groupBy(*PAGE).agg(F.sum("n").alias("all"))
+    base = per.select(*PAGE, (F.sum("all").over(Window.partitionBy("doc_id").orderBy("page")) - F.col("all")).alias("base"))
+    return rows.withColumn("before", F.sum("n").over(page.orderBy(*order)) - F.col("n")).join(base, PAGE).withColumn("first_slot", F.col("base") + F.col("before") + 1).drop("base", "before")
+
+
+def filled_cells(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Cells with their text, blanks numbered through the document as {{sN}}: row, col, n, first_slot (null without blanks), text."""
+    rows = _numbered(cell_lines(lines, boxes), "row", "col", "line_no")
+    rows = rows.select(*PAGE, "row", "col", "line_no", placeholder_text(F.col("text"), F.col("first_slot")).alias("t"), F.col("n").alias("blanks"), F.when(F.col("n") > 0, F.col("first_slot")).alias("first"))
+    parts = F.sort_array(F.collect_list(F.struct("line_no", "t")))
+    cells = rows.groupBy(*PAGE, "row", "col").agg(F.sum("blanks").alias("n"), F.min("first").alias("first_slot"), parts.alias("p"))
+    text = F.array_join(F.transform("p", lambda p: p["t"]), " ")
+    return cells.select(*PAGE, "row", "col", "n", "first_slot", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+
+
+def slot_ids(first: Column, n: Column) -> Column:
+    """Ids of n slots from the first on."""
+    return F.when(n > 0, F.transform(F.sequence(first, first + n - 1), lambda i: F.concat(F.lit("s"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+
+
 def cell_slots(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Underscore runs of each cell, numbered through the document by cell order."""
-    cells = cell_text(glyphs(lines), boxes).withColumn("n", F.regexp_count("text", F.lit("_+"))).filter("n > 0")
-    w = Window.partitionBy("doc_id").orderBy("page", "row", "col")
-    return cells.select(*PAGE, "row", "col", "n", (F.sum("n").over(w) - F.col("n") + 1).alias("first_slot"))
+    """Cells with blanks: their text with placeholders and their slot ids."""
+    cells = filled_cells(lines, boxes).filter("n > 0")
+    return cells.withColumn("slots", F.array_join(slot_ids(F.col("first_slot"), F.col("n")), ","))
+
+
+def table_slots(cells: DataFrame) -> DataFrame:
+    """All slot ids of each page's table, in order of its cells."""
+    parts = F.sort_array(F.collect_list(F.struct("row", "col", slot_ids(F.col("first_slot"), F.col("n")).alias("s"))))
+    return cells.filter("n > 0").groupBy(*PAGE).agg(F.array_join(F.flatten(F.transform(parts, lambda p: p["s"])), ",").alias("slots"))
+
+
+def slot_numbers(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Blanks numbered through the document: on each page those of the table's cells, then those of the lines outside it."""
+    none = F.lit(None).cast("int")
+    inline = outside(lines, boxes).withColumn("n", F.regexp_count("text", F.lit("_+"))).select(*PAGE, F.lit(1).alias("after_table"), none.alias("row"), none.alias("col"), "line_no", "n")
+    cells = cell_lines(lines, boxes).select(*PAGE, F.lit(0).alias("after_table"), "row", "col", "line_no", "n")
+    return _numbered(cells.unionByName(inline).filter("n > 0"), "after_table", "row", "col", "line_no").select(*PAGE, "row", "col", "line_no", "n", "first_slot")
 
 
 def anchor_items(df: DataFrame, column: str = "reply") -> DataFrame:
-    """Items of a model's reply that keep to the schema: kind and blank position from their lists, an anchor text."""
+    """Items of a model's reply that keep to the schema (kind and blank position from their lists, an anchor text), and their place by page and the model's order."""
     schema = "array<struct<page:int,kind:string,anchor_text:string,blank_position:string>>"
     rows = df.select("doc_id", F.posexplode(F.from_json(F.col(column), schema)).alias("item_no", "i")).select("doc_id", "item_no", "i.*")
-    return rows.filter(F.col("kind").isin("inline", "open", "bullet", "choice") & F.col("blank_position").isin("before", "after", "below") & (F.trim("anchor_text") != "") & (F.col("page") >= 0))
-
-
-def clean_overlays(df: DataFrame, pages: DataFrame) -> DataFrame:
-    """Sizes clamped to 6..48, unknown fonts replaced, pages outside the document left out."""
+    rows = rows.filter(F.col("kind").isin("inline", "open", "bullet", "choice") & F.col("blank_position").isin("before", "after", "below") & (F.trim("anchor_text") != "") & (F.col("page") >= 0))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "item_no")))
+
+
+def overlays(lines: DataFrame, units: DataFrame, answers: DataFrame, advance: float = 5.0) -> DataFrame:
+    """Editable boxes of numbered units and answers (doc_id, slot, answer): kind, key, box and text.
+
+    Each inline blank has a box just above its underscores and the text of its slot; each open response
+    its room and the text of its unit; both are empty without an answer. A choice is a circle round the
+    label that the answer to the unit of its first line names, and nothing without one.
+    """
+    said = answers.withColumnRenamed("slot", "key")
+    own = units.join(lines.select(*PAGE, "line_no", "text", "x0", "x1", "y0", "y1"), [*PAGE, "line_no"])
+    blanks = own.filter("kind = 'inline_blank'").withColumn("n", F.regexp_count("text", F.lit("_+")))
+    blanks = _numbered(blanks, "line_no").select(*PAGE, "line_no", "x0", "y1", "first_slot", F.posexplode(underscore_runs(F.col("text"))).alias("i", "r"))
+    left = F.col("x0") + advance * F.col("r.start")
+    blanks = blanks.select(*PAGE, F.lit("text").alias("kind"), F.concat(F.lit("s"), (F.col("first_slot") + F.col("i")).cast("string")).alias("key"), left.alias("x0"), (F.col("y1") - 13).alias("y0"), (left + advance * F.col("r.length")).alias("x1"), (F.col("y1") + 1).alias("y1"))
+    room = open_responses(lines).select(*PAGE, "line_no", "top", "bottom")
+    spaces = own.filter("kind = 'open_response'").join(room, [*PAGE, "line_no"])
+    spaces = spaces.select(*PAGE, F.lit("text").alias("kind"), F.col("unit_id").alias("key"), "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"))
+    texts = blanks.unionByName(spaces).join(said, ["doc_id", "key"], "left").withColumn("text", F.coalesce("answer", F.lit(""))).drop("answer")
+    asked = units.filter("kind = 'multiple_choice'").select(*PAGE, F.col("line_no").alias("first_line"), F.col("unit_id").alias("key")).join(said, ["doc_id", "key"])
+    options = choice_options(lines)
+    runs = options.groupBy(*PAGE, "first_line", "system").agg(F.count("*").alias("n"))
+    named = chosen_option(runs, asked.select(*PAGE, "first_line", "answer")).join(asked.drop("answer"), [*PAGE, "first_line"])
+    circles = named.join(options, [*PAGE, "first_line", "label"]).select(*PAGE, F.lit("circle").alias("kind"), "key", "x0", "y0", "x1", "y1", F.lit("").alias("text"))
+    return texts.unionByName(circles)
+
+
+def answer_centres(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """y-centre of every answer space: one for each inline blank, one for each other unit but choices."""
+    own = found.filter("kind not in ('multiple_choice', 'multiple_choice_inline')").join(lines.select(*PAGE, "line_no", "text", "y0", "y1"), [*PAGE, "line_no"])
+    many = F.when(F.col("kind") == "inline_blank", F.regexp_count("text", F.lit("_+"))).otherwise(1)
+    return own.select(*PAGE, "line_no", ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.explode(F.sequence(F.lit(1), many)).alias("slot"))
+
+
+def clean_overlays(df: DataFrame, pages: DataFrame, most_points: int = 2000) -> DataFrame:
+    """Overlays of the editor as they are kept: page inside the document, sizes, fonts, colours and widths within their ranges.
+
+    Ink (points, color, width) needs two points at least and keeps the first ``most_points``; every other
+    kind (bbox, size, font) needs a box of four numbers.
+    """
     n = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
-    size = clamp(F.col("size"), 6, 48, 12)
-    font = F.when(F.col("font").isin("helv", "tiro", "cour"), F.col("font")).otherwise("helv")
-    return df.join(n, "doc_id").filter((F.col("page") >= 0) & (F.col("page") < F.col("n"))).select("doc_id", "page", "line_no", size.alias("size"), font.alias("font"))
+    ink = F.coalesce("kind", F.lit("")) == "ink"
+    points = F.slice("points", 1, most_points)
+    color = F.lower(F.coalesce("color", F.lit("")))
+    ok = F.when(ink, F.coalesce(F.size(points) >= 2, F.lit(False)) & ~F.exists(points, lambda p: F.size(p) != 2)).otherwise(F.coalesce(F.size("bbox") == 4, F.lit(False)))
+    rows = df.join(n, "doc_id").filter((F.col("page") >= 0) & (F.col("page") < F.col("n")) & ok)
+    of = lambda is_ink, c: F.when(ink == is_ink, c)
+    return rows.select(
+        "doc_id", "page", "line_no", F.when(F.col("kind").isin("ink", "circle"), F.col("kind")).otherwise("text").alias("kind"),
+        of(True, F.size(points)).alias("n_points"), of(True, F.when(color.rlike(r"\A#[0-9a-f]{6}\z"), color).otherwise("#1a1a1a")).alias("color"), of(True, clamp(F.col("width"), 0.5, 20.0, 2.0)).alias("width"),
+        of(False, clamp(F.col("size"), 6.0, 48.0, 11.0)).alias("size"), of(False, F.when(F.col("font").isin("sans", "serif", "mono"), F.col("font")).otherwise("sans")).alias("font"),
+    )

@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlens.functions.core import is_bulleted, is_empty_bullet, is_question_start, normalize_text
+from formlens.functions.core import LOOK_ALIKES, is_bulleted, is_empty_bullet, is_question_start, normalize_text
 
 PAGE = ["doc_id", "page"]
 BOTTOM, ROOM = 732.0, 25.0
-LABEL = r"^\s*([A-H])[.)]\s"
+CONTINUED = 6.0  # how close below its label a wrapped line may stand
+#: The labels of the two systems, in order.
+LETTERS = list("ABCDEFGH")
+ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]
 
 
 def by_page(*order: str) -> Window:
@@ -85,36 +88,84 @@ def bullet_parts(answers: DataFrame) -> DataFrame:
     return answers.select(*PAGE, "line_no", "prompt_line", F.row_number().over(w.orderBy("line_no")).alias("part"), F.count("*").over(w).alias("parts"))
 
 
+def _latin(text: Column) -> Column:
+    """Text with look-alikes of label letters folded."""
+    return F.translate(text, "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values()))
+
+
 def option_token(text: Column) -> Column:
-    """Leading option label, look-alike letters folded, upper case; null if there is none."""
-    folded = F.translate(text, "АВСЕНІабсеіⅠ", "ABCEHIabceiI")
-    return F.nullif(F.upper(F.regexp_extract(folded, r"^\s*\(?([A-Ha-h]|[IVXivx]{1,4})[.)]\s", 1)), F.lit(""))
+    """Leading option label in upper case, look-alikes folded: one to four letters, a mark and a text; null if there is none."""
+    return F.nullif(F.upper(F.regexp_extract(_latin(text), r"^\s*([A-Za-z]{1,4})\s*[.)]\s+\S", 1)), F.lit(""))
+
+
+def label_system(token: Column) -> Column:
+    """letter for A to H, roman for I to XII; no token is in both."""
+    return F.when(token.isin(LETTERS), "letter").when(token.isin(ROMAN), "roman")
 
 
 def label_ordinal(token: Column) -> Column:
-    """A..H as 1..8, Roman numerals from I as 1..12 where they aren't such letters."""
-    roman = F.array(*map(F.lit, ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]))
-    letters = F.array(*map(F.lit, "ABCDEFGH"))
-    at = F.array_position(letters, token)
-    return F.when(at > 0, at).otherwise(F.nullif(F.array_position(roman, token), F.lit(0).cast("bigint")))
+    """Place of a label in its system, from 1; null if it is in none."""
+    place = lambda labels: F.nullif(F.array_position(F.array(*map(F.lit, labels)), token).cast("int"), F.lit(0))
+    return F.coalesce(place(LETTERS), place(ROMAN))
+
+
+def marked_lines(lines: DataFrame, gap: float = 26.0) -> DataFrame:
+    """All lines with the option run they belong to and the run whose stem they are: one pass of windows over each page.
+
+    A run opens with a system's first label and goes on with the next one each time; a line without a
+    label that stands close below the last label's line belongs to its option. A run's stem is the lines
+    above it, up to a wide ``gap``, another run, or a question's start, which is the last. Adds token (null
+    on wrapped lines), system, opt (number of the option), n (options of the run), first_line (of the run;
+    null outside) and stem_of (first line of the run that the line introduces; null for others).
+    """
+    order, text = by_page(), F.col("text")
+    before, through = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("token", option_token(text))
+    rows = rows.withColumns({"system": label_system(F.col("token")), "ord": label_ordinal(F.col("token"))})
+    below = F.col("y0") - F.last(F.when(F.col("token").isNotNull(), F.col("y1")), ignorenulls=True).over(before)
+    apart = F.col("token").isNull() & ~F.coalesce(below.between(0.0, CONTINUED), F.lit(False))
+    near = F.coalesce(F.col("y0") - F.lag("y1").over(order) <= gap, F.lit(False))
+    rows = rows.withColumns({"part": F.sum(apart.cast("int")).over(through), "apart": apart, "near": near})
+    last = F.last(F.when(F.col("token").isNotNull(), F.struct("system", "ord", "part")), ignorenulls=True).over(before)
+    rows = rows.withColumn("last", last)
+    goes_on = F.coalesce((F.col("last.part") == F.col("part")) & (F.col("last.system") == F.col("system")) & (F.col("last.ord") + 1 == F.col("ord")), F.lit(False))
+    opens = F.when(F.col("token").isNotNull(), ~goes_on).otherwise(F.col("apart"))
+    rows = rows.withColumn("run", F.sum(opens.cast("int")).over(through))
+    run = Window.partitionBy(*PAGE, "run")
+    opt = F.count("token").over(run.orderBy("y0", "x0", "line_no").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"opt": opt, "low": F.min("ord").over(run), "n": F.count("token").over(run), "system": F.first("system", ignorenulls=True).over(run), "top": F.min("line_no").over(run)})
+    rows = rows.withColumn("first_line", F.when((F.col("n") >= 2) & (F.col("low") == 1), F.col("top")))
+    held = F.col("first_line").isNotNull() | has_inline_options(text)
+    heading = is_question_start(text) | F.lower(F.trim(text)).startswith("question")
+    rows = rows.withColumn("held", held)
+    rows = _islands(rows, ~F.col("near") | heading | F.col("held") | F.lag("held").over(order), "seg")
+    introduces = F.lead(F.when(F.col("near") & (F.col("first_line") == F.col("line_no")), F.col("line_no"))).over(order)
+    rows = rows.withColumn("introduces", introduces)
+    stem_of = F.when(~F.col("held"), F.max("introduces").over(Window.partitionBy(*PAGE, "seg")))
+    return rows.withColumn("stem_of", stem_of).select(*lines.columns, "token", "system", "opt", "n", "first_line", "stem_of")
+
+
+def option_lines(lines: DataFrame) -> DataFrame:
+    """Lines of option runs; see ``marked_lines``."""
+    return marked_lines(lines).filter("first_line is not null").drop("stem_of")
 
 
 def stacked_options(lines: DataFrame) -> DataFrame:
-    """Runs A, B, C .. on consecutive lines, two at least."""
-    n = F.ascii(F.regexp_extract("text", LABEL, 1)) - 64
-    rows = lines.filter(F.col("text").rlike(LABEL)).select(*PAGE, "line_no", n.alias("ord"))
-    runs = rows.groupBy(*PAGE, (F.col("line_no") - F.col("ord")).alias("start")).agg(F.count("*").alias("n_options"), F.min("ord").alias("low"), F.max("ord").alias("high"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
-    return runs.filter("n_options >= 2 and low = 1 and high = n_options").select(*PAGE, "first_line", "last_line", "n_options")
+    """Runs of options on lines of their own, two at least: first_line, last_line, n_options, system."""
+    figures = [F.max("line_no").alias("last_line"), F.first("n").cast("int").alias("n_options"), F.first("system").alias("system")]
+    return option_lines(lines).groupBy(*PAGE, "first_line").agg(*figures)
 
 
 def inline_labels(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?:^|\s)([A-H])[.)]\s"), F.lit(1))
+    """All labels on a line, in order."""
+    return F.transform(F.regexp_extract_all(_latin(text), F.lit(r"(?:(?<=\s)|^)([A-Za-z]{1,4})[.)](?=\s)"), F.lit(1)), F.upper)
 
 
 def has_inline_options(text: Column) -> Column:
-    """Three labels or more, in sequence from A."""
+    """Three labels or more, in sequence from a system's first."""
     labels = inline_labels(text)
-    return (F.size(labels) >= 3) & (F.array_join(labels, "") == F.substring(F.lit("ABCDEFGH"), F.lit(1), F.size(labels)))
+    runs = lambda system: labels == F.slice(F.array(*map(F.lit, system)), F.lit(1), F.size(labels))
+    return (F.size(labels) >= 3) & (runs(LETTERS) | runs(ROMAN))
 
 
 def inline_options(lines: DataFrame) -> DataFrame:
@@ -122,10 +173,13 @@ def inline_options(lines: DataFrame) -> DataFrame:
     return lines.filter(has_inline_options(F.col("text"))).select(*PAGE, "line_no", F.size(inline_labels(F.col("text"))).alias("n_options"))
 
 
-def stems(lines: DataFrame, options: DataFrame, gap: float = 26.0) -> DataFrame:
-    """Line right above each run of options, unless the gap is too wide."""
-    above = lines.select(*PAGE, "line_no", "text", "y1", F.lead("y0").over(by_page("line_no")).alias("below"))
-    return options.join(above.withColumn("first_line", F.col("line_no") + 1), [*PAGE, "first_line"]).filter(F.col("below") - F.col("y1") <= gap).select(*PAGE, "first_line", F.col("line_no").alias("stem_line"), F.col("text").alias("stem"))
+def stems(lines: DataFrame) -> DataFrame:
+    """Stem of each run of options: its first line, and its text with spaces collapsed."""
+    parts = F.sort_array(F.collect_list(F.struct("y0", "x0", "line_no", "text")))
+    rows = marked_lines(lines).filter("stem_of is not null").groupBy(*PAGE, "stem_of")
+    out = rows.agg(F.min("line_no").alias("stem_line"), parts.alias("p"))
+    text = F.array_join(F.transform("p", lambda s: s["text"]), " ")
+    return out.select(*PAGE, F.col("stem_of").alias("first_line"), "stem_line", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("stem"))
 
 
 def open_responses(lines: DataFrame) -> DataFrame:
@@ -159,21 +213,28 @@ def outside(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     return lines.join(b, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1")), "left_anti")
 
 
-def cell_text(chars: DataFrame, boxes: DataFrame, rows: int = 2, columns: int = 3) -> DataFrame:
-    """Characters dealt to table cells by their centres, and each cell's text."""
+def cell_chars(chars: DataFrame, boxes: DataFrame, rows: int = 2, columns: int = 3) -> DataFrame:
+    """Characters with the row and column of the table cell that holds their centre."""
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     held = chars.join(boxes, PAGE).filter((x >= F.col("bx0")) & (x < F.col("bx1")) & (y >= F.col("by0")) & (y < F.col("by1")))
     row = F.floor((y - F.col("by0")) / (F.col("by1") - F.col("by0")) * rows).cast("int")
     column = F.floor((x - F.col("bx0")) / (F.col("bx1") - F.col("bx0")) * columns).cast("int")
+    return held.withColumns({"row": row, "col": column})
+
+
+def cell_text(chars: DataFrame, boxes: DataFrame, rows: int = 2, columns: int = 3) -> DataFrame:
+    """Characters dealt to table cells by their centres, and each cell's text."""
     parts = F.sort_array(F.collect_list(F.struct("line_no", "char_no", "ch")))
-    return held.groupBy(*PAGE, row.alias("row"), column.alias("col")).agg(F.array_join(F.transform(parts, lambda s: s["ch"]), "").alias("text"))
+    return cell_chars(chars, boxes, rows, columns).groupBy(*PAGE, "row", "col").agg(F.array_join(F.transform(parts, lambda s: s["ch"]), "").alias("text"))
 
 
-def scanned_pages(pages: DataFrame, images: DataFrame, share: float = 0.8) -> DataFrame:
-    """Pages that one image covers to ``share`` at least."""
+def scanned_pages(pages: DataFrame, images: DataFrame, lines: DataFrame, share: float = 0.8) -> DataFrame:
+    """Pages that one image covers to ``share`` at least, or that have no character."""
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     full = images.join(pages, PAGE).groupBy(*PAGE).agg(F.bool_or(area >= share * F.col("width") * F.col("height")).alias("scanned"))
-    return pages.join(full, PAGE, "left").select(*PAGE, F.coalesce("scanned", F.lit(False)).alias("scanned"))
+    drawn = lines.groupBy(*PAGE).agg((F.sum(F.length("text")) > 0).alias("drawn"))
+    out = pages.join(full, PAGE, "left").join(drawn, PAGE, "left")
+    return out.select(*PAGE, (F.coalesce("scanned", F.lit(False)) | ~F.coalesce("drawn", F.lit(False))).alias("scanned"))
 
 
 KINDS = ["multiple_choice", "multiple_choice_inline", "open_response", "bullet", "trailing_dash", "inline_blank"]
@@ -182,14 +243,15 @@ KINDS = ["multiple_choice", "multiple_choice_inline", "open_response", "bullet",
 def detect(lines: DataFrame) -> DataFrame:
     """The first detector in order of precedence that takes each line: doc_id, page, line_no, kind.
 
-    The detectors that look at a line alone share one pass; one aggregate keeps the first of all.
+    The detectors that look at a line alone share one pass; one aggregate keeps the first of all. Stems of
+    options belong to their question and are no lines of their own.
     """
     text = F.col("text")
     alone = F.when(has_inline_options(text), 1).when(is_empty_bullet(text), 3).when(ends_in_dash(text, F.col("x1")), 4).when(text.contains("_"), 5)
-    stacked = stacked_options(lines).select(*PAGE, F.explode(F.sequence("first_line", "last_line")).alias("line_no"), F.lit(0).alias("rank"))
-    rows = stacked.unionByName(open_responses(lines).select(*PAGE, "line_no", F.lit(2).alias("rank")))
-    rows = rows.unionByName(lines.select(*PAGE, "line_no", alone.alias("rank")).filter("rank is not null"))
-    first = rows.groupBy(*PAGE, "line_no").agg(F.min("rank").alias("rank"))
+    rank = F.when(F.col("first_line").isNotNull(), 0).when(F.col("stem_of").isNotNull(), -1).otherwise(alone)
+    rows = marked_lines(lines).select(*PAGE, "line_no", rank.alias("rank")).filter("rank is not null")
+    rows = rows.unionByName(open_responses(lines).select(*PAGE, "line_no", F.lit(2).alias("rank")))
+    first = rows.groupBy(*PAGE, "line_no").agg(F.min("rank").alias("rank")).filter("rank >= 0")
     return first.select(*PAGE, "line_no", F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1).alias("kind"))
 
 
@@ -263,9 +325,9 @@ def resolve_anchors(anchors: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def score_bands(found: DataFrame, bands: DataFrame) -> DataFrame:
-    """Detections (y) against truth bands: correct, missed and surplus answer spaces in all."""
+    """Answer spaces (line_no, slot, y) against truth bands: correct, missed and surplus answer spaces in all."""
     hit = found.join(bands, PAGE, "left").filter((F.col("y") >= F.col("b0")) & (F.col("y") < F.col("b1")))
-    first = hit.groupBy(*PAGE, "line_no").agg(F.min("band").alias("band")).groupBy(*PAGE, "band").agg(F.count("*").alias("n"))
+    first = hit.groupBy(*PAGE, "line_no", "slot").agg(F.min("band").alias("band")).groupBy(*PAGE, "band").agg(F.count("*").alias("n"))
     rows = bands.join(first, [*PAGE, "band"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.agg(F.sum(F.least("n", "expected")).alias("correct"), F.sum(F.greatest(F.col("expected") - F.col("n"), F.lit(0))).alias("missed"), F.sum(F.greatest(F.col("n") - F.col("expected"), F.lit(0))).alias("surplus"))
 
@@ -288,15 +350,18 @@ def json_object(text: Column) -> Column:
 
 
 def flat_answers(df: DataFrame, key: str = "doc_id", column: str = "reply") -> DataFrame:
-    """key, slot (trailing sN or uN of the key), answer."""
-    parsed = F.from_json(json_object(F.col(column)), "map<string,string>")
-    rows = df.select(key, F.explode(parsed).alias("k", "answer"))
-    return rows.select(key, F.regexp_extract("k", r"([su]\d+)$", 1).alias("slot"), "answer").filter("slot <> ''")
+    """key, slot, answer of a model's reply: flat, nested one level, or with composite keys.
 
-
-def overlays(units: DataFrame, answers: DataFrame) -> DataFrame:
-    """Boxes with the answer of their unit; an empty text where there is none."""
-    return units.join(answers.withColumnRenamed("slot", "unit_id"), ["doc_id", "unit_id"], "left").select(*PAGE, "unit_id", F.coalesce("answer", F.lit("")).alias("text"))
+    A key counts by the sN or uN at its end, else whole. Values that aren't texts are left out; of equal
+    keys the last wins.
+    """
+    texts = lambda v: F.schema_of_variant(v) == "STRING"
+    rows = df.select(key, F.posexplode(F.from_json(json_object(F.col(column)), "map<string,variant>")).alias("i", "k", "v"))
+    flat = rows.filter(texts(F.col("v"))).select(key, "i", F.lit(0).alias("j"), "k", "v")
+    nested = rows.filter(F.schema_of_variant("v").startswith("OBJECT")).select(key, "i", F.posexplode(F.col("v").cast("map<string,variant>")).alias("j", "k", "v")).filter(texts(F.col("v")))
+    slot = F.coalesce(F.nullif(F.regexp_extract("k", r"([su]\d+)$", 1), F.lit("")), F.col("k"))
+    both = flat.unionByName(nested.select(key, "i", "j", "k", "v")).select(key, "i", "j", slot.alias("slot"), F.col("v").cast("string").alias("answer"))
+    return both.groupBy(key, "slot").agg(F.max_by("answer", F.struct("i", "j")).alias("answer"))
 
 
 def snip_box(df: DataFrame, pad: float = 4.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formlens.functions.core import clamp, format_label, is_reported, label_or
+
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Insert ignoring duplicates: the first row of each key; rows whose key is null all stay."""
@@ -77,6 +79,21 @@ def parse_checkout(df: DataFrame, column: str = "payload") -> DataFrame:
     return e.select(blank(F.col("id")).alias("stripe_event_id"), F.lower(email).alias("email"), F.coalesce("data.object.amount_total", F.lit(0)).alias("amount_cents"), F.lower(F.coalesce(blank(F.col("data.object.currency")), F.lit("usd"))).alias("currency"), F.coalesce("livemode", F.lit(False)).alias("livemode"))
 
 
+#: Handwriting settings with their range and default.
+SETTINGS = {"letter_spacing": (2.0, 300.0, 100.0), "font_size": (2.0, 300.0, 100.0), "word_spacing": (2.0, 300.0, 100.0), "pen_thickness": (0.1, 2.0, 0.4)}
+
+
+def coerce_settings(df: DataFrame) -> DataFrame:
+    """Texts of the settings as numbers within their ranges; the default where one is missing or no number."""
+    return df.withColumns({k: clamp(F.col(k).try_cast("double"), low, high, default) for k, (low, high, default) in SETTINGS.items()})
+
+
+def reports_enriched(assignments: DataFrame, settings: DataFrame) -> DataFrame:
+    """Reported jobs with the settings (job_id, formats) they ran with, formats by their labels; null where none are stored."""
+    told = assignments.filter(is_reported(F.col("feedback"))).select("job_id", "ts", F.trim("feedback").alias("feedback"), label_or(F.col("style"), "Typed text").alias("style"))
+    return told.join(settings.select("job_id", F.transform("formats", format_label).alias("format_labels")), "job_id", "left")
+
+
 def role(email: Column, admins: list[str]) -> Column:
     return F.when(F.lower(F.trim(F.coalesce(email, F.lit("")))).isin([a.lower() for a in admins]), "admin").otherwise("user")
 

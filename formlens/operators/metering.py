@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BROADCAST_RATES = 1 << 16
+
+
+def _small(rates: DataFrame) -> DataFrame:
+    """Rates marked for broadcast if there are few enough, which is counted."""
+    return F.broadcast(rates) if rates.limit(BROADCAST_RATES + 1).count() <= BROADCAST_RATES else rates
+
+
 def current_rates(history: DataFrame) -> DataFrame:
     """The latest rate of each model."""
     last = F.max_by(F.struct("rate_in", "rate_out"), "effective_from").alias("r")
@@ -21,7 +29,7 @@ def cost_calls(calls: DataFrame, rates: DataFrame, primary_is_free: bool = False
     cost = F.bround(_cost(), 9)
     if primary_is_free:
         cost = F.when(F.col("provider") == "primary", 0.0).otherwise(cost)
-    return calls.join(F.broadcast(rates), "model", "left").withColumn("cost_usd", cost).drop("rate_in", "rate_out")
+    return calls.join(_small(rates), "model", "left").withColumn("cost_usd", cost).drop("rate_in", "rate_out")
 
 
 def cost_calls_asof(calls: DataFrame, history: DataFrame) -> DataFrame:
@@ -29,7 +37,7 @@ def cost_calls_asof(calls: DataFrame, history: DataFrame) -> DataFrame:
     until = F.lead("effective_from").over(Window.partitionBy("model").orderBy("effective_from"))
     spans = history.withColumn("until", until).withColumnRenamed("model", "m")
     on = (F.col("model") == F.col("m")) & (F.col("ts") >= F.col("effective_from")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    return calls.join(F.broadcast(spans), on, "left").withColumn("cost_usd", F.bround(_cost(), 9)).drop("m", "rate_in", "rate_out", "effective_from", "until")
+    return calls.join(_small(spans), on, "left").withColumn("cost_usd", F.bround(_cost(), 9)).drop("m", "rate_in", "rate_out", "effective_from", "until")
 
 
 def metered(calls: DataFrame) -> DataFrame:
@@ -59,8 +67,9 @@ def credit_ledger(calls: DataFrame, credits: int = 20) -> DataFrame:
 
 
 def fallback_pairs(calls: DataFrame) -> DataFrame:
-    """A failed primary call followed at once by a fallback of the same user and purpose."""
-    w = Window.partitionBy("user_key", F.coalesce("purpose", F.lit("unknown"))).orderBy("ts", "event_id")
+    """A failed primary call followed at once by a fallback of the same job (of the same user, where no job is known) and purpose."""
+    job = F.coalesce(F.concat(F.lit("job:"), F.col("job_id")), F.concat(F.lit("user:"), F.col("user_key")))
+    w = Window.partitionBy(job, F.coalesce("purpose", F.lit("unknown"))).orderBy("ts", "event_id")
     rows = calls.withColumns({"next_provider": F.lead("provider").over(w), "next_id": F.lead("event_id").over(w), "next_ok": F.lead("ok").over(w)})
     return rows.filter((F.col("provider") == "primary") & ~F.coalesce("ok", F.lit(False)) & (F.col("next_provider") == "fallback")).select("event_id", "next_id", "user_key", "next_ok")
 

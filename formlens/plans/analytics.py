@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from formlens.functions import core as c
@@ -124,9 +125,10 @@ LEFT = "greatest(0.0, CAST(round_even(20.0 - {} / 1000.0, 2) AS DOUBLE))"
 query("credit_daily", m.credit_daily, "ai_calls", f"WITH {METERED} SELECT user_key, CAST(ts AS DATE) AS day, sum(tokens) AS tokens FROM t GROUP BY ALL")
 query("credit_balance", lambda x: m.credit_balance(x, AS_OF), "ai_calls", f"WITH {METERED} SELECT user_key, sum(tokens) AS tokens, {LEFT.format('sum(tokens)')} AS remaining FROM t WHERE CAST(ts AS DATE) = DATE '2024-01-30' GROUP BY user_key")
 query("credit_ledger", m.credit_ledger, "ai_calls", f"WITH {METERED}, r AS (SELECT event_id, user_key, CAST(ts AS DATE) AS day, sum(tokens) OVER (PARTITION BY user_key, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM t) SELECT *, {LEFT.format('running')} AS remaining, running > 20000 AS over FROM r")
-query("fallback_pairs", m.fallback_pairs, "ai_calls", "SELECT event_id, next_id, user_key, next_ok FROM (SELECT *, lead(provider) OVER w AS np, lead(event_id) OVER w AS next_id, lead(ok) OVER w AS next_ok FROM ai_calls WINDOW w AS (PARTITION BY user_key, coalesce(purpose, 'unknown') ORDER BY ts, event_id)) WHERE provider = 'primary' AND NOT ok AND np = 'fallback'")
+query("fallback_pairs", lambda x: m.fallback_pairs(x.withColumn("job_id", F.when(F.col("is_pro"), F.concat(F.lit("j"), (F.col("event_id") % 50).cast("string"))))), "ai_calls", "SELECT event_id, next_id, user_key, next_ok FROM (SELECT *, lead(provider) OVER w AS np, lead(event_id) OVER w AS next_id, lead(ok) OVER w AS next_ok FROM ai_calls WINDOW w AS (PARTITION BY is_pro, CASE WHEN is_pro THEN 'j' || CAST(event_id % 50 AS VARCHAR) ELSE user_key END, coalesce(purpose, 'unknown') ORDER BY ts, event_id)) WHERE provider = 'primary' AND NOT ok AND np = 'fallback'")
 query("usage_tokens", lambda x: m.usage_tokens(x.select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("prompt_tokens")).alias("prompt_tokens"), F.col("prompt_tokens").alias("input_tokens"), F.lit(None).cast("bigint").alias("completion_tokens"), "output_tokens", F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("prompt_tokens") * 2).alias("total_tokens"))), "ai_calls",
       "SELECT event_id, prompt_tokens AS p, output_tokens AS o, coalesce(CASE WHEN event_id % 2 = 0 THEN NULL ELSE nullif(prompt_tokens * 2, 0) END, prompt_tokens + output_tokens) AS total FROM ai_calls")
+query("oldest_signins", lambda x: x.orderBy("ts", "event_id").limit(500).withColumn("place", F.row_number().over(Window.orderBy("ts", "event_id"))).select("place", "event_id", "ts", "ip"), "signins", "SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS INT) AS place, event_id, ts, ip FROM signins ORDER BY ts, event_id LIMIT 500")
 query("newest_calls", lambda x: x.orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "ts", "model", "provider"), "ai_calls", "SELECT event_id, ts, model, provider FROM ai_calls ORDER BY ts DESC, event_id DESC LIMIT 500")
 query("known_models", lambda x, r: r.select("model").union(x.select(F.coalesce("model", F.lit("—")))).distinct().filter("model <> '—'"), "ai_calls rate_card", "SELECT model FROM rate_card UNION SELECT model FROM ai_calls WHERE model IS NOT NULL")
 for name, table, columns in (("scan_signins", "signins", "ts ip ua result"), ("scan_assignments", "assignments", "job_id ts ip style feedback"), ("scan_payments", "payments", "ts email amount_cents currency stripe_event_id livemode"), ("scan_users", "users", "email name is_pro email_verified created_at")):

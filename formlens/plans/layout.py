@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formlens.functions import core as c
+from formlens.operators import anchors as n
 from formlens.operators import layout as y
 from formlens.plans.registry import query
 
-B = "[●○•◦▪■□◯‣⁃]"
+B = "[●○■▪◆◇•·]"
 BULLETED = f"regexp_matches(text, '^\\s*{B}')"
-STRIPPED = "regexp_replace(text, '^[\\s●○•◦▪■□◯‣⁃​﻿]+', '')"
+STRIPPED = "regexp_replace(text, '^[\\s●○■▪◆◇•·\u200b\u200c\u200d]+', '')"
 EMPTY = f"({BULLETED} AND {STRIPPED} = '')"
 QUESTION = "regexp_matches(text, '^\\s*\\d+\\s*[.)]\\s')"
 P = "PARTITION BY doc_id, page ORDER BY y0, x0, line_no"
-FOLD = "translate(text, '‐‑‒–—―−‘’“”​﻿', '-------''''\"\"')"
+FOLD = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[​‌‍﻿­]', '', 'g'), '[‐‑‒–—―−﹘﹣－·•]', '-', 'g'), '[‘’ʼ`´]', chr(39), 'g'), '[“”]', chr(34), 'g')"
 NORMAL = f"lower(trim(regexp_replace({FOLD}, '\\s+', ' ', 'g')))"
+LATIN = "translate(text, 'АВСЕНΑΒΕΗ', 'ABCEHABEH')"
+TOKEN = f"nullif(upper(regexp_extract({LATIN}, '^\\s*([A-Za-z]{{1,4}})\\s*[.)]\\s+\\S', 1)), '')"
+LET, ROM = "['A','B','C','D','E','F','G','H']", "['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII']"
 fn = lambda name, f, sql, table="lines": query(name, lambda x: x.select("doc_id", "line_no", f(F.col("text")).alias("v")), table, f"SELECT doc_id, line_no, {sql} AS v FROM {table}")
 
 query("doc_lines", lambda x: x.filter(F.trim("text") != "").select("doc_id", "line_no", "text"), "raw_lines", "SELECT doc_id, line_no, text FROM raw_lines WHERE trim(text) <> ''")
@@ -25,7 +29,8 @@ fn("question_starts", c.is_question_start, QUESTION)
 fn("text_normalize", c.normalize_text, NORMAL)
 fn("text_alnum", c.alnum_only, "regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')")
 fn("text_truncate", lambda t: c.truncate_text(t, 40), "CASE WHEN length(text) > 40 THEN rtrim(left(text, 40)) || ' [truncated]' ELSE text END", "raw_lines")
-fn("option_tokens", y.option_token, "nullif(upper(regexp_extract(translate(text, 'АВСЕНІабсеіⅠ', 'ABCEHIabceiI'), '^\\s*\\(?([A-Ha-h]|[IVXivx]{1,4})[.)]\\s', 1)), '')")
+fn("option_tokens", y.option_token, TOKEN)
+fn("label_ordinals", lambda t: y.label_ordinal(y.option_token(t)), f"CAST(nullif(coalesce(nullif(list_position({LET}, {TOKEN}), 0), list_position({ROM}, {TOKEN})), 0) AS INT)")
 fn("find_occurrences", lambda t: F.size(c.occurrences(F.lower(t), F.lit("aa"))), "CAST(coalesce(list_sum(list_transform(regexp_extract_all(lower(text), 'a+'), lambda r: length(r) - 1)), 0) AS INT)", "raw_lines")
 query("underscore_runs", lambda x: x.select("doc_id", "line_no", F.posexplode(c.underscore_runs(F.col("text"))).alias("k", "r")).select("doc_id", "line_no", "k", "r.start", "r.length"), "lines",
       """WITH s AS (SELECT doc_id, line_no, regexp_extract_all(text, '_+') AS r, regexp_split_to_array(text, '_+') AS g FROM lines WHERE contains(text, '_')),
@@ -45,13 +50,28 @@ query("mc_label_boxes", lambda x: y.label_box(y.glyphs(x)), "lines", f"SELECT do
 ANSWERS = f"b AS (SELECT *, max(CASE WHEN NOT {BULLETED} AND trim(text) <> '' THEN line_no END) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prompt_line, coalesce(lead(y0) OVER ({P}), 732.0) AS bottom FROM lines), ba AS (SELECT doc_id, page, line_no, prompt_line, y0 AS top, bottom FROM b WHERE {EMPTY})"
 query("bullet_answers", y.bullet_answers, "lines", f"WITH {ANSWERS} SELECT * FROM ba")
 query("bullet_parts", lambda x: y.bullet_parts(y.bullet_answers(x)), "lines", f"WITH {ANSWERS} SELECT doc_id, page, line_no, prompt_line, CAST(row_number() OVER (PARTITION BY doc_id, page, prompt_line ORDER BY line_no) AS INT) AS part, count(*) OVER (PARTITION BY doc_id, page, prompt_line) AS parts FROM ba")
-STACK = "o AS (SELECT doc_id, page, line_no, ascii(regexp_extract(text, '^\\s*([A-H])[.)]\\s', 1)) - 64 AS ord FROM lines WHERE regexp_matches(text, '^\\s*([A-H])[.)]\\s')), so AS (SELECT doc_id, page, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_options FROM o GROUP BY doc_id, page, line_no - ord HAVING count(*) >= 2 AND min(ord) = 1 AND max(ord) = count(*))"
-INLINE = "i0 AS (SELECT doc_id, page, line_no, regexp_extract_all(text, '(?:^|\\s)([A-H])[.)]\\s', 1) AS l FROM lines), io AS (SELECT doc_id, page, line_no, CAST(len(l) AS INT) AS n_options FROM i0 WHERE len(l) >= 3 AND array_to_string(l, '') = substr('ABCDEFGH', 1, len(l)))"
+# The walk down a page, line by line: the state is the open run (its first row), its system, labels so far, and the last label's bottom.
+GO = f"coalesce(o.token = CASE w.sys WHEN 'letter' THEN {LET}[w.n + 1] WHEN 'roman' THEN {ROM}[w.n + 1] END, false)"
+STAY = "(w.st IS NOT NULL AND o.token IS NULL AND o.y0 - w.ly BETWEEN 0 AND 6)"
+STACK = f"""ol AS (SELECT *, row_number() OVER ({P}) AS rn, {TOKEN} AS token, {QUESTION} OR starts_with(lower(trim(text)), 'question') AS head FROM lines),
+wk AS (SELECT doc_id, page, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS st, CAST(NULL AS VARCHAR) AS sys, 0 AS n, CAST(NULL AS DOUBLE) AS ly FROM ol WHERE rn = 1
+  UNION ALL SELECT o.doc_id, o.page, o.rn, CASE WHEN {GO} OR {STAY} THEN w.st WHEN o.token IN ('A', 'I') THEN o.rn END,
+    CASE WHEN {GO} OR {STAY} THEN w.sys WHEN o.token = 'A' THEN 'letter' WHEN o.token = 'I' THEN 'roman' END,
+    CASE WHEN {GO} THEN w.n + 1 WHEN {STAY} THEN w.n WHEN o.token IN ('A', 'I') THEN 1 ELSE 0 END, CASE WHEN {STAY} THEN w.ly ELSE o.y1 END
+  FROM wk w JOIN ol o ON o.doc_id = w.doc_id AND o.page = w.page AND o.rn = w.rn + 1),
+wl AS (SELECT ol.*, wk.st, wk.sys, wk.n AS opt FROM wk JOIN ol ON ol.doc_id = wk.doc_id AND ol.page = wk.page AND ol.rn = wk.rn WHERE wk.st IS NOT NULL),
+so AS (SELECT doc_id, page, min(line_no) AS first_line, max(line_no) AS last_line, CAST(max(opt) AS INT) AS n_options, sys AS system FROM wl GROUP BY doc_id, page, st, sys HAVING max(opt) >= 2)"""
+LABELS = f"list_transform(regexp_extract_all(regexp_replace({LATIN}, '\\s', '  ', 'g'), '(?:^|\\s)([A-Za-z]{{1,4}})[.)]\\s', 1), lambda t: upper(t))"
+INLINE = f"i0 AS (SELECT doc_id, page, line_no, {LABELS} AS l FROM lines), io AS (SELECT doc_id, page, line_no, CAST(len(l) AS INT) AS n_options FROM i0 WHERE len(l) >= 3 AND (l = {LET}[1:len(l)] OR l = {ROM}[1:len(l)]))"
+# Lines above a run: none of those from there down to the run is held by options, followed by a wide gap or, but for itself, a heading.
+STEMS = """hd AS (SELECT ol.*, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY rn) - y1 AS room, EXISTS (SELECT 1 FROM so WHERE so.doc_id = ol.doc_id AND so.page = ol.page AND ol.line_no BETWEEN first_line AND last_line) OR EXISTS (SELECT 1 FROM io WHERE io.doc_id = ol.doc_id AND io.page = ol.page AND io.line_no = ol.line_no) AS held FROM ol),
+sl AS (SELECT so.doc_id, so.page, so.first_line, k.line_no, k.text, k.rn FROM so JOIN ol f ON f.doc_id = so.doc_id AND f.page = so.page AND f.line_no = so.first_line JOIN hd k ON k.doc_id = so.doc_id AND k.page = so.page AND k.rn < f.rn
+  LEFT JOIN hd j ON j.doc_id = so.doc_id AND j.page = so.page AND j.rn >= k.rn AND j.rn < f.rn AND (j.room > 26 OR j.held OR j.head AND j.rn > k.rn) WHERE j.rn IS NULL)"""
 OPEN = f"pr AS (SELECT * FROM lines WHERE {QUESTION} AND NOT contains(text, '_')), orr AS (SELECT p.doc_id, p.page, p.line_no, p.y1 AS top, coalesce(min(l.y0), 732.0) AS bottom FROM pr p LEFT JOIN lines l ON l.doc_id = p.doc_id AND l.page = p.page AND l.y0 >= p.y1 AND l.x0 < p.x1 AND l.x1 > p.x0 GROUP BY ALL HAVING coalesce(min(l.y0), 732.0) - p.y1 >= 25)"
 DASH = f"td AS (SELECT doc_id, page, line_no FROM lines WHERE regexp_matches(text, '^\\s*\\S.*\\S\\s*[-–—]\\s*$') AND NOT contains(text, '_') AND NOT {BULLETED} AND 612 - x1 >= 25)"
 query("mc_stacked", y.stacked_options, "lines", f"WITH {STACK} SELECT * FROM so")
 query("mc_inline", y.inline_options, "lines", f"WITH {INLINE} SELECT * FROM io")
-query("mc_stems", lambda x: y.stems(x, y.stacked_options(x)), "lines", f"WITH {STACK}, n AS (SELECT *, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS below FROM lines) SELECT so.doc_id, so.page, first_line, n.line_no AS stem_line, n.text AS stem FROM so JOIN n ON n.doc_id = so.doc_id AND n.page = so.page AND n.line_no = first_line - 1 WHERE below - y1 <= 26")
+query("mc_stems", y.stems, "lines", f"WITH {STACK}, {INLINE}, {STEMS} SELECT doc_id, page, first_line, min(line_no) AS stem_line, trim(regexp_replace(string_agg(text, ' ' ORDER BY rn), '\\s+', ' ', 'g')) AS stem FROM sl GROUP BY doc_id, page, first_line")
 query("open_responses", y.open_responses, "lines", f"WITH {OPEN} SELECT * FROM orr")
 query("trailing_dash", y.trailing_dash, "lines", f"WITH {DASH} SELECT * FROM td")
 INBOX = "(x0 + x1) / 2 BETWEEN 72 AND 540 AND (y0 + y1) / 2 BETWEEN 300 AND 420"
@@ -60,10 +80,11 @@ query("cell_text", lambda x: y.cell_text(y.glyphs(x), y.tables(x)), "lines", f""
 k AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y FROM g)
 SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS "row", CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS col, string_agg(ch, '' ORDER BY line_no, i) AS text FROM k WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL""")
 images = lambda x: x.select("doc_id", "page").distinct().select("doc_id", "page", F.expr("inline(filter(array(named_struct('x0', 100D, 'y0', 300D, 'x1', 500D, 'y1', 320D, 'on', page % 3 = 0), named_struct('x0', 0D, 'y0', 0D, 'x1', 612D, 'y1', 792D, 'on', doc_id % 50 = 0)), b -> b.on))"))
-query("scanned_pages", lambda x: y.scanned_pages(x.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height")), images(x)), "lines", "SELECT DISTINCT doc_id, page, doc_id % 50 = 0 AS scanned FROM lines")
-FOUND = f"""{STACK}, {INLINE}, {OPEN}, {ANSWERS}, {DASH}, t AS (SELECT so.doc_id, so.page, l.line_no, 0 AS r FROM so JOIN lines l ON l.doc_id = so.doc_id AND l.page = so.page AND l.line_no BETWEEN first_line AND last_line
+sheets = lambda x: x.select("doc_id", "page").distinct().unionByName(x.filter("doc_id % 10 = 0").groupBy("doc_id").agg((F.max("page") + 1).alias("page"))).select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+query("scanned_pages", lambda x: y.scanned_pages(sheets(x), images(x), x), "lines", "SELECT doc_id, page, doc_id % 50 = 0 OR sum(length(text)) = 0 AS scanned FROM lines GROUP BY doc_id, page UNION ALL SELECT doc_id, max(page) + 1, true FROM lines WHERE doc_id % 10 = 0 GROUP BY doc_id")
+FOUND = f"""{STACK}, {INLINE}, {STEMS}, {OPEN}, {ANSWERS}, {DASH}, t AS (SELECT doc_id, page, line_no, -1 AS r FROM sl UNION ALL SELECT so.doc_id, so.page, l.line_no, 0 AS r FROM so JOIN lines l ON l.doc_id = so.doc_id AND l.page = so.page AND l.line_no BETWEEN first_line AND last_line
   UNION ALL SELECT doc_id, page, line_no, 1 FROM io UNION ALL SELECT doc_id, page, line_no, 2 FROM orr UNION ALL SELECT doc_id, page, line_no, 3 FROM ba UNION ALL SELECT doc_id, page, line_no, 4 FROM td UNION ALL SELECT doc_id, page, line_no, 5 FROM lines WHERE contains(text, '_')),
-da AS (SELECT doc_id, page, line_no, (['multiple_choice', 'multiple_choice_inline', 'open_response', 'bullet', 'trailing_dash', 'inline_blank'])[min(r) + 1] AS kind FROM t GROUP BY ALL)"""
+da AS (SELECT doc_id, page, line_no, (['multiple_choice', 'multiple_choice_inline', 'open_response', 'bullet', 'trailing_dash', 'inline_blank'])[min(r) + 1] AS kind FROM t GROUP BY doc_id, page, line_no HAVING min(r) >= 0)"""
 query("detect_all", lambda x: y.numbered_units(y.detect(x)), "lines", f"WITH {FOUND} SELECT *, 'u' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS VARCHAR) AS unit_id FROM da")
 query("doc_summary", lambda x: y.doc_summary(y.detect(x)), "lines", f"WITH {FOUND} SELECT doc_id, kind, count(*) AS n FROM da GROUP BY ROLLUP (doc_id, kind)")
 query("page_text", y.page_text, "lines", "WITH p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL) SELECT doc_id, string_agg('[page ' || CAST(page AS VARCHAR) || ']' || chr(10) || t, chr(10) ORDER BY page) AS text FROM p GROUP BY doc_id")
@@ -76,16 +97,30 @@ a AS (SELECT doc_id, page, line_no AS item_no, row_number() OVER (PARTITION BY d
 h AS (SELECT a.doc_id, a.page, item_no, min(n.line_no) FILTER (WHERE upto >= r) AS line_no FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.page = a.page GROUP BY a.doc_id, a.page, item_no)
 SELECT *, CASE WHEN line_no IS NULL THEN 'anchor not found' END AS dropped FROM h""")
 bands = lambda x: x.groupBy("doc_id", "page", F.floor(F.col("k") / 5).cast("int").alias("band")).agg(F.min("y0").alias("b0"), F.max("y1").alias("b1"), F.count_if(F.col("text").contains("_")).alias("expected"))
-query("detector_score", lambda x: y.score_bands(y.detect(x).join(x.select("doc_id", "page", "line_no", F.col("y0").alias("y")), ["doc_id", "page", "line_no"]), bands(x)), "lines", f"""WITH {FOUND}, bd AS (SELECT doc_id, page, CAST(floor(k / 5) AS INT) AS band, min(y0) AS b0, max(y1) AS b1, count(*) FILTER (WHERE contains(text, '_')) AS expected FROM lines GROUP BY 1, 2, 3),
-h AS (SELECT da.doc_id, da.page, da.line_no, min(band) AS band FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no JOIN bd ON bd.doc_id = da.doc_id AND bd.page = da.page AND l.y0 >= b0 AND l.y0 < b1 GROUP BY 1, 2, 3),
+CENTRES = "ac AS (SELECT da.doc_id, da.page, da.line_no, (y0 + y1) / 2 AS y, unnest(range(CASE WHEN kind = 'inline_blank' THEN len(regexp_extract_all(text, '_+')) ELSE 1 END)) AS slot FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no WHERE kind NOT LIKE 'multiple_choice%')"
+query("answer_centres", lambda x: n.answer_centres(x, y.detect(x)).select("doc_id", "page", "line_no", "y", F.col("slot").cast("long").alias("slot")), "lines", f"WITH {FOUND}, {CENTRES} SELECT doc_id, page, line_no, y, slot + 1 AS slot FROM ac")
+query("detector_score", lambda x: y.score_bands(n.answer_centres(x, y.detect(x)), bands(x)), "lines", f"""WITH {FOUND}, {CENTRES}, bd AS (SELECT doc_id, page, CAST(floor(k / 5) AS INT) AS band, min(y0) AS b0, max(y1) AS b1, count(*) FILTER (WHERE contains(text, '_')) AS expected FROM lines GROUP BY 1, 2, 3),
+h AS (SELECT ac.doc_id, ac.page, ac.line_no, slot, min(band) AS band FROM ac JOIN bd ON bd.doc_id = ac.doc_id AND bd.page = ac.page AND y >= b0 AND y < b1 GROUP BY 1, 2, 3, 4),
 c AS (SELECT doc_id, page, band, count(*) AS n FROM h GROUP BY ALL), r AS (SELECT bd.*, coalesce(n, 0) AS n FROM bd LEFT JOIN c ON c.doc_id = bd.doc_id AND c.page = bd.page AND c.band = bd.band)
 SELECT sum(least(n, expected)) AS correct, sum(greatest(expected - n, 0)) AS missed, sum(greatest(n - expected, 0)) AS surplus FROM r""")
-REPLY = "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '{\"s1\":\"x' || CAST(doc_id AS STRING) || '\",\"p0_u2\":\"y\"}' WHEN 1 THEN '```json {\"u1\": \"z\", \"note\": \"n\"} ```' WHEN 2 THEN '<think>{\"s9\":\"no\"}</think> So: {\"s3\":\"w\"} done' ELSE 'garbage' END"
-FLAT = "SELECT doc_id, 's1' AS slot, 'x' || CAST(doc_id AS VARCHAR) AS answer FROM dd WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'u2', 'y' FROM dd WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'u1', 'z' FROM dd WHERE doc_id % 4 = 1 UNION ALL SELECT doc_id, 's3', 'w' FROM dd WHERE doc_id % 4 = 2"
+REPLY = "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '{\"s1\":\"x' || CAST(doc_id AS STRING) || '\",\"p0_u2\":\"y\", \"s1\": \"last\"}' WHEN 1 THEN '```json {\"u1\": \"z\", \"note\": \"n\", \"u5\": {\"s2\": \"nest\", \"u1-s4\": \"comp\", \"s6\": 3}} ```' WHEN 2 THEN '<think>{\"s9\":\"no\"}</think> So: {\"s3\":\"w\", \"u6\": \"b) x\", \"u5\": \" (II)\", \"u7\": [1]} done' ELSE 'garbage' END"
+SAID = {0: [("s1", "last"), ("u2", "y")], 1: [("u1", "z"), ("note", "n"), ("s2", "nest"), ("s4", "comp")], 2: [("s3", "w"), ("u6", "b) x"), ("u5", " (II)")]}
+FLAT = " UNION ALL ".join(f"SELECT doc_id, '{slot}' AS slot, '{answer}' AS answer FROM dd WHERE doc_id % 4 = {i}" for i, said in SAID.items() for slot, answer in said)
 replies = lambda x: x.select("doc_id").distinct().select("doc_id", F.expr(REPLY).alias("reply"))
 query("json_extract", lambda x: replies(x).select("doc_id", F.get_json_object(y.json_object(F.col("reply")), "$.s3").alias("s3")), "raw_lines", "SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'w' END AS s3 FROM raw_lines")
 query("answers_flat", lambda x: y.flat_answers(replies(x)), "raw_lines", f"WITH dd AS (SELECT DISTINCT doc_id FROM raw_lines) {FLAT}")
-query("overlays", lambda x: y.overlays(y.numbered_units(y.detect(x)), y.flat_answers(replies(x))), "lines", f"WITH {FOUND}, u AS (SELECT *, 'u' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS VARCHAR) AS unit_id FROM da), dd AS (SELECT DISTINCT doc_id FROM lines), f AS ({FLAT}) SELECT u.doc_id, u.page, u.unit_id, coalesce(answer, '') AS text FROM u LEFT JOIN f ON f.doc_id = u.doc_id AND f.slot = u.unit_id")
+query("overlays", lambda x: n.overlays(x, y.numbered_units(y.detect(x)), y.flat_answers(replies(x))), "lines", f"""WITH {FOUND}, u AS (SELECT da.*, 'u' || CAST(row_number() OVER (PARTITION BY da.doc_id ORDER BY da.page, da.line_no) AS VARCHAR) AS unit_id, text, x0, x1, y1 FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no),
+dd AS (SELECT DISTINCT doc_id FROM lines), f AS ({FLAT}),
+ib AS (SELECT *, regexp_extract_all(text, '_+') AS r, regexp_split_to_array(text, '_+') AS g FROM u WHERE kind = 'inline_blank'), ie AS (SELECT *, unnest(range(len(r))) AS k FROM ib),
+ik AS (SELECT *, x0 + 5.0 * (list_sum(list_transform(g[1:k + 1], lambda z: length(z))) + coalesce(list_sum(list_transform(r[1:k], lambda z: length(z))), 0)) AS a, 5.0 * length(r[k + 1]) AS wd, 's' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no, k) AS VARCHAR) AS key FROM ie),
+bx AS (SELECT doc_id, page, key, a AS x0, y1 - 13 AS y0, a + wd AS x1, y1 + 1 AS y1 FROM ik UNION ALL SELECT u.doc_id, u.page, unit_id, x0, top, x1, bottom FROM u JOIN orr ON orr.doc_id = u.doc_id AND orr.page = u.page AND orr.line_no = u.line_no WHERE kind = 'open_response'),
+ci AS (SELECT so.doc_id, so.page, u.unit_id AS key, so.first_line, so.last_line, CASE WHEN list_contains(lab, tok) THEN tok WHEN list_contains(lab, left(tok, 1)) THEN left(tok, 1) END AS label FROM (SELECT *, CASE system WHEN 'roman' THEN {ROM}[1:n_options] ELSE {LET}[1:n_options] END AS lab FROM so) so
+  JOIN u ON u.doc_id = so.doc_id AND u.page = so.page AND u.line_no = so.first_line AND u.kind = 'multiple_choice' JOIN (SELECT *, nullif(regexp_extract(upper(trim(answer)), '^\\(?([A-Z]+)', 1), '') AS tok FROM f) f ON f.doc_id = u.doc_id AND f.slot = u.unit_id)
+SELECT bx.doc_id, page, 'text' AS kind, key, x0, y0, x1, y1, coalesce(answer, '') AS text FROM bx LEFT JOIN f ON f.doc_id = bx.doc_id AND f.slot = bx.key
+UNION ALL SELECT ci.doc_id, ci.page, 'circle', key, wl.x0, wl.y0, wl.x0 + 5.0 * coalesce(least(nullif(strpos(left(wl.text, 8), '.'), 0), nullif(strpos(left(wl.text, 8), ')'), 0)), least(length(wl.text), 8)), wl.y1, '' FROM ci JOIN wl ON wl.doc_id = ci.doc_id AND wl.page = ci.page AND wl.line_no BETWEEN first_line AND last_line AND wl.token = ci.label""")
 query("snip_boxes", lambda x: y.snip_box(x.select("doc_id", "page", "line_no", F.col("x1").alias("ax"), F.col("x0").alias("bx"), F.col("y0").alias("ay"), F.when(F.col("k") == 7, F.col("y0") + 1).otherwise(F.col("y1")).alias("by"))), "lines", "SELECT doc_id, page, line_no, greatest(x0 - 4, 0) AS x0, greatest(y0 - 4, 0) AS y0, least(x1 + 4, 612.0) AS x1, least(y1 + 4, 792.0) AS y1 FROM lines WHERE k <> 7")
 query("ocr_axis_fix", lambda x: y.fix_axes(x.filter("k < 6").select("doc_id", "page", "line_no", *(F.when(F.col("doc_id") % 3 == 0, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "y0"), ("y0", "x0"), ("x1", "y1"), ("y1", "x1"))))), "lines", "WITH f AS (SELECT * FROM lines WHERE k < 6), v AS (SELECT doc_id, page, count(*) AS n FROM f GROUP BY ALL) SELECT f.doc_id, f.page, line_no, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y0 ELSE x0 END AS x0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x0 ELSE y0 END AS y0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y1 ELSE x1 END AS x1, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x1 ELSE y1 END AS y1 FROM f JOIN v ON v.doc_id = f.doc_id AND v.page = f.page")
-query("active_formats", lambda x: x.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.array_join(F.expr("CASE WHEN size(array_intersect(slice(array('open', 'bogus', 'bullet', 'inline'), 1, CAST(n % 4 AS INT)), array('bullet', 'inline', 'open', 'table'))) = 0 THEN array('bullet', 'inline', 'open', 'table') ELSE array_intersect(slice(array('open', 'bogus', 'bullet', 'inline'), 1, CAST(n % 4 AS INT)), array('bullet', 'inline', 'open', 'table')) END"), ",").alias("formats")), "raw_lines", "SELECT doc_id, CASE CAST(count(*) % 4 AS INT) WHEN 0 THEN 'bullet,inline,open,table' WHEN 3 THEN 'open,bullet' ELSE 'open' END AS formats FROM raw_lines GROUP BY doc_id")
+query("active_formats", lambda x: x.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.when(F.col("line_no") % 7 == 0, F.element_at(F.split(F.lit("bullet_answer,bogus,table,open_response"), ","), (F.col("line_no") / 7 % 4).cast("int") + 1)))).alias("asked")).select("doc_id", F.array_join(c.active_formats(F.col("asked")), ",").alias("formats")), "raw_lines",
+      "WITH q AS (SELECT doc_id, list_sort(list_distinct(list((['bullet_answer', 'bogus', 'table', 'open_response'])[CAST(line_no // 7 % 4 AS INT) + 1]))) AS f FROM raw_lines WHERE line_no % 7 = 0 GROUP BY doc_id), r AS (SELECT doc_id, list_filter(f, lambda x: x <> 'bogus') AS f FROM q) SELECT doc_id, CASE WHEN len(f) = 0 THEN 'inline_blanks,open_response,bullet_answer,table,multiple_choice' ELSE array_to_string(f, ',') END AS formats FROM r")
+query("format_labels", lambda x: x.select("doc_id", "line_no", c.format_label(F.element_at(F.split(F.lit("inline_blanks,open_response,bullet_answer,table,multiple_choice,other"), ","), (F.col("line_no") % 6).cast("int") + 1)).alias("label")), "raw_lines",
+      "SELECT doc_id, line_no, (['Fill-in-the-blank', 'Open response', 'Bullet list', 'Table / chart', 'Multiple choice', 'other'])[CAST(line_no % 6 AS INT) + 1] AS label FROM raw_lines")

@@ -51,12 +51,14 @@ SELECT * FROM (VALUES ('m0', 1.0e0, 3.0e0, TIMESTAMP '2024-01-01 00:00:00'), ('m
 
 LINES = """
 SELECT doc_id, CAST(floor(line_no / 20) AS INT) AS page, CAST(line_no AS INT) AS line_no, CAST(line_no % 20 AS INT) AS k,
-  CASE WHEN line_no % 20 BETWEEN 10 AND 13 THEN substr('ABCD', CAST(line_no % 20 - 9 AS INT), 1) || '. ' || left(text, 12)
-       WHEN line_no % 20 = 15 THEN 'A. one  B. two  C. three'
+  CASE WHEN doc_id % 5 = 0 AND line_no % 20 = 11 THEN left(text, 12)
+       WHEN line_no % 20 BETWEEN 10 AND 13 THEN split_part(CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'A__B_C' WHEN 1 THEN 'a_b_c_d' WHEN 2 THEN 'I_II_III_IV' WHEN 3 THEN 'А_Β_C_d' ELSE 'A_B_C_D' END, '_', CAST(line_no % 20 - 9 AS INT))
+         || CASE WHEN doc_id % 2 = 0 THEN '. ' ELSE ') ' END || left(text, 12)
+       WHEN line_no % 20 = 15 THEN CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'A. one  B. two  C. three' WHEN 1 THEN 'i) one ii) two iii) three' ELSE 'a. one c. two b. three' END
        WHEN line_no % 8 = 0 THEN @RR@ WHEN line_no % 8 = 1 THEN '● ' || text WHEN line_no % 8 = 2 THEN '○'
        WHEN line_no % 8 = 3 THEN CAST(line_no AS STRING) || '. ' || text WHEN line_no % 8 = 4 THEN left(text, 20) || ' - ' ELSE text END AS text,
-  CAST(72 + 18 * (line_no % 3) AS DOUBLE) AS x0, CAST(40 + 14 * (line_no % 20) + 30 * floor((line_no % 20) / 5) AS DOUBLE) AS y0,
-  CAST(300 AS DOUBLE) AS x1, CAST(51 + 14 * (line_no % 20) + 30 * floor((line_no % 20) / 5) AS DOUBLE) AS y1 FROM raw_lines"""
+  CAST(72 + 18 * (line_no % 3) AS DOUBLE) AS x0, CAST(40 + 14 * (line_no % 20) + 30 * floor((line_no % 20) / 5) - CASE WHEN doc_id % 2 = 0 AND line_no % 20 BETWEEN 10 AND 14 THEN 20 ELSE 0 END AS DOUBLE) AS y0,
+  CAST(300 AS DOUBLE) AS x1, CAST(51 + 14 * (line_no % 20) + 30 * floor((line_no % 20) / 5) - CASE WHEN doc_id % 2 = 0 AND line_no % 20 BETWEEN 10 AND 14 THEN 20 ELSE 0 END AS DOUBLE) AS y1 FROM raw_lines"""
 RAW_SPARK = "SELECT doc_id, pos AS line_no, col AS text FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, col) FROM {documents})"
 RAW_DUCK = "SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)"
 
@@ -91,4 +93,4 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({texts[n]})" for n in named)
     body = sql.strip()
-    return f"WITH {ctes},\n{body[4:].lstrip()}" if body[:5].upper() == "WITH " else f"WITH {ctes}\n{body}"
+    return f"WITH RECURSIVE {ctes},\n{body[4:].lstrip()}" if body[:5].upper() == "WITH " else f"WITH {ctes}\n{body}"
