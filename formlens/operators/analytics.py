@@ -242,3 +242,19 @@ def dashboard(signins: DataFrame, assignments: DataFrame, users: DataFrame, call
         rows = long_form(name, one)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def dashboard_series(signins: DataFrame, assignments: DataFrame, users: DataFrame, calls: DataFrame, as_of: str, days: int) -> DataFrame:
+    """The sections with several rows as a long table: section, metric (day, hour, "weekday hour" or name) and value."""
+    day, name = F.col("day"), F.col("name")
+    parts = {
+        "fills_daily": (daily_counts(assignments, as_of, days), day), "signins_daily": (daily_counts(signins, as_of, days), day),
+        "failed_daily": (daily_counts(signins.filter("result = 'failed'"), as_of, days), day), "signups_daily": (daily_counts(users, as_of, days, ts="created_at"), day),
+        "usage_heatmap": (heatmap(assignments), F.concat_ws(" ", "dow", "hour")), "signin_hours": (hour_counts(signins), F.col("hour")),
+        "top_errors": (top_errors(calls), name), "top_styles": (top_styles(assignments), name), "top_failed_ips": (top_failed_ips(signins), name),
+    }
+    out = None
+    for section, (rows, metric) in parts.items():
+        rows = rows.select(F.lit(section).alias("section"), metric.cast("string").alias("metric"), F.col("n").cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -210,6 +210,26 @@ def overlays(lines: DataFrame, units: DataFrame, answers: DataFrame, advance: fl
     return texts.unionByName(circles)
 
 
+def model_units(lines: DataFrame, units: DataFrame) -> DataFrame:
+    """What a model is shown of numbered units, without geometry: unit_id, kind, prompt, and how to answer.
+
+    Inline blanks have slots, placed in the prompt as well; a choice (one unit for its whole run) has its
+    options; both other kinds and choices are answered by answer_key.
+    """
+    none = F.lit(None).cast("string")
+    own = units.join(lines.select(*PAGE, "line_no", "text"), [*PAGE, "line_no"])
+    blanks = _numbered(own.filter("kind = 'inline_blank'").withColumn("n", F.regexp_count("text", F.lit("_+"))), "line_no")
+    blanks = blanks.select("doc_id", "unit_id", "kind", placeholder_text(F.col("text"), F.col("first_slot")).alias("prompt"), none.alias("answer_key"), F.array_join(slot_ids(F.col("first_slot"), F.col("n")), ",").alias("slots"), none.alias("options"))
+    options = F.sort_array(F.collect_list(F.struct("opt", "label", "text")))
+    runs = choice_options(lines).groupBy(*PAGE, "first_line").agg(options.alias("o")).join(stems(lines).drop("stem_line"), [*PAGE, "first_line"], "left")
+    runs = units.filter("kind = 'multiple_choice'").withColumnRenamed("line_no", "first_line").join(runs, [*PAGE, "first_line"])
+    prompt = F.trim(F.concat(F.coalesce("stem", F.lit("")), F.lit("  "), F.array_join(F.transform("o", lambda x: x["text"]), "  ")))
+    offered = F.array_join(F.transform("o", lambda x: F.concat(x["label"], F.lit(": "), x["text"])), " | ")
+    runs = runs.select("doc_id", "unit_id", "kind", prompt.alias("prompt"), F.col("unit_id").alias("answer_key"), none.alias("slots"), offered.alias("options"))
+    rest = own.filter("kind not in ('inline_blank', 'multiple_choice')").select("doc_id", "unit_id", "kind", F.trim("text").alias("prompt"), F.col("unit_id").alias("answer_key"), none.alias("slots"), none.alias("options"))
+    return blanks.unionByName(runs).unionByName(rest)
+
+
 def answer_centres(lines: DataFrame, found: DataFrame) -> DataFrame:
     """y-centre of every answer space: one for each inline blank, one for each other unit but choices."""
     own = found.filter("kind not in ('multiple_choice', 'multiple_choice_inline')").join(lines.select(*PAGE, "line_no", "text", "y0", "y1"), [*PAGE, "line_no"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from formlens.functions import core as c
 from formlens.operators import analytics as a
 from formlens.operators import metering as m
-from formlens.plans.registry import AS_OF, DAYS, query
+from formlens.plans.registry import AS_OF, DAYS, ORACLES, query
 
 CAL = f"cal AS (SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(range(DATE '2024-01-30' - INTERVAL {DAYS - 1} DAY, DATE '2024-01-31', INTERVAL 1 DAY)) AS d))"
 CAL_TZ = CAL.replace("2024-01-30", "2024-01-31").replace("DATE '2024-01-31', INTERVAL", "DATE '2024-02-01', INTERVAL")
@@ -115,6 +115,8 @@ query("client_mix", a.clients, "signins", f"SELECT 'browser' AS facet, {BROWSER}
 SECTIONS = {"money": (f"SELECT revenue, cost, profit, {PCT('profit', 'revenue')} AS margin_pct, payment_count, arpu, uncosted_calls, tokens_total FROM pl"), "reliability": RELIABLE, "latency": LATENCY, "accounts": ACCOUNTS, "product": PRODUCT, "ips": IPS, "security": SECURE}
 query("dashboard_kpis", lambda s, f, u, x, r, p: a.dashboard(s, f, u, asof(x, r), p), "signins assignments users ai_calls rate_card payments",
       f"WITH {PNL}, " + ", ".join(f"x_{n} AS ({s})" for n, s in SECTIONS.items()) + " " + " UNION ALL ".join(f"SELECT '{n}' AS section, metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM x_{n}) ON COLUMNS(*) INTO NAME metric VALUE value)" for n in SECTIONS))
+SERIES = {"fills_daily": "day", "signins_daily": "day", "failed_daily": "day", "signups_daily": "day", "usage_heatmap": "concat_ws(' ', dow, hour)", "signin_hours": "hour", "top_errors": "name", "top_styles": "name", "top_failed_ips": "name"}
+query("dashboard_series", lambda s, f, u, x: a.dashboard_series(s, f, u, x, AS_OF, DAYS), "signins assignments users ai_calls", " UNION ALL ".join(f"SELECT '{n}' AS section, CAST({by} AS VARCHAR) AS metric, CAST(n AS DOUBLE) AS value FROM ({ORACLES[n]})" for n, by in SERIES.items()))
 query("admin_counts", lambda s, f: s.agg(*(F.count_if(F.col("result") == r).alias(r) for r in ("user", "admin", "failed"))).join(f.agg(F.count_if(c.is_reported(F.col("feedback"))).alias("reports"))), "signins assignments", "SELECT * FROM (SELECT count(*) FILTER (WHERE result = 'user') AS \"user\", count(*) FILTER (WHERE result = 'admin') AS admin, count(*) FILTER (WHERE result = 'failed') AS failed FROM signins), (SELECT count(*) FILTER (WHERE trim(coalesce(feedback, '')) <> '') AS reports FROM assignments)")
 query("style_split", lambda x: x.groupBy(c.is_handwriting(F.col("style")).alias("handwriting")).agg(F.count("*").alias("n")), "assignments", f"SELECT {HAND} AS handwriting, count(*) AS n FROM assignments GROUP BY 1")
 query("report_rate", lambda x: x.agg(F.count_if(c.is_reported(F.col("feedback"))).alias("reported"), F.count("*").alias("total")), "assignments", "SELECT count(*) FILTER (WHERE trim(coalesce(feedback, '')) <> '') AS reported, count(*) AS total FROM assignments")

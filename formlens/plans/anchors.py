@@ -64,7 +64,14 @@ CASE WHEN k % 3 <> 0 THEN CASE WHEN k = 5 THEN 11.0 ELSE least(greatest(line_no
 FROM lines WHERE page - CAST(line_no % 13 = 0 AS INT) >= 0 AND CASE WHEN k % 3 = 0 THEN line_no % 17 = 0 OR line_no % 4 + 1 >= 2 ELSE k <> 7 END""")
 parts = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", c))), lambda s: s[c]), ",").alias(c)
 query("doc_structure", lambda x: y.numbered_units(y.detect(x)).groupBy("doc_id").agg(F.count("*").alias("unit_count"), parts("kind")), "lines", f"WITH {FOUND} SELECT doc_id, count(*) AS unit_count, string_agg(kind, ',' ORDER BY page, line_no) AS kind FROM da GROUP BY doc_id")
-query("llm_units", lambda x: y.numbered_units(y.detect(x)).join(x.select("doc_id", "page", "line_no", "text"), ["doc_id", "page", "line_no"]).select("doc_id", "unit_id", "kind", F.trim("text").alias("prompt")), "lines", f"WITH {FOUND} SELECT da.doc_id, 'u' || CAST(row_number() OVER (PARTITION BY da.doc_id ORDER BY da.page, da.line_no) AS VARCHAR) AS unit_id, kind, trim(text) AS prompt FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no")
+query("llm_units", lambda x: n.model_units(x, y.numbered_units(y.detect(x))), "lines", f"""WITH {FOUND}, u AS (SELECT da.*, 'u' || CAST(row_number() OVER (PARTITION BY da.doc_id ORDER BY da.page, da.line_no) AS VARCHAR) AS unit_id, text FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no),
+ib AS (SELECT *, regexp_split_to_array(text, '_+') AS g, len(regexp_extract_all(text, '_+')) AS n FROM u WHERE kind = 'inline_blank'), iq AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY page, line_no) - n + 1 AS BIGINT) AS f FROM ib),
+op AS (SELECT doc_id, page, st, opt, min(line_no) AS line_no, max(token) AS label, string_agg(trim(text), ' ' ORDER BY rn) AS text FROM wl GROUP BY ALL),
+ru AS (SELECT doc_id, page, min(line_no) AS first_line, string_agg(text, '  ' ORDER BY opt) AS texts, string_agg(label || ': ' || text, ' | ' ORDER BY opt) AS options FROM op GROUP BY doc_id, page, st HAVING count(*) >= 2),
+sm AS (SELECT doc_id, page, first_line, trim(regexp_replace(string_agg(text, ' ' ORDER BY rn), '\\s+', ' ', 'g')) AS stem FROM sl GROUP BY ALL)
+SELECT doc_id, unit_id, kind, trim(regexp_replace(array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{{{s' || CAST(f + i - 2 AS VARCHAR) || '}}}}' || p END), ''), '\\s+', ' ', 'g')) AS prompt, NULL AS answer_key, array_to_string(list_transform(range(f, f + n), lambda i: 's' || CAST(i AS VARCHAR)), ',') AS slots, NULL AS options FROM iq
+UNION ALL SELECT u.doc_id, unit_id, kind, trim(coalesce(stem, '') || '  ' || texts), unit_id, NULL, options FROM u JOIN ru ON ru.doc_id = u.doc_id AND ru.page = u.page AND ru.first_line = u.line_no LEFT JOIN sm ON sm.doc_id = u.doc_id AND sm.page = u.page AND sm.first_line = u.line_no WHERE kind = 'multiple_choice'
+UNION ALL SELECT doc_id, unit_id, kind, trim(text), unit_id, NULL, NULL FROM u WHERE kind NOT IN ('inline_blank', 'multiple_choice')""")
 query("context_blocks", lambda x: context_blocks(x.select("conv_id", F.concat(F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(" "), F.col("role")).alias("name"), "text"), "conv_id", 300), "conversations", "SELECT conv_id, string_agg('### ' || lpad(CAST(turn AS VARCHAR), 4, '0') || ' ' || role || chr(10) || CASE WHEN length(text) > 300 THEN rtrim(left(text, 300), ' ') || ' [truncated]' ELSE text END, chr(10) || chr(10) ORDER BY turn, role, text) AS context FROM conversations WHERE trim(text, ' ') <> '' GROUP BY conv_id")
 query("rate_card_rows", lambda u: m.rate_card_from_json(u.select(F.when(F.col("user_id") % 10 == 0, F.lit("{broken")).otherwise(F.format_string('{"models":{"m%d":{"in":%d}}}', "user_id", F.col("user_id") % 7)).alias("value"))), "users", "SELECT 'm' || CAST(user_id AS VARCHAR) AS model, CAST(user_id % 7 AS DOUBLE) AS rate_in, 0.0::DOUBLE AS rate_out FROM users WHERE user_id % 10 <> 0")
 query("rate_card_clean", lambda u: m.clean_rates(u.select(F.when(F.col("user_id") % 11 == 0, F.lit(" ")).otherwise(F.col("email")).alias("model"), F.expr("CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'x' WHEN 1 THEN '-1' WHEN 2 THEN NULL WHEN 3 THEN 'NaN' ELSE '2.5' END").alias("rate_in"), F.lit("1").alias("rate_out"))), "users", "SELECT email AS model, CASE CAST(user_id % 5 AS INT) WHEN 2 THEN 0.0::DOUBLE ELSE 2.5::DOUBLE END AS rate_in, 1.0::DOUBLE AS rate_out FROM users WHERE user_id % 11 <> 0 AND user_id % 5 IN (2, 4)")

@@ -8,6 +8,7 @@ from formlens.functions import core as c
 from formlens.operators import anchors as n
 from formlens.operators import layout as y
 from formlens.plans.registry import query
+from formlens.sources.io import PAGES, flatten_geometry, glyph_set, template_markers
 
 B = "[●○■▪◆◇•·]"
 BULLETED = f"regexp_matches(text, '^\\s*{B}')"
@@ -120,6 +121,11 @@ SELECT bx.doc_id, page, 'text' AS kind, key, x0, y0, x1, y1, coalesce(answer, ''
 UNION ALL SELECT ci.doc_id, ci.page, 'circle', key, wl.x0, wl.y0, wl.x0 + 5.0 * coalesce(least(nullif(strpos(left(wl.text, 8), '.'), 0), nullif(strpos(left(wl.text, 8), ')'), 0)), least(length(wl.text), 8)), wl.y1, '' FROM ci JOIN wl ON wl.doc_id = ci.doc_id AND wl.page = ci.page AND wl.line_no BETWEEN first_line AND last_line AND wl.token = ci.label""")
 query("snip_boxes", lambda x: y.snip_box(x.select("doc_id", "page", "line_no", F.col("x1").alias("ax"), F.col("x0").alias("bx"), F.col("y0").alias("ay"), F.when(F.col("k") == 7, F.col("y0") + 1).otherwise(F.col("y1")).alias("by"))), "lines", "SELECT doc_id, page, line_no, greatest(x0 - 4, 0) AS x0, greatest(y0 - 4, 0) AS y0, least(x1 + 4, 612.0) AS x1, least(y1 + 4, 792.0) AS y1 FROM lines WHERE k <> 7")
 query("ocr_axis_fix", lambda x: y.fix_axes(x.filter("k < 6").select("doc_id", "page", "line_no", *(F.when(F.col("doc_id") % 3 == 0, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "y0"), ("y0", "x0"), ("x1", "y1"), ("y1", "x1"))))), "lines", "WITH f AS (SELECT * FROM lines WHERE k < 6), v AS (SELECT doc_id, page, count(*) AS n FROM f GROUP BY ALL) SELECT f.doc_id, f.page, line_no, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y0 ELSE x0 END AS x0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x0 ELSE y0 END AS y0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y1 ELSE x1 END AS x1, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x1 ELSE y1 END AS y1 FROM f JOIN v ON v.doc_id = f.doc_id AND v.page = f.page")
+pages_of = lambda x: x.filter("text <> ''").groupBy("doc_id", "page").agg(F.struct(F.col("page").alias("index"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.array(F.array(F.min("x0"), F.min("y0"), F.min("x0") + 5, F.min("y0") + 5)).alias("markers"), F.collect_list(F.struct(F.left("text", F.lit(1)).alias("glyph"), F.array("x0", "y0", "x1", "y1").alias("draw"))).alias("cells")).alias("p")).groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list("p").alias("pages"))).alias("j"))
+layouts = lambda x: pages_of(x).select("doc_id", F.from_json("j", PAGES).alias("j")).select("doc_id", "j.pages")
+query("template_cells", lambda x: flatten_geometry(layouts(x), "doc_id"), "lines", "SELECT doc_id, page, left(text, 1) AS glyph, x0, y0, x1, y1, left(text, 1) IN ('g', 'j', 'p', 'q', 'y') AS descends FROM lines WHERE text <> ''")
+query("template_glyphs", lambda x: glyph_set(flatten_geometry(layouts(x), "doc_id"), "doc_id"), "lines", "SELECT DISTINCT doc_id, left(text, 1) AS glyph FROM lines WHERE text <> ''")
+query("template_marks", lambda x: template_markers(layouts(x), "doc_id"), "lines", "SELECT doc_id, page, 0 AS mark, min(x0) AS x0, min(y0) AS y0, min(x0) + 5 AS x1, min(y0) + 5 AS y1 FROM lines WHERE text <> '' GROUP BY doc_id, page")
 query("active_formats", lambda x: x.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.when(F.col("line_no") % 7 == 0, F.element_at(F.split(F.lit("bullet_answer,bogus,table,open_response"), ","), (F.col("line_no") / 7 % 4).cast("int") + 1)))).alias("asked")).select("doc_id", F.array_join(c.active_formats(F.col("asked")), ",").alias("formats")), "raw_lines",
       "WITH q AS (SELECT doc_id, list_sort(list_distinct(list((['bullet_answer', 'bogus', 'table', 'open_response'])[CAST(line_no // 7 % 4 AS INT) + 1]))) AS f FROM raw_lines WHERE line_no % 7 = 0 GROUP BY doc_id), r AS (SELECT doc_id, list_filter(f, lambda x: x <> 'bogus') AS f FROM q) SELECT doc_id, CASE WHEN len(f) = 0 THEN 'inline_blanks,open_response,bullet_answer,table,multiple_choice' ELSE array_to_string(f, ',') END AS formats FROM r")
 query("format_labels", lambda x: x.select("doc_id", "line_no", c.format_label(F.element_at(F.split(F.lit("inline_blanks,open_response,bullet_answer,table,multiple_choice,other"), ","), (F.col("line_no") % 6).cast("int") + 1)).alias("label")), "raw_lines",

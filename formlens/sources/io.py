@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.operators.metering import rate_card_from_json
@@ -16,16 +16,23 @@ def append_daily(df: DataFrame, path: str, ts: str = "ts") -> None:
     df.withColumn("dt", F.to_date(ts)).write.mode("append").partitionBy("dt").parquet(path)
 
 
-def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key is not stored yet (null keys always); returns how many. Safe to repeat."""
-    spark = df.sparkSession
+def append_new(df: DataFrame, path: str, key: str, run: str | None = None, batch: int = 0) -> int:
+    """Append rows whose key is not stored yet (null keys always); returns how many.
+
+    With a ``run`` the rows are batch ``batch`` of it: repeating the batch replaces what it wrote, rows
+    without a key included, so a batch that fails halfway can be run again. One writer at a time.
+    """
+    spark, here = df.sparkSession, f"{path}/run={run}/batch={batch}" if run else path
     rows = df.filter(F.col(key).isNotNull()).dropDuplicates([key])
     if exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+        stored = spark.read.parquet(path)
+        if run and "run" in stored.columns:
+            stored = stored.filter((F.col("run") != run) | (F.col("batch") != batch))
+        rows = rows.join(stored.select(key), key, "left_anti")
+    seen = Observation()
     rows = rows.select(df.columns).unionByName(df.filter(F.col(key).isNull()))
-    n = rows.count()
-    rows.write.mode("append").parquet(path)
-    return n
+    rows.observe(seen, F.count("*").alias("n")).write.mode("overwrite" if run else "append").parquet(here)
+    return seen.get["n"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -60,12 +67,33 @@ def context_blocks(files: DataFrame, by: str, limit: int = 6000) -> DataFrame:
     return files.filter(F.trim("text") != "").groupBy(by).agg(F.array_join(F.transform(parts, lambda p: F.concat(F.lit("### "), p["name"], F.lit("\n"), p["text"])), "\n\n").alias("context"))
 
 
+PAGES = "pages array<struct<index:int,width:double,height:double,markers:array<array<double>>,cells:array<struct<glyph:string,draw:array<double>>>>>"
+
+
+def _boxes(box: Column) -> list[Column]:
+    return [F.get(box, i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+
+
+def flatten_geometry(layouts: DataFrame, *by: str) -> DataFrame:
+    """Nested template layouts (column pages) as by, page, glyph, x0, y0, x1, y1, descends."""
+    cells = layouts.select(*by, F.explode("pages").alias("p")).select(*by, F.col("p.index").alias("page"), F.explode("p.cells").alias("c"))
+    return cells.select(*by, "page", F.col("c.glyph").alias("glyph"), *_boxes(F.col("c.draw")), F.col("c.glyph").isin(list("gjpqy")).alias("descends"))
+
+
+def template_markers(layouts: DataFrame, *by: str) -> DataFrame:
+    """Registration marks of the pages of nested template layouts, in order."""
+    marks = layouts.select(*by, F.explode("pages").alias("p")).select(*by, F.col("p.index").alias("page"), F.posexplode("p.markers").alias("mark", "m"))
+    return marks.select(*by, "page", "mark", *_boxes(F.col("m")))
+
+
+def glyph_set(cells: DataFrame, *by: str) -> DataFrame:
+    """Distinct glyphs that a layout has cells for."""
+    return cells.select(*by, "glyph").distinct()
+
+
 def read_geometry(spark: SparkSession, path: str) -> DataFrame:
-    """Nested template layout (pages of cells) as page, glyph, x0, y0, x1, y1, descends."""
-    pages = spark.read.json(path, multiLine=True, schema="pages array<struct<index:int,width:double,height:double,cells:array<struct<glyph:string,draw:array<double>>>>>")
-    cells = pages.select(F.explode("pages").alias("p")).select("p.index", F.explode("p.cells").alias("c"))
-    box = [F.col("c.draw")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
-    return cells.select(F.col("index").alias("page"), F.col("c.glyph").alias("glyph"), *box, F.col("c.glyph").isin(list("gjpqy")).alias("descends"))
+    """Cells of a template layout file; see ``flatten_geometry``."""
+    return flatten_geometry(spark.read.json(path, multiLine=True, schema=PAGES))
 
 
 def write_structure(units: DataFrame, path: str) -> None:

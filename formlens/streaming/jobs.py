@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from formlens.functions.core import shift
 from formlens.operators.ledger import fresh
-from formlens.operators.metering import metered
+from formlens.operators.metering import metered, remaining
 from formlens.sources.io import append_new, exists
 
 
@@ -19,8 +21,9 @@ def payments_once(payments: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def payments_sink(payments: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Payments appended once each, however late they are redelivered: stored ids are left out per batch."""
-    return payments.writeStream.foreachBatch(lambda df, _: append_new(df, path, "stripe_event_id")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Payments appended once each, however late they are redelivered: stored ids are left out per batch, and a batch that is run again replaces its rows."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    return payments.writeStream.foreachBatch(lambda df, batch: append_new(df, path, "stripe_event_id", run, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily_totals(df: DataFrame, value: str, tz: float = 0.0, delay: str = "1 day") -> DataFrame:
@@ -29,10 +32,11 @@ def daily_totals(df: DataFrame, value: str, tz: float = 0.0, delay: str = "1 day
     return local.groupBy(F.window("local_ts", "1 day")).agg(F.sum(value).alias("total"), F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "total", "n")
 
 
-def credit_state(calls: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Metered tokens per user and UTC day."""
+def credit_state(calls: DataFrame, delay: str = "1 day", credits: int = 20) -> DataFrame:
+    """Metered tokens per user and UTC day, and the credit they leave (0 at least)."""
     rows = metered(calls).withWatermark("ts", delay)
-    return rows.groupBy("user_key", F.window("ts", "1 day")).agg(F.sum("tokens").alias("tokens")).select("user_key", F.to_date("window.start").alias("day"), "tokens")
+    sums = rows.groupBy("user_key", F.window("ts", "1 day")).agg(F.sum("tokens").alias("tokens"))
+    return sums.select("user_key", F.to_date("window.start").alias("day"), "tokens", remaining(F.col("tokens"), credits).alias("remaining"))
 
 
 def split_stale(events: DataFrame, seconds: int = 300) -> tuple[DataFrame, DataFrame]:
@@ -54,17 +58,31 @@ def hourly_reliability(calls: DataFrame, delay: str = "2 hours") -> DataFrame:
     return agg.select(F.col("window.start").alias("hour"), "total", "ok", "fallback", "p50_ms")
 
 
-def entitlement_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest state per account, merged into versioned snapshots: each batch writes a new one beside the last."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete snapshot versions under a path, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def entitlement_sink(events: DataFrame, path: str, checkpoint: str, kept: int = 2) -> StreamingQuery:
+    """Latest state per account: each batch merges into the newest complete version and writes the next one.
+
+    Merging a batch twice changes nothing, so a batch that is run again is safe, and so is a new
+    checkpoint over old versions. All but the last ``kept`` versions are deleted.
+    """
 
     def merge(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
+        spark, old = df.sparkSession, versions(df.sparkSession, path)
         rows = df.select("email", "state", "ts", "event_id")
-        last = f"{path}/v{batch - 1}"
-        if batch and exists(spark, last):
-            rows = rows.unionByName(spark.read.parquet(last))
+        if old:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/v{old[-1]}"))
         newest = rows.groupBy("email").agg(F.max_by(F.struct("state", "ts", "event_id"), F.struct("ts", "event_id")).alias("r")).select("email", "r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v{batch}")
+        newest.write.mode("overwrite").parquet(f"{path}/v{old[-1] + 1 if old else 0}")
+        for v in old[: 1 - kept] if kept > 1 else old:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -49,11 +49,21 @@ def test_payments_sink_is_idempotent(spark, stream, tmp_path):
     assert spark.read.parquet(path).count() == p.select("stripe_event_id").distinct().filter("stripe_event_id is not null").count()
 
 
+def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
+    from formlens.sources.io import append_new
+
+    p, path = view(spark, SF, "payments").select("event_id", "ts", "stripe_event_id"), str(tmp_path / "stored")
+    ids, none = p.select("stripe_event_id").distinct().filter("stripe_event_id is not null").count(), p.filter("stripe_event_id is null").count()
+    for batch, n in ((0, ids + none), (0, ids + none), (1, none), (1, none)):
+        assert append_new(p, path, "stripe_event_id", "r", batch) == n
+    assert spark.read.parquet(path).count() == ids + 2 * none
+
+
 def test_credit_state_and_reliability_equal_batch(spark, stream, tmp_path):
-    from formlens.operators.metering import credit_daily
+    from formlens.operators.metering import credit_daily, remaining
 
     calls = view(spark, SF, "ai_calls")
-    assert rows(run(jobs.credit_state(stream(calls)), tmp_path)) == rows(credit_daily(calls).select("user_key", "day", "tokens"))
+    assert rows(run(jobs.credit_state(stream(calls)), tmp_path)) == rows(credit_daily(calls).select("user_key", "day", "tokens", remaining(F.col("tokens"))))
     got = run(jobs.hourly_reliability(stream(calls)), tmp_path).drop("p50_ms")
     want = calls.groupBy(F.date_trunc("hour", "ts")).agg(F.count("*"), F.count_if("ok"), F.count_if(F.col("provider") == "fallback"))
     assert rows(got) == rows(want)
@@ -63,6 +73,8 @@ def test_first_touch_and_stale_events(spark, stream, tmp_path):
     d = view(spark, SF, "devices")
     assert run(jobs.first_touch(stream(d)), tmp_path, "append").count() == d.select("device_id").distinct().count()
     e = d.selectExpr("event_id", "ts as sent_at", "ts + make_interval(0,0,0,0,0,0, event_id % 700 - 350) as received_at")
+    for part, want in zip(jobs.split_stale(stream(e)), jobs.split_stale(e), strict=True):
+        assert rows(run(part.select("event_id"), tmp_path, "append")) == rows(want.select("event_id"))
     good, bad = jobs.split_stale(e)
     assert good.count() + bad.count() == e.count() and bad.count() == e.filter("abs(event_id % 700 - 350) > 300").count() > 0
 
@@ -75,3 +87,10 @@ def test_entitlement_snapshots(spark, stream, tmp_path):
     jobs.entitlement_sink(stream(e, 9), path, str(tmp_path / "c")).awaitTermination()
     last = max(int(p.name[1:]) for p in (tmp_path / "snap").iterdir() if p.name.startswith("v"))
     assert rows(spark.read.parquet(f"{path}/v{last}").select("email", "state")) == rows(entitlement_now(e).select("email", "state"))
+
+    # A new checkpoint over the old versions keeps their state; old versions go.
+    late = spark.createDataFrame([(10**9, "new@example.com", "pro")], "event_id long, email string, state string").withColumn("ts", F.lit("2025-01-01").cast("timestamp"))
+    jobs.entitlement_sink(stream(late, 1), path, str(tmp_path / "c2")).awaitTermination()
+    left = jobs.versions(spark, path)
+    assert len(left) == 2 and left[-1] == last + 1
+    assert rows(spark.read.parquet(f"{path}/v{left[-1]}").select("email", "state")) == rows(entitlement_now(e.unionByName(late.select(*e.columns))).select("email", "state"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formlens.functions import core as c
 from formlens.operators import analytics as a
+from formlens.operators import anchors as n
 from formlens.operators import layout as y
 from formlens.operators import ledger as l
 from formlens.operators import metering as m
@@ -99,6 +100,66 @@ def test_text_helpers(spark):
     assert [one.select(y.label_ordinal(F.lit(t))).first()[0] for t in ("A", "C", "IV", "Z")] == [1, 3, 4, None]
 
 
+def sheet(spark, rows):
+    """Lines of one page from (text, y0, y1)."""
+    return spark.createDataFrame([(1, 0, i, t, 72.0, float(a), 300.0, float(b)) for i, (t, a, b) in enumerate(rows)], "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_folded_and_dropped_characters(spark):
+    one = spark.range(1)
+    for ch in c.DASHES:
+        assert one.select(c.normalize_text(F.lit(f"a{ch}B"))).first()[0] == "a-b"
+    for ch in c.SINGLE_QUOTES:
+        assert one.select(c.normalize_text(F.lit(f"a{ch}"))).first()[0] == "a'"
+    for ch in c.ZERO_WIDTH:
+        assert one.select(c.normalize_text(F.lit(f"a{ch}b"))).first()[0] == "ab"
+    for ch in c.BULLETS:
+        assert one.select(c.is_empty_bullet(F.lit(f" {ch} \u200b")), c.strip_bullet(F.lit(f"{ch} x"))).first()[:] == (True, "x")
+    assert one.select(c.is_bulleted(F.lit("◦ x"))).first()[0] is False
+    for ch, latin in c.LOOK_ALIKES.items():
+        assert one.select(y.option_token(F.lit(f" {ch} ) text"))).first()[0] == latin
+    assert one.select(y.option_token(F.lit("iv. text"))).first()[0] == "IV" and one.select(y.option_token(F.lit("A."))).first()[0] is None
+
+
+def test_options_wrap_and_have_stems(spark):
+    lines = sheet(spark, [("Heading", 0, 10), ("3. What holds,", 40, 50), ("and why?", 53, 63), ("I. one", 70, 80), ("and more", 83, 93), ("II) two", 100, 110), ("iii. three", 115, 125), ("far below", 150, 160), ("B) stray", 170, 180), ("а. x", 200, 210), ("C. y", 215, 225), ("A. p", 300, 310), ("b. q", 312, 322)])
+    assert sorted((r.first_line, r.last_line, r.n_options, r.system) for r in y.stacked_options(lines).collect()) == [(3, 6, 3, "roman"), (11, 12, 2, "letter")]
+    assert [(r.first_line, r.stem_line, r.stem) for r in y.stems(lines).collect()] == [(3, 1, "3. What holds, and why?")]
+    unit = n.choice_units(lines).filter("first_line = 3").first()
+    assert (unit.options, unit.x0, unit.y0, unit.x1, unit.y1) == ("I. one and more | II) two | iii. three", 72.0, 70.0, 92.0, 125.0)
+    kinds = {r.line_no: r.kind for r in y.detect(lines).collect()}
+    assert {k for k, v in kinds.items() if v == "multiple_choice"} == {3, 4, 5, 6, 11, 12} and not {1, 2} & set(kinds)
+    said = spark.createDataFrame([(1, 0, 3, "III only"), (1, 0, 11, "Bfoo")], "doc_id long, page int, first_line int, answer string")
+    assert {r.first_line: r.label for r in n.chosen_option(n.choice_units(lines), said).collect()} == {3: "III", 11: "B"}
+    inline = sheet(spark, [("i. a ii. b iii. c", 0, 1), ("A. a C. b B. c", 2, 3), ("A. a B. b", 4, 5), ("x A) 1 B) 2 C) 3", 6, 7)])
+    assert {(r.line_no, r.n_options) for r in y.inline_options(inline).collect()} == {(0, 3), (3, 3)}
+
+
+def test_blanks_beside_anchors(spark):
+    rows = [("Name: ____ Date", 0, 4, "after"), ("Name: text", 0, 4, "after"), ("ends here", 0, 8, "after"), ("___ cat", 4, 6, "before"), ("word cat", 5, 7, "before"), ("Name:                ____", 0, 4, "after")]
+    df = sheet(spark, [(t, 0, 10) for t, *_ in rows])
+    where = spark.createDataFrame([(i, a, b, p) for i, (_, a, b, p) in enumerate(rows)], "line_no int, a0 int, a1 int, position string")
+    got = {r.line_no: (r.sx0, r.sx1, r.underscores) for r in n.slots(df.join(where, "line_no")).collect()}
+    assert got == {0: (102.0, 122.0, 4), 1: (100.0, 230.0, 0), 2: (120.0, 572.0, 0), 3: (72.0, 87.0, 3), 4: (72.0, 95.0, 0), 5: (100.0, 173.0, 0)}
+
+
+def test_answers_overlays_and_table_prompts(spark):
+    reply = '<think>{}</think>```json {"u1-s1": "a", "s1": "b", "u2": {"s3": "c", "s4": 5}, "k": [1], "note": "d"}```'
+    df = spark.createDataFrame([(1, reply), (2, "none"), (3, None)], "doc_id long, reply string")
+    assert sorted((r.slot, r.answer) for r in y.flat_answers(df).collect()) == [("note", "d"), ("s1", "b"), ("s3", "c")]
+    raw = [("ink", [[1.0, 2.0]] * 2500, "#ABCDEF", 99.0, None, None, None), ("ink", [[1.0, 2.0]], "#abcdef", 1.0, None, None, None), ("ink", [[1.0, 2.0]] * 2, "blue", None, None, None, None), ("circle", None, None, None, [1.0] * 4, 2.0, "mono"), (None, None, None, None, [1.0] * 3, 2.0, "mono"), ("x", None, None, None, [1.0] * 4, None, "odd")]
+    df = spark.createDataFrame([(1, 0, i, *r) for i, r in enumerate(raw)], "doc_id long, page int, line_no int, kind string, points array<array<double>>, color string, width double, bbox array<double>, size double, font string")
+    got = {r.line_no: (r.kind, r.n_points, r.color, r.width, r.size, r.font) for r in n.clean_overlays(df, spark.createDataFrame([(1, 0)], "doc_id long, page int")).collect()}
+    assert got == {0: ("ink", 2000, "#abcdef", 20.0, None, None), 2: ("ink", 2, "#1a1a1a", 2.0, None, None), 3: ("circle", None, None, None, 6.0, "mono"), 5: ("text", None, None, None, 11.0, "sans")}
+    cells = [(1, 0, 0, 0, 0, None, "Name"), (1, 0, 0, 1, 0, None, ""), (1, 0, 1, 0, 1, 1, "x {{s1}}"), (1, 0, 1, 1, 0, None, "y"), (1, 1, 0, 0, 2, 2, "{{s2}} {{s3}}"), (1, 1, 1, 0, 0, None, "z")]
+    df = spark.createDataFrame(cells, "doc_id long, page int, row int, col int, n int, first_slot int, text string")
+    assert {r.page: r.prompt for r in n.table_prompts(df).collect()} == {0: 'TABLE:\n  [under "Name"] x {{s1}}\n  [under ""] y', 1: "TABLE:\n  [r0c0] {{s2}} {{s3}}\n  [r1c0] z"}
+    assert {r.page: r.slots for r in n.table_slots(df).collect()} == {0: "s1", 1: "s2,s3"}
+    one = spark.range(1)
+    assert one.select(c.ocr_placeholders(F.lit("a ___ b ____"), F.array(*map(F.lit, ["s1", "s2", "s3"])))).first()[0] == "a {{s1}} b {{s2}} {{s3}}"
+    assert one.select(c.ocr_placeholders(F.lit("a ___ b ____"), F.array(F.lit("s1")))).first()[0] == "a {{s1}} b "
+
+
 def test_sources_round_trip(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("héllo".encode())
     (tmp_path / "b.md").write_bytes("caf\xe9".encode("latin-1"))
