@@ -445,8 +445,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
                 component = connected_components(edges.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch, "cc2")
 
     component = component.join(nodes.select(F.col("key").alias("node"), "rep"), "node")
-    least = component.groupBy("component").agg(F.min("rep").alias("least"))
-    linked = component.join(least, "component").select(F.col("node").alias("key"), "least")
+    least = Names(component.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")), scratch, "least", BROADCAST_ROWS)
+    linked = least.join(component, ["component"]).select(F.col("node").alias("key"), "least")
     of_key = nodes.join(linked, "key", "left").select("key", F.coalesce("least", "rep").alias("least")).join(groups, "key")
     out = Names(of_key, scratch, "classes", BROADCAST_ROWS).join(rows.filter("n_shingles > 0 and doc_id is not null"), ["key"])
     out = out.select("doc_id", "n_shingles", F.col("least").alias("component_id"))
