@@ -39,7 +39,7 @@ e AS (SELECT doc_id, line_no, unnest(range(len(r))) AS k, r, g FROM s)
 SELECT doc_id, line_no, CAST(k AS INT) AS k, CAST(list_sum(list_transform(g[1:k + 1], lambda z: length(z))) + coalesce(list_sum(list_transform(r[1:k], lambda z: length(z))), 0) AS INT) AS start, CAST(length(r[k + 1]) AS INT) AS length FROM e""")
 query("inline_blanks", lambda x: x.filter(F.col("text").contains("_")).select("doc_id", "line_no", F.size(F.regexp_extract_all("text", F.lit("_+"), F.lit(0))).alias("n"), c.placeholder_text(F.col("text"), F.lit(1)).alias("t")), "lines",
       "WITH s AS (SELECT doc_id, line_no, regexp_split_to_array(text, '_+') AS g FROM lines WHERE contains(text, '_')) SELECT doc_id, line_no, CAST(len(g) - 1 AS INT) AS n, trim(regexp_replace(array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{s' || CAST(i - 1 AS VARCHAR) || '}}' || p END), ''), '\\s+', ' ', 'g')) AS t FROM s")
-query("video_ids", lambda x: x.select("doc_id", "line_no", c.video_id(F.expr("CASE CAST(line_no % 4 AS INT) WHEN 0 THEN 'https://youtu.be/abcdefghij' || CAST(line_no % 10 AS STRING) WHEN 1 THEN 'https://www.youtube.com/watch?t=1&v=ABCDEFGHIJK' WHEN 2 THEN 'https://example.com/v' ELSE 'abc_def-123' END")).alias("v")), "raw_lines", "SELECT doc_id, line_no, CASE CAST(line_no % 4 AS INT) WHEN 0 THEN 'abcdefghij' || CAST(line_no % 10 AS VARCHAR) WHEN 1 THEN 'ABCDEFGHIJK' WHEN 3 THEN 'abc_def-123' END AS v FROM raw_lines")
+query("video_ids", lambda x: x.select("doc_id", "line_no", c.video_id(F.expr("CASE CAST(line_no % 5 AS INT) WHEN 0 THEN 'https://youtu.be/' || left(md5(text), 11) || '?t=1' WHEN 1 THEN 'https://www.youtube.com/watch?t=1&v=' || left(md5(text), 11) WHEN 2 THEN 'https://example.com/' || left(md5(text), 11) WHEN 3 THEN 'm.youtube.com/shorts/' || left(md5(text), 11) ELSE left(md5(text), 11) END")).alias("v")), "raw_lines", "SELECT doc_id, line_no, CASE WHEN line_no % 5 <> 2 THEN left(md5(text), 11) END AS v FROM raw_lines")
 query("reading_order", y.reading_order, "lines", "SELECT doc_id, page, line_no, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY round_even(y0 / 3, 0) * 3, x0, line_no) AS INT) AS rank FROM lines")
 query("logical_units", y.logical_units, "lines", f"WITH f AS (SELECT *, CASE WHEN coalesce({BULLETED} OR {QUESTION} OR y0 - lag(y1) OVER ({P}) > 14, true) THEN 1 ELSE 0 END AS s FROM lines) SELECT doc_id, page, line_no, sum(s) OVER ({P} ROWS UNBOUNDED PRECEDING) AS unit FROM f")
 query("prompt_groups", y.prompt_groups, "lines", f"""WITH f AS (SELECT *, CASE WHEN coalesce(y0 - lag(y1) OVER ({P}) < 10 AND abs(x0 - lag(x0) OVER ({P})) < 30, false) THEN 0 ELSE 1 END AS s FROM lines),
