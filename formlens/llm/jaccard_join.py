@@ -73,7 +73,7 @@ class Bands:
             return 1, 5 if k else 1, FAMILIES if tag < self.small else 1
         if k <= SMALL:
             return k // 2 + 2, 5, FAMILIES
-        return math.ceil(1.1 * (k // 2 + 1)) + 2, 3, 1
+        return k // 2 + 3 + k // 40, 3, 1
 
 
 def signatures(u: np.ndarray, bands: Bands, tag: int, family: int = 0) -> tuple[np.ndarray, int]:
@@ -165,6 +165,7 @@ BASE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())
 
 
 def _signature_rows(size: int, bands: Bands, buckets: int, salt: int):
+    # Five bytes of a signature, besides its bucket: those that coincide are candidates more, no links.
     schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("high", pa.binary()), ("key", pa.binary()), ("slack", pa.binary()), ("tag", pa.binary())])
 
     def packed(parts):
@@ -173,7 +174,7 @@ def _signature_rows(size: int, bands: Bands, buckets: int, salt: int):
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         sig, key, slack, tag = sig[order], key[order], slack[order], tag[order]
-        low, high = sig.astype(np.uint32), (sig >> U(32)).astype(np.uint32)
+        low, high = sig.astype(np.uint32), (sig >> U(32)).astype(np.uint8)
         return _batch([(b, low[x:y].tobytes(), high[x:y].tobytes(), key[x:y].tobytes(), slack[x:y].tobytes(), tag[x:y].tobytes()) for b, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x], schema)
 
     def run(batches):
@@ -272,7 +273,7 @@ def _collisions(limit: int):
                         yield from finish()
                     bucket, parts, held, hot = row["bucket"], [], 0, nothing
                 x = np.empty(len(row["slack"]), entry)
-                x["sig"] = np.frombuffer(row["sig"], np.uint32) | (np.frombuffer(row["high"], np.uint32).astype(U) << U(32))
+                x["sig"] = np.frombuffer(row["sig"], np.uint32) | (np.frombuffer(row["high"], np.uint8).astype(U) << U(32))
                 x["key"], x["slack"], x["tag"] = np.frombuffer(row["key"], np.int64), np.frombuffer(row["slack"], np.uint8), np.frombuffer(row["tag"], np.uint16)
                 parts.append(x)
                 held += len(x)
