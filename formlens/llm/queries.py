@@ -13,6 +13,7 @@ from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.media import document_media
 from formlens.llm.mixing import mix_sources, mixing_sql
 from formlens.llm.quality import held_out, score_quality, train_quality
+from formlens.llm.sharding import shard_rows
 from formlens.llm.subword import encode_samples
 from formlens.llm.url_filter import judge_urls
 from formlens.llm.warc_zip import page_records, read_archives, write_archives
@@ -71,6 +72,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "p", "sampled")
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_rows(docs, Scratch(spark, "op13")).drop("text")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_warc_zip": op10_warc_zip,
+    "op13_sharding": op13_sharding,
 }
 
 OP5_SQL = r"""
