@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm.ball_search import quantised, top_k
+from formlens.llm.collocations import collocations
 from formlens.llm.common import Scratch, partitions, table
 from formlens.llm.jaccard_join import near_duplicates
 from formlens.llm.license_scan import document_licences
@@ -72,6 +73,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "p", "sampled")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_rows(docs, Scratch(spark, "op13")).drop("text")
@@ -88,6 +93,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_warc_zip": op10_warc_zip,
+    "op12_collocations": op12_collocations,
     "op13_sharding": op13_sharding,
 }
 
@@ -143,10 +149,31 @@ SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE coalesce(k.text, ''
 FROM documents d LEFT JOIN k USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+  FROM w, range(1, 6) AS r(m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100),
+k AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n.n, CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score, cut.k
+  FROM c JOIN n USING (lang) JOIN range(1, 5) AS cut(k) ON cut.k < c.m
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut.k + 1:c.m], ' ')),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = s.lang AND 100 * q.a >= 100 * s.a
+  AND length(q.phrase) > length(s.phrase) AND contains(' ' || q.phrase || ' ', ' ' || s.phrase || ' '))),
+r AS (SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score FROM o)
+SELECT * FROM r WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op3_exact_topk": OP3_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_source_mixing": mixing_sql(),
     "op10_warc_zip": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }
