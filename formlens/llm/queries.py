@@ -14,6 +14,7 @@ from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.media import document_media
 from formlens.llm.mixing import mix_sources, mixing_sql
 from formlens.llm.quality import held_out, score_quality, train_quality
+from formlens.llm.ranked_search import ranked_search
 from formlens.llm.sharding import shard_rows
 from formlens.llm.subword import encode_samples
 from formlens.llm.url_filter import judge_urls
@@ -73,6 +74,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "p", "sampled")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op11"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_warc_zip": op10_warc_zip,
+    "op11_ranked_search": op11_ranked_search,
     "op12_collocations": op12_collocations,
     "op13_sharding": op13_sharding,
 }
@@ -149,6 +155,19 @@ SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE coalesce(k.text, ''
 FROM documents d LEFT JOIN k USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n FROM t WHERE len(ts) > 0),
+g AS (SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM t) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * g.N + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, g.N),
+s AS (SELECT q.item_id, p.doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 90 + (90 * d.n * g.N) // g.L)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), g GROUP BY q.item_id, p.doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
@@ -175,5 +194,6 @@ ORACLES = {
     "op8_line_dedup": OP8_SQL,
     "op9_source_mixing": mixing_sql(),
     "op10_warc_zip": OP10_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op12_collocations": OP12_SQL,
 }
