@@ -78,7 +78,7 @@ def test_ranges_below_the_kth_score_stay_closed():
     treap = read_treap(12, *(stored[x] for x in ("mask", "delta", "down", "across")))
     best, opened = search_treap(treap, np.arange(n), np.array([0, 1]), np.array([1, 9]), 1, [])
     assert best == [(-(9000 + 77 % 50 + 1), 77)] and opened < 600
-    assert search_treap(treap, np.arange(n), np.array([0, 1]), np.array([1, 9]), 1, [(-10_000, 5)]) == ([(-10_000, 5)], 0)
+    assert search_treap(treap, np.arange(n), np.array([0, 1]), np.array([1, 9]), 1, [(-10_001, 5)]) == ([(-10_001, 5)], 0)
 
 
 def test_odd_rows(spark):
