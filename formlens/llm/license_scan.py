@@ -1,11 +1,11 @@
 """Licence scan: a trained paragraph classifier with an unknown class, confirmed by templates; native.
 
-A paragraph is a line, or a line and the two after it up to a blank one, so notices and licence texts
-that wrap are seen whole. A multinomial logistic regression over word 1- and 2-gram indicators is
+A paragraph is a line, or a line and those after it up to a blank one or to the length of the longest
+template, so notices and licence texts that wrap are seen whole. A multinomial logistic regression over word 1- and 2-gram indicators is
 fitted on notices, headers and body passages of each licence family and, as the unknown class, on
-paragraphs of the corpus and on sentences that speak of licences otherwise. A second, one-feature
-regression turns the margin over the unknown class into a calibrated probability; it learns from
-wordings that the first hasn't seen. A predicted family is confirmed if one of its templates shares
+paragraphs of the corpus and on sentences that name other licences, refuse one or speak of licences
+otherwise. A second, one-feature regression turns the margin over the unknown class into a calibrated
+probability; it learns from wordings that the first hasn't seen, weighed as such paragraphs are frequent. A predicted family is confirmed if one of its templates shares
 enough words with the paragraph. Scoring is one projection without a shuffle.
 
 Lines far from any word of a "strong" gram are left out before. The other grams' leads over the unknown
@@ -101,12 +101,28 @@ MENTIONS = [
     "The terms of the agreement were published on Monday.", "Students at MIT built a robot.", "The Apache helicopter landed near the river.", "Permission to leave the room was granted to everyone.",
     "You may not park here without permission of the owner.", "The software is available for download.", "This version of the general public transport plan was released in May.", "Public notice: the office is closed and all copies of the form are gone.",
     "The work was released to the public last year.", "Free software downloads are listed for details below.", "Creative people share their attribution of success in the commons.", "The following conditions are met by most of the applicants.",
+    "The license bureau closes its desk at noon.", "The committee reserves all rights to change the program.", "The office has the permission of the owner to copy the keys.", "Reserved seats are released at the desk an hour before the show.", "He granted the public free use of the garden.", "The foundation published a general report in version 2.",
+    "The right to close the road is reserved by the city.", "They modified the form and distributed copies in the building.", "Visitors need permission from the front desk.", "The bar kept its license, and the rights of its owner were upheld.",
     "Warranty claims must be made in writing, and the purchase receipt must be included.", "License fees rose, said the ministry, and the code of conduct was revised.", "Licensed electricians only.", "The universal rule under the old law was simple.",
 ]
+#: Licences of no family here, then those that calibration keeps to itself.
+OTHERS = [
+    "zlib License", "Artistic License 2.0", "Microsoft Public License", "Open Software License 3.0", "Common Development and Distribution License", "SIL Open Font License, Version 1.1",
+    "PostgreSQL License", "Python Software Foundation License", "Academic Free License", "Sleepycat License", "company's commercial license", "end user license agreement", "Server Side Public License", "proprietary license",
+]
+OTHERS_KEPT_OUT = ["Boost Software License", "European Union Public Licence", "Educational Community License", "W3C Software Notice"]
+#: Sentences that refuse a licence.
+REFUSALS = [
+    "No license is given for any use of this software.", "No rights are granted to copy or distribute these files.", "You may not use, copy, modify or distribute this software without written permission.", "Permission to use this software is not granted to anyone.",
+    "This software is confidential and may not be redistributed in source or binary form.", "All rights reserved; no part may be copied, modified, merged, published or sold.", "Redistribution and use are not permitted under any conditions.", "Nothing here grants a license to the software, its copies or its documentation.",
+    "No permission is hereby given to deal in the software.", "The use of this program is forbidden without a license from the vendor.", "You must not sublicense or sell copies of the software.", "Neither copying nor modification of this work is allowed.",
+    "No licence, express or implied, is granted to use, modify or distribute the program.", "The right to copy, merge or publish is withheld.", "It is not free software and cannot be redistributed.",
+]
 UNKNOWN = "unknown"
 FAMILIES = sorted(NAMES)
 CLASSES = [*FAMILIES, UNKNOWN]
-JOINED = 3  # lines of a joined paragraph
+LONGEST = max(len(p.split()) for passages in PASSAGES.values() for p in passages)  # words after which a joined paragraph ends
+NEAR = 4  # lines that may lie between two parts of a licence's text
 MARGIN = 1e-3  # over rounding
 
 
@@ -139,6 +155,7 @@ class LicenceModel:
     slope: float
     offset: float
     least: float
+    prior: dict[str, float]  # shares of paragraphs that are known, speak of licences otherwise, and are plain
     strong: list[str]  # a paragraph without these words isn't judged known; empty: no such promise
 
     def scored(self, df: DataFrame) -> DataFrame:
@@ -153,25 +170,50 @@ class LicenceModel:
 
 
 def _joined(lines: Column, i: Column) -> Column:
-    """Line i and those after it, up to a blank one."""
-    part = F.slice(lines, i + 1, JOINED)
-    blank = F.array_position(F.transform(part, lambda x: F.btrim(x) == ""), True).cast("int")
-    return F.array_join(F.when(blank > 0, F.slice(part, 1, blank - 1)).otherwise(part), " ")
+    """Text and last line of the paragraph from line i on: up to a blank line, or until it holds ``LONGEST`` words."""
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("lines"), F.lit(False).alias("over"))
+
+    def add(at: Column, x: Column) -> Column:
+        over = at["over"] | (F.btrim(x) == "")
+        n = at["n"] + F.size(F.split(F.btrim(x), r"\s+"))
+        longer = F.struct(F.concat_ws(" ", at["t"], x).alias("t"), n.alias("n"), (at["lines"] + 1).alias("lines"), (n >= LONGEST).alias("over"))
+        return F.when(over, F.struct(at["t"].alias("t"), at["n"].alias("n"), at["lines"].alias("lines"), F.lit(True).alias("over"))).otherwise(longer)
+
+    # Each line holds a word, so there are LONGEST lines at most.
+    return F.aggregate(F.slice(lines, i + 1, LONGEST), start, add, lambda at: F.struct((i + F.greatest(at["lines"] - 1, F.lit(0))).alias("last"), at["t"].alias("t")))
+
+
+def _earliest(lines: Column, i: Column) -> Column:
+    """First line whose paragraph may reach line i."""
+    since = F.greatest(i - LONGEST + 1, F.lit(0))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("lines"), F.lit(False).alias("over"))
+
+    def add(at: Column, x: Column) -> Column:
+        n = at["n"] + F.size(F.split(F.btrim(x), r"\s+"))
+        stop = at["over"] | (F.btrim(x) == "") | (at["n"] >= LONGEST)
+        return F.when(stop, F.struct(at["n"].alias("n"), at["lines"].alias("lines"), F.lit(True).alias("over"))).otherwise(F.struct(n.alias("n"), (at["lines"] + 1).alias("lines"), F.lit(False).alias("over")))
+
+    return F.aggregate(F.reverse(F.slice(lines, since + 1, i - since)), start, add, lambda at: i - at["lines"])
 
 
 def paragraphs(docs: DataFrame, strong: list[str]) -> DataFrame:
-    """(row, doc_id, text) -> row, doc_id, paragraph (line number from 0), joined (of several lines), g (its grams).
+    """(row, doc_id, text) -> row, doc_id, paragraph (line number from 0), last (its last line), joined (of several lines), g (its grams).
 
     Of each text the lines that hold a ``strong`` word, and the joined paragraphs that reach them; all if there is none.
     """
     holds = (lambda x: F.arrays_overlap(words(x), F.array(*map(F.lit, strong)))) if strong else (lambda x: F.lit(True))
     rows = docs.filter("text <> ''").select("row", "doc_id", F.split("text", "\n").alias("lines"))
     rows = rows.withColumn("held", F.filter(F.transform("lines", lambda x, i: F.when(holds(x), i)), lambda i: i.isNotNull())).filter(F.size("held") > 0)
-    first = F.array_distinct(F.flatten(F.transform("held", lambda i: F.sequence(F.greatest(i - JOINED + 1, F.lit(0)), i))))
-    one = F.transform("held", lambda i: F.struct(i.alias("paragraph"), F.lit(False).alias("joined"), F.get("lines", i).alias("t")))
-    more = F.transform(first, lambda i: F.struct(i.alias("paragraph"), F.lit(True).alias("joined"), _joined(F.col("lines"), i).alias("t")))
-    rows = rows.select("row", "doc_id", F.inline(F.concat(one, more)))
-    return rows.select("row", "doc_id", "paragraph", "joined", words(F.col("t")).alias("w")).filter(F.size("w") > 0).select("row", "doc_id", "paragraph", "joined", grams(F.col("w")).alias("g"))
+    first = F.array_distinct(F.flatten(F.transform("held", lambda i: F.sequence(_earliest(F.col("lines"), i), i))))
+    one = F.transform("held", lambda i: F.struct(i.alias("paragraph"), i.alias("last"), F.lit(False).alias("joined"), F.get("lines", i).alias("t")))
+
+    def more(i: Column) -> Column:
+        whole = _joined(F.col("lines"), i)
+        return F.struct(i.alias("paragraph"), whole["last"].alias("last"), F.lit(True).alias("joined"), whole["t"].alias("t"))
+
+    rows = rows.select("row", "doc_id", F.inline(F.concat(one, F.transform(first, more))))
+    rows = rows.select("row", "doc_id", "paragraph", "last", "joined", words(F.col("t")).alias("w")).filter(F.size("w") > 0)
+    return rows.select("row", "doc_id", "paragraph", "last", "joined", grams(F.col("w")).alias("g"))
 
 
 def known_wordings(spark: SparkSession) -> DataFrame:
@@ -183,45 +225,51 @@ def known_wordings(spark: SparkSession) -> DataFrame:
             w = p.split(" ")
             half = len(w) // 2
             rows += [(f, p, False), (f, " ".join(w[:half]), len(w) >= 24), (f, " ".join(w[half:]), False)]
-    rows += [(UNKNOWN, m, i % 3 == 0) for i, m in enumerate(MENTIONS)]
+    rows += [(UNKNOWN, w.format(n), n in OTHERS_KEPT_OUT or w in KEPT_OUT) for n in OTHERS + OTHERS_KEPT_OUT for w in NOTICES + KEPT_OUT if n in OTHERS or w in KEPT_OUT]
+    rows += [(UNKNOWN, m, i % 4 == 0) for i, m in enumerate(MENTIONS + REFUSALS)]
     return _values(spark, rows, ["family", "line", "kept_out"], "family:string,line:string,kept_out:boolean")
 
 
-def train_licences(docs: DataFrame, scratch: Scratch, max_negatives: int = 2000, max_grams: int = 2048, common: float = 0.01, least: float = 0.5) -> LicenceModel:
+def train_licences(docs: DataFrame, scratch: Scratch, max_negatives: int = 2000, common: float = 0.01, least: float = 0.5) -> LicenceModel:
     """Fit on the wordings, and on one paragraph each of about ``max_negatives`` documents, chosen by a hash, as unknown.
 
     Paragraphs that hold a licence's full name are not taken as unknown. The vocabulary is every gram of
-    the wordings, and the most frequent others up to ``max_grams``, but for grams whose words all stand in
-    more than a ``common`` share of the corpus paragraphs. ``least`` is the probability from which
-    a paragraph counts as known.
+    the training rows, but for grams whose words all stand in more than a ``common`` share of the corpus
+    paragraphs. Calibration weighs the rows it keeps to itself by how often the sampled paragraphs name a
+    licence of the families, speak of a licence otherwise (at least as often), or do neither. ``least`` is the probability from
+    which a paragraph counts as known.
     """
     spark = docs.sparkSession
     count = docs.count()
     share = math.ceil(min(1.0, max_negatives / max(count, 1)) * 1_000_000)
     hashed = F.xxhash64("doc_id", "text")
-    some = docs.filter(F.pmod(hashed, F.lit(1_000_000)) < share).select(F.split("text", "\n").alias("lines"), hashed.alias("h"))
-    line = _joined(F.col("lines"), F.pmod(F.col("h"), F.size("lines")).cast("int"))
-    named = reduce(or_, (F.contains(F.lower(line), F.lit(n.lower())) for f in FAMILIES for n in NAMES[f]))
-    none = some.filter(F.col("lines").isNotNull() & ~named).select(F.lit(UNKNOWN).alias("family"), line.alias("line"), (F.pmod(F.col("h"), F.lit(5)) == 0).alias("kept_out"))
-    rows = known_wordings(spark).unionByName(none).select("family", "kept_out", grams(words(F.col("line"))).alias("g")).filter(F.size("g") > 0)
+    some = docs.filter(F.pmod(hashed, F.lit(1_000_000)) < share).select(F.split("text", "\n").alias("lines"), hashed.alias("h")).filter(F.col("lines").isNotNull())
+    some = some.withColumn("line", _joined(F.col("lines"), F.pmod(F.col("h"), F.size("lines")).cast("int"))["t"])
+    named = reduce(or_, (F.contains(F.lower("line"), F.lit(n.lower())) for f in FAMILIES for n in NAMES[f]))
+    drawn, speaks, names = some.agg(F.count("*"), F.count_if(~named & F.lower("line").rlike("licen[cs]e")), F.count_if(named)).first()
+    prior = {"known": (names + 1) / (drawn + 3), "speaks": (max(speaks, names) + 1) / (drawn + 3)}
+    prior["plain"] = 1 - sum(prior.values())
+    none = some.filter(~named).select(F.lit(UNKNOWN).alias("family"), "line", (F.pmod(F.col("h"), F.lit(5)) == 0).alias("kept_out"), F.lit("plain").alias("kind"))
+    kind = F.when(F.col("family") == UNKNOWN, "speaks").otherwise("known")
+    rows = known_wordings(spark).withColumn("kind", kind).unionByName(none).select("family", "kept_out", "kind", grams(words(F.col("line"))).alias("g")).filter(F.size("g") > 0)
     label = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double") - 1
-    rows = scratch.save(rows.select("g", "kept_out", label.alias("label")).coalesce(4), "training")
+    rows = scratch.save(rows.select("g", "kept_out", "kind", label.alias("label")).coalesce(4), "training")
     known = F.col("label") < len(FAMILIES)
-    counts = rows.filter("not kept_out").select(known.alias("known"), F.explode("g").alias("g")).groupBy("known", "g").count()
-    counts = sorted(((r["known"], r["count"], r.g) for r in counts.filter("known or count > 1").collect()), key=lambda r: (-r[1], r[2]))
-    seen = {g: n for is_known, n, g in counts if not is_known}
-    often = common * rows.filter(~known & ~F.col("kept_out")).count()
-    telling = lambda g: any(seen.get(w, 0) <= often for w in g.split(" "))
-    own = [g for is_known, _, g in counts if is_known and telling(g)]
-    vocabulary = [*own, *(g for g in seen if g not in set(own) and telling(g))][: max(max_grams, len(own))]
+    counts = rows.filter("not kept_out").select(F.col("kind") == "plain", F.explode("g").alias("g")).toDF("plain", "g").groupBy("g").agg(F.count_if("plain").alias("n"))
+    seen = {r.g: r.n for r in counts.collect()}
+    often = common * rows.filter("kind = 'plain' and not kept_out").count()
+    vocabulary = sorted(g for g in seen if any(seen.get(w, 0) <= often for w in g.split(" ")))
     vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="_x").setBinary(True)
     data = vector.transform(rows)
     # The unknown class is the last, so that it is there even without rows of its own.
     fit = LogisticRegression(featuresCol="_x", labelCol="label", family="multinomial", regParam=1e-3, elasticNetParam=0.5, maxIter=20, standardization=False).fit(data.filter("not kept_out"))
-    model = LicenceModel(vocabulary, fit, 1.0, 0.0, least, [])
-    held = model.scored(rows.filter("kept_out")).select("margin", known.cast("double").alias("known"))
-    one = LogisticRegression(featuresCol="m", labelCol="known", regParam=1e-3, maxIter=20).fit(VectorAssembler(inputCols=["margin"], outputCol="m").transform(held))
-    model.slope, model.offset = float(one.coefficients[0]), float(one.intercept)
+    model = LicenceModel(vocabulary, fit, 1.0, 0.0, least, prior, [])
+    held = model.scored(rows.filter("kept_out")).select("margin", "kind", known.cast("double").alias("known"))
+    sizes = {r["kind"]: r["count"] for r in held.groupBy("kind").count().collect()}
+    weight = reduce(lambda w, k: w.when(F.col("kind") == k, prior[k] / sizes[k]), sizes, F.when(F.lit(False), 0.0))
+    held = VectorAssembler(inputCols=["margin"], outputCol="m").transform(held.withColumn("weight", weight * sum(sizes.values())))
+    one = LogisticRegression(featuresCol="m", labelCol="known", weightCol="weight", regParam=1e-4, maxIter=50).fit(held)
+    model.slope, model.offset, model.prior = float(one.coefficients[0]), float(one.intercept), prior
     model.strong = _strong_words(model, seen)
     return model
 
@@ -250,14 +298,35 @@ def _strong_words(model: LicenceModel, seen: dict[str, int]) -> list[str]:
     return sorted(strong)
 
 
+def _rank() -> Column:
+    """A joined paragraph as it is compared: confirmed, similarity, probability, then the earlier one."""
+    better = F.struct("confirmed", "similarity", "p_known", (-F.col("paragraph")).alias("first"))
+    return F.struct("paragraph", "last", better.alias("better"))
+
+
+def _best_apart(found: Column) -> Column:
+    """Of paragraphs in order of their first line, the better of two that overlap, from the top."""
+    kind = "array<struct<paragraph:int,last:int,better:struct<confirmed:boolean,similarity:double,p_known:double,first:int>>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.slice(found, 1, 1).cast(kind).alias("now"))
+
+    def add(at: Column, x: Column) -> Column:
+        now = at["now"][0]
+        apart = F.struct(F.concat(at["done"], at["now"]).alias("done"), F.array(x).cast(kind).alias("now"))
+        kept = F.struct(at["done"].alias("done"), F.when(x["better"] > now["better"], F.array(x).cast(kind)).otherwise(at["now"]).alias("now"))
+        return F.when(x["paragraph"] > now["last"], apart).otherwise(kept)
+
+    return F.aggregate(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), start, add, lambda at: F.concat(at["done"], at["now"]))
+
+
 def scan_licences(docs: DataFrame, model: LicenceModel, scratch: Scratch, similarity: float = 0.6) -> DataFrame:
     """(doc_id, text) -> doc_id, paragraph, joined, family, p_known, template, similarity, confirmed of every notice.
 
     ``similarity`` is the share that the best template of the family must have in common with the
     paragraph: of its 1- and 2-grams or, for paragraphs of 12 grams and more, of the paragraph's. Single
-    lines that are confirmed are notices; so are the best of the joined paragraphs that overlap, if they
-    hold no such line, and single lines that stay unconfirmed and lie in none of those. Whole texts are
-    scanned. Null and empty texts have no paragraph; rows with equal ids are scanned on their own; a
+    lines that are confirmed are notices; so are the joined paragraphs that hold no such line, of two that
+    overlap the better, from the top; and single lines that stay unconfirmed and lie in none of those. A joined
+    paragraph ends before a blank line, or with the line that brings it to as many words as the longest template
+    has; one starts at every line. Families that score alike: the last by name. Whole texts are scanned. Null and empty texts have no paragraph; rows with equal ids are scanned on their own; a
     null doc_id stays null.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -268,22 +337,22 @@ def scan_licences(docs: DataFrame, model: LicenceModel, scratch: Scratch, simila
     share = lambda t: F.round(F.greatest(common(t) / F.size(t["tg"]), F.when(F.size("g") >= 12, common(t) / F.size("g")).otherwise(0.0)), 6)
     best = F.array_max(F.transform("forms", lambda t: F.struct(share(t).alias("s"), F.length(t["template"]).alias("n"), t["template"].alias("t"))))
     found = found.join(F.broadcast(form), "family").withColumn("m", best)
-    found = found.select("row", "doc_id", "paragraph", "joined", "family", "p_known", F.col("m.t").alias("template"), F.col("m.s").alias("similarity"), (F.col("m.s") >= similarity).alias("confirmed"))
+    found = found.select("row", "doc_id", "paragraph", "last", "joined", "family", "p_known", F.col("m.t").alias("template"), F.col("m.s").alias("similarity"), (F.col("m.s") >= similarity).alias("confirmed"))
     found = scratch.save(found, "found")
-    near = lambda a, b: Window.partitionBy("row").orderBy("paragraph").rangeBetween(a, b)
+    by_row = Window.partitionBy("row").orderBy("paragraph")
     sure = ~F.col("joined") & F.col("confirmed")
-    found = found.withColumn("taken", F.max(sure).over(near(0, JOINED - 1)))
-    rank = F.when(F.col("joined") & ~F.col("taken"), F.struct("confirmed", "similarity", "p_known", (-F.col("paragraph")).alias("first")))
-    found = found.withColumns({"rank": rank, "top": F.max(rank).over(near(1 - JOINED, JOINED - 1))})
-    found = found.withColumn("chosen", F.col("rank").isNotNull() & (F.col("rank") == F.col("top")))
-    inside = F.max(F.col("chosen") & F.col("joined")).over(near(1 - JOINED, 0))
-    found = found.withColumn("inside", inside)
-    keep = sure | (F.col("chosen") & F.col("joined")) | (~F.col("joined") & ~F.col("confirmed") & ~F.col("inside"))
-    found = found.filter(keep)
+    following = F.min(F.when(sure, F.col("paragraph"))).over(by_row.rangeBetween(0, Window.unboundedFollowing))
+    free = found.withColumn("sure", following).filter(F.col("joined") & (F.col("sure").isNull() | (F.col("sure") > F.col("last")))).select("row", _rank().alias("x"))
+    chosen = free.groupBy("row").agg(_best_apart(F.array_sort(F.collect_list("x"), lambda a, b: a["paragraph"] - b["paragraph"])).alias("x")).select("row", F.explode("x").alias("x"))
+    chosen = chosen.select("row", F.col("x.paragraph").alias("paragraph"), F.lit(True).alias("joined"), F.lit(True).alias("chosen"))
+    found = found.join(chosen, ["row", "paragraph", "joined"], "left")
+    reached = F.max(F.when(F.col("chosen"), F.col("last"))).over(by_row.rangeBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("inside", F.coalesce(reached >= F.col("paragraph"), F.lit(False)))
+    found = found.filter(sure | F.col("chosen") | (~F.col("joined") & ~F.col("confirmed") & ~F.col("inside")))
     # A licence's text in several paragraphs on end is one notice.
     order = Window.partitionBy("row").orderBy("paragraph", "joined")
     body = F.col("joined") | ~F.col("template").isin([n for f in FAMILIES for n in NAMES[f]])
-    again = body & (F.lag("family").over(order) == F.col("family")) & (F.col("paragraph") - F.lag("paragraph").over(order) <= 2 * JOINED)
+    again = body & (F.lag("family").over(order) == F.col("family")) & (F.col("paragraph") - F.lag("last").over(order) <= NEAR)
     found = found.withColumn("again", F.coalesce(again, F.lit(False))).withColumn("notice", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(order))
     parts = F.struct("confirmed", "similarity", "p_known", "joined", "template")
     out = found.groupBy("row", "doc_id", "family", "notice").agg(F.min("paragraph").alias("paragraph"), F.max(parts).alias("m"))

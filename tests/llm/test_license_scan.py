@@ -1,8 +1,10 @@
 import re
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from formlens.llm.common import Scratch, table
-from formlens.llm.license_scan import document_licences, known_wordings, scan_licences, train_licences
+from formlens.llm.license_scan import LONGEST, OTHERS_KEPT_OUT, document_licences, grams, known_wordings, paragraphs, scan_licences, train_licences, words
 
 SF = "/root/testdata/sf0.01"
 #: The notices that the corpus plants.
@@ -55,3 +57,40 @@ def test_one_row_per_document(spark):
     assert len(rows) == 4 and [(r.n_confirmed, r.families) for r in rows if r.doc_id == 1] == [(2, ["MIT"])]
     assert all(not re.search("MIT", str(r.families)) for r in rows if r.doc_id != 1)
     assert document_licences(docs.limit(0), Scratch(spark, "t")).collect() == []
+
+
+def test_other_licences_and_refusals_are_unknown_and_probabilities_hold(spark):
+    """None of these sentences is a training or calibration line; each bin of p holds as many notices as it says."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    model = train_licences(docs, Scratch(spark, "t"))
+    none = ["The license office reserved all rights to close the permission desk.", "No license is granted to use, copy or modify the files.", "No license is granted to use, copy or modify these sources or their parts."]
+    none += [w.format(n) for n in OTHERS_KEPT_OUT for w in ("licensed under the {}", "The tool comes under the {}.", "It is subject to the {}.")] + OTHERS_KEPT_OUT
+    none += ["The license for the shop was renewed by the council.", "All rights to the song are reserved by its writer.", "You need permission before you copy the key of the building."]
+    some = [w.format(n) for n in ("MIT License", "Apache License 2.0", "GNU General Public License, version 2", "Mozilla Public License 2.0", "CC BY-SA 4.0", "BSD 3-Clause License") for w in ("We give this away under the {}.", "Use of the data follows the {}.", "The team chose the {} for it.")]
+    rows = [(x, "speaks") for x in none] + [(x, "known") for x in some]
+    assert not {x for x, _ in rows} & {r.line for r in known_wordings(spark).collect()}
+    plain = docs.filter("doc_id % 3 = 0").selectExpr("explode(split(text, '\\n')) as line").filter("not lower(line) rlike 'licen|spdx|mozilla|creative commons|apache'").distinct()
+    lines = spark.createDataFrame(rows, "line string, kind string").unionByName(plain.withColumn("kind", F.lit("plain")))
+    got = model.scored(lines.select("line", "kind", grams(words(F.col("line"))).alias("g")).filter("size(g) > 0")).collect()
+    assert [r.line for r in got if r.kind == "speaks" and r.p_known >= model.least] == []
+    assert sum(r.p_known >= model.least for r in got if r.kind == "known") >= 17
+    many = {k: sum(r.kind == k for r in got) for k in model.prior}
+    for lo, hi in ((0, 0.05), (0.05, 0.5), (0.5, 0.95), (0.95, 1.01)):
+        held = [(model.prior[r.kind] / many[r.kind], r.p_known, r.kind == "known") for r in got if lo <= r.p_known < hi]
+        mass = sum(w for w, *_ in held)
+        if mass > 0.002:
+            assert abs(sum(w * p for w, p, _ in held) - sum(w * k for w, _, k in held)) / mass < 0.15
+
+
+def test_paragraphs_end_at_blank_lines_or_at_the_longest_template(spark):
+    """A text that wraps after every other word is one paragraph; a blank line ends it."""
+    text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".split(" ")
+    narrow = "\n".join(" ".join(text[i : i + 2]) for i in range(0, len(text), 2))
+    rows = spark.createDataFrame([(0, 1, narrow), (1, 2, "one\n\ntwo"), (2, 3, "x\n" * 500)], "row long, doc_id long, text string")
+    found = paragraphs(rows, []).filter("joined").collect()
+    assert (0, len(text) // 2 - 1) in {(r.paragraph, r.last) for r in found if r.doc_id == 1}
+    assert {(r.paragraph, r.last) for r in found if r.doc_id == 2} == {(0, 0), (2, 2)}
+    assert max(r.last - r.paragraph for r in found if r.doc_id == 3) == LONGEST - 1 and len([r for r in found if r.doc_id == 3]) == 500
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    got = scan_licences(spark.createDataFrame([(1, "Some story.\n\n" + narrow + "\n\nAnd more.")], "doc_id long, text string"), train_licences(docs, Scratch(spark, "t")), Scratch(spark, "t")).collect()
+    assert [(r.family, r.confirmed) for r in got] == [("MIT", True)]
