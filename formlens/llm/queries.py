@@ -57,7 +57,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_samples(table(spark, sf_dir, "documents"), PIECES, k=2)
+    return encode_samples(table(spark, sf_dir, "documents"), PIECES, k=2, chunk_bytes=1 << 21)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
