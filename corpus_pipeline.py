@@ -75,7 +75,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def subwords(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each document."""
     _scratch(spark, "subwords")
-    return encode_samples(docs, PIECES, k=2)
+    return encode_samples(docs, PIECES, k=2, chunk_bytes=1 << 18)
 
 
 STAGES = [("quality", quality), ("line dedup", line_dedup), ("near duplicates", one_of_each), ("mixing", mixing), ("subwords", subwords)]
