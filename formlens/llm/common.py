@@ -117,3 +117,17 @@ class Names:
         hot, rest = self.rows.filter(F.col("n") > self.hot).drop("n"), self.rows.filter(F.col("n") <= self.hot).drop("n")
         others = rows.join(F.broadcast(hot.select(*by)), by, "left_anti")
         return rows.join(F.broadcast(hot), by).unionByName(others.join(rest, by, how))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, scratch: Scratch, name: str, hot_parts: int = 1 << 10) -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each ``key``), a key with over a ``hot_parts``-th of the rows in several tasks.
+
+    Such a key's row of the table is repeated, and its rows are dealt over the repeats by a hash of ``by``. There
+    can't be more than ``hot_parts`` of these keys, so their counts are broadcast.
+    """
+    counts, seen = scratch.measured(rows.groupBy(key).agg(F.count("*").alias("_n")), f"per-{name}", F.sum("_n").alias("total"))
+    most = max((seen["total"] or 0) // hot_parts, 64)
+    hot = F.broadcast(counts.filter(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")

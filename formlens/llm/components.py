@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Scratch
+from formlens.llm.common import Names, Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step: hang the larger (or the smaller and itself) neighbours of each node on its least neighbour."""
+def _star(edges: DataFrame, large: bool, scratch: Scratch, name: str) -> DataFrame:
+    """One star step: hang the larger (or the smaller and itself) neighbours of each node on its least neighbour.
+
+    The least neighbour of a node with many is broadcast, so the centre of a large component doesn't meet its edges in one task.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(low, "u")
+    low = Names(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), scratch, f"{name}-low")
+    joined = low.join(both, ["u"])
     if large:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    own = low.select("u", F.col("m").alias("v"))
+    own = low.rows.select("u", F.col("m").alias("v"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).filter("u > v").distinct()
 
 
@@ -30,7 +33,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", r
     a = scratch.save(a, f"{name}-0")
     seen = None
     for i in range(1, rounds + 1):
-        a = scratch.save(_star(_star(a, large=True), large=False), f"{name}-{i}")
+        a = scratch.save(_star(a, True, scratch, f"{name}-{i}-large"), f"{name}-{i}-half")
+        a = scratch.save(_star(a, False, scratch, f"{name}-{i}-small"), f"{name}-{i}")
         state = a.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Names, Scratch, partitions
+from formlens.llm.common import Names, Scratch, partitions, spread_join
 from formlens.llm.components import connected_components
 from formlens.llm.textkernel import U, as_text, chunks, mix, release, set_key, shingle_sets, words
 
@@ -384,7 +384,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
 
     heads = base.join(nodes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).groupBy("key").agg(F.max("n").alias("n"), F.first("sketch").alias("s"))
     pairs = found.filter("b is not null").select("a", "b").distinct()
-    pairs = pairs.join(heads.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(heads.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+    pairs = scratch.save(pairs, "candidates")
+    pairs = spread_join(pairs, heads.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a", "b", scratch, "head-a")
+    pairs = spread_join(pairs, heads.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b", "a", scratch, "head-b")
     pairs = scratch.save(pairs.mapInArrow(_close(percent), "a long, b long"), "pairs")
 
     def in_all_families(signs: DataFrame) -> DataFrame:
@@ -411,16 +413,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
     stored = scratch.save(stored.dropDuplicates(["key"]), "sets")
     left, right = stored.select(F.col("key").alias("a"), F.col("u").alias("ua")), stored.select(F.col("key").alias("b"), F.col("u").alias("ub"))
 
-    def checked(p: DataFrame) -> DataFrame:
-        return p.join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a long, b long")
+    def checked(p: DataFrame, name: str) -> DataFrame:
+        p = spread_join(spread_join(p, left, "a", "b", scratch, f"{name}-a"), right, "b", "a", scratch, f"{name}-b")
+        return p.mapInArrow(_verified(percent), "a long, b long")
 
     # Each set against its least candidate first; pairs that those links connect already need no check.
-    stars = scratch.save(checked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "stars")
+    least = scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least-candidates")
+    stars = scratch.save(checked(least, "star"), "stars")
     label = stars.select(F.col("b").alias("x"), F.col("a").alias("l"))
-    label = label.join(label.select(F.col("x").alias("l"), F.col("l").alias("up")), "l", "left").select("x", F.coalesce("up", "l").alias("l"))
-    open_pairs = pairs.join(label.select(F.col("x").alias("a"), F.col("l").alias("la")), "a", "left").join(label.select(F.col("x").alias("b"), F.col("l").alias("lb")), "b", "left")
+    up = Names(label.groupBy(F.col("x").alias("l")).agg(F.min("l").alias("up"), F.count("*").alias("n")), scratch, "up", BROADCAST_ROWS)
+    label = up.join(label, ["l"], "left").select("x", F.coalesce("up", "l").alias("l"))
+    # As many rows behind a name as it has pairs, so that a pivot's pairs don't meet in one task.
+    of = lambda c, l: Names(pairs.groupBy(F.col(c)).agg(F.count("*").alias("n")).join(label.select(F.col("x").alias(c), F.col("l").alias(l)), c), scratch, f"labels-{c}", BROADCAST_ROWS)
+    open_pairs = of("b", "lb").join(of("a", "la").join(pairs, ["a"], "left"), ["b"], "left")
     open_pairs = open_pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    edges = scratch.save(stars.unionByName(checked(open_pairs.join(stars, ["a", "b"], "left_anti"))), "edges")
+    edges = scratch.save(stars.unionByName(checked(scratch.save(open_pairs.join(stars, ["a", "b"], "left_anti"), "open"), "open")), "edges")
     edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     component = connected_components(edges, scratch)
 

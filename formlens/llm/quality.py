@@ -152,20 +152,24 @@ def _feature_rows(dims: int):
     return run
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, dims: int = 1 << 18, max_rows: int = 12_000, label: str = "quality") -> QualityModel:
+def train_quality(docs: DataFrame, labels: DataFrame, dims: int = 1 << 18, max_rows: int = 12_000, max_bytes: int = 64 << 20, label: str = "quality") -> QualityModel:
     """Fit on labelled rows outside the held-out fold.
 
-    At most about ``max_rows`` labelled rows take part, chosen by a hash of doc_id; that bounds the
+    About ``max_rows`` labels at most, chosen by a hash of doc_id, and of their documents' rows about as
+    many, with about ``max_bytes`` of text, chosen by a hash of id and text, take part; that bounds the
     broadcast join and the driver's memory. Labels that are null or neither 0 nor 1 and null ids are
     left out; repeated rows count each time. Without labelled rows every score is one half.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = min(1.0, max_rows / max(rows.count(), 1))
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_rows)
+    rows = rows.groupBy("doc_id", "label").agg(F.count("*").alias("times")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = text.join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text").mapInArrow(_feature_rows(dims), "doc_id long, label int, f binary")
-    got = sorted(found.limit(4 * max_rows).collect(), key=lambda r: (r.doc_id, r.label, len(r.f)))
+    found = text.join(F.broadcast(rows), "doc_id").withColumn("times", F.sequence(F.lit(1), F.least("times", F.lit(max_rows)).cast("int"))).select("doc_id", "label", "text", F.explode("times").alias("time"))
+    many, size = found.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()
+    share = min(1.0, max_rows / max(many, 1), max_bytes / max(size or 0, 1))
+    found = found.filter(F.pmod(F.xxhash64("doc_id", "text", "time"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "label", "text")
+    got = sorted(found.mapInArrow(_feature_rows(dims), "doc_id long, label int, f binary").collect(), key=lambda r: (r.doc_id, r.label, len(r.f), bytes(r.f)))
     model = fit([np.frombuffer(r.f, np.int32) for r in got], np.array([r.label for r in got], int), dims)
     del got
     release()

@@ -73,7 +73,7 @@ def lexical(df: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], scratch: Scratch, max_rows: int = 20_000, trees: int = 12, depth: int = 4) -> DataFrame:
     """(page_id, url) -> page_id, host, path, rule, verdict, p_block; one row per input row.
 
-    At most about ``max_rows`` rule-labelled urls outside the last fold, chosen by a hash of the url, fit
+    At most about ``max_rows`` rule-labelled urls outside the last fold, chosen by a hash of page_id and url, fit
     the trees; suffix statistics count all labelled rows (of the other folds, for a labelled url). Without both classes among the labelled urls the trees are
     left out: every other url then gets the labelled class (allow, if there is none). Null urls are
     judged by the features of an empty text. Other columns are not read.
@@ -84,19 +84,19 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], scratch: Scra
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     df = scratch.save(lexical(df.withColumns({"rule": rule, "label": verdict})), "lexical")
     fold, blocked = url_fold(F.col("url")), F.col("label") == "block"
-    per_fold = [c for i in range(FOLDS) for c in (F.count_if(fold == i).alias(f"n{i}"), F.count_if((fold == i) & blocked).alias(f"b{i}"))]
+    per_fold = [c for i in range(FOLDS) for c in (F.count_if((fold == i) & F.col("label").isNotNull()).alias(f"n{i}"), F.count_if((fold == i) & blocked).alias(f"b{i}"))]
     others = lambda c: sum((F.when(F.col("label").isNotNull() & (fold == i), 0).otherwise(F.coalesce(f"{c}{i}", F.lit(0))) for i in range(FOLDS)), F.lit(0))
     for level in range(1, LEVELS + 1):
         columns, suffix = df.columns, F.substring_index("host", ".", -level).alias("suffix")
-        stats = Names(df.filter("label is not null").groupBy(suffix).agg(F.count("*").alias("n"), *per_fold), scratch, f"suffixes-{level}")
+        stats = Names(df.groupBy(suffix).agg(F.count("*").alias("n"), *per_fold), scratch, f"suffixes-{level}")
         rate, count = (others("b") + 1) / (others("n") + 2), F.log1p(others("n").cast("double"))
         df = stats.join(df.withColumn("suffix", suffix), ["suffix"], "left").select(*columns, rate.alias(f"f_suffix{level}_rate"), count.alias(f"f_suffix{level}_count"))
-    known = df.filter(F.col("label").isNotNull() & (fold < FOLDS - 1)).select(*FEATURES, *SUFFIX_FEATURES, "url", (F.col("label") == "block").cast("double").alias("y"))
+    known = df.filter(F.col("label").isNotNull() & (fold < FOLDS - 1)).select("page_id", *FEATURES, *SUFFIX_FEATURES, "url", (F.col("label") == "block").cast("double").alias("y"))
     seen = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     vector = VectorAssembler(inputCols=FEATURES + SUFFIX_FEATURES, outputCol="features", handleInvalid="keep")
     if len(seen) == 2:
         share = min(1.0, max_rows / sum(seen.values()))
-        part = known.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).limit(2 * max_rows)
+        part = known.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
         part = scratch.save(vector.transform(part).select("features", "y").coalesce(4), "labelled")
         model = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=7, subsamplingRate=1.0).fit(part)
         df = model.transform(vector.transform(df)).withColumn("p_block", vector_to_array("probability")[1])
