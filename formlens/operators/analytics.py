@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.functions.core import browser, device_kind, error_class, is_handwriting, is_reported, label_or, os_name, pct, shift
+from formlens.operators.metering import if_small
 
 DOW = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 NONE = "—"
@@ -143,7 +144,7 @@ def spend_by(calls: DataFrame, column: str, default: str) -> DataFrame:
 def budget_draw(calls: DataFrame, rates: DataFrame, as_of: str, cap: float = 3.0) -> DataFrame:
     """Draw on the primary provider's allowance on as_of's UTC day, at list rates."""
     today = calls.filter((F.col("provider") == "primary") & (F.to_date("ts") == F.to_date(F.lit(as_of))))
-    rows = today.join(F.broadcast(rates.select("model", "rate_in", "rate_out")), "model", "left")
+    rows = today.join(if_small(rates.select("model", "rate_in", "rate_out")), "model", "left")
     cost = (F.coalesce("prompt_tokens", F.lit(0)) * F.col("rate_in") + F.coalesce("output_tokens", F.lit(0)) * F.col("rate_out")) / 1e6
     total = rows.agg(sum_cost(cost).alias("spent"), F.count_if(F.col("rate_in").isNull()).alias("uncosted_calls"))
     return total.select(F.lit(cap).alias("cap"), "spent", F.greatest(F.lit(0.0), F.bround(F.lit(cap) - F.col("spent"), 6)).alias("remaining"), pct(F.col("spent"), F.lit(cap)).alias("pct_used"), "uncosted_calls", (F.col("spent") >= cap).alias("exhausted"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlens.functions.core import clamp, is_empty_bullet, is_question_start, placeholder_text, underscore_runs
-from formlens.operators.layout import BOTTOM, LETTERS, PAGE, ROMAN, ROOM, cell_chars, glyphs, open_responses, option_lines, outside, stems
+from formlens.operators.layout import BOTTOM, LETTERS, PAGE, ROMAN, ROOM, cell_chars, glyphs, json_object, open_responses, option_lines, outside, stems
 
 
 def page_base(anchors: DataFrame, pages: DataFrame) -> DataFrame:
@@ -177,11 +177,20 @@ def slot_numbers(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     return _numbered(cells.unionByName(inline).filter("n > 0"), "after_table", "row", "col", "line_no").select(*PAGE, "row", "col", "line_no", "n", "first_slot")
 
 
+#: Kinds and blank positions of a model's items.
+ITEM_KINDS, ITEM_POSITIONS = ["inline", "open"], ["after", "before", "none"]
+
+
 def anchor_items(df: DataFrame, column: str = "reply") -> DataFrame:
-    """Items of a model's reply that keep to the schema (kind and blank position from their lists, an anchor text), and their place by page and the model's order."""
-    schema = "array<struct<page:int,kind:string,anchor_text:string,blank_position:string>>"
-    rows = df.select("doc_id", F.posexplode(F.from_json(F.col(column), schema)).alias("item_no", "i")).select("doc_id", "item_no", "i.*")
-    rows = rows.filter(F.col("kind").isin("inline", "open", "bullet", "choice") & F.col("blank_position").isin("before", "after", "below") & (F.trim("anchor_text") != "") & (F.col("page") >= 0))
+    """Items of a model's reply, {"items": [...]}, that keep to the schema, and their place by page and the model's order.
+
+    Kind and blank position must come from their lists, the anchor text must not be blank, nor the page
+    below 0; item_no counts all items of the reply. Thoughts, fences and prose round the object are
+    passed over; a reply without such an object has no items.
+    """
+    schema = "struct<items:array<struct<page:int,kind:string,anchor_text:string,blank_position:string>>>"
+    rows = df.select("doc_id", F.posexplode(F.from_json(json_object(F.col(column)), schema)["items"]).alias("item_no", "i")).select("doc_id", "item_no", "i.*")
+    rows = rows.filter(F.col("kind").isin(ITEM_KINDS) & F.col("blank_position").isin(ITEM_POSITIONS) & (F.trim("anchor_text") != "") & (F.col("page") >= 0))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "item_no")))
 
 

@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlens.functions.core import LOOK_ALIKES, is_bulleted, is_empty_bullet, is_question_start, normalize_text
+from formlens.functions.core import LOOK_ALIKES, ZERO_WIDTH, is_bulleted, is_empty_bullet, is_question_start, strip_bullet
 
 PAGE = ["doc_id", "page"]
 BOTTOM, ROOM = 732.0, 25.0
+#: Fixed value: what an answer without a prompt is asked for.
+NO_PROMPT = "Fill in this answer."
 CONTINUED = 6.0  # how close below its label a wrapped line may stand
+#: The dashes that end a label.
+LABEL_DASHES = "-‐‑‒–—―"
 #: The labels of the two systems, in order.
 LETTERS = list("ABCDEFGH")
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]
@@ -75,11 +79,14 @@ def label_box(chars: DataFrame) -> DataFrame:
 
 
 def bullet_answers(lines: DataFrame) -> DataFrame:
-    """Empty bullets with the last real text above as prompt and room down to the next line."""
+    """Empty bullets with the last line of text above as prompt, its own bullet left out, and room down to the next line; blank lines don't count."""
     text = F.col("text")
-    real = F.when(~is_bulleted(text) & (F.trim("text") != ""), F.col("line_no"))
-    rows = lines.withColumns({"prompt_line": F.last(real, ignorenulls=True).over(by_page().rowsBetween(Window.unboundedPreceding, -1)), "bottom": F.coalesce(F.lead("y0").over(by_page()), F.lit(BOTTOM))})
-    return rows.filter(is_empty_bullet(text)).select(*PAGE, "line_no", "prompt_line", F.col("y0").alias("top"), "bottom")
+    real = lambda c: F.last(F.when(~is_empty_bullet(text), c), ignorenulls=True).over(by_page().rowsBetween(Window.unboundedPreceding, -1))
+    rows = lines.filter(text.rlike(r"\S"))
+    prompt = F.trim(F.regexp_replace(strip_bullet(text), r"\s+", " "))
+    rows = rows.withColumns({"prompt_line": real(F.col("line_no")), "prompt": real(prompt), "bottom": F.coalesce(F.lead("y0").over(by_page()), F.lit(BOTTOM))})
+    rows = rows.filter(is_empty_bullet(text)).withColumn("prompt", F.coalesce("prompt", F.lit(NO_PROMPT)))
+    return rows.select(*PAGE, "line_no", "prompt_line", "prompt", F.col("y0").alias("top"), "bottom")
 
 
 def bullet_parts(answers: DataFrame) -> DataFrame:
@@ -193,8 +200,9 @@ def open_responses(lines: DataFrame) -> DataFrame:
 
 
 def ends_in_dash(text: Column, x1: Column, width: float = 612.0) -> Column:
-    """A label that ends in a dash, with room to the right."""
-    return text.rlike(r"^\s*\S.*\S\s*[-–—]\s*$") & ~text.contains("_") & ~is_bulleted(text) & (F.lit(width) - x1 >= ROOM)
+    """A label of three characters or more, its bullet left out, that ends in a dash, with room to the right."""
+    label = F.trim(F.regexp_replace(strip_bullet(text), f"[{ZERO_WIDTH}]", ""))
+    return label.rlike(rf"[{LABEL_DASHES}]\s*$") & (F.length(label) >= 3) & ~text.contains("_") & (F.lit(width) - x1 >= ROOM)
 
 
 def trailing_dash(lines: DataFrame) -> DataFrame:
@@ -276,54 +284,6 @@ def page_text(lines: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(whole, lambda s: s["t"]), "\n").alias("text"))
 
 
-def _place_anchors(texts: list[str], needles: list[str]) -> list[int | None]:
-    """Index of the line where each needle's chosen occurrence starts, or None."""
-    page, owner = [], []
-    for i, t in enumerate(texts):
-        if t:
-            page.append(t)
-            owner += [i] * (len(t) + 1)  # one separator behind each line
-    whole = " ".join(page)
-    kept = [i for i, ch in enumerate(whole) if ch.isalnum()]
-    loose = "".join(whole[i] for i in kept)
-
-    def spans(hay: str, needle: str):
-        at = hay.find(needle) if needle else -1
-        while at >= 0:
-            yield at, at + len(needle) - 1
-            at = hay.find(needle, at + 1)
-
-    used, cursor, out = set(), -1, []
-    for needle in needles:
-        found = list(spans(whole, needle))
-        if not found and len(bare := "".join(filter(str.isalnum, needle))) >= 3:
-            found = [(kept[a], kept[b]) for a, b in spans(loose, bare)]
-        free = [f for f in found if f[0] not in used]
-        start, end = next((f for f in free if f[0] >= cursor), free[0] if free else (None, None))
-        if start is not None:
-            used.add(start)
-            cursor = max(cursor, end)
-        out.append(None if start is None else owner[start])
-    return out
-
-
-def resolve_anchors(anchors: DataFrame, lines: DataFrame) -> DataFrame:
-    """Line where each anchor's text starts in the joined page text; anchors without one are dropped with a reason.
-
-    A page's anchors go in order of item_no: each takes the first unused occurrence at or after the end of
-    those before, else the first unused one. An anchor without an exact occurrence (of normalised text) is
-    looked up by its letters and digits, three at least.
-    """
-    place = F.udf(_place_anchors, "array<int>", useArrow=True)
-    asked = anchors.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("item_no", F.coalesce(normalize_text(F.col("anchor_text")), F.lit("")).alias("needle")))).alias("a"))
-    texts = lines.join(anchors.select(*PAGE).distinct(), PAGE, "left_semi").groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_no", normalize_text(F.col("text")).alias("hay")))).alias("l"))
-    rows = asked.join(texts, PAGE, "left").withColumn("l", F.coalesce("l", F.array().cast("array<struct<line_no:int,hay:string>>")))
-    rows = rows.withColumn("at", place(F.col("l.hay"), F.col("a.needle")))
-    hit = rows.select(*PAGE, "l", F.explode(F.arrays_zip(F.col("a.item_no").alias("item_no"), F.col("at").alias("at"))).alias("h"))
-    hit = hit.select(*PAGE, F.col("h.item_no").alias("item_no"), F.get(F.col("l.line_no"), F.col("h.at")).alias("line_no"))
-    return hit.withColumn("dropped", F.when(F.col("line_no").isNull(), "anchor not found"))
-
-
 def score_bands(found: DataFrame, bands: DataFrame) -> DataFrame:
     """Answer spaces (line_no, slot, y) against truth bands: correct, missed and surplus answer spaces in all."""
     hit = found.join(bands, PAGE, "left").filter((F.col("y") >= F.col("b0")) & (F.col("y") < F.col("b1")))

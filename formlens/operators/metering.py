@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BROADCAST_RATES = 1 << 16
 
 
-def _small(rates: DataFrame) -> DataFrame:
+def if_small(rates: DataFrame) -> DataFrame:
     """Rates marked for broadcast if there are few enough, which is counted."""
     return F.broadcast(rates) if rates.limit(BROADCAST_RATES + 1).count() <= BROADCAST_RATES else rates
 
@@ -29,7 +29,7 @@ def cost_calls(calls: DataFrame, rates: DataFrame, primary_is_free: bool = False
     cost = F.bround(_cost(), 9)
     if primary_is_free:
         cost = F.when(F.col("provider") == "primary", 0.0).otherwise(cost)
-    return calls.join(_small(rates), "model", "left").withColumn("cost_usd", cost).drop("rate_in", "rate_out")
+    return calls.join(if_small(rates), "model", "left").withColumn("cost_usd", cost).drop("rate_in", "rate_out")
 
 
 def cost_calls_asof(calls: DataFrame, history: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def cost_calls_asof(calls: DataFrame, history: DataFrame) -> DataFrame:
     until = F.lead("effective_from").over(Window.partitionBy("model").orderBy("effective_from"))
     spans = history.withColumn("until", until).withColumnRenamed("model", "m")
     on = (F.col("model") == F.col("m")) & (F.col("ts") >= F.col("effective_from")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    return calls.join(_small(spans), on, "left").withColumn("cost_usd", F.bround(_cost(), 9)).drop("m", "rate_in", "rate_out", "effective_from", "until")
+    return calls.join(if_small(spans), on, "left").withColumn("cost_usd", F.bround(_cost(), 9)).drop("m", "rate_in", "rate_out", "effective_from", "until")
 
 
 def metered(calls: DataFrame) -> DataFrame:

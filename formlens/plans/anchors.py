@@ -30,7 +30,7 @@ UNITS = f"""{STACK}, {INLINE}, {STEMS}, op AS (SELECT doc_id, page, st, sys, opt
 lb AS (SELECT doc_id, page, st, min(x0) AS x0, min(y0) AS y0, max(y1) AS y1, max(x0 + 5.0 * coalesce(least(nullif(strpos(left(text, 8), '.'), 0), nullif(strpos(left(text, 8), ')'), 0)), least(length(text), 8))) AS x1 FROM wl WHERE token IS NOT NULL GROUP BY ALL),
 mu AS (SELECT op.doc_id, op.page, min(op.line_no) AS first_line, count(*) AS n, op.sys AS system, any_value(lb.x0) AS x0, any_value(lb.y0) AS y0, any_value(lb.x1) AS x1, any_value(lb.y1) AS y1, string_agg(text, ' | ' ORDER BY opt) AS options FROM op JOIN lb ON lb.doc_id = op.doc_id AND lb.page = op.page AND lb.st = op.st GROUP BY op.doc_id, op.page, op.st, op.sys HAVING count(*) >= 2)"""
 query("mc_units", n.choice_units, "lines", f"WITH {UNITS} SELECT mu.*, (SELECT trim(regexp_replace(string_agg(text, ' ' ORDER BY rn), '\\s+', ' ', 'g')) FROM sl WHERE sl.doc_id = mu.doc_id AND sl.page = mu.page AND sl.first_line = mu.first_line) AS stem FROM mu")
-query("mc_suppress", lambda x: n.suppress(x.filter("k >= 8").select("doc_id", "page", "line_no", ((F.col("y0") + F.col("y1")) / 2).alias("y")), n.choice_units(x)), "lines", f"WITH {UNITS} SELECT doc_id, page, line_no, (y0 + y1) / 2 AS y FROM lines l WHERE k >= 8 AND NOT EXISTS (SELECT 1 FROM mu WHERE mu.doc_id = l.doc_id AND mu.page = l.page AND (l.y0 + l.y1) / 2 BETWEEN mu.y0 AND mu.y1)")
+query("mc_suppress", lambda x: n.suppress(x.select("doc_id", "page", "line_no", ((F.col("y0") + F.col("y1")) / 2).alias("y")), n.choice_units(x)), "lines", f"WITH {UNITS} SELECT doc_id, page, line_no, (y0 + y1) / 2 AS y FROM lines l WHERE NOT EXISTS (SELECT 1 FROM mu WHERE mu.doc_id = l.doc_id AND mu.page = l.page AND (l.y0 + l.y1) / 2 BETWEEN mu.y0 AND mu.y1)")
 REPLY = "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'B. text' WHEN 1 THEN ' (c)' WHEN 2 THEN 'Hmm' ELSE '42' END"
 query("mc_answers", lambda x: n.chosen_option(n.choice_units(x), y.stacked_options(x).select("doc_id", "page", "first_line", F.expr(REPLY).alias("answer"))), "lines", f"WITH {STACK} SELECT doc_id, page, first_line, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN CASE WHEN system = 'letter' THEN 'B' END WHEN 1 THEN CASE WHEN system = 'letter' AND n_options >= 3 THEN 'C' END WHEN 2 THEN CASE WHEN system = 'letter' AND n_options >= 8 THEN 'H' END END AS label FROM so")
 query("ocr_boxes", lambda x: x.select("doc_id", "page", "line_no", c.ocr_box(F.expr("array(line_no % 1000, line_no * 3 % 1000, line_no * 7 % 1000, line_no * 11 % 1000)"), 612.0, 792.0).alias("b")).select("doc_id", "page", "line_no", "b.*"), "lines",
@@ -55,8 +55,10 @@ query("cell_slots", lambda x: n.cell_slots(x, y.tables(x)), "lines", f"WITH {CEL
 query("table_slots", lambda x: n.table_slots(n.filled_cells(x, y.tables(x))), "lines", f"WITH {CELLS} SELECT doc_id, page, array_to_string(flatten(list({IDS} ORDER BY r, c)), ',') AS slots FROM fc WHERE n > 0 GROUP BY doc_id, page")
 query("slot_numbers", lambda x: n.slot_numbers(x, y.tables(x)), "lines", f"""WITH {CELLS}, a AS (SELECT doc_id, page, 0 AS z, r, c, line_no, n FROM cn WHERE n > 0 UNION ALL SELECT doc_id, page, 1, NULL, NULL, line_no, CAST(len(regexp_extract_all(text, '_+')) AS INT) FROM lines WHERE contains(text, '_') AND NOT ({INBOX}))
 SELECT doc_id, page, r AS "row", c AS col, line_no, n, sum(n) OVER (PARTITION BY doc_id ORDER BY page, z, r, c, line_no) - n + 1 AS first_slot FROM a""")
-ITEM = "CASE CAST(line_no % 4 AS INT) WHEN 0 THEN 'inline' WHEN 1 THEN 'weird' ELSE 'open' END"
-query("anchor_items", lambda x: n.anchor_items(x.filter("k = 3 or k = 4").groupBy("doc_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "page", F.expr(ITEM).alias("kind"), F.left("text", F.lit(15)).alias("anchor_text"), F.when(F.col("doc_id") % 5 == 0, "beside").otherwise("after").alias("blank_position")))), lambda s: s.dropFields("line_no"))).alias("reply"))), "lines", f"WITH a AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INT) AS item_no, page, {ITEM} AS kind, left(text, 15) AS anchor_text, CASE WHEN doc_id % 5 = 0 THEN 'beside' ELSE 'after' END AS blank_position FROM lines WHERE k IN (3, 4)) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, item_no) AS INT) AS place FROM a WHERE kind <> 'weird' AND blank_position = 'after' AND trim(anchor_text) <> ''")
+ITEM = "CASE CAST(line_no % 4 AS INT) WHEN 0 THEN 'inline' WHEN 1 THEN 'bullet' ELSE 'open' END"
+BESIDE = "CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'below' WHEN 1 THEN 'before' WHEN 2 THEN 'none' ELSE 'after' END"
+listed = lambda x: x.filter("k = 3 or k = 4").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "page", F.expr(ITEM).alias("kind"), F.left("text", F.lit(15)).alias("anchor_text"), F.expr(BESIDE).alias("blank_position")))), lambda s: s.dropFields("line_no")).alias("items"))
+query("anchor_items", lambda x: n.anchor_items(listed(x).select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.to_json("items")).otherwise(F.concat(F.lit("<think>{}</think> Here: ```json "), F.to_json(F.struct("items")), F.lit(" ```"))).alias("reply"))), "lines", f"WITH a AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INT) AS item_no, page, {ITEM} AS kind, left(text, 15) AS anchor_text, {BESIDE} AS blank_position FROM lines WHERE k IN (3, 4)) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, item_no) AS INT) AS place FROM a WHERE doc_id % 7 <> 0 AND kind <> 'bullet' AND blank_position <> 'below' AND trim(anchor_text) <> ''")
 drawn = lambda x: x.select("doc_id", (F.col("page") - (F.col("line_no") % 13 == 0).cast("int")).alias("page"), "line_no", F.expr("CASE CAST(k % 3 AS INT) WHEN 0 THEN 'ink' WHEN 1 THEN 'circle' END").alias("kind"), F.transform(F.sequence(F.lit(1), F.when(F.col("line_no") % 17 == 0, 2500).otherwise(F.col("line_no") % 4 + 1)), lambda i: F.array(i.cast("double"), F.lit(1.0))).alias("points"), F.when(F.col("k") % 2 == 0, "#A0b1C2").otherwise("red").alias("color"), F.when(F.col("k") != 6, F.col("line_no") % 30).cast("double").alias("width"), F.transform(F.sequence(F.lit(1), F.when(F.col("k") == 7, 3).otherwise(4)), lambda i: i.cast("double")).alias("bbox"), F.when(F.col("k") != 5, F.col("line_no") % 60).cast("double").alias("size"), F.when(F.col("k") % 2 == 0, "mono").otherwise("comic").alias("font"))
 query("overlay_clean", lambda x: n.clean_overlays(drawn(x), pages(x)), "lines", """SELECT doc_id, page - CAST(line_no % 13 = 0 AS INT) AS page, line_no, CASE k % 3 WHEN 0 THEN 'ink' WHEN 1 THEN 'circle' ELSE 'text' END AS kind, CASE WHEN k % 3 = 0 THEN CAST(CASE WHEN line_no % 17 = 0 THEN 2000 ELSE line_no % 4 + 1 END AS INT) END AS n_points,
 CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN '#a0b1c2' ELSE '#1a1a1a' END END AS color, CASE WHEN k % 3 = 0 THEN CASE WHEN k = 6 THEN 2.0 ELSE least(greatest(line_no % 30, 0.5), 20.0) END END AS width,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from formlens.functions import core as c
 from formlens.operators import anchors as n
 from formlens.operators import layout as y
+from formlens.operators import page_index as px
 from formlens.plans.registry import query
 from formlens.sources.io import PAGES, flatten_geometry, glyph_set, template_markers
 
@@ -48,7 +49,10 @@ SELECT doc_id, page, grp, count(*) AS n_lines, min(line_no) AS first_line, min(x
 query("group_bbox", y.group_bbox, "lines", "SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM lines GROUP BY ALL")
 query("line_text", lambda x: y.line_text(y.glyphs(x)), "lines", f"SELECT doc_id, page, line_no, text, x0, x0 + 5.0 * length(text) AS x1 FROM lines WHERE text <> ''")
 query("mc_label_boxes", lambda x: y.label_box(y.glyphs(x)), "lines", f"SELECT doc_id, page, line_no, x0, x0 + 5.0 * n AS x1 FROM (SELECT *, least(nullif(strpos(left(text, 8), '.'), 0), nullif(strpos(left(text, 8), ')'), 0)) AS n FROM lines) WHERE n IS NOT NULL")
-ANSWERS = f"b AS (SELECT *, max(CASE WHEN NOT {BULLETED} AND trim(text) <> '' THEN line_no END) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prompt_line, coalesce(lead(y0) OVER ({P}), 732.0) AS bottom FROM lines), ba AS (SELECT doc_id, page, line_no, prompt_line, y0 AS top, bottom FROM b WHERE {EMPTY})"
+ANSWERS = f"""bl AS (SELECT *, {EMPTY} AS e, row_number() OVER ({P}) AS rn FROM lines WHERE regexp_matches(text, '\\S')),
+bp AS (SELECT x.doc_id, x.page, x.rn, max(z.rn) AS pr FROM bl x LEFT JOIN bl z ON z.doc_id = x.doc_id AND z.page = x.page AND z.rn < x.rn AND NOT z.e WHERE x.e GROUP BY ALL),
+ba AS (SELECT x.doc_id, x.page, x.line_no, z.line_no AS prompt_line, coalesce(trim(regexp_replace(regexp_replace(z.text, '^[\\s●○■▪◆◇•·\u200b\u200c\u200d]+', ''), '\\s+', ' ', 'g')), 'Fill in this answer.') AS prompt, x.y0 AS top, coalesce(n.y0, 732.0) AS bottom
+  FROM bp JOIN bl x ON x.doc_id = bp.doc_id AND x.page = bp.page AND x.rn = bp.rn LEFT JOIN bl z ON z.doc_id = bp.doc_id AND z.page = bp.page AND z.rn = bp.pr LEFT JOIN bl n ON n.doc_id = bp.doc_id AND n.page = bp.page AND n.rn = bp.rn + 1)"""
 query("bullet_answers", y.bullet_answers, "lines", f"WITH {ANSWERS} SELECT * FROM ba")
 query("bullet_parts", lambda x: y.bullet_parts(y.bullet_answers(x)), "lines", f"WITH {ANSWERS} SELECT doc_id, page, line_no, prompt_line, CAST(row_number() OVER (PARTITION BY doc_id, page, prompt_line ORDER BY line_no) AS INT) AS part, count(*) OVER (PARTITION BY doc_id, page, prompt_line) AS parts FROM ba")
 # The walk down a page, line by line: the state is the open run (its first row), its system, labels so far, and the last label's bottom.
@@ -69,7 +73,8 @@ STEMS = """hd AS (SELECT ol.*, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY
 sl AS (SELECT so.doc_id, so.page, so.first_line, k.line_no, k.text, k.rn FROM so JOIN ol f ON f.doc_id = so.doc_id AND f.page = so.page AND f.line_no = so.first_line JOIN hd k ON k.doc_id = so.doc_id AND k.page = so.page AND k.rn < f.rn
   LEFT JOIN hd j ON j.doc_id = so.doc_id AND j.page = so.page AND j.rn >= k.rn AND j.rn < f.rn AND (j.room > 26 OR j.held OR j.head AND j.rn > k.rn) WHERE j.rn IS NULL)"""
 OPEN = f"pr AS (SELECT * FROM lines WHERE {QUESTION} AND NOT contains(text, '_')), orr AS (SELECT p.doc_id, p.page, p.line_no, p.y1 AS top, coalesce(min(l.y0), 732.0) AS bottom FROM pr p LEFT JOIN lines l ON l.doc_id = p.doc_id AND l.page = p.page AND l.y0 >= p.y1 AND l.x0 < p.x1 AND l.x1 > p.x0 GROUP BY ALL HAVING coalesce(min(l.y0), 732.0) - p.y1 >= 25)"
-DASH = f"td AS (SELECT doc_id, page, line_no FROM lines WHERE regexp_matches(text, '^\\s*\\S.*\\S\\s*[-–—]\\s*$') AND NOT contains(text, '_') AND NOT {BULLETED} AND 612 - x1 >= 25)"
+LABEL = "trim(regexp_replace(regexp_replace(text, '^[\\s●○■▪◆◇•·\u200b\u200c\u200d]+', ''), '[\u200b\u200c\u200d\ufeff\u00ad]', '', 'g'))"
+DASH = f"td AS (SELECT doc_id, page, line_no FROM lines WHERE right(rtrim({LABEL}), 1) IN ('-', '‐', '‑', '‒', '–', '—', '―') AND length({LABEL}) >= 3 AND NOT contains(text, '_') AND 612 - x1 >= 25)"
 query("mc_stacked", y.stacked_options, "lines", f"WITH {STACK} SELECT * FROM so")
 query("mc_inline", y.inline_options, "lines", f"WITH {INLINE} SELECT * FROM io")
 query("mc_stems", y.stems, "lines", f"WITH {STACK}, {INLINE}, {STEMS} SELECT doc_id, page, first_line, min(line_no) AS stem_line, trim(regexp_replace(string_agg(text, ' ' ORDER BY rn), '\\s+', ' ', 'g')) AS stem FROM sl GROUP BY doc_id, page, first_line")
@@ -89,14 +94,16 @@ da AS (SELECT doc_id, page, line_no, (['multiple_choice', 'multiple_choice_inlin
 query("detect_all", lambda x: y.numbered_units(y.detect(x)), "lines", f"WITH {FOUND} SELECT *, 'u' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS VARCHAR) AS unit_id FROM da")
 query("doc_summary", lambda x: y.doc_summary(y.detect(x)), "lines", f"WITH {FOUND} SELECT doc_id, kind, count(*) AS n FROM da GROUP BY ROLLUP (doc_id, kind)")
 query("page_text", y.page_text, "lines", "WITH p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL) SELECT doc_id, string_agg('[page ' || CAST(page AS VARCHAR) || ']' || chr(10) || t, chr(10) ORDER BY page) AS text FROM p GROUP BY doc_id")
-query("anchor_resolve", lambda x: y.resolve_anchors(x.filter("k = 3").select("doc_id", "page", F.col("line_no").alias("item_no"), F.when(F.col("doc_id") % 20 == 0, "no such text at all").otherwise(F.left("text", F.lit(15))).alias("anchor_text")), x), "lines", f"""WITH n AS (SELECT doc_id, page, line_no, {NORMAL} AS hay FROM lines),
+asked = lambda x: x.filter("k = 3").select("doc_id", "page", F.col("line_no").alias("item_no"), F.when(F.col("doc_id") % 20 == 0, "no such text at all").otherwise(F.left("text", F.lit(15))).alias("anchor_text"))
+query("anchor_resolve", lambda x: px.anchor_boxes(px.resolve_anchors(asked(x), x), x), "lines", f"""WITH n AS (SELECT doc_id, page, line_no, x0, y0, y1, {NORMAL} AS hay FROM lines),
 a AS (SELECT doc_id, page, line_no AS item_no, {NORMAL} AS needle FROM (SELECT doc_id, page, line_no, CASE WHEN doc_id % 20 = 0 THEN 'no such text at all' ELSE left(text, 15) END AS text FROM lines WHERE k = 3)),
-h AS (SELECT a.doc_id, a.page, item_no, min(line_no) FILTER (WHERE needle <> '' AND contains(hay, needle)) AS line_no FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.page = a.page GROUP BY a.doc_id, a.page, item_no, needle)
-SELECT *, CASE WHEN line_no IS NULL THEN 'anchor not found' END AS dropped FROM h""")
-query("anchor_repeats", lambda x: y.resolve_anchors(x.filter("k between 3 and 7").select("doc_id", "page", F.col("line_no").alias("item_no"), F.lit(" ○").alias("anchor_text")), x), "lines", """WITH n AS (SELECT doc_id, page, line_no, sum(length(text) - length(replace(text, '○', ''))) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS upto FROM lines),
-a AS (SELECT doc_id, page, line_no AS item_no, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS r FROM lines WHERE k BETWEEN 3 AND 7),
-h AS (SELECT a.doc_id, a.page, item_no, min(n.line_no) FILTER (WHERE upto >= r) AS line_no FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.page = a.page GROUP BY a.doc_id, a.page, item_no)
-SELECT *, CASE WHEN line_no IS NULL THEN 'anchor not found' END AS dropped FROM h""")
+h AS (SELECT a.doc_id, a.page, item_no, needle, min(line_no) FILTER (WHERE needle <> '' AND contains(hay, needle)) AS line_no FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.page = a.page GROUP BY a.doc_id, a.page, item_no, needle)
+SELECT h.doc_id, h.page, item_no, h.line_no, CAST(strpos(hay, needle) - 1 AS INT) AS first_char, h.line_no AS last_line, CAST(strpos(hay, needle) + length(needle) - 2 AS INT) AS last_char,
+  n.x0 + 5.0 * (strpos(hay, needle) - 1) AS x0, n.y0, n.x0 + 5.0 * (strpos(hay, needle) - 1 + length(needle)) AS x1, n.y1, CASE WHEN h.line_no IS NULL THEN 'anchor not found' END AS dropped
+FROM h LEFT JOIN n ON n.doc_id = h.doc_id AND n.page = h.page AND n.line_no = h.line_no""")
+query("anchor_repeats", lambda x: px.resolve_anchors(x.filter("k between 3 and 7").select("doc_id", "page", F.col("line_no").alias("item_no"), F.lit(" ○").alias("anchor_text")), x), "lines", """WITH o AS (SELECT doc_id, page, line_no, i, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, i) AS r FROM (SELECT doc_id, page, line_no, text, unnest(range(length(text))) AS i FROM lines WHERE contains(text, '○')) WHERE substr(text, i + 1, 1) = '○'),
+a AS (SELECT doc_id, page, line_no AS item_no, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS r FROM lines WHERE k BETWEEN 3 AND 7)
+SELECT a.doc_id, a.page, item_no, o.line_no, CAST(o.i AS INT) AS first_char, o.line_no AS last_line, CAST(o.i AS INT) AS last_char, CASE WHEN o.line_no IS NULL THEN 'anchor not found' END AS dropped FROM a LEFT JOIN o ON o.doc_id = a.doc_id AND o.page = a.page AND o.r = a.r""")
 bands = lambda x: x.groupBy("doc_id", "page", F.floor(F.col("k") / 5).cast("int").alias("band")).agg(F.min("y0").alias("b0"), F.max("y1").alias("b1"), F.count_if(F.col("text").contains("_")).alias("expected"))
 CENTRES = "ac AS (SELECT da.doc_id, da.page, da.line_no, (y0 + y1) / 2 AS y, unnest(range(CASE WHEN kind = 'inline_blank' THEN len(regexp_extract_all(text, '_+')) ELSE 1 END)) AS slot FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no WHERE kind NOT LIKE 'multiple_choice%')"
 query("answer_centres", lambda x: n.answer_centres(x, y.detect(x)).select("doc_id", "page", "line_no", "y", F.col("slot").cast("long").alias("slot")), "lines", f"WITH {FOUND}, {CENTRES} SELECT doc_id, page, line_no, y, slot + 1 AS slot FROM ac")
@@ -120,7 +127,7 @@ ci AS (SELECT so.doc_id, so.page, u.unit_id AS key, so.first_line, so.last_line,
 SELECT bx.doc_id, page, 'text' AS kind, key, x0, y0, x1, y1, coalesce(answer, '') AS text FROM bx LEFT JOIN f ON f.doc_id = bx.doc_id AND f.slot = bx.key
 UNION ALL SELECT ci.doc_id, ci.page, 'circle', key, wl.x0, wl.y0, wl.x0 + 5.0 * coalesce(least(nullif(strpos(left(wl.text, 8), '.'), 0), nullif(strpos(left(wl.text, 8), ')'), 0)), least(length(wl.text), 8)), wl.y1, '' FROM ci JOIN wl ON wl.doc_id = ci.doc_id AND wl.page = ci.page AND wl.line_no BETWEEN first_line AND last_line AND wl.token = ci.label""")
 query("snip_boxes", lambda x: y.snip_box(x.select("doc_id", "page", "line_no", F.col("x1").alias("ax"), F.col("x0").alias("bx"), F.col("y0").alias("ay"), F.when(F.col("k") == 7, F.col("y0") + 1).otherwise(F.col("y1")).alias("by"))), "lines", "SELECT doc_id, page, line_no, greatest(x0 - 4, 0) AS x0, greatest(y0 - 4, 0) AS y0, least(x1 + 4, 612.0) AS x1, least(y1 + 4, 792.0) AS y1 FROM lines WHERE k <> 7")
-query("ocr_axis_fix", lambda x: y.fix_axes(x.filter("k < 6").select("doc_id", "page", "line_no", *(F.when(F.col("doc_id") % 3 == 0, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "y0"), ("y0", "x0"), ("x1", "y1"), ("y1", "x1"))))), "lines", "WITH f AS (SELECT * FROM lines WHERE k < 6), v AS (SELECT doc_id, page, count(*) AS n FROM f GROUP BY ALL) SELECT f.doc_id, f.page, line_no, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y0 ELSE x0 END AS x0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x0 ELSE y0 END AS y0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y1 ELSE x1 END AS x1, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x1 ELSE y1 END AS y1 FROM f JOIN v ON v.doc_id = f.doc_id AND v.page = f.page")
+query("ocr_axis_fix", lambda x: y.fix_axes(x.select("doc_id", "page", "line_no", *(F.when(F.col("doc_id") % 3 == 0, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "y0"), ("y0", "x0"), ("x1", "y1"), ("y1", "x1"))))), "lines", "WITH f AS (SELECT * FROM lines), v AS (SELECT doc_id, page, count(*) AS n FROM f GROUP BY ALL) SELECT f.doc_id, f.page, line_no, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y0 ELSE x0 END AS x0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x0 ELSE y0 END AS y0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y1 ELSE x1 END AS x1, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x1 ELSE y1 END AS y1 FROM f JOIN v ON v.doc_id = f.doc_id AND v.page = f.page")
 pages_of = lambda x: x.filter("text <> ''").groupBy("doc_id", "page").agg(F.struct(F.col("page").alias("index"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.array(F.array(F.min("x0"), F.min("y0"), F.min("x0") + 5, F.min("y0") + 5)).alias("markers"), F.collect_list(F.struct(F.left("text", F.lit(1)).alias("glyph"), F.array("x0", "y0", "x1", "y1").alias("draw"))).alias("cells")).alias("p")).groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list("p").alias("pages"))).alias("j"))
 layouts = lambda x: pages_of(x).select("doc_id", F.from_json("j", PAGES).alias("j")).select("doc_id", "j.pages")
 query("template_cells", lambda x: flatten_geometry(layouts(x), "doc_id"), "lines", "SELECT doc_id, page, left(text, 1) AS glyph, x0, y0, x1, y1, left(text, 1) IN ('g', 'j', 'p', 'q', 'y') AS descends FROM lines WHERE text <> ''")

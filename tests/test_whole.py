@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from formlens.functions import core as c
+from formlens.operators import anchors as n
 from formlens.operators import layout as y
+from formlens.operators import page_index as px
 from formlens.plans import QUERIES
 from tests.test_queries import SF, duck  # noqa: F401
 
@@ -22,7 +24,7 @@ def test_anchors_take_occurrences_in_order(spark):
     lines = [(1, 0, i, t) for i, t in enumerate(["Name: ____ Name: ____", "", "Date of", "  birth – day", "Name: ____", "e.g. (this)"])] + [(2, 0, 7, "Name:")]
     asked = ["Name:", "name:", "NAME:", "Name:", "date  of birth", "e g this", "eg", "Birth - Day", None, "no such"]
     anchors = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(asked)] + [(2, 0, 0, "Name:"), (3, 0, 0, "Name:")], "doc_id long, page int, item_no int, anchor_text string")
-    rows = y.resolve_anchors(anchors, spark.createDataFrame(lines, "doc_id long, page int, line_no int, text string")).collect()
+    rows = px.resolve_anchors(anchors, spark.createDataFrame(lines, "doc_id long, page int, line_no int, text string")).collect()
     got = {(r.doc_id, r.item_no): r.line_no for r in rows}
     assert [got[1, i] for i in range(len(asked))] == [0, 0, 4, None, 2, 5, None, 3, None, None]
     assert got[2, 0] == 7 and got[3, 0] is None and len(rows) == len(asked) + 2
@@ -38,3 +40,39 @@ def test_first_balanced_object(spark):
     assert [r.v for r in df.select("i", y.json_object(F.col("t")).alias("v")).orderBy("i").collect()] == list(cases.values())
     two = spark.createDataFrame([(1, 'So {"s1": "x", "p0_u2": "y"}, not {"s3": "z"}')], "doc_id long, reply string")
     assert {(r.slot, r.answer) for r in y.flat_answers(two).collect()} == {("s1", "x"), ("u2", "y")}
+
+
+def _page(spark, texts):
+    rows = [(1, 0, i, t, 72.0, 40.0 + 14 * i, 300.0, 51.0 + 14 * i) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_anchor_spans_and_boxes(spark):
+    lines = _page(spark, ["Date of", "  birth – day", "", "e.g. (this) \u200bthat"])
+    asked = [(1, 0, i, t) for i, t in enumerate(["date  of birth", "this that", "é", "thisthat"])]
+    anchors = spark.createDataFrame(asked, "doc_id long, page int, item_no int, anchor_text string")
+    rows = {r.item_no: r for r in px.anchor_boxes(px.resolve_anchors(anchors, lines), lines).collect()}
+    span = lambda r: (r.line_no, r.first_char, r.last_line, r.last_char, r.x0, r.y0, r.x1, r.y1)
+    assert span(rows[0]) == (0, 0, 1, 6, 72.0, 40.0, 72 + 5.0 * 7, 65.0)
+    assert span(rows[1]) == (3, 6, 3, 16, 102.0, 82.0, 72 + 5.0 * 17, 93.0)
+    assert rows[2].dropped == rows[3].dropped == "anchor not found" and rows[3].x0 is None
+
+
+def test_bulleted_questions_are_prompts(spark):
+    rows = y.bullet_answers(_page(spark, ["Chapter One", "● What is a  market?", "", "○", "■ ", "○ text", "○"])).collect()
+    assert [(r.line_no, r.prompt_line, r.prompt) for r in sorted(rows)] == [(3, 1, "What is a market?"), (4, 1, "What is a market?"), (6, 5, "text")]
+    assert [r.prompt for r in y.bullet_answers(_page(spark, ["○"])).collect()] == ["Fill in this answer."]
+
+
+def test_labels_with_bullets_and_all_dashes(spark):
+    texts = ["● Term -", "Term ‒", "Term ―", "Term ‑", "Term ‐", "Home files –\u200b", "- ", "● -", "a_b -", "Term -x", "definition of bob —  "]
+    assert sorted(r.line_no for r in y.trailing_dash(_page(spark, texts)).collect()) == [0, 1, 2, 3, 4, 5, 10]
+
+
+def test_items_of_a_reply(spark):
+    item = '{"page": %d, "kind": "%s", "anchor_text": "%s", "blank_position": "%s"}'
+    reply = '{"items": [%s]}' % ", ".join(item % x for x in [(1, "open", "Why?", "none"), (0, "inline", "Name:", "after"), (0, "choice", "A", "below"), (0, "inline", "B", "below"), (-1, "open", "C", "none"), (0, "open", " ", "none"), (0, "inline", "D", "before")])
+    df = spark.createDataFrame([(1, reply), (2, f"Sure: ```json {reply} ```"), (3, "[]"), (4, "none"), (5, None), (6, '{"items": {}}')], "doc_id long, reply string")
+    rows = [(r.doc_id, r.item_no, r.kind, r.blank_position, r.place) for r in n.anchor_items(df).collect()]
+    one = [(0, "open", "none", 3), (1, "inline", "after", 1), (6, "inline", "before", 2)]
+    assert sorted(rows) == [(d, *x) for d in (1, 2) for x in one]
