@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlens.functions.core import clamp, is_empty_bullet, is_question_start, placeholder_text, underscore_runs
-from formlens.operators.layout import BOTTOM, LETTERS, PAGE, ROMAN, ROOM, cell_chars, glyphs, json_object, open_responses, option_lines, outside, stems
+from formlens.functions.core import ZERO_WIDTH, clamp, is_empty_bullet, is_question_start, placeholder_text, strip_bullet, underscore_runs
+from formlens.operators.layout import BOTTOM, LETTERS, MARGIN, PAGE, ROMAN, ROOM, cell_chars, glyphs, json_object, option_lines, stems
 
 
 def page_base(anchors: DataFrame, pages: DataFrame) -> DataFrame:
@@ -128,9 +130,9 @@ def table_regions(chars: DataFrame, boxes: DataFrame, rows: int = 2, columns: in
 
 
 def cell_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Text of each line within each table cell, with n, its number of blanks."""
+    """Text of each line within each table cell, where it begins (x0, y1), and n, its number of blanks."""
     parts = F.sort_array(F.collect_list(F.struct("char_no", "ch")))
-    rows = cell_chars(glyphs(lines), boxes).groupBy(*PAGE, "row", "col", "line_no").agg(F.array_join(F.transform(parts, lambda s: s["ch"]), "").alias("text"))
+    rows = cell_chars(glyphs(lines), boxes).groupBy(*PAGE, "row", "col", "line_no").agg(F.array_join(F.transform(parts, lambda s: s["ch"]), "").alias("text"), F.min("x0").alias("x0"), F.max("y1").alias("y1"))
     return rows.withColumn("n", F.regexp_count("text", F.lit("_+")))
 
 
@@ -142,14 +144,27 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("before", F.sum("n").over(page.orderBy(*order)) - F.col("n")).join(base, PAGE).withColumn("first_slot", F.col("base") + F.col("before") + 1).drop("base", "before")
 
 
-def filled_cells(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Cells with their text, blanks numbered through the document as {{sN}}: row, col, n, first_slot (null without blanks), text."""
-    rows = _numbered(cell_lines(lines, boxes), "row", "col", "line_no")
-    rows = rows.select(*PAGE, "row", "col", "line_no", placeholder_text(F.col("text"), F.col("first_slot")).alias("t"), F.col("n").alias("blanks"), F.when(F.col("n") > 0, F.col("first_slot")).alias("first"))
+def slot_registry(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """The one numbering of a document's blanks: on each page those of its table's cells, then those of its inline units, in order.
+
+    ``cells`` are cell_lines, ``found`` detected lines. Rows with blanks only: doc_id, page, after_table (0 or
+    1), row and col (null outside the table), line_no, n, first_slot. Slots count from 1 in each document.
+    """
+    none = F.lit(None).cast("int")
+    inline = found.filter("kind = 'inline_blank'").withColumn("n", F.regexp_count("text", F.lit("_+"))).select(*PAGE, F.lit(1).alias("after_table"), none.alias("row"), none.alias("col"), "line_no", "n")
+    inside = cells.select(*PAGE, F.lit(0).alias("after_table"), "row", "col", "line_no", "n")
+    return _numbered(inside.unionByName(inline).filter("n > 0"), "after_table", "row", "col", "line_no")
+
+
+def filled_cells(cells: DataFrame, slots: DataFrame) -> DataFrame:
+    """Cells with their text, blanks as {{sN}} by the registry ``slots``: row, col, n, first_slot (null without blanks), text."""
+    own = slots.filter("after_table = 0").select(*PAGE, "row", "col", "line_no", "first_slot")
+    rows = cells.join(own, [*PAGE, "row", "col", "line_no"], "left")
+    rows = rows.select(*PAGE, "row", "col", "line_no", placeholder_text(F.col("text"), F.coalesce("first_slot", F.lit(1))).alias("t"), F.col("n").alias("blanks"), F.col("first_slot").alias("first"))
     parts = F.sort_array(F.collect_list(F.struct("line_no", "t")))
-    cells = rows.groupBy(*PAGE, "row", "col").agg(F.sum("blanks").alias("n"), F.min("first").alias("first_slot"), parts.alias("p"))
+    out = rows.groupBy(*PAGE, "row", "col").agg(F.sum("blanks").alias("n"), F.min("first").alias("first_slot"), parts.alias("p"))
     text = F.array_join(F.transform("p", lambda p: p["t"]), " ")
-    return cells.select(*PAGE, "row", "col", "n", "first_slot", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+    return out.select(*PAGE, "row", "col", "n", "first_slot", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
 
 
 def slot_ids(first: Column, n: Column) -> Column:
@@ -157,10 +172,9 @@ def slot_ids(first: Column, n: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(first, first + n - 1), lambda i: F.concat(F.lit("s"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
 
 
-def cell_slots(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Cells with blanks: their text with placeholders and their slot ids."""
-    cells = filled_cells(lines, boxes).filter("n > 0")
-    return cells.withColumn("slots", F.array_join(slot_ids(F.col("first_slot"), F.col("n")), ","))
+def cell_slots(cells: DataFrame) -> DataFrame:
+    """Filled cells with blanks: their text with placeholders and their slot ids."""
+    return cells.filter("n > 0").withColumn("slots", F.array_join(slot_ids(F.col("first_slot"), F.col("n")), ","))
 
 
 def table_slots(cells: DataFrame) -> DataFrame:
@@ -169,14 +183,6 @@ def table_slots(cells: DataFrame) -> DataFrame:
     return cells.filter("n > 0").groupBy(*PAGE).agg(F.array_join(F.flatten(F.transform(parts, lambda p: p["s"])), ",").alias("slots"))
 
 
-def slot_numbers(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Blanks numbered through the document: on each page those of the table's cells, then those of the lines outside it."""
-    none = F.lit(None).cast("int")
-    inline = outside(lines, boxes).withColumn("n", F.regexp_count("text", F.lit("_+"))).select(*PAGE, F.lit(1).alias("after_table"), none.alias("row"), none.alias("col"), "line_no", "n")
-    cells = cell_lines(lines, boxes).select(*PAGE, F.lit(0).alias("after_table"), "row", "col", "line_no", "n")
-    return _numbered(cells.unionByName(inline).filter("n > 0"), "after_table", "row", "col", "line_no").select(*PAGE, "row", "col", "line_no", "n", "first_slot")
-
-
 #: Kinds and blank positions of a model's items.
 ITEM_KINDS, ITEM_POSITIONS = ["inline", "open"], ["after", "before", "none"]
 
@@ -194,24 +200,35 @@ def anchor_items(df: DataFrame, column: str = "reply") -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "item_no")))
 
 
-def overlays(lines: DataFrame, units: DataFrame, answers: DataFrame, advance: float = 5.0) -> DataFrame:
+def _slot_boxes(rows: DataFrame, advance: float) -> DataFrame:
+    """A box just above each underscore run of lines (text, x0, y1, first_slot), keyed by its slot."""
+    runs = rows.select(*PAGE, "x0", "y1", "first_slot", F.posexplode(underscore_runs(F.col("text"))).alias("i", "r"))
+    left = F.col("x0") + advance * F.col("r.start")
+    return runs.select(*PAGE, F.concat(F.lit("s"), (F.col("first_slot") + F.col("i")).cast("string")).alias("key"), left.alias("x0"), (F.col("y1") - 13).alias("y0"), (left + advance * F.col("r.length")).alias("x1"), (F.col("y1") + 1).alias("y1"))
+
+
+def overlays(lines: DataFrame, units: DataFrame, cells: DataFrame, bullets: DataFrame, answers: DataFrame, advance: float = 5.0) -> DataFrame:
     """Editable boxes of numbered units and answers (doc_id, slot, answer): kind, key, box and text.
 
-    Each inline blank has a box just above its underscores and the text of its slot; each open response
-    its room and the text of its unit; both are empty without an answer. A choice is a circle round the
-    label that the answer to the unit of its first line names, and nothing without one.
+    ``units`` are detected lines with their numbers, ``cells`` cell_lines, ``bullets`` bullet_answers. Each blank of
+    a unit or a table cell has a box just above its underscores and the text of its slot. An open response has
+    the room below its group, an empty bullet and a label with a dash what is right of them on their line,
+    each with the text of its unit; all are empty without an answer. A choice is a circle round the
+    label that the answer to its unit names, and nothing without one.
     """
     said = answers.withColumnRenamed("slot", "key")
-    own = units.join(lines.select(*PAGE, "line_no", "text", "x0", "x1", "y0", "y1"), [*PAGE, "line_no"])
-    blanks = own.filter("kind = 'inline_blank'").withColumn("n", F.regexp_count("text", F.lit("_+")))
-    blanks = _numbered(blanks, "line_no").select(*PAGE, "line_no", "x0", "y1", "first_slot", F.posexplode(underscore_runs(F.col("text"))).alias("i", "r"))
-    left = F.col("x0") + advance * F.col("r.start")
-    blanks = blanks.select(*PAGE, F.lit("text").alias("kind"), F.concat(F.lit("s"), (F.col("first_slot") + F.col("i")).cast("string")).alias("key"), left.alias("x0"), (F.col("y1") - 13).alias("y0"), (left + advance * F.col("r.length")).alias("x1"), (F.col("y1") + 1).alias("y1"))
-    room = open_responses(lines).select(*PAGE, "line_no", "top", "bottom")
-    spaces = own.filter("kind = 'open_response'").join(room, [*PAGE, "line_no"])
-    spaces = spaces.select(*PAGE, F.lit("text").alias("kind"), F.col("unit_id").alias("key"), "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"))
-    texts = blanks.unionByName(spaces).join(said, ["doc_id", "key"], "left").withColumn("text", F.coalesce("answer", F.lit(""))).drop("answer")
-    asked = units.filter("kind = 'multiple_choice'").select(*PAGE, F.col("line_no").alias("first_line"), F.col("unit_id").alias("key")).join(said, ["doc_id", "key"])
+    slots = slot_registry(cells, units)
+    blanks = units.filter("kind = 'inline_blank'").join(slots.filter("after_table = 1").select(*PAGE, "line_no", "first_slot"), [*PAGE, "line_no"])
+    inside = cells.join(slots.filter("after_table = 0").select(*PAGE, "row", "col", "line_no", "first_slot"), [*PAGE, "row", "col", "line_no"])
+    box = lambda rows, x0, y0, x1, y1: rows.select(*PAGE, F.col("unit_id").alias("key"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    edge, right = F.lit(MARGIN), F.col("x1") + 6
+    spaces = box(units.filter("kind = 'open_response' and line_no = unit_line"), F.col("gx0") + 4, F.col("gy1") + 4, F.greatest("gx1", edge), F.col("bottom") - 6)
+    dashes = box(units.filter("kind = 'trailing_dash'"), right, F.col("y0"), edge, F.col("y1"))
+    dots = units.filter("kind = 'bullet'").drop("bottom").join(bullets.select(*PAGE, "line_no", "bottom"), [*PAGE, "line_no"])
+    dots = box(dots, right, F.col("y0"), edge, F.greatest("y1", F.col("bottom") - 2))
+    parts = [_slot_boxes(blanks, advance), _slot_boxes(inside, advance), spaces, dashes, dots]
+    texts = reduce(DataFrame.unionByName, parts).withColumn("kind", F.lit("text")).join(said, ["doc_id", "key"], "left").withColumn("text", F.coalesce("answer", F.lit(""))).drop("answer")
+    asked = units.filter("kind = 'multiple_choice' and line_no = unit_line").select(*PAGE, F.col("line_no").alias("first_line"), F.col("unit_id").alias("key")).join(said, ["doc_id", "key"])
     options = choice_options(lines)
     runs = options.groupBy(*PAGE, "first_line", "system").agg(F.count("*").alias("n"))
     named = chosen_option(runs, asked.select(*PAGE, "first_line", "answer")).join(asked.drop("answer"), [*PAGE, "first_line"])
@@ -219,31 +236,41 @@ def overlays(lines: DataFrame, units: DataFrame, answers: DataFrame, advance: fl
     return texts.unionByName(circles)
 
 
-def model_units(lines: DataFrame, units: DataFrame) -> DataFrame:
+def model_units(lines: DataFrame, units: DataFrame, cells: DataFrame, bullets: DataFrame) -> DataFrame:
     """What a model is shown of numbered units, without geometry: unit_id, kind, prompt, and how to answer.
 
-    Inline blanks have slots, placed in the prompt as well; a choice (one unit for its whole run) has its
-    options; both other kinds and choices are answered by answer_key.
+    Inline units have slots by the registry, placed in the joined text of their lines as well; a choice has its
+    stem and options; an open response the text of its group, an empty bullet that of the line it answers, a label
+    its own without the bullet. All but inline units are answered by answer_key. ``lines`` are those outside tables.
     """
     none = F.lit(None).cast("string")
-    own = units.join(lines.select(*PAGE, "line_no", "text"), [*PAGE, "line_no"])
-    blanks = _numbered(own.filter("kind = 'inline_blank'").withColumn("n", F.regexp_count("text", F.lit("_+"))), "line_no")
-    blanks = blanks.select("doc_id", "unit_id", "kind", placeholder_text(F.col("text"), F.col("first_slot")).alias("prompt"), none.alias("answer_key"), F.array_join(slot_ids(F.col("first_slot"), F.col("n")), ",").alias("slots"), none.alias("options"))
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "line_no", c.alias("t")))), lambda s: s["t"]), " ")
+    slots = slot_registry(cells, units).filter("after_table = 1").select(*PAGE, "line_no", "n", "first_slot")
+    own = units.filter("kind = 'inline_blank'").join(slots, [*PAGE, "line_no"], "left")
+    text = F.when(F.col("n") > 0, placeholder_text(F.col("text"), F.coalesce("first_slot", F.lit(1)))).otherwise(F.col("text"))
+    blanks = own.groupBy("doc_id", "unit_id", "kind").agg(joined(text).alias("t"), F.min("first_slot").alias("f"), F.sum("n").alias("n"))
+    blanks = blanks.select("doc_id", "unit_id", "kind", tidy(strip_bullet(F.col("t"))).alias("prompt"), none.alias("answer_key"), F.array_join(slot_ids(F.col("f"), F.col("n")), ",").alias("slots"), none.alias("options"))
     options = F.sort_array(F.collect_list(F.struct("opt", "label", "text")))
     runs = choice_options(lines).groupBy(*PAGE, "first_line").agg(options.alias("o")).join(stems(lines).drop("stem_line"), [*PAGE, "first_line"], "left")
-    runs = units.filter("kind = 'multiple_choice'").withColumnRenamed("line_no", "first_line").join(runs, [*PAGE, "first_line"])
+    runs = units.filter("kind = 'multiple_choice' and line_no = unit_line").select(*PAGE, "unit_id", "kind", F.col("line_no").alias("first_line")).join(runs, [*PAGE, "first_line"])
     prompt = F.trim(F.concat(F.coalesce("stem", F.lit("")), F.lit("  "), F.array_join(F.transform("o", lambda x: x["text"]), "  ")))
     offered = F.array_join(F.transform("o", lambda x: F.concat(x["label"], F.lit(": "), x["text"])), " | ")
-    runs = runs.select("doc_id", "unit_id", "kind", prompt.alias("prompt"), F.col("unit_id").alias("answer_key"), none.alias("slots"), offered.alias("options"))
-    rest = own.filter("kind not in ('inline_blank', 'multiple_choice')").select("doc_id", "unit_id", "kind", F.trim("text").alias("prompt"), F.col("unit_id").alias("answer_key"), none.alias("slots"), none.alias("options"))
-    return blanks.unionByName(runs).unionByName(rest)
-
-
-def answer_centres(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """y-centre of every answer space: one for each inline blank, one for each other unit but choices."""
-    own = found.filter("kind not in ('multiple_choice', 'multiple_choice_inline')").join(lines.select(*PAGE, "line_no", "text", "y0", "y1"), [*PAGE, "line_no"])
+    by_key = lambda rows, prompt, options=none: rows.select("doc_id", "unit_id", "kind", prompt.alias("prompt"), F.col("unit_id").alias("answer_key"), none.alias("slots"), options.alias("options"))
+    groups = units.filter("kind = 'open_response'").groupBy("doc_id", "unit_id", "kind").agg(joined(F.col("text")).alias("t"))
+    dots = units.filter("kind = 'bullet'").join(bullets.select(*PAGE, "line_no", "prompt"), [*PAGE, "line_no"])
+    rest = units.filter("kind in ('trailing_dash', 'multiple_choice_inline')")
+    label = F.when(F.col("kind") == "trailing_dash", tidy(F.regexp_replace(strip_bullet(F.col("text")), f"[{ZERO_WIDTH}]", ""))).otherwise(F.trim("text"))
+    parts = [blanks, by_key(runs, prompt, offered), by_key(groups, tidy(F.col("t"))), by_key(dots, F.col("prompt")), by_key(rest, label)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def answer_centres(units: DataFrame) -> DataFrame:
+    """y-centre of every answer space of detected lines: one for each inline blank, one for each other unit but choices."""
+    own = units.filter("kind = 'inline_blank' or line_no = unit_line and kind not in ('multiple_choice', 'multiple_choice_inline')")
     many = F.when(F.col("kind") == "inline_blank", F.regexp_count("text", F.lit("_+"))).otherwise(1)
-    return own.select(*PAGE, "line_no", ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.explode(F.sequence(F.lit(1), many)).alias("slot"))
+    rows = own.withColumn("many", many).filter("many > 0")
+    return rows.select(*PAGE, "line_no", ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.explode(F.sequence(F.lit(1), F.col("many"))).alias("slot"))
 
 
 def clean_overlays(df: DataFrame, pages: DataFrame, most_points: int = 2000) -> DataFrame:

@@ -5,13 +5,15 @@ Every window and join has the equi key (doc_id, page), so a long document spread
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlens.functions.core import LOOK_ALIKES, ZERO_WIDTH, is_bulleted, is_empty_bullet, is_question_start, strip_bullet
+from formlens.functions.core import FORMATS, LOOK_ALIKES, ZERO_WIDTH, is_bulleted, is_empty_bullet, is_question_start, strip_bullet
 
 PAGE = ["doc_id", "page"]
-BOTTOM, ROOM = 732.0, 25.0
+BOTTOM, ROOM, MARGIN = 732.0, 25.0, 572.0
 #: Fixed value: what an answer without a prompt is asked for.
 NO_PROMPT = "Fill in this answer."
 CONTINUED = 6.0  # how close below its label a wrapped line may stand
@@ -189,14 +191,36 @@ def stems(lines: DataFrame) -> DataFrame:
     return out.select(*PAGE, F.col("stem_of").alias("first_line"), "stem_line", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("stem"))
 
 
-def open_responses(lines: DataFrame) -> DataFrame:
-    """Numbered prompts with room for an answer before the next line whose box overlaps theirs sideways."""
-    prompts = lines.filter(is_question_start(F.col("text")) & ~F.col("text").contains("_")).select(*PAGE, "line_no", F.col("x0").alias("px0"), F.col("x1").alias("px1"), F.col("y1").alias("top"))
-    others = lines.select(*PAGE, "x0", "x1", F.col("y0").alias("oy"))
-    near = prompts.join(others, PAGE, "left").filter((F.col("oy") >= F.col("top")) & (F.col("x0") < F.col("px1")) & (F.col("x1") > F.col("px0")))
-    floor = near.groupBy(*PAGE, "line_no").agg(F.min("oy").alias("bottom"))
-    out = prompts.join(floor, [*PAGE, "line_no"], "left").withColumn("bottom", F.coalesce("bottom", F.lit(BOTTOM)))
-    return out.filter(F.col("bottom") - F.col("top") >= ROOM).select(*PAGE, "line_no", "top", "bottom")
+def with_room(rows: DataFrame, obstacles: DataFrame | None = None, gap: float = 10.0, indent: float = 30.0) -> DataFrame:
+    """Lines with the prompt group they belong to and the room below it: one sweep down each page over the ``free`` lines.
+
+    Free lines close below each other with about the same indent are one group. Its floor is the next group, the foot
+    of the page or the nearest obstacle (x0, y0, x1) below it that reaches between its left edge and the margin.
+    Adds unit_line (the group's first line), gx0, gy0, gx1, gy1 (its box), bottom and open: whether a
+    written answer fits and the group has no underscores. Lines that aren't free are passed over.
+    """
+    order, free = by_page(), F.col("free")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    above = F.last(F.when(free, F.struct("x0", "y1")), ignorenulls=True).over(before)
+    near = (F.col("y0") - F.col("above.y1") < gap) & (F.abs(F.col("x0") - F.col("above.x0")) < indent)
+    rows = rows.withColumn("above", above).withColumn("starts", free & ~F.coalesce(near, F.lit(False)))
+    rows = rows.withColumns({"grp": F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first(F.when(F.col("starts"), F.col("y0")), ignorenulls=True).over(after)})
+    group = Window.partitionBy(*PAGE, "grp")
+    own = lambda f, c: f(F.when(free, c)).over(group)
+    first = own(F.min, F.struct("y0", "x0", "line_no"))["line_no"]
+    rows = rows.withColumns({"unit_line": first, "gx0": own(F.min, F.col("x0")), "gy0": own(F.min, F.col("y0")), "gx1": own(F.max, F.col("x1")), "gy1": own(F.max, F.col("y1")), "ruled": own(F.max, F.contains("text", F.lit("_"))), "bottom": F.coalesce("next", F.lit(BOTTOM))})
+    if obstacles is not None:
+        on_page = obstacles.groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("x0").alias("ox0"), F.col("y0").alias("oy"), F.col("x1").alias("ox1"))).alias("ob"))
+        met = F.filter("ob", lambda o: (o["oy"] >= F.col("gy1")) & (o["oy"] < F.col("bottom")) & (o["ox0"] < MARGIN) & (o["ox1"] > F.col("gx0")))
+        rows = rows.join(on_page, PAGE, "left").withColumn("bottom", F.coalesce(F.array_min(F.transform(met, lambda o: o["oy"])), "bottom")).drop("ob")
+    return rows.withColumn("open", free & ~F.col("ruled") & (F.col("bottom") - F.col("gy1") >= ROOM)).drop("above", "starts", "grp", "next", "ruled")
+
+
+def open_responses(lines: DataFrame, obstacles: DataFrame | None = None) -> DataFrame:
+    """Prompt groups, numbered or not, with room for an answer: line_no (the first line), n_lines, top and bottom of the room."""
+    rows = with_room(lines.withColumn("free", F.col("text").rlike(r"\S")), obstacles).filter("open")
+    out = rows.groupBy(*PAGE, "unit_line").agg(F.count("*").alias("n_lines"), F.first("gy1").alias("top"), F.first("bottom").alias("bottom"))
+    return out.withColumnRenamed("unit_line", "line_no")
 
 
 def ends_in_dash(text: Column, x1: Column, width: float = 612.0) -> Column:
@@ -245,35 +269,57 @@ def scanned_pages(pages: DataFrame, images: DataFrame, lines: DataFrame, share:
     return out.select(*PAGE, (F.coalesce("scanned", F.lit(False)) | ~F.coalesce("drawn", F.lit(False))).alias("scanned"))
 
 
-KINDS = ["multiple_choice", "multiple_choice_inline", "open_response", "bullet", "trailing_dash", "inline_blank"]
+def detected(lines: DataFrame, boxes: DataFrame | None = None, obstacles: DataFrame | None = None, formats: Sequence[str] = FORMATS) -> DataFrame:
+    """Lines that detectors claim, each in turn from what those before have left: kind and unit_line (the unit's first line).
 
-
-def detect(lines: DataFrame) -> DataFrame:
-    """The first detector in order of precedence that takes each line: doc_id, page, line_no, kind.
-
-    The detectors that look at a line alone share one pass; one aggregate keeps the first of all. Stems of
-    options belong to their question and are no lines of their own.
+    Lines in table ``boxes`` are left out. Options (runs and inline) and their stems go first; prompt groups
+    with room below are open responses and claim every line inside their box; then empty bullets, labels that end
+    in a dash, and the logical units that hold underscores, of the lines left. ``formats`` says which
+    detectors run. All of it is one pass of windows over each page; a page's lines stay together, a document's don't.
+    Also returns the columns of ``with_room``, for open responses.
     """
-    text = F.col("text")
-    alone = F.when(has_inline_options(text), 1).when(is_empty_bullet(text), 3).when(ends_in_dash(text, F.col("x1")), 4).when(text.contains("_"), 5)
-    rank = F.when(F.col("first_line").isNotNull(), 0).when(F.col("stem_of").isNotNull(), -1).otherwise(alone)
-    rows = marked_lines(lines).select(*PAGE, "line_no", rank.alias("rank")).filter("rank is not null")
-    rows = rows.unionByName(open_responses(lines).select(*PAGE, "line_no", F.lit(2).alias("rank")))
-    first = rows.groupBy(*PAGE, "line_no").agg(F.min("rank").alias("rank")).filter("rank >= 0")
-    return first.select(*PAGE, "line_no", F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1).alias("kind"))
+    text, rows = F.col("text"), lines if boxes is None else outside(lines, boxes)
+    choice, written, blanks = "multiple_choice" in formats, "open_response" in formats, "inline_blanks" in formats
+    rows = marked_lines(rows)
+    run, inline, filled = F.col("first_line").isNotNull() & choice, has_inline_options(text) & choice, text.rlike(r"\S")
+    rows = rows.withColumn("taken", run | inline | (F.col("stem_of").isNotNull() & choice)).withColumn("free", filled & ~F.col("taken"))
+    rows = with_room(rows, obstacles).withColumn("open", F.col("open") & written)
+    page = Window.partitionBy(*PAGE)
+    spaces = F.collect_list(F.when(F.col("open") & (F.col("line_no") == F.col("unit_line")), F.struct("gx0", "gy0", "gy1"))).over(page)
+    inside = F.exists("spaces", lambda o: (F.col("y0") >= o["gy0"] - 1) & (F.col("y1") <= o["gy1"] + 1) & (F.col("x0") >= o["gx0"] - 1))
+    rows = rows.withColumn("spaces", spaces).withColumn("taken", F.col("taken") | inside).drop("spaces")
+    bullet = is_empty_bullet(text) & ~F.col("taken") & ("bullet_answer" in formats)
+    dash = ends_in_dash(text, F.col("x1")) & ~F.col("taken") & ~bullet & filled & (written or blanks)
+    rows = rows.withColumns({"bullet": bullet, "dash": dash}).withColumn("free", filled & ~F.col("taken") & ~F.col("bullet") & ~F.col("dash"))
+    above = F.last(F.when(F.col("free"), F.col("y1")), ignorenulls=True).over(by_page().rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.col("free") & F.coalesce(is_bulleted(text) | is_question_start(text) | (F.col("y0") - above > 14.0), F.lit(True))
+    rows = rows.withColumn("begins", starts).withColumn("lu", F.sum(F.col("begins").cast("int")).over(by_page().rowsBetween(Window.unboundedPreceding, 0)))
+    unit = Window.partitionBy(*PAGE, "lu")
+    ruled = F.max(F.when(F.col("free"), text.contains("_"))).over(unit)
+    rows = rows.withColumns({"ruled": F.col("free") & ruled & blanks, "lu_line": F.min(F.when(F.col("free"), F.struct("y0", "x0", "line_no"))).over(unit)["line_no"]})
+    kind = F.when(run, "multiple_choice").when(inline, "multiple_choice_inline").when(F.col("open"), "open_response").when(F.col("bullet"), "bullet").when(F.col("dash"), "trailing_dash").when(F.col("ruled"), "inline_blank")
+    first = F.when(run, F.col("first_line")).when(F.col("open") & ~inline, F.col("unit_line")).when(F.col("ruled"), F.col("lu_line")).otherwise(F.col("line_no"))
+    rows = rows.withColumns({"kind": kind, "unit_line": first}).filter("kind is not null")
+    return rows.select(*lines.columns, "kind", "unit_line", "gx0", "gx1", "gy1", "bottom")
+
+
+def detect(lines: DataFrame, boxes: DataFrame | None = None, obstacles: DataFrame | None = None, formats: Sequence[str] = FORMATS) -> DataFrame:
+    """doc_id, page, line_no, kind, unit_line of every line that a unit holds; see ``detected``."""
+    return detected(lines, boxes, obstacles, formats).select(*PAGE, "line_no", "kind", "unit_line")
 
 
 def numbered_units(found: DataFrame) -> DataFrame:
-    """Document-wide numbers: units are counted per page first, so no window spans a document's lines."""
-    per = found.groupBy(*PAGE).agg(F.count("*").alias("n"))
+    """Document-wide numbers in order of page and first line: units are counted per page first, so no window spans a document's lines."""
+    per = found.groupBy(*PAGE).agg(F.count_if(F.col("line_no") == F.col("unit_line")).alias("n"))
     base = per.select(*PAGE, (F.sum("n").over(Window.partitionBy("doc_id").orderBy("page")) - F.col("n")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_no"))
-    return found.withColumn("rank", rank).join(base, PAGE).select(*PAGE, "line_no", "kind", F.concat(F.lit("u"), (F.col("base") + F.col("rank")).cast("string")).alias("unit_id"))
+    rank = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("unit_line"))
+    rows = found.withColumn("rank", rank).join(base, PAGE).withColumn("unit_id", F.concat(F.lit("u"), (F.col("base") + F.col("rank")).cast("string")))
+    return rows.drop("rank", "base")
 
 
 def doc_summary(found: DataFrame) -> DataFrame:
     """Units by document and kind, with subtotals (a null stands for all)."""
-    return found.rollup("doc_id", "kind").agg(F.count("*").alias("n"))
+    return found.filter("line_no = unit_line").rollup("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 def page_text(lines: DataFrame) -> DataFrame:

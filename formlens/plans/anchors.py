@@ -8,7 +8,7 @@ from formlens.functions import core as c
 from formlens.operators import anchors as n
 from formlens.operators import layout as y
 from formlens.operators import metering as m
-from formlens.plans.layout import EMPTY, FOUND, INBOX, INLINE, QUESTION, STACK, STEMS, images
+from formlens.plans.layout import EMPTY, FOUND, INLINE, LABEL, NUMBERED, QUESTION, REGISTRY, SAME, STACK, STEMS, STRIPPED, bullets, cells, images, outer, units
 from formlens.plans.registry import query
 from formlens.sources.io import context_blocks
 
@@ -41,20 +41,17 @@ query("open_regions", lambda x: n.clamped_regions(x, images(x)), "lines", f"WITH
 CHARS = f"""g0 AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE text <> ''),
 ch AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y, y1 FROM g0),
 ce AS (SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS r, CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS c, string_agg(ch, '' ORDER BY line_no, i) AS text, max(y1) AS u FROM ch WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL)"""
-CELLS = CHARS + """, cl AS (SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS r, CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS c, line_no, string_agg(ch, '' ORDER BY i) AS text FROM ch WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL),
-cn AS (SELECT *, CAST(len(regexp_extract_all(text, '_+')) AS INT) AS n, regexp_split_to_array(text, '_+') AS g FROM cl),
-cf AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY page, r, c, line_no) - n + 1 AS first_slot FROM cn),
-cp AS (SELECT *, trim(regexp_replace(array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{s' || CAST(CAST(first_slot AS BIGINT) + i - 2 AS VARCHAR) || '}}' || p END), ''), '\\s+', ' ', 'g')) AS t FROM cf),
+CELLS = f"""{FOUND}, {REGISTRY}, cp AS (SELECT *, trim(regexp_replace(array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{{{s' || CAST(first_slot + i - 2 AS VARCHAR) || '}}}}' || p END), ''), '\\s+', ' ', 'g')) AS t FROM rg WHERE z = 0),
 fc AS (SELECT doc_id, page, r, c, sum(n) AS n, min(first_slot) FILTER (WHERE n > 0) AS first_slot, trim(regexp_replace(string_agg(t, ' ' ORDER BY line_no), '\\s+', ' ', 'g')) AS text FROM cp GROUP BY ALL)"""
 IDS = "list_transform(range(CAST(first_slot AS BIGINT), CAST(first_slot + n AS BIGINT)), lambda i: 's' || CAST(i AS VARCHAR))"
-query("table_prompts", lambda x: n.table_prompts(n.filled_cells(x, y.tables(x))), "lines", f"""WITH {CELLS}, hh AS (SELECT doc_id, page, coalesce(sum(n) FILTER (WHERE r = 0), 0) = 0 AS h FROM fc GROUP BY ALL)
+filled = lambda x: n.filled_cells(cells(x), n.slot_registry(cells(x), units(x)))
+query("table_prompts", lambda x: n.table_prompts(filled(x)), "lines", f"""WITH {CELLS}, hh AS (SELECT doc_id, page, coalesce(sum(n) FILTER (WHERE r = 0), 0) = 0 AS h FROM fc GROUP BY ALL)
 SELECT b.doc_id, b.page, 'TABLE:' || chr(10) || string_agg(CASE WHEN hh.h THEN '  [under "' || coalesce(t.text, '') || '"] ' ELSE '  [r' || CAST(b.r AS VARCHAR) || 'c' || CAST(b.c AS VARCHAR) || '] ' END || b.text, chr(10) ORDER BY b.r, b.c) AS prompt
 FROM fc b JOIN hh ON hh.doc_id = b.doc_id AND hh.page = b.page LEFT JOIN fc t ON t.doc_id = b.doc_id AND t.page = b.page AND t.c = b.c AND t.r = 0 WHERE b.text <> '' AND (b.r > 0 OR NOT hh.h) GROUP BY b.doc_id, b.page""")
 query("table_regions", lambda x: n.table_regions(y.glyphs(x), y.tables(x)), "lines", f"WITH {CHARS}, k AS (SELECT doc_id, page, CAST(i // 3 AS INT) AS r, CAST(i % 3 AS INT) AS c FROM (SELECT DISTINCT doc_id, page FROM lines), (SELECT unnest(range(6)) AS i)) SELECT k.doc_id, k.page, k.r AS \"row\", k.c AS col, coalesce(u, 300.0 + 60.0 * k.r) AS top, 360.0 + 60.0 * k.r AS bottom FROM k LEFT JOIN ce ON ce.doc_id = k.doc_id AND ce.page = k.page AND ce.r = k.r AND ce.c = k.c WHERE 360.0 + 60.0 * k.r - coalesce(u, 300.0 + 60.0 * k.r) >= 30")
-query("cell_slots", lambda x: n.cell_slots(x, y.tables(x)), "lines", f"WITH {CELLS} SELECT doc_id, page, r AS \"row\", c AS col, n, first_slot, text, array_to_string({IDS}, ',') AS slots FROM fc WHERE n > 0")
-query("table_slots", lambda x: n.table_slots(n.filled_cells(x, y.tables(x))), "lines", f"WITH {CELLS} SELECT doc_id, page, array_to_string(flatten(list({IDS} ORDER BY r, c)), ',') AS slots FROM fc WHERE n > 0 GROUP BY doc_id, page")
-query("slot_numbers", lambda x: n.slot_numbers(x, y.tables(x)), "lines", f"""WITH {CELLS}, a AS (SELECT doc_id, page, 0 AS z, r, c, line_no, n FROM cn WHERE n > 0 UNION ALL SELECT doc_id, page, 1, NULL, NULL, line_no, CAST(len(regexp_extract_all(text, '_+')) AS INT) FROM lines WHERE contains(text, '_') AND NOT ({INBOX}))
-SELECT doc_id, page, r AS "row", c AS col, line_no, n, sum(n) OVER (PARTITION BY doc_id ORDER BY page, z, r, c, line_no) - n + 1 AS first_slot FROM a""")
+query("cell_slots", lambda x: n.cell_slots(filled(x)), "lines", f"WITH {CELLS} SELECT doc_id, page, r AS \"row\", c AS col, n, first_slot, text, array_to_string({IDS}, ',') AS slots FROM fc WHERE n > 0")
+query("table_slots", lambda x: n.table_slots(filled(x)), "lines", f"WITH {CELLS} SELECT doc_id, page, array_to_string(flatten(list({IDS} ORDER BY r, c)), ',') AS slots FROM fc WHERE n > 0 GROUP BY doc_id, page")
+query("slot_numbers", lambda x: n.slot_registry(cells(x), units(x)).drop("after_table"), "lines", f'WITH {FOUND}, {REGISTRY} SELECT doc_id, page, r AS "row", c AS col, line_no, n, first_slot FROM rg WHERE n > 0')
 ITEM = "CASE CAST(line_no % 4 AS INT) WHEN 0 THEN 'inline' WHEN 1 THEN 'bullet' ELSE 'open' END"
 BESIDE = "CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'below' WHEN 1 THEN 'before' WHEN 2 THEN 'none' ELSE 'after' END"
 listed = lambda x: x.filter("k = 3 or k = 4").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "page", F.expr(ITEM).alias("kind"), F.left("text", F.lit(15)).alias("anchor_text"), F.expr(BESIDE).alias("blank_position")))), lambda s: s.dropFields("line_no")).alias("items"))
@@ -65,15 +62,19 @@ CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN '#a0b1c2' ELSE '#1a1a1a' END E
 CASE WHEN k % 3 <> 0 THEN CASE WHEN k = 5 THEN 11.0 ELSE least(greatest(line_no % 60, 6.0), 48.0) END END AS size, CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'mono' ELSE 'sans' END END AS font
 FROM lines WHERE page - CAST(line_no % 13 = 0 AS INT) >= 0 AND CASE WHEN k % 3 = 0 THEN line_no % 17 = 0 OR line_no % 4 + 1 >= 2 ELSE k <> 7 END""")
 parts = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", c))), lambda s: s[c]), ",").alias(c)
-query("doc_structure", lambda x: y.numbered_units(y.detect(x)).groupBy("doc_id").agg(F.count("*").alias("unit_count"), parts("kind")), "lines", f"WITH {FOUND} SELECT doc_id, count(*) AS unit_count, string_agg(kind, ',' ORDER BY page, line_no) AS kind FROM da GROUP BY doc_id")
-query("llm_units", lambda x: n.model_units(x, y.numbered_units(y.detect(x))), "lines", f"""WITH {FOUND}, u AS (SELECT da.*, 'u' || CAST(row_number() OVER (PARTITION BY da.doc_id ORDER BY da.page, da.line_no) AS VARCHAR) AS unit_id, text FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no),
-ib AS (SELECT *, regexp_split_to_array(text, '_+') AS g, len(regexp_extract_all(text, '_+')) AS n FROM u WHERE kind = 'inline_blank'), iq AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY page, line_no) - n + 1 AS BIGINT) AS f FROM ib),
+query("doc_structure", lambda x: units(x).filter("line_no = unit_line").groupBy("doc_id").agg(F.count("*").alias("unit_count"), parts("kind")), "lines", f"WITH {FOUND} SELECT doc_id, count(*) AS unit_count, string_agg(kind, ',' ORDER BY page, line_no) AS kind FROM da WHERE line_no = unit_line GROUP BY doc_id")
+TIDY = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+query("llm_units", lambda x: n.model_units(y.outside(x, y.tables(x)), units(x), cells(x), bullets(x)), "lines", f"""WITH {FOUND}, {NUMBERED}, {REGISTRY}, u AS (SELECT un.*, text, x0, y0 FROM un JOIN lines l ON {SAME('un', 'l')} AND l.line_no = un.line_no),
+ip AS (SELECT u.doc_id, unit_id, u.y0, u.x0, u.line_no, n, first_slot, CASE WHEN n > 0 THEN {TIDY("array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{s' || CAST(first_slot + i - 2 AS VARCHAR) || '}}' || p END), '')")} ELSE u.text END AS t FROM u JOIN rg ON {SAME('u', 'rg')} AND rg.line_no = u.line_no AND rg.z = 1 WHERE kind = 'inline_blank'),
+iq AS (SELECT doc_id, unit_id, string_agg(t, ' ' ORDER BY y0, x0, line_no) AS text, CAST(min(first_slot) FILTER (WHERE n > 0) AS BIGINT) AS f, CAST(sum(n) AS BIGINT) AS n FROM ip GROUP BY ALL),
 op AS (SELECT doc_id, page, st, opt, min(line_no) AS line_no, max(token) AS label, string_agg(trim(text), ' ' ORDER BY rn) AS text FROM wl GROUP BY ALL),
-ru AS (SELECT doc_id, page, min(line_no) AS first_line, string_agg(text, '  ' ORDER BY opt) AS texts, string_agg(label || ': ' || text, ' | ' ORDER BY opt) AS options FROM op GROUP BY doc_id, page, st HAVING count(*) >= 2),
-sm AS (SELECT doc_id, page, first_line, trim(regexp_replace(string_agg(text, ' ' ORDER BY rn), '\\s+', ' ', 'g')) AS stem FROM sl GROUP BY ALL)
-SELECT doc_id, unit_id, kind, trim(regexp_replace(array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{{{s' || CAST(f + i - 2 AS VARCHAR) || '}}}}' || p END), ''), '\\s+', ' ', 'g')) AS prompt, NULL AS answer_key, array_to_string(list_transform(range(f, f + n), lambda i: 's' || CAST(i AS VARCHAR)), ',') AS slots, NULL AS options FROM iq
-UNION ALL SELECT u.doc_id, unit_id, kind, trim(coalesce(stem, '') || '  ' || texts), unit_id, NULL, options FROM u JOIN ru ON ru.doc_id = u.doc_id AND ru.page = u.page AND ru.first_line = u.line_no LEFT JOIN sm ON sm.doc_id = u.doc_id AND sm.page = u.page AND sm.first_line = u.line_no WHERE kind = 'multiple_choice'
-UNION ALL SELECT doc_id, unit_id, kind, trim(text), unit_id, NULL, NULL FROM u WHERE kind NOT IN ('inline_blank', 'multiple_choice')""")
+rr AS (SELECT doc_id, page, min(line_no) AS first_line, string_agg(text, '  ' ORDER BY opt) AS texts, string_agg(label || ': ' || text, ' | ' ORDER BY opt) AS options FROM op GROUP BY doc_id, page, st HAVING count(*) >= 2),
+sm AS (SELECT doc_id, page, first_line, {TIDY("string_agg(text, ' ' ORDER BY rn)")} AS stem FROM sl GROUP BY ALL)
+SELECT doc_id, unit_id, 'inline_blank' AS kind, {TIDY(STRIPPED)} AS prompt, NULL AS answer_key, array_to_string(list_transform(range(f, f + n), lambda i: 's' || CAST(i AS VARCHAR)), ',') AS slots, NULL AS options FROM iq
+UNION ALL SELECT u.doc_id, unit_id, kind, trim(coalesce(stem, '') || '  ' || texts), unit_id, NULL, options FROM u JOIN rr ON {SAME('u', 'rr')} AND rr.first_line = u.line_no LEFT JOIN sm ON {SAME('u', 'sm')} AND sm.first_line = u.line_no WHERE kind = 'multiple_choice' AND u.line_no = u.unit_line
+UNION ALL SELECT doc_id, unit_id, kind, {TIDY("string_agg(text, ' ' ORDER BY y0, x0, line_no)")}, unit_id, NULL, NULL FROM u WHERE kind = 'open_response' GROUP BY doc_id, unit_id, kind
+UNION ALL SELECT u.doc_id, unit_id, kind, prompt, unit_id, NULL, NULL FROM u JOIN bu ON {SAME('u', 'bu')} AND bu.line_no = u.line_no WHERE kind = 'bullet'
+UNION ALL SELECT doc_id, unit_id, kind, CASE kind WHEN 'trailing_dash' THEN {TIDY(LABEL)} ELSE trim(text) END, unit_id, NULL, NULL FROM u WHERE kind IN ('trailing_dash', 'multiple_choice_inline')""")
 query("context_blocks", lambda x: context_blocks(x.select("conv_id", F.concat(F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(" "), F.col("role")).alias("name"), "text"), "conv_id", 300), "conversations", "SELECT conv_id, string_agg('### ' || lpad(CAST(turn AS VARCHAR), 4, '0') || ' ' || role || chr(10) || CASE WHEN length(text) > 300 THEN rtrim(left(text, 300), ' ') || ' [truncated]' ELSE text END, chr(10) || chr(10) ORDER BY turn, role, text) AS context FROM conversations WHERE trim(text, ' ') <> '' GROUP BY conv_id")
 query("rate_card_rows", lambda u: m.rate_card_from_json(u.select(F.when(F.col("user_id") % 10 == 0, F.lit("{broken")).otherwise(F.format_string('{"models":{"m%d":{"in":%d}}}', "user_id", F.col("user_id") % 7)).alias("value"))), "users", "SELECT 'm' || CAST(user_id AS VARCHAR) AS model, CAST(user_id % 7 AS DOUBLE) AS rate_in, 0.0::DOUBLE AS rate_out FROM users WHERE user_id % 10 <> 0")
 query("rate_card_clean", lambda u: m.clean_rates(u.select(F.when(F.col("user_id") % 11 == 0, F.lit(" ")).otherwise(F.col("email")).alias("model"), F.expr("CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'x' WHEN 1 THEN '-1' WHEN 2 THEN NULL WHEN 3 THEN 'NaN' ELSE '2.5' END").alias("rate_in"), F.lit("1").alias("rate_out"))), "users", "SELECT email AS model, CASE CAST(user_id % 5 AS INT) WHEN 2 THEN 0.0::DOUBLE ELSE 2.5::DOUBLE END AS rate_in, 1.0::DOUBLE AS rate_out FROM users WHERE user_id % 11 <> 0 AND user_id % 5 IN (2, 4)")

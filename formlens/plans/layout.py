@@ -72,13 +72,24 @@ INLINE = f"i0 AS (SELECT doc_id, page, line_no, {LABELS} AS l FROM lines), io AS
 STEMS = """hd AS (SELECT ol.*, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY rn) - y1 AS room, EXISTS (SELECT 1 FROM so WHERE so.doc_id = ol.doc_id AND so.page = ol.page AND ol.line_no BETWEEN first_line AND last_line) OR EXISTS (SELECT 1 FROM io WHERE io.doc_id = ol.doc_id AND io.page = ol.page AND io.line_no = ol.line_no) AS held FROM ol),
 sl AS (SELECT so.doc_id, so.page, so.first_line, k.line_no, k.text, k.rn FROM so JOIN ol f ON f.doc_id = so.doc_id AND f.page = so.page AND f.line_no = so.first_line JOIN hd k ON k.doc_id = so.doc_id AND k.page = so.page AND k.rn < f.rn
   LEFT JOIN hd j ON j.doc_id = so.doc_id AND j.page = so.page AND j.rn >= k.rn AND j.rn < f.rn AND (j.room > 26 OR j.held OR j.head AND j.rn > k.rn) WHERE j.rn IS NULL)"""
-OPEN = f"pr AS (SELECT * FROM lines WHERE {QUESTION} AND NOT contains(text, '_')), orr AS (SELECT p.doc_id, p.page, p.line_no, p.y1 AS top, coalesce(min(l.y0), 732.0) AS bottom FROM pr p LEFT JOIN lines l ON l.doc_id = p.doc_id AND l.page = p.page AND l.y0 >= p.y1 AND l.x0 < p.x1 AND l.x1 > p.x0 GROUP BY ALL HAVING coalesce(min(l.y0), 732.0) - p.y1 >= 25)"
+def rooms(free: str, obstacles: str = "") -> str:
+    """Open groups (og) of the free lines: unit_line, box, floor."""
+    nearest = f"least(nx, coalesce((SELECT min(oy) FROM ({obstacles}) ob WHERE ob.doc_id = gn.doc_id AND ob.page = gn.page AND gy1 <= oy AND oy < nx AND ox0 < 572 AND ox1 > gx0), nx))" if obstacles else "nx"
+    return f"""fr AS ({free}),
+fs AS (SELECT *, CASE WHEN coalesce(y0 - lag(y1) OVER ({P}) < 10 AND abs(x0 - lag(x0) OVER ({P})) < 30, false) THEN 0 ELSE 1 END AS s FROM fr),
+fg AS (SELECT *, sum(s) OVER ({P} ROWS UNBOUNDED PRECEDING) AS grp FROM fs),
+gg AS (SELECT doc_id, page, grp, count(*) AS n_lines, arg_min(line_no, (y0, x0, line_no)) AS unit_line, min(x0) AS gx0, max(x1) AS gx1, min(y0) AS gy0, max(y1) AS gy1, string_agg(text, ' ' ORDER BY y0, x0, line_no) AS gt FROM fg GROUP BY doc_id, page, grp),
+gn AS (SELECT *, coalesce(lead(gy0) OVER (PARTITION BY doc_id, page ORDER BY grp), 732.0) AS nx FROM gg),
+gb AS (SELECT gn.*, {nearest} AS bottom FROM gn), og AS (SELECT * FROM gb WHERE NOT contains(gt, '_') AND bottom - gy1 >= 25)"""
+
+
 LABEL = "trim(regexp_replace(regexp_replace(text, '^[\\s●○■▪◆◇•·\u200b\u200c\u200d]+', ''), '[\u200b\u200c\u200d\ufeff\u00ad]', '', 'g'))"
 DASH = f"td AS (SELECT doc_id, page, line_no FROM lines WHERE right(rtrim({LABEL}), 1) IN ('-', '‐', '‑', '‒', '–', '—', '―') AND length({LABEL}) >= 3 AND NOT contains(text, '_') AND 612 - x1 >= 25)"
 query("mc_stacked", y.stacked_options, "lines", f"WITH {STACK} SELECT * FROM so")
 query("mc_inline", y.inline_options, "lines", f"WITH {INLINE} SELECT * FROM io")
 query("mc_stems", y.stems, "lines", f"WITH {STACK}, {INLINE}, {STEMS} SELECT doc_id, page, first_line, min(line_no) AS stem_line, trim(regexp_replace(string_agg(text, ' ' ORDER BY rn), '\\s+', ' ', 'g')) AS stem FROM sl GROUP BY doc_id, page, first_line")
-query("open_responses", y.open_responses, "lines", f"WITH {OPEN} SELECT * FROM orr")
+OBSTACLES = "SELECT doc_id, page, 72.0 AS ox0, 540.0 AS ox1, 300.0 AS oy FROM (SELECT DISTINCT doc_id, page FROM lines) UNION ALL SELECT doc_id, page, 100.0, 500.0, 300.0 FROM (SELECT DISTINCT doc_id, page FROM lines) WHERE page % 3 = 0"
+query("open_responses", y.open_responses, "lines", f"WITH {rooms('SELECT * FROM lines WHERE regexp_matches(text, $$\\S$$)')} SELECT doc_id, page, unit_line AS line_no, n_lines, gy1 AS top, bottom FROM og")
 query("trailing_dash", y.trailing_dash, "lines", f"WITH {DASH} SELECT * FROM td")
 INBOX = "(x0 + x1) / 2 BETWEEN 72 AND 540 AND (y0 + y1) / 2 BETWEEN 300 AND 420"
 query("lines_outside", lambda x: y.outside(x, y.tables(x)).select("doc_id", "page", "line_no"), "lines", f"SELECT doc_id, page, line_no FROM lines WHERE NOT ({INBOX})")
@@ -88,11 +99,32 @@ SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS "row", CAST(
 images = lambda x: x.select("doc_id", "page").distinct().select("doc_id", "page", F.expr("inline(filter(array(named_struct('x0', 100D, 'y0', 300D, 'x1', 500D, 'y1', 320D, 'on', page % 3 = 0), named_struct('x0', 0D, 'y0', 0D, 'x1', 612D, 'y1', 792D, 'on', doc_id % 50 = 0)), b -> b.on))"))
 sheets = lambda x: x.select("doc_id", "page").distinct().unionByName(x.filter("doc_id % 10 = 0").groupBy("doc_id").agg((F.max("page") + 1).alias("page"))).select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
 query("scanned_pages", lambda x: y.scanned_pages(sheets(x), images(x), x), "lines", "SELECT doc_id, page, doc_id % 50 = 0 OR sum(length(text)) = 0 AS scanned FROM lines GROUP BY doc_id, page UNION ALL SELECT doc_id, max(page) + 1, true FROM lines WHERE doc_id % 10 = 0 GROUP BY doc_id")
-FOUND = f"""{STACK}, {INLINE}, {STEMS}, {OPEN}, {ANSWERS}, {DASH}, t AS (SELECT doc_id, page, line_no, -1 AS r FROM sl UNION ALL SELECT so.doc_id, so.page, l.line_no, 0 AS r FROM so JOIN lines l ON l.doc_id = so.doc_id AND l.page = so.page AND l.line_no BETWEEN first_line AND last_line
-  UNION ALL SELECT doc_id, page, line_no, 1 FROM io UNION ALL SELECT doc_id, page, line_no, 2 FROM orr UNION ALL SELECT doc_id, page, line_no, 3 FROM ba UNION ALL SELECT doc_id, page, line_no, 4 FROM td UNION ALL SELECT doc_id, page, line_no, 5 FROM lines WHERE contains(text, '_')),
-da AS (SELECT doc_id, page, line_no, (['multiple_choice', 'multiple_choice_inline', 'open_response', 'bullet', 'trailing_dash', 'inline_blank'])[min(r) + 1] AS kind FROM t GROUP BY doc_id, page, line_no HAVING min(r) >= 0)"""
-query("detect_all", lambda x: y.numbered_units(y.detect(x)), "lines", f"WITH {FOUND} SELECT *, 'u' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS VARCHAR) AS unit_id FROM da")
-query("doc_summary", lambda x: y.doc_summary(y.detect(x)), "lines", f"WITH {FOUND} SELECT doc_id, kind, count(*) AS n FROM da GROUP BY ROLLUP (doc_id, kind)")
+outer = lambda sql: sql.replace("FROM lines", "FROM lo").replace("JOIN lines", "JOIN lo")
+SAME = lambda a, b: f"{b}.doc_id = {a}.doc_id AND {b}.page = {a}.page"
+LESS = lambda a, *taken: " ".join(f"ANTI JOIN {t} USING (doc_id, page, line_no)" for t in taken)
+# The lines outside tables, and what each detector in turn claims of those left.
+FOUND = f"""lo AS (SELECT * FROM lines WHERE NOT ({INBOX})), {outer(f'{STACK}, {INLINE}, {STEMS}')},
+mr AS (SELECT so.doc_id, so.page, lo.line_no, so.first_line FROM so JOIN lo ON {SAME('so', 'lo')} AND lo.line_no BETWEEN first_line AND last_line),
+c0 AS (SELECT doc_id, page, line_no FROM mr UNION SELECT doc_id, page, line_no FROM io UNION SELECT doc_id, page, line_no FROM sl),
+{rooms(f"SELECT lo.* FROM lo {LESS('lo', 'c0')} WHERE regexp_matches(text, $$\\S$$)", OBSTACLES)},
+ol2 AS (SELECT fg.doc_id, fg.page, fg.line_no, og.unit_line, gx0, gx1, gy1, bottom FROM fg JOIN og ON {SAME('fg', 'og')} AND og.grp = fg.grp),
+c1 AS (SELECT * FROM c0 UNION SELECT lo.doc_id, lo.page, lo.line_no FROM lo JOIN og ON {SAME('lo', 'og')} AND lo.y0 >= gy0 - 1 AND lo.y1 <= gy1 + 1 AND lo.x0 >= gx0 - 1),
+{outer(ANSWERS)}, bu AS (SELECT * FROM ba {LESS('ba', 'c1')}),
+{outer(DASH)}, dl AS (SELECT * FROM td {LESS('td', 'c1', 'bu')}),
+rm AS (SELECT lo.* FROM lo {LESS('lo', 'c1', 'bu', 'dl')} WHERE regexp_matches(text, $$\\S$$)),
+rs AS (SELECT *, CASE WHEN coalesce({BULLETED} OR {QUESTION} OR y0 - lag(y1) OVER ({P}) > 14, true) THEN 1 ELSE 0 END AS s FROM rm),
+ru AS (SELECT *, sum(s) OVER ({P} ROWS UNBOUNDED PRECEDING) AS lu FROM rs),
+il AS (SELECT ru.doc_id, ru.page, ru.line_no, g.unit_line FROM ru JOIN (SELECT doc_id, page, lu, arg_min(line_no, (y0, x0, line_no)) AS unit_line FROM ru GROUP BY ALL HAVING bool_or(contains(text, '_'))) g ON {SAME('ru', 'g')} AND g.lu = ru.lu),
+da AS (SELECT doc_id, page, line_no, 'multiple_choice' AS kind, first_line AS unit_line FROM mr UNION ALL SELECT doc_id, page, line_no, 'multiple_choice_inline', line_no FROM io {LESS('io', 'mr')}
+  UNION ALL SELECT doc_id, page, line_no, 'open_response', unit_line FROM ol2 UNION ALL SELECT doc_id, page, line_no, 'bullet', line_no FROM bu UNION ALL SELECT doc_id, page, line_no, 'trailing_dash', line_no FROM dl UNION ALL SELECT doc_id, page, line_no, 'inline_blank', unit_line FROM il)"""
+NUMBERED = "un AS (SELECT *, 'u' || CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY page, unit_line) AS VARCHAR) AS unit_id FROM da)"
+obstacles = lambda x: y.tables(x).select("doc_id", "page", F.col("bx0").alias("x0"), F.col("by0").alias("y0"), F.col("bx1").alias("x1")).unionByName(images(x).select("doc_id", "page", "x0", "y0", "x1"))
+units = lambda x, **more: y.numbered_units(y.detected(x, y.tables(x), obstacles(x), **more))
+query("detect_all", lambda x: units(x).select("doc_id", "page", "line_no", "kind", "unit_line", "unit_id"), "lines", f"WITH {FOUND}, {NUMBERED} SELECT * FROM un")
+query("detect_blanks", lambda x: units(x, formats=["inline_blanks"]).select("doc_id", "page", "line_no", "kind", "unit_line", "unit_id"), "lines", f"""WITH lo AS (SELECT * FROM lines WHERE NOT ({INBOX})), {outer(DASH)}, rm AS (SELECT lo.* FROM lo {LESS('lo', 'td')} WHERE regexp_matches(text, $$\\S$$)),
+rs AS (SELECT *, CASE WHEN coalesce({BULLETED} OR {QUESTION} OR y0 - lag(y1) OVER ({P}) > 14, true) THEN 1 ELSE 0 END AS s FROM rm), ru AS (SELECT *, sum(s) OVER ({P} ROWS UNBOUNDED PRECEDING) AS lu FROM rs),
+da AS (SELECT doc_id, page, line_no, 'trailing_dash' AS kind, line_no AS unit_line FROM td UNION ALL SELECT ru.doc_id, ru.page, ru.line_no, 'inline_blank', g.unit_line FROM ru JOIN (SELECT doc_id, page, lu, arg_min(line_no, (y0, x0, line_no)) AS unit_line FROM ru GROUP BY ALL HAVING bool_or(contains(text, '_'))) g ON {SAME('ru', 'g')} AND g.lu = ru.lu), {NUMBERED} SELECT * FROM un""")
+query("doc_summary", lambda x: y.doc_summary(units(x)), "lines", f"WITH {FOUND} SELECT doc_id, kind, count(*) AS n FROM da WHERE line_no = unit_line GROUP BY ROLLUP (doc_id, kind)")
 query("page_text", y.page_text, "lines", "WITH p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL) SELECT doc_id, string_agg('[page ' || CAST(page AS VARCHAR) || ']' || chr(10) || t, chr(10) ORDER BY page) AS text FROM p GROUP BY doc_id")
 asked = lambda x: x.filter("k = 3").select("doc_id", "page", F.col("line_no").alias("item_no"), F.when(F.col("doc_id") % 20 == 0, "no such text at all").otherwise(F.left("text", F.lit(15))).alias("anchor_text"))
 query("anchor_resolve", lambda x: px.anchor_boxes(px.resolve_anchors(asked(x), x), x), "lines", f"""WITH n AS (SELECT doc_id, page, line_no, x0, y0, y1, {NORMAL} AS hay FROM lines),
@@ -105,9 +137,9 @@ query("anchor_repeats", lambda x: px.resolve_anchors(x.filter("k between 3 and 7
 a AS (SELECT doc_id, page, line_no AS item_no, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS r FROM lines WHERE k BETWEEN 3 AND 7)
 SELECT a.doc_id, a.page, item_no, o.line_no, CAST(o.i AS INT) AS first_char, o.line_no AS last_line, CAST(o.i AS INT) AS last_char, CASE WHEN o.line_no IS NULL THEN 'anchor not found' END AS dropped FROM a LEFT JOIN o ON o.doc_id = a.doc_id AND o.page = a.page AND o.r = a.r""")
 bands = lambda x: x.groupBy("doc_id", "page", F.floor(F.col("k") / 5).cast("int").alias("band")).agg(F.min("y0").alias("b0"), F.max("y1").alias("b1"), F.count_if(F.col("text").contains("_")).alias("expected"))
-CENTRES = "ac AS (SELECT da.doc_id, da.page, da.line_no, (y0 + y1) / 2 AS y, unnest(range(CASE WHEN kind = 'inline_blank' THEN len(regexp_extract_all(text, '_+')) ELSE 1 END)) AS slot FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no WHERE kind NOT LIKE 'multiple_choice%')"
-query("answer_centres", lambda x: n.answer_centres(x, y.detect(x)).select("doc_id", "page", "line_no", "y", F.col("slot").cast("long").alias("slot")), "lines", f"WITH {FOUND}, {CENTRES} SELECT doc_id, page, line_no, y, slot + 1 AS slot FROM ac")
-query("detector_score", lambda x: y.score_bands(n.answer_centres(x, y.detect(x)), bands(x)), "lines", f"""WITH {FOUND}, {CENTRES}, bd AS (SELECT doc_id, page, CAST(floor(k / 5) AS INT) AS band, min(y0) AS b0, max(y1) AS b1, count(*) FILTER (WHERE contains(text, '_')) AS expected FROM lines GROUP BY 1, 2, 3),
+CENTRES = "ac AS (SELECT da.doc_id, da.page, da.line_no, (y0 + y1) / 2 AS y, unnest(range(CASE WHEN kind = 'inline_blank' THEN len(regexp_extract_all(text, '_+')) ELSE 1 END)) AS slot FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no WHERE kind = 'inline_blank' OR da.line_no = unit_line AND kind NOT LIKE 'multiple_choice%')"
+query("answer_centres", lambda x: n.answer_centres(units(x)).select("doc_id", "page", "line_no", "y", F.col("slot").cast("long").alias("slot")), "lines", f"WITH {FOUND}, {CENTRES} SELECT doc_id, page, line_no, y, slot + 1 AS slot FROM ac")
+query("detector_score", lambda x: y.score_bands(n.answer_centres(units(x)), bands(x)), "lines", f"""WITH {FOUND}, {CENTRES}, bd AS (SELECT doc_id, page, CAST(floor(k / 5) AS INT) AS band, min(y0) AS b0, max(y1) AS b1, count(*) FILTER (WHERE contains(text, '_')) AS expected FROM lines GROUP BY 1, 2, 3),
 h AS (SELECT ac.doc_id, ac.page, ac.line_no, slot, min(band) AS band FROM ac JOIN bd ON bd.doc_id = ac.doc_id AND bd.page = ac.page AND y >= b0 AND y < b1 GROUP BY 1, 2, 3, 4),
 c AS (SELECT doc_id, page, band, count(*) AS n FROM h GROUP BY ALL), r AS (SELECT bd.*, coalesce(n, 0) AS n FROM bd LEFT JOIN c ON c.doc_id = bd.doc_id AND c.page = bd.page AND c.band = bd.band)
 SELECT sum(least(n, expected)) AS correct, sum(greatest(expected - n, 0)) AS missed, sum(greatest(n - expected, 0)) AS surplus FROM r""")
@@ -117,15 +149,24 @@ FLAT = " UNION ALL ".join(f"SELECT doc_id, '{slot}' AS slot, '{answer}' AS answe
 replies = lambda x: x.select("doc_id").distinct().select("doc_id", F.expr(REPLY).alias("reply"))
 query("json_extract", lambda x: replies(x).select("doc_id", F.get_json_object(y.json_object(F.col("reply")), "$.s3").alias("s3")), "raw_lines", "SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'w' END AS s3 FROM raw_lines")
 query("answers_flat", lambda x: y.flat_answers(replies(x)), "raw_lines", f"WITH dd AS (SELECT DISTINCT doc_id FROM raw_lines) {FLAT}")
-query("overlays", lambda x: n.overlays(x, y.numbered_units(y.detect(x)), y.flat_answers(replies(x))), "lines", f"""WITH {FOUND}, u AS (SELECT da.*, 'u' || CAST(row_number() OVER (PARTITION BY da.doc_id ORDER BY da.page, da.line_no) AS VARCHAR) AS unit_id, text, x0, x1, y1 FROM da JOIN lines l ON l.doc_id = da.doc_id AND l.page = da.page AND l.line_no = da.line_no),
-dd AS (SELECT DISTINCT doc_id FROM lines), f AS ({FLAT}),
-ib AS (SELECT *, regexp_extract_all(text, '_+') AS r, regexp_split_to_array(text, '_+') AS g FROM u WHERE kind = 'inline_blank'), ie AS (SELECT *, unnest(range(len(r))) AS k FROM ib),
-ik AS (SELECT *, x0 + 5.0 * (list_sum(list_transform(g[1:k + 1], lambda z: length(z))) + coalesce(list_sum(list_transform(r[1:k], lambda z: length(z))), 0)) AS a, 5.0 * length(r[k + 1]) AS wd, 's' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no, k) AS VARCHAR) AS key FROM ie),
-bx AS (SELECT doc_id, page, key, a AS x0, y1 - 13 AS y0, a + wd AS x1, y1 + 1 AS y1 FROM ik UNION ALL SELECT u.doc_id, u.page, unit_id, x0, top, x1, bottom FROM u JOIN orr ON orr.doc_id = u.doc_id AND orr.page = u.page AND orr.line_no = u.line_no WHERE kind = 'open_response'),
+cells = lambda x: n.cell_lines(x, y.tables(x))
+bullets = lambda x: y.bullet_answers(y.outside(x, y.tables(x)))
+# One registry of slots: runs of a page's cells, then those of its inline units.
+REGISTRY = f"""g0 AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE text <> ''),
+ch AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y, y1 FROM g0),
+cl AS (SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS r, CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS c, line_no, string_agg(ch, '' ORDER BY i) AS text, min(x) - 2.5 AS x0, max(y1) AS y1 FROM ch WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL),
+rl AS (SELECT doc_id, page, 0 AS z, r, c, line_no, text, x0, y1 FROM cl UNION ALL SELECT da.doc_id, da.page, 1, NULL, NULL, da.line_no, text, x0, y1 FROM da JOIN lines l ON {SAME('da', 'l')} AND l.line_no = da.line_no WHERE kind = 'inline_blank'),
+rn AS (SELECT *, CAST(len(regexp_extract_all(text, '_+')) AS INT) AS n, regexp_extract_all(text, '_+') AS q, regexp_split_to_array(text, '_+') AS g FROM rl),
+rg AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY page, z, r, c, line_no) - n + 1 AS BIGINT) AS first_slot FROM rn)"""
+query("overlays", lambda x: n.overlays(y.outside(x, y.tables(x)), units(x), cells(x), bullets(x), y.flat_answers(replies(x))), "lines", f"""WITH {FOUND}, {NUMBERED}, {REGISTRY}, u AS (SELECT un.*, text, x0, x1, y0, y1 FROM un JOIN lines l ON {SAME('un', 'l')} AND l.line_no = un.line_no),
+dd AS (SELECT DISTINCT doc_id FROM lines), f AS ({FLAT}), ie AS (SELECT *, unnest(range(n)) AS k FROM rg WHERE n > 0),
+ik AS (SELECT *, x0 + 5.0 * (list_sum(list_transform(g[1:k + 1], lambda z: length(z))) + coalesce(list_sum(list_transform(q[1:k], lambda z: length(z))), 0)) AS a, 5.0 * length(q[k + 1]) AS wd, 's' || CAST(first_slot + k AS VARCHAR) AS key FROM ie),
+bx AS (SELECT doc_id, page, key, a AS x0, y1 - 13 AS y0, a + wd AS x1, y1 + 1 AS y1 FROM ik UNION ALL SELECT u.doc_id, u.page, unit_id, gx0 + 4, gy1 + 4, greatest(gx1, 572.0), bottom - 6 FROM u JOIN ol2 o ON {SAME('u', 'o')} AND o.line_no = u.line_no WHERE kind = 'open_response' AND u.line_no = u.unit_line
+  UNION ALL SELECT doc_id, page, unit_id, x1 + 6, y0, 572.0, y1 FROM u WHERE kind = 'trailing_dash' UNION ALL SELECT u.doc_id, u.page, unit_id, x1 + 6, y0, 572.0, greatest(y1, bottom - 2) FROM u JOIN bu ON {SAME('u', 'bu')} AND bu.line_no = u.line_no WHERE kind = 'bullet'),
 ci AS (SELECT so.doc_id, so.page, u.unit_id AS key, so.first_line, so.last_line, CASE WHEN list_contains(lab, tok) THEN tok WHEN list_contains(lab, left(tok, 1)) THEN left(tok, 1) END AS label FROM (SELECT *, CASE system WHEN 'roman' THEN {ROM}[1:n_options] ELSE {LET}[1:n_options] END AS lab FROM so) so
-  JOIN u ON u.doc_id = so.doc_id AND u.page = so.page AND u.line_no = so.first_line AND u.kind = 'multiple_choice' JOIN (SELECT *, nullif(regexp_extract(upper(trim(answer)), '^\\(?([A-Z]+)', 1), '') AS tok FROM f) f ON f.doc_id = u.doc_id AND f.slot = u.unit_id)
+  JOIN u ON {SAME('so', 'u')} AND u.line_no = so.first_line AND u.kind = 'multiple_choice' JOIN (SELECT *, nullif(regexp_extract(upper(trim(answer)), '^\\(?([A-Z]+)', 1), '') AS tok FROM f) f ON f.doc_id = u.doc_id AND f.slot = u.unit_id)
 SELECT bx.doc_id, page, 'text' AS kind, key, x0, y0, x1, y1, coalesce(answer, '') AS text FROM bx LEFT JOIN f ON f.doc_id = bx.doc_id AND f.slot = bx.key
-UNION ALL SELECT ci.doc_id, ci.page, 'circle', key, wl.x0, wl.y0, wl.x0 + 5.0 * coalesce(least(nullif(strpos(left(wl.text, 8), '.'), 0), nullif(strpos(left(wl.text, 8), ')'), 0)), least(length(wl.text), 8)), wl.y1, '' FROM ci JOIN wl ON wl.doc_id = ci.doc_id AND wl.page = ci.page AND wl.line_no BETWEEN first_line AND last_line AND wl.token = ci.label""")
+UNION ALL SELECT ci.doc_id, ci.page, 'circle', key, wl.x0, wl.y0, wl.x0 + 5.0 * coalesce(least(nullif(strpos(left(wl.text, 8), '.'), 0), nullif(strpos(left(wl.text, 8), ')'), 0)), least(length(wl.text), 8)), wl.y1, '' FROM ci JOIN wl ON {SAME('ci', 'wl')} AND wl.line_no BETWEEN first_line AND last_line AND wl.token = ci.label""")
 query("snip_boxes", lambda x: y.snip_box(x.select("doc_id", "page", "line_no", F.col("x1").alias("ax"), F.col("x0").alias("bx"), F.col("y0").alias("ay"), F.when(F.col("k") == 7, F.col("y0") + 1).otherwise(F.col("y1")).alias("by"))), "lines", "SELECT doc_id, page, line_no, greatest(x0 - 4, 0) AS x0, greatest(y0 - 4, 0) AS y0, least(x1 + 4, 612.0) AS x1, least(y1 + 4, 792.0) AS y1 FROM lines WHERE k <> 7")
 query("ocr_axis_fix", lambda x: y.fix_axes(x.select("doc_id", "page", "line_no", *(F.when(F.col("doc_id") % 3 == 0, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "y0"), ("y0", "x0"), ("x1", "y1"), ("y1", "x1"))))), "lines", "WITH f AS (SELECT * FROM lines), v AS (SELECT doc_id, page, count(*) AS n FROM f GROUP BY ALL) SELECT f.doc_id, f.page, line_no, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y0 ELSE x0 END AS x0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x0 ELSE y0 END AS y0, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN y1 ELSE x1 END AS x1, CASE WHEN f.doc_id % 3 = 0 AND n < 2 THEN x1 ELSE y1 END AS y1 FROM f JOIN v ON v.doc_id = f.doc_id AND v.page = f.page")
 pages_of = lambda x: x.filter("text <> ''").groupBy("doc_id", "page").agg(F.struct(F.col("page").alias("index"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.array(F.array(F.min("x0"), F.min("y0"), F.min("x0") + 5, F.min("y0") + 5)).alias("markers"), F.collect_list(F.struct(F.left("text", F.lit(1)).alias("glyph"), F.array("x0", "y0", "x1", "y1").alias("draw"))).alias("cells")).alias("p")).groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list("p").alias("pages"))).alias("j"))

@@ -76,3 +76,54 @@ def test_items_of_a_reply(spark):
     rows = [(r.doc_id, r.item_no, r.kind, r.blank_position, r.place) for r in n.anchor_items(df).collect()]
     one = [(0, "open", "none", 3), (1, "inline", "after", 1), (6, "inline", "before", 2)]
     assert sorted(rows) == [(d, *x) for d in (1, 2) for x in one]
+
+
+def _drawn(spark, rows):
+    """Lines of one page from (text, x0, y0, x1, y1)."""
+    return spark.createDataFrame([(1, 0, i, t, *map(float, b)) for i, (t, *b) in enumerate(rows)], "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_detectors_claim_in_turn(spark):
+    lines = _drawn(spark, [
+        ("Explain the", 72, 40, 300, 50), ("causes -", 72, 53, 300, 63), ("note -", 320, 39.5, 400, 50),  # a group of two with room, and a line of another group inside its box
+        ("Term -", 72, 100, 300, 110), ("Fill in ____ and", 72, 114, 300, 124), ("then ____ here", 72, 126, 300, 136), ("○", 72, 150, 80, 160),
+        ("Next item", 120, 168, 300, 178), ("A. one", 72, 230, 300, 240), ("B. two", 72, 242, 300, 252), ("In the table ____", 100, 310, 300, 320), ("Last question", 72, 600, 300, 610),
+    ])
+    boxes = spark.createDataFrame([(1, 0, 90.0, 300.0, 500.0, 420.0)], "doc_id long, page int, bx0 double, by0 double, bx1 double, by1 double")
+    kinds = lambda **more: {r.line_no: (r.kind, r.unit_line) for r in y.detect(lines, boxes, **more).collect()}
+    assert kinds() == {0: ("open_response", 0), 1: ("open_response", 0), 3: ("trailing_dash", 3), 4: ("inline_blank", 4), 5: ("inline_blank", 4), 6: ("bullet", 6), 7: ("open_response", 7), 8: ("multiple_choice", 8), 9: ("multiple_choice", 8), 11: ("open_response", 11)}
+    assert kinds(formats=["inline_blanks"]) == {1: ("trailing_dash", 1), 2: ("trailing_dash", 2), 3: ("trailing_dash", 3), 4: ("inline_blank", 4), 5: ("inline_blank", 4)}
+    assert kinds(formats=["multiple_choice", "table"]) == {8: ("multiple_choice", 8), 9: ("multiple_choice", 8)}
+    assert 10 in {r.line_no for r in y.detect(lines).collect()}
+    numbers = {r.line_no: r.unit_id for r in y.numbered_units(y.detect(lines, boxes)).collect()}
+    assert numbers == {0: "u1", 1: "u1", 3: "u2", 4: "u3", 5: "u3", 6: "u4", 7: "u5", 8: "u6", 9: "u6", 11: "u7"}
+
+
+def test_obstacles_take_room(spark):
+    lines = _drawn(spark, [("First", 72, 40, 200, 50), ("Second", 72, 200, 200, 210), ("Third", 400, 400, 450, 410)])
+    at = lambda *boxes: {r.line_no: r.bottom for r in y.open_responses(lines, spark.createDataFrame([(1, 0, *map(float, b)) for b in boxes], "doc_id long, page int, x0 double, y0 double, x1 double")).collect()}
+    assert at((0, 45, 612)) == {0: 200.0, 1: 400.0, 2: 732.0}  # above the group's foot: no floor
+    assert at((100, 60, 150), (300, 100, 400)) == {1: 400.0, 2: 732.0}  # ten points are no room
+    assert at((100, 120, 150), (0, 90, 70), (580, 90, 600), (72, 500, 390)) == {0: 120.0, 1: 400.0, 2: 732.0}  # beside the text or behind the margin: no floor
+
+
+def test_one_id_names_one_blank(spark, duck):  # noqa: F811
+    """cell_slots, table_slots, slot_numbers, overlays and llm_units share one numbering, and no detected line lies in a table."""
+    rows = {name: QUERIES[name](spark, SF).collect() for name in ("cell_slots", "table_slots", "slot_numbers", "overlays", "llm_units", "detect_all")}
+    ids = {(r.doc_id, f"s{r.first_slot + i}"): r.row is not None for r in rows["slot_numbers"] for i in range(r.n)}
+    assert len(ids) == sum(r.n for r in rows["slot_numbers"])
+    boxed = [(r.doc_id, r.key) for r in rows["overlays"] if r.key.startswith("s")]
+    assert len(boxed) == len(set(boxed)) and set(boxed) == set(ids)
+    asked = [(r.doc_id, s) for r in rows["llm_units"] for s in (r.slots or "").split(",") if s]
+    assert set(asked) == {k for k, in_table in ids.items() if not in_table} and len(asked) == len(set(asked))
+    assert all((r.doc_id, s) in set(asked) for r in rows["llm_units"] for s in (r.slots or "").split(",") if s and "{{" + s + "}}" in r.prompt)
+    inside = {(r.doc_id, s) for name in ("cell_slots", "table_slots") for r in rows[name] for s in r.slots.split(",")}
+    assert inside == {k for k, in_table in ids.items() if in_table} and len(inside) > 20
+    held = {tuple(r) for r in duck_lines(spark) if 72 <= (r.x0 + r.x1) / 2 <= 540 and 300 <= (r.y0 + r.y1) / 2 <= 420}
+    assert held and not {(r.doc_id, r.page, r.line_no) for r in rows["detect_all"]} & {t[:3] for t in held}
+
+
+def duck_lines(spark):
+    from formlens.sources import views
+
+    return views.view(spark, SF, "lines").select("doc_id", "page", "line_no", "x0", "x1", "y0", "y1").collect()
