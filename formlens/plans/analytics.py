@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formlens.functions import core as c
 from formlens.operators import analytics as a
+from formlens.operators import sketches as k
 from formlens.operators import metering as m
 from formlens.plans.registry import AS_OF, DAYS, ORACLES, query
 
@@ -137,3 +138,8 @@ for name, table, columns in (("scan_signins", "signins", "ts ip ua result"), ("s
     query(name, lambda x, columns=columns: x.select(*columns.split()), table, f"SELECT {', '.join(columns.split())} FROM {table}")
 query("model_routing", lambda x: x.select("event_id", F.when(F.coalesce("is_pro", F.lit(False)), F.coalesce("model", F.lit("base"))).otherwise("base").alias("model")), "ai_calls", "SELECT event_id, CASE WHEN is_pro THEN coalesce(model, 'base') ELSE 'base' END AS model FROM ai_calls")
 query("hourly_reliability", lambda x: x.groupBy(F.window("ts", "1 hour").start.alias("hour")).agg(F.count("*").alias("total"), F.count_if("ok").alias("ok"), F.count_if(F.col("provider") == "fallback").alias("fallback")), "ai_calls", "SELECT date_trunc('hour', ts) AS hour, count(*) AS total, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE provider = 'fallback') AS fallback FROM ai_calls GROUP BY 1")
+query("latency_narrowed", lambda c: k.exact_percentiles(c.filter("coalesce(ok, false) and coalesce(latency_ms, 0) <> 0"), "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95}), "ai_calls", LATENCY)
+# How far the merged sketches are off: the rank of each percentile, and the count, against the exact ones.
+ranked = lambda c: c.filter("coalesce(ok, false) and coalesce(latency_ms, 0) <> 0 and ts is not null").crossJoin(k.merged_latency(k.daily_latency(c)).withColumnRenamed("calls", "seen")).agg(F.count("*").alias("calls"), F.max("seen").alias("seen"), *((F.abs(F.avg((F.col("latency_ms") <= F.col(p)).cast("double")) - s) <= k.RANK_ERROR).alias(f"{p}_near") for p, s in (("p50", 0.5), ("p95", 0.95))))
+query("latency_sketches", ranked, "ai_calls", "SELECT count(*) AS calls, count(*) AS seen, true AS p50_near, true AS p95_near FROM ai_calls WHERE ok AND latency_ms <> 0")
+query("ip_sketches", lambda x: x.filter("ts is not null").agg(F.count_distinct("ip").alias("exact")).crossJoin(k.merged_distinct(k.daily_distinct(x, "ip"))).select("exact", (F.abs(F.col("n") - F.col("exact")) <= F.ceil(F.col("exact") * k.COUNT_ERROR)).alias("near")), "assignments", "SELECT count(DISTINCT ip) AS exact, true AS near FROM assignments WHERE ts IS NOT NULL")

@@ -127,3 +127,33 @@ def duck_lines(spark):
     from formlens.sources import views
 
     return views.view(spark, SF, "lines").select("doc_id", "page", "line_no", "x0", "x1", "y0", "y1").collect()
+
+
+def test_sketches_are_stored_and_merged(spark, tmp_path):
+    from formlens.operators import sketches as k
+
+    draw = F.pmod(F.xxhash64("id"), F.lit(100_000)) + 1
+    calls = spark.range(60_000).select(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 30 as int))").alias("ts"), F.lit(True).alias("ok"), F.when(F.col("id") % 3 == 0, "a").alias("purpose"), draw.alias("latency_ms"), (F.col("id") % 9000).cast("string").alias("ip"))
+    for day, part in enumerate((calls.filter("day(ts) < 20"), calls.filter("day(ts) >= 20"))):
+        k.daily_latency(part).write.parquet(str(tmp_path / f"latency/{day}"))
+        k.daily_distinct(part, "ip").write.parquet(str(tmp_path / f"ips/{day}"))
+    stored = spark.read.parquet(*(str(tmp_path / f"latency/{d}") for d in (0, 1)))
+    for r in k.merged_latency(stored, "purpose").collect():
+        own = [x.latency_ms for x in calls.filter(F.coalesce("purpose", F.lit("unknown")) == r.purpose).select("latency_ms").collect()]
+        assert r.calls == len(own)
+        for q, p in ((r.p50, 0.5), (r.p95, 0.95)):
+            assert abs(sum(v <= q for v in own) / len(own) - p) <= k.RANK_ERROR
+    n = k.merged_distinct(spark.read.parquet(*(str(tmp_path / f"ips/{d}") for d in (0, 1)))).first().n
+    assert abs(n - 9000) <= 9000 * k.COUNT_ERROR and k.merged_distinct(stored.limit(0)).first().n == 0
+
+
+def test_percentiles_by_narrowing(spark):
+    from formlens.operators.sketches import exact_percentiles
+
+    big = 2**63
+    for values in ([5], [1, 2], [3] * 50 + [9], list(range(1000)), [-big, -7, 0, 4, big - 1], [10**12 + i * 7919 for i in range(300)], [None, 8, None]):
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        real = sorted(v for v in values if v is not None)
+        want = [real[max(-(-int(p * 100) * len(real) // 100), 1) - 1] for p in (0.5, 0.95, 1.0)]
+        assert list(exact_percentiles(df, "v", {"a": 0.5, "b": 0.95, "c": 1.0}, width=16).first()) == want
+    assert list(exact_percentiles(spark.createDataFrame([], "v long"), "v", {"a": 0.5}).first()) == [None]
