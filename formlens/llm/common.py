@@ -123,11 +123,14 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, scratch: S
     """``rows`` joined with ``table`` (one row for each ``key``), a key with over a ``hot_parts``-th of the rows in several tasks.
 
     Such a key's row of the table is repeated, and its rows are dealt over the repeats by a hash of ``by``. There
-    can't be more than ``hot_parts`` of these keys, so their counts are broadcast.
+    can't be more than ``hot_parts`` of these keys, so their counts are broadcast. All other keys are joined as they are.
     """
-    counts, seen = scratch.measured(rows.groupBy(key).agg(F.count("*").alias("_n")), f"per-{name}", F.sum("_n").alias("total"))
+    counts, seen = scratch.measured(rows.groupBy(key).agg(F.count("*").alias("_n")), f"per-{name}", F.sum("_n").alias("total"), F.max("_n").alias("most"))
     most = max((seen["total"] or 0) // hot_parts, 64)
+    if (seen["most"] or 0) <= most:
+        return rows.join(table, key)
     hot = F.broadcast(counts.filter(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
-    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    copies = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(copies, [key, "_part"]).drop("_part")
+    dealt = rows.join(hot, key).withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+    copies = table.join(hot, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    rest = rows.join(hot.select(key), key, "left_anti").join(table, key)
+    return rest.unionByName(dealt.join(copies, [key, "_part"]).drop("_part"))

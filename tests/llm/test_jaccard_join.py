@@ -125,3 +125,25 @@ def test_components_of_a_chain(spark):
     edges = spark.range(0, 40).selectExpr("id as u", "id + 1 as v").union(spark.createDataFrame([(100, 90), (5, 5), (None, 3)], "u long, v long"))
     got = {r.node: r.component for r in connected_components(edges, Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 100: 90}
+
+
+def test_hot_keys_are_spread_over_tasks(spark):
+    """A key with a third of the rows: the join is whole, and no task of its stage gets over twice the median of the others."""
+    from pyspark.sql import functions as F
+
+    from formlens.llm.common import Scratch, spread_join
+
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000 + 10).alias("a"), F.col("id").alias("b"))
+    table = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") * 2).alias("v"))
+    out = spread_join(rows, table, "a", "b", Scratch(spark, "spread"), "t", hot_parts=64)
+    assert {(r.a, r.b, r.v) for r in out.collect()} == {(r.a, r.b, 2 * r.a) for r in rows.collect()} and out.count() == 30_000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = [r["n"] for r in spread_join(rows, table, "a", "b", Scratch(spark, "spread"), "t", hot_parts=64).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(tasks) < 2.5 * sorted(tasks)[len(tasks) // 2]
+    plain = spread_join(rows.filter("a <> 7"), table, "a", "b", Scratch(spark, "spread"), "t")
+    assert plain.count() == 20_000
