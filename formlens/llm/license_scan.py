@@ -232,7 +232,7 @@ def known_wordings(spark: SparkSession) -> DataFrame:
     return _values(spark, rows, ["family", "line", "kept_out"], "family:string,line:string,kept_out:boolean")
 
 
-def train_licences(docs: DataFrame, scratch: Scratch, max_negatives: int = 600, common: float = 0.01, least: float = 0.5) -> LicenceModel:
+def train_licences(docs: DataFrame, scratch: Scratch, max_negatives: int = 250, common: float = 0.01, least: float = 0.5) -> LicenceModel:
     """Fit on the wordings, and on one paragraph each of about ``max_negatives`` documents, chosen by a hash, as unknown.
 
     Paragraphs that hold a licence's full name are not taken as unknown. The vocabulary is every gram of
