@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlens.functions.core import ZERO_WIDTH, clamp, is_empty_bullet, is_question_start, placeholder_text, strip_bullet, underscore_runs
-from formlens.operators.layout import BOTTOM, LETTERS, MARGIN, PAGE, ROMAN, ROOM, cell_chars, glyphs, json_object, option_lines, stems
+from formlens.operators.layout import BOTTOM, LETTERS, MARGIN, PAGE, ROMAN, ROOM, by_buckets, cell_chars, json_object, option_lines, stems
 
 
 def page_base(anchors: DataFrame, pages: DataFrame) -> DataFrame:
@@ -117,23 +117,26 @@ def table_prompts(cells: DataFrame) -> DataFrame:
     return body.groupBy(*PAGE).agg(F.concat(F.lit("TABLE:\n"), F.array_join(F.transform(parts, lambda p: p["t"]), "\n")).alias("prompt"))
 
 
-def table_regions(chars: DataFrame, boxes: DataFrame, rows: int = 2, columns: int = 3, room: float = 30.0) -> DataFrame:
+def table_regions(chars: DataFrame, cells: DataFrame, room: float = 30.0) -> DataFrame:
     """Free room at the foot of each cell, where there is enough."""
-    grid = boxes.select("*", F.explode(F.sequence(F.lit(0), F.lit(rows * columns - 1))).alias("i"))
-    height, width = (F.col("by1") - F.col("by0")) / rows, (F.col("bx1") - F.col("bx0")) / columns
-    row, column = F.floor(F.col("i") / columns), F.col("i") % columns
-    cells = grid.select(*PAGE, row.cast("int").alias("row"), column.cast("int").alias("col"), (F.col("by0") + row * height).alias("cy0"), (F.col("by0") + (row + 1) * height).alias("cy1"), (F.col("bx0") + column * width).alias("cx0"), (F.col("bx0") + (column + 1) * width).alias("cx1"))
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    used = cells.join(chars, PAGE).filter((x >= F.col("cx0")) & (x < F.col("cx1")) & (y >= F.col("cy0")) & (y < F.col("cy1"))).groupBy(*PAGE, "row", "col").agg(F.max("y1").alias("u"))
+    used = cell_chars(chars, cells).groupBy(*PAGE, "row", "col").agg(F.max("y1").alias("u"))
     out = cells.join(used, [*PAGE, "row", "col"], "left").withColumn("top", F.coalesce("u", "cy0"))
     return out.filter(F.col("cy1") - F.col("top") >= room).select(*PAGE, "row", "col", "top", F.col("cy1").alias("bottom"))
 
 
-def cell_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Text of each line within each table cell, where it begins (x0, y1), and n, its number of blanks."""
-    parts = F.sort_array(F.collect_list(F.struct("char_no", "ch")))
-    rows = cell_chars(glyphs(lines), boxes).groupBy(*PAGE, "row", "col", "line_no").agg(F.array_join(F.transform(parts, lambda s: s["ch"]), "").alias("text"), F.min("x0").alias("x0"), F.max("y1").alias("y1"))
-    return rows.withColumn("n", F.regexp_count("text", F.lit("_+")))
+def cell_lines(lines: DataFrame, cells: DataFrame, advance: float = 5.0, size: float = 64.0) -> DataFrame:
+    """Text of each line within each table cell, where it begins (x0, y1), and n, its number of blanks.
+
+    The same cells and edges as in ``cell_chars``, but lines meet cells and each pair is a cut of the line, so no
+    row stands for a character.
+    """
+    y = (F.col("y0") + F.col("y1")) / 2
+    held = lines.withColumn("_y", F.floor(y / size)).join(by_buckets(cells, "y", size=size), [*PAGE, "_y"]).filter((y >= F.col("cy0")) & (y < F.col("cy1")))
+    # Character i has its centre at x0 + (i + 1/2) advance: how many centres lie left of an edge.
+    left_of = lambda edge: F.greatest(F.lit(0), F.ceil((F.col(edge) - F.col("x0")) / advance - 0.5)).cast("int")
+    held = held.withColumns({"_a": left_of("cx0"), "_b": left_of("cx1")})
+    held = held.withColumn("cut", F.substring("text", F.col("_a") + 1, F.col("_b") - F.col("_a"))).filter("cut <> ''")
+    return held.select(*PAGE, "row", "col", "line_no", F.col("cut").alias("text"), (F.col("x0") + advance * F.col("_a")).alias("x0"), "y1", F.regexp_count("cut", F.lit("_+")).alias("n"))
 
 
 def _numbered(rows: DataFrame, *order: str) -> DataFrame:

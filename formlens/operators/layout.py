@@ -234,7 +234,7 @@ def trailing_dash(lines: DataFrame) -> DataFrame:
 
 
 def tables(lines: DataFrame) -> DataFrame:
-    """One 2 by 3 table on each page, as its outer box."""
+    """One table on each page, as its outer box."""
     return lines.select(*PAGE).distinct().select(*PAGE, F.lit(72.0).alias("bx0"), F.lit(300.0).alias("by0"), F.lit(540.0).alias("bx1"), F.lit(420.0).alias("by1"))
 
 
@@ -245,19 +245,30 @@ def outside(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     return lines.join(b, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1")), "left_anti")
 
 
-def cell_chars(chars: DataFrame, boxes: DataFrame, rows: int = 2, columns: int = 3) -> DataFrame:
-    """Characters with the row and column of the table cell that holds their centre."""
+def by_buckets(cells: DataFrame, *axes: str, size: float = 64.0) -> DataFrame:
+    """Cells once for each bucket of the page that they reach into along the axes; adds the buckets as _x or _y."""
+    for a in axes:
+        cells = cells.withColumn(f"_{a}", F.explode(F.sequence(F.floor(F.col(f"c{a}0") / size), F.floor(F.col(f"c{a}1") / size))))
+    return cells
+
+
+def cell_chars(chars: DataFrame, cells: DataFrame, size: float = 64.0) -> DataFrame:
+    """Characters with the table cell that holds their centre: row, col and its rectangle.
+
+    ``cells`` are rectangles of any size (doc_id, page, row, col, cx0, cy0, cx1, cy1), a merged one being one row;
+    their right and lower edges are the next cell's. A character in two cells that overlap comes twice, one in
+    none not at all. Both sides meet by square buckets of the page, so pages with many cells pair no more than neighbours.
+    """
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    held = chars.join(boxes, PAGE).filter((x >= F.col("bx0")) & (x < F.col("bx1")) & (y >= F.col("by0")) & (y < F.col("by1")))
-    row = F.floor((y - F.col("by0")) / (F.col("by1") - F.col("by0")) * rows).cast("int")
-    column = F.floor((x - F.col("bx0")) / (F.col("bx1") - F.col("bx0")) * columns).cast("int")
-    return held.withColumns({"row": row, "col": column})
+    placed = chars.withColumns({"_x": F.floor(x / size), "_y": F.floor(y / size)})
+    held = placed.join(by_buckets(cells, "x", "y", size=size), [*PAGE, "_x", "_y"])
+    return held.filter((x >= F.col("cx0")) & (x < F.col("cx1")) & (y >= F.col("cy0")) & (y < F.col("cy1"))).drop("_x", "_y")
 
 
-def cell_text(chars: DataFrame, boxes: DataFrame, rows: int = 2, columns: int = 3) -> DataFrame:
+def cell_text(chars: DataFrame, cells: DataFrame) -> DataFrame:
     """Characters dealt to table cells by their centres, and each cell's text."""
     parts = F.sort_array(F.collect_list(F.struct("line_no", "char_no", "ch")))
-    return cell_chars(chars, boxes, rows, columns).groupBy(*PAGE, "row", "col").agg(F.array_join(F.transform(parts, lambda s: s["ch"]), "").alias("text"))
+    return cell_chars(chars, cells).groupBy(*PAGE, "row", "col").agg(F.array_join(F.transform(parts, lambda s: s["ch"]), "").alias("text"))
 
 
 def scanned_pages(pages: DataFrame, images: DataFrame, lines: DataFrame, share: float = 0.8) -> DataFrame:

@@ -8,7 +8,7 @@ from formlens.functions import core as c
 from formlens.operators import anchors as n
 from formlens.operators import layout as y
 from formlens.operators import metering as m
-from formlens.plans.layout import EMPTY, FOUND, INLINE, LABEL, NUMBERED, QUESTION, REGISTRY, SAME, STACK, STEMS, STRIPPED, bullets, cells, images, outer, units
+from formlens.plans.layout import EMPTY, FOUND, INLINE, LABEL, NUMBERED, QUESTION, REGISTRY, SAME, STACK, STEMS, STRIPPED, TABLE_CELLS, bullets, cells, images, outer, rects, units
 from formlens.plans.registry import query
 from formlens.sources.io import context_blocks
 
@@ -38,9 +38,6 @@ query("ocr_boxes", lambda x: x.select("doc_id", "page", "line_no", c.ocr_box(F.e
 query("ocr_prompts", lambda x: x.filter(F.col("text").contains("___")).select("doc_id", "line_no", c.ocr_placeholders(F.col("text"), F.transform(F.sequence(F.lit(1), F.size(F.split("text", "_{3,}")) - 1 + (F.col("doc_id") % 2).cast("int")), lambda i: F.concat(F.lit("s"), i.cast("string")))).alias("prompt")), "lines",
       "WITH s AS (SELECT doc_id, line_no, regexp_split_to_array(text, '_{3,}') AS g FROM lines WHERE contains(text, '___')) SELECT doc_id, line_no, array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{s' || CAST(i - 1 AS VARCHAR) || '}}' || p END), '') || CASE WHEN doc_id % 2 = 1 THEN ' {{s' || CAST(len(g) AS VARCHAR) || '}}' ELSE '' END AS prompt FROM s")
 query("open_regions", lambda x: n.clamped_regions(x, images(x)), "lines", f"WITH q AS (SELECT *, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_no) AS nxt FROM lines WHERE {QUESTION}), b AS (SELECT doc_id, page, 100.0 AS bx0, 500.0 AS bx1, 300.0 AS oy FROM (SELECT DISTINCT doc_id, page FROM lines) WHERE page % 3 = 0) SELECT q.doc_id, q.page, line_no, y1 AS top, least(coalesce(any_value(nxt), 732.0), coalesce(min(oy), 732.0)) AS bottom FROM q LEFT JOIN b ON b.doc_id = q.doc_id AND b.page = q.page AND oy >= y1 AND bx0 < x1 AND bx1 > x0 GROUP BY q.doc_id, q.page, line_no, y1")
-CHARS = f"""g0 AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE text <> ''),
-ch AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y, y1 FROM g0),
-ce AS (SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS r, CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS c, string_agg(ch, '' ORDER BY line_no, i) AS text, max(y1) AS u FROM ch WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL)"""
 CELLS = f"""{FOUND}, {REGISTRY}, cp AS (SELECT *, trim(regexp_replace(array_to_string(list_transform(g, lambda p, i: CASE WHEN i = 1 THEN p ELSE '{{{{s' || CAST(first_slot + i - 2 AS VARCHAR) || '}}}}' || p END), ''), '\\s+', ' ', 'g')) AS t FROM rg WHERE z = 0),
 fc AS (SELECT doc_id, page, r, c, sum(n) AS n, min(first_slot) FILTER (WHERE n > 0) AS first_slot, trim(regexp_replace(string_agg(t, ' ' ORDER BY line_no), '\\s+', ' ', 'g')) AS text FROM cp GROUP BY ALL)"""
 IDS = "list_transform(range(CAST(first_slot AS BIGINT), CAST(first_slot + n AS BIGINT)), lambda i: 's' || CAST(i AS VARCHAR))"
@@ -48,7 +45,8 @@ filled = lambda x: n.filled_cells(cells(x), n.slot_registry(cells(x), units(x)))
 query("table_prompts", lambda x: n.table_prompts(filled(x)), "lines", f"""WITH {CELLS}, hh AS (SELECT doc_id, page, coalesce(sum(n) FILTER (WHERE r = 0), 0) = 0 AS h FROM fc GROUP BY ALL)
 SELECT b.doc_id, b.page, 'TABLE:' || chr(10) || string_agg(CASE WHEN hh.h THEN '  [under "' || coalesce(t.text, '') || '"] ' ELSE '  [r' || CAST(b.r AS VARCHAR) || 'c' || CAST(b.c AS VARCHAR) || '] ' END || b.text, chr(10) ORDER BY b.r, b.c) AS prompt
 FROM fc b JOIN hh ON hh.doc_id = b.doc_id AND hh.page = b.page LEFT JOIN fc t ON t.doc_id = b.doc_id AND t.page = b.page AND t.c = b.c AND t.r = 0 WHERE b.text <> '' AND (b.r > 0 OR NOT hh.h) GROUP BY b.doc_id, b.page""")
-query("table_regions", lambda x: n.table_regions(y.glyphs(x), y.tables(x)), "lines", f"WITH {CHARS}, k AS (SELECT doc_id, page, CAST(i // 3 AS INT) AS r, CAST(i % 3 AS INT) AS c FROM (SELECT DISTINCT doc_id, page FROM lines), (SELECT unnest(range(6)) AS i)) SELECT k.doc_id, k.page, k.r AS \"row\", k.c AS col, coalesce(u, 300.0 + 60.0 * k.r) AS top, 360.0 + 60.0 * k.r AS bottom FROM k LEFT JOIN ce ON ce.doc_id = k.doc_id AND ce.page = k.page AND ce.r = k.r AND ce.c = k.c WHERE 360.0 + 60.0 * k.r - coalesce(u, 300.0 + 60.0 * k.r) >= 30")
+query("table_regions", lambda x: n.table_regions(y.glyphs(x), rects(x)), "lines", f"""WITH {TABLE_CELLS}, us AS (SELECT doc_id, page, r, c, max(y1) AS u FROM cc GROUP BY ALL),
+rt AS (SELECT tc.*, CAST(coalesce(u, cy0) AS DOUBLE) AS top FROM tc LEFT JOIN us ON us.doc_id = tc.doc_id AND us.page = tc.page AND us.r = tc.r AND us.c = tc.c) SELECT doc_id, page, r AS "row", c AS col, top, CAST(cy1 AS DOUBLE) AS bottom FROM rt WHERE cy1 - top >= 30""")
 query("cell_slots", lambda x: n.cell_slots(filled(x)), "lines", f"WITH {CELLS} SELECT doc_id, page, r AS \"row\", c AS col, n, first_slot, text, array_to_string({IDS}, ',') AS slots FROM fc WHERE n > 0")
 query("table_slots", lambda x: n.table_slots(filled(x)), "lines", f"WITH {CELLS} SELECT doc_id, page, array_to_string(flatten(list({IDS} ORDER BY r, c)), ',') AS slots FROM fc WHERE n > 0 GROUP BY doc_id, page")
 query("slot_numbers", lambda x: n.slot_registry(cells(x), units(x)).drop("after_table"), "lines", f'WITH {FOUND}, {REGISTRY} SELECT doc_id, page, r AS "row", c AS col, line_no, n, first_slot FROM rg WHERE n > 0')

@@ -93,9 +93,17 @@ query("open_responses", y.open_responses, "lines", f"WITH {rooms('SELECT * FROM
 query("trailing_dash", y.trailing_dash, "lines", f"WITH {DASH} SELECT * FROM td")
 INBOX = "(x0 + x1) / 2 BETWEEN 72 AND 540 AND (y0 + y1) / 2 BETWEEN 300 AND 420"
 query("lines_outside", lambda x: y.outside(x, y.tables(x)).select("doc_id", "page", "line_no"), "lines", f"SELECT doc_id, page, line_no FROM lines WHERE NOT ({INBOX})")
-query("cell_text", lambda x: y.cell_text(y.glyphs(x), y.tables(x)), "lines", f"""WITH g AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE text <> ''),
-k AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y FROM g)
-SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS "row", CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS col, string_agg(ch, '' ORDER BY line_no, i) AS text FROM k WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL""")
+# Rectangles of the tables, by (doc_id + page) % 3: equal cells, unequal ones, a head over all columns beside a cell over two rows.
+EDGES = [("72,228,384,540", "300,360,420"), ("72,140,400,540", "300,330,420")]
+GRIDS = [(m, r, c, xs[c], ys[r], xs[c + 1], ys[r + 1]) for m, (x, e) in enumerate(EDGES) for xs, ys in [(x.split(","), e.split(","))] for r in range(2) for c in range(3)]
+GRIDS += [(2, 0, 0, 72, 300, 540, 340), (2, 1, 0, 72, 340, 160, 420), (2, 1, 1, 160, 340, 540, 380), (2, 2, 1, 160, 380, 540, 420)]
+RECTS = ", ".join(f"named_struct('m', {m}, 'row', {r}, 'col', {c}, 'cx0', {x0}D, 'cy0', {y0}D, 'cx1', {x1}D, 'cy1', {y1}D)" for m, r, c, x0, y0, x1, y1 in GRIDS)
+rects = lambda x: x.select("doc_id", "page").distinct().select("doc_id", "page", F.expr(f"inline(filter(array({RECTS}), t -> t.m = (doc_id + page) % 3))")).drop("m")
+TABLE_CELLS = f"""tc AS (SELECT doc_id, page, r, c, cx0, cy0, cx1, cy1 FROM (SELECT DISTINCT doc_id, page FROM lines) JOIN (VALUES {', '.join(f"({', '.join(map(str, g))})" for g in GRIDS)}) t(m, r, c, cx0, cy0, cx1, cy1) ON m = (doc_id + page) % 3),
+g0 AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE text <> ''),
+ch AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y, y1 FROM g0),
+cc AS (SELECT ch.*, r, c FROM ch JOIN tc ON tc.doc_id = ch.doc_id AND tc.page = ch.page AND x >= cx0 AND x < cx1 AND y >= cy0 AND y < cy1)"""
+query("cell_text", lambda x: y.cell_text(y.glyphs(x), rects(x)), "lines", f"""WITH {TABLE_CELLS} SELECT doc_id, page, r AS "row", c AS col, string_agg(ch, '' ORDER BY line_no, i) AS text FROM cc GROUP BY ALL""")
 images = lambda x: x.select("doc_id", "page").distinct().select("doc_id", "page", F.expr("inline(filter(array(named_struct('x0', 100D, 'y0', 300D, 'x1', 500D, 'y1', 320D, 'on', page % 3 = 0), named_struct('x0', 0D, 'y0', 0D, 'x1', 612D, 'y1', 792D, 'on', doc_id % 50 = 0)), b -> b.on))"))
 sheets = lambda x: x.select("doc_id", "page").distinct().unionByName(x.filter("doc_id % 10 = 0").groupBy("doc_id").agg((F.max("page") + 1).alias("page"))).select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
 query("scanned_pages", lambda x: y.scanned_pages(sheets(x), images(x), x), "lines", "SELECT doc_id, page, doc_id % 50 = 0 OR sum(length(text)) = 0 AS scanned FROM lines GROUP BY doc_id, page UNION ALL SELECT doc_id, max(page) + 1, true FROM lines WHERE doc_id % 10 = 0 GROUP BY doc_id")
@@ -149,12 +157,11 @@ FLAT = " UNION ALL ".join(f"SELECT doc_id, '{slot}' AS slot, '{answer}' AS answe
 replies = lambda x: x.select("doc_id").distinct().select("doc_id", F.expr(REPLY).alias("reply"))
 query("json_extract", lambda x: replies(x).select("doc_id", F.get_json_object(y.json_object(F.col("reply")), "$.s3").alias("s3")), "raw_lines", "SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'w' END AS s3 FROM raw_lines")
 query("answers_flat", lambda x: y.flat_answers(replies(x)), "raw_lines", f"WITH dd AS (SELECT DISTINCT doc_id FROM raw_lines) {FLAT}")
-cells = lambda x: n.cell_lines(x, y.tables(x))
+cells = lambda x: n.cell_lines(x, rects(x))
 bullets = lambda x: y.bullet_answers(y.outside(x, y.tables(x)))
 # One registry of slots: runs of a page's cells, then those of its inline units.
-REGISTRY = f"""g0 AS (SELECT doc_id, page, line_no, y0, y1, x0, unnest(range(length(text))) AS i, text FROM lines WHERE text <> ''),
-ch AS (SELECT doc_id, page, line_no, i, substr(text, i + 1, 1) AS ch, x0 + 5.0 * i + 2.5 AS x, (y0 + y1) / 2 AS y, y1 FROM g0),
-cl AS (SELECT doc_id, page, CAST(floor((y - 300.0) / 120.0 * 2) AS INT) AS r, CAST(floor((x - 72.0) / 468.0 * 3) AS INT) AS c, line_no, string_agg(ch, '' ORDER BY i) AS text, min(x) - 2.5 AS x0, max(y1) AS y1 FROM ch WHERE x >= 72 AND x < 540 AND y >= 300 AND y < 420 GROUP BY ALL),
+REGISTRY = f"""{TABLE_CELLS},
+cl AS (SELECT doc_id, page, r, c, line_no, string_agg(ch, '' ORDER BY i) AS text, min(x) - 2.5 AS x0, max(y1) AS y1 FROM cc GROUP BY ALL),
 rl AS (SELECT doc_id, page, 0 AS z, r, c, line_no, text, x0, y1 FROM cl UNION ALL SELECT da.doc_id, da.page, 1, NULL, NULL, da.line_no, text, x0, y1 FROM da JOIN lines l ON {SAME('da', 'l')} AND l.line_no = da.line_no WHERE kind = 'inline_blank'),
 rn AS (SELECT *, CAST(len(regexp_extract_all(text, '_+')) AS INT) AS n, regexp_extract_all(text, '_+') AS q, regexp_split_to_array(text, '_+') AS g FROM rl),
 rg AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY page, z, r, c, line_no) - n + 1 AS BIGINT) AS first_slot FROM rn)"""
