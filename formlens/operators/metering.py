@@ -33,11 +33,39 @@ def cost_calls(calls: DataFrame, rates: DataFrame, primary_is_free: bool = False
 
 
 def cost_calls_asof(calls: DataFrame, history: DataFrame) -> DataFrame:
-    """Cost at the rate in force when the call was made: an interval join on the (small) rate history."""
+    """Cost at the rate in force when the call was made: an interval join on a small rate history, ``carried_rates`` beyond.
+
+    Null where the model or the time is null or has no rate yet.
+    """
+    if history.limit(BROADCAST_RATES + 1).count() > BROADCAST_RATES:
+        return carried_rates(calls, history).withColumn("cost_usd", F.bround(_cost(), 9)).drop("rate_in", "rate_out")
     until = F.lead("effective_from").over(Window.partitionBy("model").orderBy("effective_from"))
     spans = history.withColumn("until", until).withColumnRenamed("model", "m")
     on = (F.col("model") == F.col("m")) & (F.col("ts") >= F.col("effective_from")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    return calls.join(if_small(spans), on, "left").withColumn("cost_usd", F.bround(_cost(), 9)).drop("m", "rate_in", "rate_out", "effective_from", "until")
+    return calls.join(F.broadcast(spans), on, "left").withColumn("cost_usd", F.bround(_cost(), 9)).drop("m", "rate_in", "rate_out", "effective_from", "until")
+
+
+def carried_rates(calls: DataFrame, history: DataFrame, slice: str = "hour") -> DataFrame:
+    """Calls with the rate_in and rate_out last set before them, for a history of any size.
+
+    Calls and rates are one sequence, cut into slices of time. The last rate of each slice is carried on to the
+    later ones, a window over slices; within a slice a window over its rows finds nearer ones. So a
+    model with a third of all calls spreads over its slices, and nothing meets on the model alone.
+    """
+    rate = F.struct("rate_in", "rate_out")
+    cut = lambda df, ts: df.withColumn("_at", F.col(ts).cast("timestamp")).withColumn("_slice", F.date_trunc(slice, "_at"))
+    rates = cut(history.filter("model is not null and effective_from is not null"), "effective_from")
+    ends = rates.groupBy("model", "_slice").agg(F.max_by(rate, F.struct("_at", "rate_in", "rate_out")).alias("_last"))
+    asked = cut(calls, "ts")
+    slices = ends.unionByName(asked.select("model", "_slice").distinct(), allowMissingColumns=True).groupBy("model", "_slice").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    past = Window.partitionBy("model").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = slices.select("model", "_slice", F.last("_last", ignorenulls=True).over(past).alias("_before"))
+    rows = asked.withColumn("_rate", F.lit(None).cast("struct<rate_in:double,rate_out:double>")).unionByName(rates.select("model", "_at", "_slice", rate.cast("struct<rate_in:double,rate_out:double>").alias("_rate"), F.lit(True).alias("_set")), allowMissingColumns=True)
+    near = Window.partitionBy("model", "_slice").orderBy("_at", F.col("_set").desc_nulls_last(), "_rate").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_near", F.last("_rate", ignorenulls=True).over(near)).filter("_set is null")
+    known = before.filter("_before is not null")
+    out = rows.join(known, ["model", "_slice"], "left").withColumn("_near", F.coalesce("_near", "_before"))
+    return out.select(*calls.columns, F.col("_near.rate_in").alias("rate_in"), F.col("_near.rate_out").alias("rate_out"))
 
 
 def metered(calls: DataFrame) -> DataFrame:

@@ -16,22 +16,29 @@ def append_daily(df: DataFrame, path: str, ts: str = "ts") -> None:
     df.withColumn("dt", F.to_date(ts)).write.mode("append").partitionBy("dt").parquet(path)
 
 
-def append_new(df: DataFrame, path: str, key: str, run: str | None = None, batch: int = 0) -> int:
+def append_new(df: DataFrame, path: str, key: str, run: str | None = None, batch: int = 0, buckets: int = 0) -> int:
     """Append rows whose key is not stored yet (null keys always); returns how many.
 
     With a ``run`` the rows are batch ``batch`` of it: repeating the batch replaces what it wrote, rows
-    without a key included, so a batch that fails halfway can be run again. One writer at a time.
+    without a key included, so a batch that fails halfway can be run again. One writer at a time. With
+    ``buckets`` rows lie in folders by the hash of their key, and only those that the batch touches are
+    looked up; always give one store the same number.
     """
-    spark, here = df.sparkSession, f"{path}/run={run}/batch={batch}" if run else path
+    spark, here, names = df.sparkSession, f"{path}/run={run}/batch={batch}" if run else path, df.columns
+    if buckets:
+        df = df.withColumn("bucket", F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)), F.lit(-1)).cast("int"))
     rows = df.filter(F.col(key).isNotNull()).dropDuplicates([key])
     if exists(spark, path):
         stored = spark.read.parquet(path)
         if run and "run" in stored.columns:
             stored = stored.filter((F.col("run") != run) | (F.col("batch") != batch))
+        if buckets:
+            stored = stored.filter(F.col("bucket").isin([r.bucket for r in rows.select("bucket").distinct().collect()]))
         rows = rows.join(stored.select(key), key, "left_anti")
     seen = Observation()
     rows = rows.select(df.columns).unionByName(df.filter(F.col(key).isNull()))
-    rows.observe(seen, F.count("*").alias("n")).write.mode("overwrite" if run else "append").parquet(here)
+    out = rows.observe(seen, F.count("*").alias("n")).write.mode("overwrite" if run else "append")
+    (out.partitionBy("bucket") if len(df.columns) > len(names) else out).parquet(here)
     return seen.get["n"]
 
 
@@ -47,6 +54,14 @@ def read_rate_card(spark: SparkSession, path: str) -> DataFrame:
     return rate_card_from_json(spark.read.text(path, wholetext=True))
 
 
+def primary_is_free(spark: SparkSession, path: str) -> bool:
+    """Whether calls of the primary provider cost nothing: what the rate card says, else yes, as for a missing or broken card."""
+    if not exists(spark, path):
+        return True
+    said = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<_provider_primary_is_free:boolean>")["_provider_primary_is_free"]).first()
+    return said is None or said[0] is None or said[0]
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 text, or Latin-1 where the bytes aren't UTF-8."""
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))

@@ -52,6 +52,12 @@ def first_touch(devices: DataFrame, delay: str | None = None) -> DataFrame:
     return devices.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["device_id"])
 
 
+def devices_sink(devices: DataFrame, path: str, checkpoint: str, delay: str = "1 day", buckets: int = 64) -> StreamingQuery:
+    """Each device stored once for ever with bounded state: repeats within ``delay`` end in the stream's state, later ones at the stored ids of their buckets."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    return first_touch(devices, delay).writeStream.foreachBatch(lambda df, batch: append_new(df, path, "device_id", run, batch, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def hourly_reliability(calls: DataFrame, delay: str = "2 hours") -> DataFrame:
     w = F.window("ts", "1 hour")
     agg = calls.withWatermark("ts", delay).groupBy(w).agg(F.count("*").alias("total"), F.count_if("ok").alias("ok"), F.count_if(F.col("provider") == "fallback").alias("fallback"), F.percentile_approx("latency_ms", 0.5).alias("p50_ms"))
@@ -67,7 +73,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def entitlement_sink(events: DataFrame, path: str, checkpoint: str, kept: int = 2) -> StreamingQuery:
-    """Latest state per account: each batch merges into the newest complete version and writes the next one.
+    """Latest state per account as one plain folder, for few accounts (``snapshots.entitlement_log`` writes what changed only): each batch merges into the newest complete version and writes the next one.
 
     Merging a batch twice changes nothing, so a batch that is run again is safe, and so is a new
     checkpoint over old versions. All but the last ``kept`` versions are deleted.

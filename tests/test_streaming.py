@@ -94,3 +94,44 @@ def test_entitlement_snapshots(spark, stream, tmp_path):
     left = jobs.versions(spark, path)
     assert len(left) == 2 and left[-1] == last + 1
     assert rows(spark.read.parquet(f"{path}/v{left[-1]}").select("email", "state")) == rows(entitlement_now(e.unionByName(late.select(*e.columns))).select("email", "state"))
+
+
+def test_devices_once_with_bounded_state(spark, stream, tmp_path):
+    d, path = view(spark, SF, "devices"), str(tmp_path / "devices")
+    n = d.select("device_id").distinct().count()
+    for i, rows_ in enumerate((d, d.withColumn("ts", F.expr("ts + interval 400 days")))):
+        jobs.devices_sink(stream(rows_), path, str(tmp_path / f"d{i}"), "1 day", 8).awaitTermination()
+        stored = spark.read.parquet(path)
+        assert stored.count() == n and stored.select("device_id").distinct().count() == n
+
+
+def test_entitlement_log_writes_what_changed_and_survives_a_crash(spark, stream, tmp_path, monkeypatch):
+    from formlens.operators.ledger import entitlement_now
+    from formlens.streaming import snapshots as s
+
+    e = view(spark, SF, "payments").selectExpr("event_id", "cast(ts as timestamp) ts", "email", "if(event_id % 5 = 0, 'free', 'pro') as state")
+    path = str(tmp_path / "log")
+    s.entitlement_log(stream(e, 9), path, str(tmp_path / "c"), 16, 2).awaitTermination()
+    assert rows(s.account_states(spark, path).select("email", "state")) == rows(entitlement_now(e).select("email", "state"))
+
+    # A late account touches one bucket, and only that account is written.
+    last = s.manifests(spark, path)[-1]
+    assert len(s.manifests(spark, path)) == 2 and last > 0
+    late = spark.createDataFrame([(10**9, "new@example.com", "pro")], "event_id long, email string, state string").withColumn("ts", F.lit("2025-01-01").cast("timestamp"))
+    publish = s._publish
+    monkeypatch.setattr(s, "_publish", lambda *_: (_ for _ in ()).throw(OSError("crash before the manifest")))
+    with pytest.raises(OSError):
+        s.merge_states(late, path, 16, 100)
+    assert s.manifests(spark, path)[-1] == last and s.account_states(spark, path).filter("email = 'new@example.com'").count() == 0
+    monkeypatch.setattr(s, "_publish", publish)
+    for _ in range(2):
+        s.merge_states(late, path, 16, 100)
+    assert spark.read.parquet(f"{path}/data/v={last + 1}").count() == 1
+    assert rows(s.account_states(spark, path).select("email", "state")) == rows(entitlement_now(e.unionByName(late.select(*e.columns))).select("email", "state"))
+
+    # Compaction leaves one version in the bucket; an empty batch changes nothing.
+    s.merge_states(late, path, 16, 1)
+    s.merge_states(late.limit(0), path, 16, 1)
+    newest = s._manifest(spark, path, s.manifests(spark, path)[-1])
+    assert [last + 3] in newest["held"].values()
+    assert s.account_states(spark, path).filter("email = 'new@example.com'").count() == 1

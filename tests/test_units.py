@@ -189,3 +189,31 @@ def test_the_rest_works_without_the_training_subpackage():
 
     code = "import sys; sys.modules['formlens.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'usage_heatmap' in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
+def test_unequal_and_merged_cells(spark):
+    """A head over two columns, a wide and a narrow cell below, a character on an edge in the right cell, one outside in none."""
+    lines = spark.createDataFrame([(1, 0, 0, "Head ___ x", 10.0, 5.0, 60.0, 15.0), (1, 0, 1, "ab__cd____", 10.0, 25.0, 60.0, 35.0), (1, 0, 2, "out", 10.0, 95.0, 25.0, 99.0), (1, 0, 3, None, 10.0, 25.0, 60.0, 35.0)], "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    cells = spark.createDataFrame([(1, 0, 0, 0, 0.0, 0.0, 200.0, 20.0), (1, 0, 1, 0, 0.0, 20.0, 27.5, 90.0), (1, 0, 1, 1, 27.5, 20.0, 200.0, 90.0)], "doc_id long, page int, row int, col int, cx0 double, cy0 double, cx1 double, cy1 double")
+    got = {(r.row, r.col): (r.text, r.x0, r.n) for r in n.cell_lines(lines, cells).collect()}
+    assert got == {(0, 0): ("Head ___ x", 10.0, 1), (1, 0): ("ab_", 10.0, 1), (1, 1): ("_cd____", 25.0, 2)}
+    assert {(r.row, r.col): r.text for r in y.cell_text(y.glyphs(lines), cells).collect()} == {k: v[0] for k, v in got.items()}
+    assert {(r.row, r.col): (r.top, r.bottom) for r in n.table_regions(y.glyphs(lines), cells).collect()} == {(1, 0): (35.0, 90.0), (1, 1): (35.0, 90.0)}
+    assert n.cell_lines(lines, cells.limit(0)).count() == 0
+
+
+def test_rates_of_a_long_history_are_carried(spark, monkeypatch):
+    """Over 65,536 rates, models without calls, calls before the first rate, on a change of rates and without a model or time."""
+    history = spark.range(70_000).selectExpr("concat('m', id % 7) as model", "timestamp'2024-01-01' + make_interval(0,0,0,0,0, id * 11, 0) as effective_from", "cast(id % 1000 as double) as rate_in", "cast(id % 13 as double) as rate_out")
+    calls = spark.range(3000).selectExpr("id as event_id", "if(id % 50 = 0, null, concat('m', if(id % 3 = 0, 1, id % 9))) as model", "if(id % 61 = 0, null, timestamp'2023-12-25' + make_interval(0,0,0,0,0, id * 11 * 7 * 3, 0)) as ts", "10 as prompt_tokens", "cast(id as int) as output_tokens")
+    rows = lambda: sorted(map(tuple, m.cost_calls_asof(calls, history).select("event_id", "model", "cost_usd").collect()))
+    carried = rows()
+    monkeypatch.setattr(m, "BROADCAST_RATES", 1 << 20)
+    assert carried == rows() and len(carried) == 3000 and sum(r[2] is not None for r in carried) > 1000
+
+
+def test_rate_card_flag(spark, tmp_path):
+    for name, text, free in (("a", '{"_provider_primary_is_free": false, "models": {}}', False), ("b", '{"models": {}}', True), ("c", "{broken", True), ("d", "", True)):
+        (tmp_path / name).write_text(text)
+        assert io.primary_is_free(spark, str(tmp_path / name)) is free
+    assert io.primary_is_free(spark, str(tmp_path / "none")) is True
