@@ -135,3 +135,30 @@ def test_entitlement_log_writes_what_changed_and_survives_a_crash(spark, stream,
     newest = s._manifest(spark, path, s.manifests(spark, path)[-1])
     assert [last + 3] in newest["held"].values()
     assert s.account_states(spark, path).filter("email = 'new@example.com'").count() == 1
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_one_overspend_alert_a_day_also_after_a_restart(spark, stream, tmp_path, ordered):
+    from formlens.operators.metering import credit_daily
+    from formlens.streaming.alerts import ROCKSDB, overspend_alerts
+
+    old = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
+    calls, path, out = view(spark, SF, "ai_calls"), str(tmp_path / "calls"), str(tmp_path / "alerts")
+    sums = credit_daily(calls)
+    credits = int(sums.approxQuantile("tokens", [0.7], 0.01)[0] // 1000)
+    want = rows(sums.filter(F.col("tokens") > credits * 1000).select("user_key", "day"))
+    try:
+        # In order of time, a short delay expires the days in between; in any order, a long one keeps them.
+        half = F.col("ts") < F.expr("timestamp'2024-01-16'") if ordered else F.col("event_id") % 2 == 0
+        for part in (half, ~half):
+            calls.filter(part).repartition(1 if ordered else 2).write.mode("append").parquet(path)
+            alerts = overspend_alerts(jobs.file_stream(spark, path, 1), "1 day" if ordered else "400 days", credits)
+            alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(out)
+        assert rows(got.select("user_key", "day")) == want and 0 < len(want) < sums.count()
+        assert got.select("credit_tokens").distinct().count() == 1
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
