@@ -157,3 +157,14 @@ def test_percentiles_by_narrowing(spark):
         want = [real[max(-(-int(p * 100) * len(real) // 100), 1) - 1] for p in (0.5, 0.95, 1.0)]
         assert list(exact_percentiles(df, "v", {"a": 0.5, "b": 0.95, "c": 1.0}, width=16).first()) == want
     assert list(exact_percentiles(spark.createDataFrame([], "v long"), "v", {"a": 0.5}).first()) == [None]
+
+
+def test_runs_of_characters_are_cut_like_characters(spark):
+    """line_text, cell_text and table_regions: rows stay near the lines' number, with the same lines and cells."""
+    lines = spark.createDataFrame([(1, 0, 0, "ab\ncdЖ𝄞" * 30, 10.0, 20.0, 31.0), (1, 0, 1, "x_y", 70.0, 40.0, 51.0), (1, 0, 2, "", 0.0, 60.0, 71.0)], "doc_id long, page int, line_no int, text string, x0 double, y0 double, y1 double")
+    cells = spark.createDataFrame([(1, 0, 0, c, 12.0 + 50 * c, 0.0, 62.0 + 50 * c, 45.0 - 10 * c) for c in range(4)] + [(1, 0, 1, 0, 0.0, 45.0, 900.0, 90.0)], "doc_id long, page int, row int, col int, cx0 double, cy0 double, cx1 double, cy1 double")
+    one, many = y.glyphs(lines), y.glyphs(lines, run=64)
+    assert (one.count(), many.count()) == (213, 5)
+    for f in (y.line_text, lambda g: y.cell_text(g, cells), lambda g: n.table_regions(g, cells)):
+        assert sorted(map(tuple, f(one).collect())) == sorted(map(tuple, f(many).collect()))
+    assert {r.line_no: r.text for r in y.line_text(many).collect()} == {r.line_no: r.text for r in lines.collect() if r.text}
