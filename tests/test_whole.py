@@ -168,3 +168,11 @@ def test_runs_of_characters_are_cut_like_characters(spark):
     for f in (y.line_text, lambda g: y.cell_text(g, cells), lambda g: n.table_regions(g, cells)):
         assert sorted(map(tuple, f(one).collect())) == sorted(map(tuple, f(many).collect()))
     assert {r.line_no: r.text for r in y.line_text(many).collect()} == {r.line_no: r.text for r in lines.collect() if r.text}
+
+
+def test_units_are_detected_once(spark, monkeypatch):
+    """Queries without unit ids don't number units, and those with several branches read stored rows: no window of detection runs twice."""
+    windows = lambda name: str(QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan()).count("last(")
+    once = windows("doc_structure")
+    assert 0 < once == windows("slot_numbers") == windows("table_slots") == windows("detect_all") == windows("answer_centres")
+    assert windows("llm_units") < once and windows("overlays") < once
