@@ -19,21 +19,36 @@ def _folded(text: Column) -> Column:
     return F.lower(F.translate(text, DASHES + SINGLE_QUOTES + DOUBLE_QUOTES + ZERO_WIDTH + "İ", kept))
 
 
+def _page_lines(lines: DataFrame) -> DataFrame:
+    """doc_id, page and l, the page's lines in order with their folded text, all blanks as spaces: the glyphs are made of it where they are needed, not carried."""
+    text = F.regexp_replace(_folded(F.coalesce("text", F.lit(""))), r"\s", " ")
+    return lines.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").cast("int").alias("line_no"), text.alias("t")))).alias("l"))
+
+
+def _exact(pages: DataFrame) -> DataFrame:
+    """Adds flat, all glyphs of ``_page_lines``, and exact, those with one blank for a run of blanks."""
+    def marks(x: Column) -> Column:
+        glyph = lambda ch, i: F.struct(x["line_no"].alias("line_no"), i.alias("char_no"), ch.alias("ch"))
+        between = F.array(F.struct(x["line_no"].alias("line_no"), F.lit(-1).alias("char_no"), F.lit(" ").alias("ch")))
+        return F.concat(between, F.filter(F.transform(F.split(x["t"], ""), glyph), lambda g: ~g["ch"].isin("", GONE)))
+
+    pages = pages.withColumn("_flat", F.flatten(F.transform("l", marks)))
+    pages = pages.withColumn("flat", F.transform("_flat", lambda g, i: F.struct(i.alias("pos"), g["line_no"].alias("line_no"), g["char_no"].alias("char_no"), g["ch"].alias("ch")))).drop("_flat", "l")
+    again = lambda i: F.coalesce(F.get(F.col("flat"), i - 1)["ch"], F.lit(" ")) == " "
+    return pages.withColumn("exact", F.filter("flat", lambda g, i: (g["ch"] != " ") | ~again(i)))
+
+
+def _loose(flat: Column) -> Column:
+    return F.filter(flat, lambda g: g["ch"].rlike(r"^[\p{L}\p{N}]$"))
+
+
 def page_index(lines: DataFrame) -> DataFrame:
     """doc_id, page, exact and loose: glyphs of each page in reading order, with one blank for a run of blanks, and its letters and digits only.
 
     A glyph is its place on the page, its line, its character there (-1 for the blank between lines) and
     its folded character. Zero-width characters are left out.
     """
-    glyph = lambda ch, i: F.struct(F.col("line_no").cast("int").alias("line_no"), i.alias("char_no"), F.when(ch.rlike(r"\s"), " ").otherwise(ch).alias("ch"))
-    marks = F.filter(F.transform(F.split(_folded(F.col("text")), ""), glyph), lambda g: ~g["ch"].isin("", GONE))
-    between = F.array(F.struct(F.col("line_no").cast("int").alias("line_no"), F.lit(-1).alias("char_no"), F.lit(" ").alias("ch")))
-    pages = lines.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_no", F.concat(between, marks).alias("g")))).alias("l"))
-    flat = F.flatten(F.transform("l", lambda x: x["g"]))
-    pages = pages.select(*PAGE, F.transform(flat, lambda g, i: F.struct(i.alias("pos"), g["line_no"].alias("line_no"), g["char_no"].alias("char_no"), g["ch"].alias("ch"))).alias("flat"))
-    again = lambda i: F.coalesce(F.get(F.col("flat"), i - 1)["ch"], F.lit(" ")) == " "
-    exact = F.filter("flat", lambda g, i: (g["ch"] != " ") | ~again(i))
-    return pages.select(*PAGE, exact.alias("exact"), F.filter("flat", lambda g: g["ch"].rlike(r"^[\p{L}\p{N}]$")).alias("loose"))
+    return _exact(_page_lines(lines)).select(*PAGE, "exact", _loose(F.col("flat")).alias("loose"))
 
 
 def _spans(glyphs: Column, hay: Column, needle: Column) -> Column:
@@ -64,9 +79,13 @@ def resolve_anchors(anchors: DataFrame, lines: DataFrame) -> DataFrame:
     needle = F.trim(F.regexp_replace(F.replace(_folded(F.coalesce("anchor_text", F.lit(""))), F.lit(GONE), F.lit("")), r"\s+", " "))
     asked = anchors.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("item_no", needle.alias("needle"), alnum_only(F.coalesce("anchor_text", F.lit(""))).alias("bare")))).alias("a"))
     none = F.array().cast(f"array<{GLYPH}>")
-    rows = asked.join(page_index(lines), PAGE, "left").withColumns({"exact": F.coalesce("exact", none), "loose": F.coalesce("loose", none)})
+    rows = _exact(asked.join(_page_lines(lines), PAGE, "left")).withColumns({"flat": F.coalesce("flat", none), "exact": F.coalesce("exact", none)})
     joined = lambda glyphs: F.array_join(F.transform(glyphs, lambda g: g["ch"]), "")
-    rows = rows.withColumns({"hay": joined("exact"), "letters": joined("loose")})
+    rows = rows.withColumn("hay", joined(F.col("exact")))
+    # The page's letters and digits are wanted only by an anchor without an exact occurrence.
+    missed = F.exists("a", lambda a: (F.length(a["bare"]) >= 3) & ((a["needle"] == "") | ~F.contains(F.col("hay"), a["needle"])))
+    rows = rows.withColumn("loose", F.when(missed, _loose(F.col("flat"))).otherwise(none)).drop("flat")
+    rows = rows.withColumn("letters", joined(F.col("loose")))
 
     def spans(a: Column) -> Column:
         whole = _spans(F.col("exact"), F.col("hay"), a["needle"])

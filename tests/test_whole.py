@@ -176,3 +176,15 @@ def test_units_are_detected_once(spark, monkeypatch):
     once = windows("doc_structure")
     assert 0 < once == windows("slot_numbers") == windows("table_slots") == windows("detect_all") == windows("answer_centres")
     assert windows("llm_units") < once and windows("overlays") < once
+
+
+def test_anchors_shuffle_text_not_glyphs(spark):
+    """Lines meet on their page as text; a page's letters are looked through only where an anchor has no exact occurrence."""
+    lines = spark.createDataFrame([(1, 0, 0, "Na​me:\t x"), (1, 0, 1, None), (1, 0, 2, "e.g. (this)"), (2, 0, 0, "Na me")], "doc_id long, page int, line_no int, text string")
+    asked = spark.createDataFrame([(1, 0, 0, "name: x"), (1, 0, 1, "eg this"), (2, 0, 0, "me"), (3, 0, 0, "me")], "doc_id long, page int, item_no int, anchor_text string")
+    out = px.resolve_anchors(asked, lines)
+    got = {(r.doc_id, r.item_no): tuple(r)[3:7] for r in out.collect()}
+    assert got == {(1, 0): (0, 0, 0, 8), (1, 1): (2, 0, 2, 9), (2, 0): (0, 3, 0, 4), (3, 0): (None,) * 4}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [row for row in plan.splitlines() if "Aggregate" in row]
+    assert any("collect_list(struct(line_no" in row for row in grouped) and not any("split(" in row for row in grouped)
