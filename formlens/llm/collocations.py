@@ -213,11 +213,12 @@ class Corpus:
         slices = -(-phrases.count() // SLICE)
         for i in range(slices):
             part = phrases if slices == 1 else phrases.filter(F.pmod(F.xxhash64("words"), F.lit(slices)) == i)
-            rows = part.collect()  # about SLICE phrases
-            if not rows:
+            rows = part.select("lang", "words", "pre", "asked").toArrow()  # about SLICE phrases, as columns: objects for each of them would take several times the memory
+            if not rows.num_rows:
                 continue
-            trie = Trie([r["words"] for r in rows], [r["asked"] for r in rows])
-            at = pa.table({"node": pa.array(trie.leaf, pa.int32()), "lang": [r["lang"] for r in rows], "words": pa.array([r["words"] for r in rows], pa.list_(pa.int64())), "pre": pa.array([r["pre"] for r in rows], pa.list_(pa.int64()))})
+            trie = Trie(rows["words"].to_pylist(), rows["asked"].to_pylist())
+            at = pa.table({"node": pa.array(trie.leaf, pa.int32()), "lang": rows["lang"], "words": rows["words"], "pre": rows["pre"]})
+            del rows
             counts = self.chunks.mapInArrow(_count(trie), COUNTS_DDL).groupBy("node", "side", "word").agg(F.sum("n").alias("n"))
             self.round += 1
             counts = self.scratch.save(counts.filter((F.col("side") == HERE) | (F.col("n") >= self.least)), f"counts-{self.round}")
