@@ -33,7 +33,8 @@ from formlens.llm.textkernel import U, as_text, chunks, mix, release, set_key, s
 
 GROUP_LIMIT = 24
 FLUSH = 1 << 18
-SPREAD = 4  # buckets per partition
+SPREAD = 1  # buckets per partition: a set has more signatures in each of fewer buckets, and its key is sent once for all of them
+HELD = 1 << 22  # entries of a bucket before they are thinned out first
 LARGEST = 1 << 34  # elements of a set
 SMALL, FAMILIES = 8, 3  # up to this distance, so many families
 PLAIN = 1 << 17  # signatures below are codes of sets without slack
@@ -166,7 +167,7 @@ BASE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())
 
 def _signature_rows(size: int, bands: Bands, buckets: int, salt: int):
     # Five bytes of a signature, besides its bucket: those that coincide are candidates more, no links.
-    schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("high", pa.binary()), ("key", pa.binary()), ("slack", pa.binary()), ("tag", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("high", pa.binary()), ("count", pa.binary()), ("key", pa.binary()), ("slack", pa.binary()), ("tag", pa.binary())])
 
     def packed(parts):
         sig, key, slack, tag = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -175,7 +176,16 @@ def _signature_rows(size: int, bands: Bands, buckets: int, salt: int):
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         sig, key, slack, tag = sig[order], key[order], slack[order], tag[order]
         low, high = sig.astype(np.uint32), (sig >> U(32)).astype(np.uint8)
-        return _batch([(b, low[x:y].tobytes(), high[x:y].tobytes(), key[x:y].tobytes(), slack[x:y].tobytes(), tag[x:y].tobytes()) for b, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x], schema)
+        rows = []
+        for b, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            if y > x:  # entries of a set under a tag stand together
+                first = x + np.flatnonzero(np.r_[True, (key[x + 1:y] != key[x:y - 1]) | (tag[x + 1:y] != tag[x:y - 1])])
+                size = np.diff(np.r_[first, y])
+                if size.max() > 255:
+                    first = np.concatenate([np.arange(f, f + m, 255) for f, m in zip(first, size, strict=True)])
+                count = np.diff(np.r_[first, y]).astype(np.uint8)
+                rows.append((b, low[x:y].tobytes(), high[x:y].tobytes(), count.tobytes(), key[first].tobytes(), slack[first].tobytes(), tag[first].tobytes()))
+        return _batch(rows, schema)
 
     def run(batches):
         parts, held = [], 0
@@ -194,7 +204,7 @@ def _signature_rows(size: int, bands: Bands, buckets: int, salt: int):
             yield packed(parts)
         release()
 
-    return run, "bucket int, sig binary, high binary, key binary, slack binary, tag binary"
+    return run, "bucket int, sig binary, high binary, count binary, key binary, slack binary, tag binary"
 
 
 CANDIDATE = pa.schema([("tag", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("hot", pa.int64()), ("slack", pa.int64())])
@@ -239,7 +249,7 @@ def _collisions(limit: int):
         return pa.record_batch([pa.nulls(len(p), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], schema=CANDIDATE)
 
     def run(batches):
-        bucket, parts, held, hot = None, [], 0, nothing
+        bucket, parts, held, hot, bound = None, [], 0, nothing, HELD
 
         def hot_rows(y):
             if not len(y):
@@ -271,17 +281,20 @@ def _collisions(limit: int):
                 if row["bucket"] != bucket:
                     if parts:
                         yield from finish()
-                    bucket, parts, held, hot = row["bucket"], [], 0, nothing
-                x = np.empty(len(row["slack"]), entry)
+                    bucket, parts, held, hot, bound = row["bucket"], [], 0, nothing, HELD
+                count = np.frombuffer(row["count"], np.uint8)
+                x = np.empty(len(row["high"]), entry)
                 x["sig"] = np.frombuffer(row["sig"], np.uint32) | (np.frombuffer(row["high"], np.uint8).astype(U) << U(32))
-                x["key"], x["slack"], x["tag"] = np.frombuffer(row["key"], np.int64), np.frombuffer(row["slack"], np.uint8), np.frombuffer(row["tag"], np.uint16)
+                for name, kind in (("key", np.int64), ("slack", np.uint8), ("tag", np.uint16)):
+                    x[name] = np.repeat(np.frombuffer(row[name], kind), count)
                 parts.append(x)
                 held += len(x)
-                if held > 1 << 21:  # keeps memory bounded when one signature fills the bucket
+                if held > bound:  # keeps memory bounded when one signature fills the bucket
                     rest, few, many, hot = compact(parts, hot)
                     yield from hot_rows(many)
                     parts = [rest, few]
                     held = len(rest) + len(few)
+                    bound = max(HELD, 2 * held)
         if parts:
             yield from finish()
         release()

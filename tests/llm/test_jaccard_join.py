@@ -147,3 +147,15 @@ def test_hot_keys_are_spread_over_tasks(spark):
     assert max(tasks) < 2.5 * sorted(tasks)[len(tasks) // 2]
     plain = spread_join(rows.filter("a <> 7"), table, "a", "b", Scratch(spark, "spread"), "t")
     assert plain.count() == 20_000
+
+
+def test_a_set_is_sent_once_for_all_its_signatures_in_a_bucket():
+    import pyarrow as pa
+
+    from formlens.llm import jaccard_join as j
+
+    text = [" ".join(f"w{i}" for i in range(n)) for n in (7, 400, 900)]
+    run, _ = j._signature_rows(5, j.Bands(80), 1, 0)
+    rows = [r for b in run(iter([pa.record_batch([pa.array([0, 1, 2]), pa.array(text)], names=["doc_id", "text"])])) for r in b.to_pylist()]
+    sent, signed = sum(len(r["key"]) // 8 for r in rows), sum(len(r["high"]) for r in rows)
+    assert signed == sum(sum(r["count"]) for r in rows) and signed > 1000 and sent * 20 < signed
