@@ -178,6 +178,24 @@ def test_units_are_detected_once(spark, monkeypatch):
     assert windows("llm_units") < once and windows("overlays") < once
 
 
+def test_cells_and_pages_are_made_once(spark):
+    """Header names come with the cells, and queries of detected units don't split the texts again for each use of the pages or bands."""
+    plan = lambda name: str(QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan())
+    splits = {name: plan(name).count("posexplode(split(") for name in ("detector_score", "doc_summary", "table_prompts")}
+    assert splits == {"detector_score": 1, "doc_summary": 1, "table_prompts": 2}
+
+
+def test_flags_of_a_line(spark):
+    """Labels that share the space between them, look-alikes, and dashes before characters without width; texts are folded nowhere, labels are."""
+    rows = [("A. B. C. x", True, "A", False), ("x a) b) c) -", True, None, True), ("I. II. III.", False, "I", False), ("i) ii) iii) \u2013 ", True, "I", True), ("А. Β. С. x", True, "A", False), ("A. C. B. x", False, "A", False), ("● ab -\u200b ", False, None, True), ("● a -\u200b", False, None, True), ("● -", False, None, False), ("ab - c", False, None, False), ("", False, None, False)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    lines = spark.createDataFrame(rows, "i int, text string, inline boolean, token string, dash boolean")
+    t = F.col("text")
+    out = lines.select("i", "text", y.has_inline_options(t).alias("inline"), y.option_token(t).alias("token"), y.ends_in_dash(t, F.lit(300.0)).alias("dash"))
+    assert sorted(map(tuple, out.collect())) == rows
+    assert "translate(text" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_anchors_shuffle_text_not_glyphs(spark):
     """Lines meet on their page as text; a page's letters are looked through only where an anchor has no exact occurrence."""
     lines = spark.createDataFrame([(1, 0, 0, "Na​me:\t x"), (1, 0, 1, None), (1, 0, 2, "e.g. (this)"), (2, 0, 0, "Na me")], "doc_id long, page int, line_no int, text string")
