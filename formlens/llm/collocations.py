@@ -45,7 +45,7 @@ PHRASE_DDL = "node int, lang string, words array<long>, pre array<long>"
 HERE, AFTER, BEFORE = 1, 2, 4  # what is counted at a node: itself, the words after it, the words before it
 
 
-def _unpack(wide: bool, codes: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(wide: bool, codes: bytes | pa.Buffer, starts: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer(codes, np.uint32 if wide else np.uint16).astype(np.int64)
     return code, np.unpackbits(np.frombuffer(starts, np.uint8), count=len(code)).astype(bool)
 
@@ -95,21 +95,28 @@ def _code(salt: int):
     return run
 
 
+def lean_chunk(place: np.ndarray, hashes: np.ndarray, code: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, bool, bytes, bytes]:
+    """A chunk with only the words kept, at ``place`` in its vocabulary; a left-out word ends a piece."""
+    order = np.argsort(place)
+    new = np.full(int(code.max(initial=-1)) + 1, -1, np.int32)
+    new[place[order]] = np.arange(len(order), dtype=np.int32)
+    code = new[code]
+    here = code >= 0
+    begins = begins | np.r_[False, ~here[:-1]]
+    # A piece begins where any word since the last one kept began one.
+    piece = np.cumsum(begins, dtype=np.int32)[here]
+    first = np.r_[True, piece[1:] != piece[:-1]] if len(piece) else np.zeros(0, bool)
+    return hashes[order], *_pack(code[here], first, len(order))
+
+
 def _lean(batches: Iterator[pa.RecordBatch]):
-    """Chunks without the words whose hash isn't kept; a left-out word ends a piece."""
+    """Chunks without the words that aren't kept, one after the other: a batch holds many, so none is turned into lists."""
     for batch in batches:
-        for hashes, kept, wide, codes, starts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            code, begins = _unpack(wide, codes, starts)
-            vocab = np.array(hashes, np.int64)
-            stays = np.isin(vocab, np.array(kept, np.int64))
-            here = stays[code]
-            begins = begins | np.r_[False, ~here[:-1]]
-            # A piece begins where any word since the last one kept began one.
-            piece = np.cumsum(begins)[here]
-            place = np.cumsum(stays) - 1
-            left = vocab[stays]
-            first = np.r_[True, piece[1:] != piece[:-1]] if len(piece) else np.zeros(0, bool)
-            yield pa.record_batch([pa.array([x]) for x in (left.tobytes(), *_pack(place[code[here]], first, len(left)))], schema=LEAN)
+        for i in range(batch.num_rows):
+            kept, wide, codes, starts = (batch.column(c)[i] for c in range(4))
+            place, hashes = (kept.values.field(c).to_numpy() for c in range(2))
+            left, *rest = lean_chunk(place, hashes, *_unpack(wide.as_py(), codes.as_buffer(), starts.as_buffer()))
+            yield pa.record_batch([pa.array([x]) for x in (left.tobytes(), *rest)], schema=LEAN)
     release()
 
 
@@ -171,8 +178,9 @@ class Trie:
 def _count(trie: Trie):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for vocab, wide, codes, starts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for side, node, word, n in trie.count(np.frombuffer(vocab, np.int64), *_unpack(wide, codes, starts)):
+            for i in range(batch.num_rows):
+                vocab, wide, codes, starts = (batch.column(c)[i] for c in range(4))
+                for side, node, word, n in trie.count(np.frombuffer(vocab.as_buffer(), np.int64), *_unpack(wide.as_py(), codes.as_buffer(), starts.as_buffer())):
                     if len(node):
                         yield pa.record_batch([pa.array(node, pa.int32()), pa.array(np.full(len(node), side), pa.int32()), pa.array(word), pa.array(n)], names=["node", "side", "word", "n"])
         release()
@@ -198,10 +206,10 @@ class Corpus:
         self.langs = scratch.save(seen.groupBy("lang").agg(F.sum("f").alias("n")), "langs")
         self.words = scratch.save(seen.filter(F.col("f") >= least), "frequent")
         coded = coded.withColumn("chunk", F.monotonically_increasing_id())
-        terms = coded.select("chunk", F.explode("terms.hash").alias("hash"))
+        terms = coded.select("chunk", F.posexplode("terms.hash").alias("place", "hash"))
         names = Names(self.words.select("hash", F.col("f").alias("n")), scratch, "hashes")
-        kept = names.join(terms, ["hash"]).groupBy("chunk").agg(F.collect_list("hash").alias("kept"))
-        lean = coded.join(kept, "chunk").select(F.col("terms.hash").alias("hashes"), "kept", "wide", "codes", "starts")
+        kept = names.join(terms, ["hash"]).groupBy("chunk").agg(F.collect_list(F.struct("place", "hash")).alias("kept"))
+        lean = coded.join(kept, "chunk").select("kept", "wide", "codes", "starts")  # without the chunk's whole vocabulary
         self.chunks = scratch.save(lean.mapInArrow(_lean, LEAN_DDL), "chunks")
         scratch.drop(f"coded-{salt}")
 

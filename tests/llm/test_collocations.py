@@ -1,9 +1,13 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from formlens.llm import collocations as col
 from formlens.llm.collocations import collocations
 from formlens.llm.common import Scratch
 
@@ -77,3 +81,22 @@ def test_odd_rows(spark):
     assert out.schema.simpleString() == "struct<lang:string,rank:int,phrase:string,a:bigint,l:bigint,r:bigint,n:bigint,score:bigint>"
     empty = collocations(docs.limit(0), Scratch(spark, "empty"))
     assert empty.count() == 0 and empty.schema.names == out.schema.names
+
+
+def test_lean_chunks_are_taken_one_at_a_time():
+    """Many chunks in one batch: the memory beyond the batch is that of one of them, whatever the words kept are sorted by."""
+    draw, size, words = np.random.default_rng(5), 40_000, 30_000
+    code, starts = draw.integers(0, words, size), draw.random(size) < 0.2
+    place = draw.permutation(words)[:20_000].astype(np.int32)
+    left, wide, codes, first = col.lean_chunk(place, place.astype(np.int64) * 10, code, starts)
+    kept, piece = np.isin(code, place), np.cumsum(starts | np.r_[False, ~np.isin(code, place)[:-1]])
+    new, begins = col._unpack(wide, codes, first)
+    assert (left == np.sort(place) * 10).all() and (left[new] == code[kept] * 10).all() and (begins == np.r_[True, np.diff(piece[kept]) > 0]).all()
+    pairs = pa.StructArray.from_arrays([pa.array(np.tile(place, 40)), pa.array(np.tile(place.astype(np.int64), 40))], names=["place", "hash"])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(41, dtype=np.int32) * len(place)), pairs)
+    batch = pa.record_batch([lists, *(pa.array([x] * 40) for x in col._pack(code, starts, words))], names=["kept", "wide", "codes", "starts"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in col._lean(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 40 and peak < 8 << 20
