@@ -185,6 +185,11 @@ def test_cells_and_pages_are_made_once(spark):
     assert splits == {"detector_score": 1, "doc_summary": 1, "table_prompts": 2}
 
 
+def test_replies_are_read_once(spark):
+    """No branch of overlays reads the replies again."""
+    assert "from_json" not in str(QUERIES["overlays"](spark, SF)._jdf.queryExecution().optimizedPlan()).lower().replace("jsontostructs", "from_json")
+
+
 def test_flags_of_a_line(spark):
     """Labels that share the space between them, look-alikes, and dashes before characters without width; texts are folded nowhere, labels are."""
     rows = [("A. B. C. x", True, "A", False), ("x a) b) c) -", True, None, True), ("I. II. III.", False, "I", False), ("i) ii) iii) \u2013 ", True, "I", True), ("А. Β. С. x", True, "A", False), ("A. C. B. x", False, "A", False), ("● ab -\u200b ", False, None, True), ("● a -\u200b", False, None, True), ("● -", False, None, False), ("ab - c", False, None, False), ("", False, None, False)]
