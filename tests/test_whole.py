@@ -7,6 +7,7 @@ from formlens.operators import anchors as n
 from formlens.operators import layout as y
 from formlens.operators import page_index as px
 from formlens.plans import QUERIES
+from formlens.sources.views import view
 from tests.test_queries import SF, duck  # noqa: F401
 
 def test_occurrences_in_whole_lines(spark, duck):  # noqa: F811
@@ -211,3 +212,16 @@ def test_anchors_shuffle_text_not_glyphs(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     grouped = [row for row in plan.splitlines() if "Aggregate" in row]
     assert any("collect_list(struct(line_no" in row for row in grouped) and not any("split(" in row for row in grouped)
+
+
+def test_pages_are_dealt_by_their_number(spark):
+    """Detection deals pages over tasks by their number, so a task's memory doesn't grow with the input; the lines it takes are the same."""
+    from formlens.plans import layout as plans
+
+    x = view(spark, "/root/testdata/sf0.001", "lines")
+    sheets = plans.page_list(x)
+    boxes, obstacles = y.tables(sheets), plans.obstacles(sheets)
+    dealt = y.detected(x, boxes, obstacles, parts=9)
+    assert dealt.rdd.getNumPartitions() == 9
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, y.detected(x, boxes, obstacles).collect()))
+    assert plans.page_parts(spark.range(5 * plans.PAGES_A_TASK + 1)) == 6
