@@ -225,3 +225,15 @@ def test_pages_are_dealt_by_their_number(spark):
     assert dealt.rdd.getNumPartitions() == 9
     assert sorted(map(str, dealt.collect())) == sorted(map(str, y.detected(x, boxes, obstacles).collect()))
     assert plans.page_parts(spark.range(5 * plans.PAGES_A_TASK + 1)) == 6
+
+
+def test_lines_beyond_tables_stay_behind(spark):
+    """Table cells are cut from the lines between the first table's top and the last one's foot; the others aren't shuffled."""
+    from formlens.plans import layout as plans
+
+    x = view(spark, "/root/testdata/sf0.001", "lines")
+    sheets = plans.page_list(x)
+    near, every = plans.cells(x, sheets), n.cell_lines(x, plans.rects(sheets))
+    assert sorted(map(str, near.collect())) == sorted(map(str, every.collect())) and near.count()
+    assert ">= 300.0" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert plans.cells(x.limit(0), plans.page_list(x.limit(0))).count() == 0
