@@ -9,8 +9,10 @@ bound of its next word. Equal scores and bounds are still expanded, so ties are
 
 The corpus is coded once: chunks of word codes with their own vocabulary, without words that are too rare
 for any phrase. Each round sends a bounded number of phrases as a trie to all chunks; the counts of their
-next words, of parts and of words before are summed by Spark. Words go by 64-bit hashes of (language,
-word), which are checked to be unique; if two clash, all are drawn anew.
+next words, of parts and of words before are summed by Spark. Words are told apart by 64-bit hashes of (language,
+word), which are checked to be unique; if two clash, all are drawn anew. The frequent ones are then numbered in order
+of their hashes, as small numbers take less room in shuffles; tasks read these numbers from the shared folder in sorted
+parts, so the chunks themselves are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from formlens.llm.common import Names, Scratch
+from formlens.llm.common import Names, Scratch, row_numbers
 from formlens.llm.textkernel import LOWER, U, as_text, byte_offsets, chunks, mix, release, run_hashes
 
 CHUNK = 1 << 21  # bytes of text coded together
@@ -175,6 +179,48 @@ class Trie:
             yield side, key // max(size, 1), vocab[key % max(size, 1)], times
 
 
+def kept_words(batch: pa.RecordBatch, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Coded chunks (hashes, wide, codes, starts) with their kept words (place, number) instead of all hashes.
+
+    ``parts`` are hashes to keep, in any order, and their numbers; one part is held at a time.
+    """
+    column = batch.column(0)
+    vocab = [column[i].values.to_numpy().view(np.uint64) for i in range(batch.num_rows)]  # sorted, as they come from np.unique
+    places: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in vocab]
+    numbers: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in vocab]
+    for hashes, number in parts:
+        order = np.argsort(hashes.view(np.uint64), kind="stable")
+        hashes, number = hashes.view(np.uint64)[order], number[order]
+        for i, words in enumerate(vocab):
+            lo, hi = np.searchsorted(words, hashes[[0, -1]]) + [0, 1]
+            at = np.minimum(np.searchsorted(hashes, words[lo:hi]), len(hashes) - 1)
+            here = np.flatnonzero(hashes[at] == words[lo:hi])
+            places[i].append((lo + here).astype(np.int32))
+            numbers[i].append(number[at[here]])
+    cut = np.r_[0, np.cumsum([sum(map(len, x)) for x in places])].astype(np.int32)
+    pairs = [pa.array(np.concatenate([np.zeros(0, kind), *(a for x in lists for a in x)])) for kind, lists in ((np.int32, places), (np.int64, numbers))]
+    kept = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays(pairs, names=["place", "hash"]))
+    return pa.record_batch([kept, *(batch.column(c) for c in range(1, 4))], names=["kept", "wide", "codes", "starts"])
+
+
+def _parts(folder: str, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stored hashes and their numbers, at most so many at a time."""
+    store, path = fs.FileSystem.from_uri(folder)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.path.endswith(".parquet"))
+    for name in files:
+        with store.open_input_file(name) as f:
+            for rows in pq.ParquetFile(f).iter_batches(most, columns=["hash", "number"]):
+                if rows.num_rows:
+                    yield rows.column(0).to_numpy(), rows.column(1).to_numpy()
+
+
+def _keep(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]):
+        return _lean(kept_words(batch, _parts(folder)) for batch in batches)
+
+    return run
+
+
 def _count(trie: Trie):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -189,7 +235,7 @@ def _count(trie: Trie):
 
 
 class Corpus:
-    """Coded chunks, words (lang, word, hash, f) that occur ``least`` times, and n of each language."""
+    """Coded chunks, words (lang, word, hash, f) that occur ``least`` times, and n of each language; from here on a word's hash is its number."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, least: int):
         self.scratch, self.least, self.round = scratch, least, 0
@@ -204,13 +250,12 @@ class Corpus:
         else:
             raise RuntimeError("hashes of words clash")
         self.langs = scratch.save(seen.groupBy("lang").agg(F.sum("f").alias("n")), "langs")
-        self.words = scratch.save(seen.filter(F.col("f") >= least), "frequent")
-        coded = coded.withColumn("chunk", F.monotonically_increasing_id())
-        terms = coded.select("chunk", F.posexplode("terms.hash").alias("place", "hash"))
-        names = Names(self.words.select("hash", F.col("f").alias("n")), scratch, "hashes")
-        kept = names.join(terms, ["hash"]).groupBy("chunk").agg(F.collect_list(F.struct("place", "hash")).alias("kept"))
-        lean = coded.join(kept, "chunk").select("kept", "wide", "codes", "starts")  # without the chunk's whole vocabulary
-        self.chunks = scratch.save(lean.mapInArrow(_lean, LEAN_DDL), "chunks")
+        frequent = row_numbers(seen.filter(F.col("f") >= least), [F.col("hash")], scratch, "number")
+        folder = scratch.qualified("to-keep")
+        scratch.save(frequent.select("hash", "number"), "to-keep")
+        self.words = scratch.save(frequent.select("lang", "word", F.col("number").alias("hash"), "f"), "frequent")
+        lean = coded.select(F.col("terms.hash").alias("hashes"), "wide", "codes", "starts")
+        self.chunks = scratch.save(lean.mapInArrow(_keep(folder), LEAN_DDL), "chunks")
         scratch.drop(f"coded-{salt}")
 
     def asked(self, phrases: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:

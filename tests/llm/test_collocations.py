@@ -100,3 +100,28 @@ def test_lean_chunks_are_taken_one_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 40 and peak < 8 << 20
+
+
+def test_frequent_words_are_numbered(spark):
+    """Words of phrases go by small numbers instead of hashes, and no table of chunks' words is made to be shuffled."""
+    rows = [(i, f"pair of words {i} " * 20, lang) for i in range(30) for lang in ("en", "de")]
+    scratch = Scratch(spark, "numbers")
+    corpus = col.Corpus(spark.createDataFrame(rows, DDL), scratch, 20)
+    words = corpus.words.collect()
+    assert {r.hash for r in words} == set(range(len(words))) and len(words) == 66
+    vocab = [w for r in corpus.chunks.collect() for w in np.frombuffer(r.vocab, np.int64)]
+    assert set(vocab) == set(range(len(words)))
+
+
+def test_kept_words_by_parts():
+    """Parts in any order, negative hashes, chunks without a kept word and parts without a word of the chunk."""
+    draw = np.random.default_rng(3)
+    hashes = draw.integers(-(2**63), 2**63 - 1, 500)
+    chunks = [np.sort(draw.permutation(hashes)[:n].view(np.uint64)).view(np.int64) for n in (300, 1, 40)] + [np.array([5])]
+    keep = draw.permutation(hashes)[:200]
+    parts = [(keep[i : i + 70], np.arange(i, min(i + 70, 200))) for i in (140, 0, 70)]
+    batch = pa.record_batch([pa.array([list(c) for c in chunks], pa.list_(pa.int64())), pa.array([False] * 4), pa.array([b""] * 4), pa.array([b""] * 4)], names=["hashes", "wide", "codes", "starts"])
+    got = col.kept_words(batch, iter(parts)).column(0).to_pylist()
+    number = {int(h): i for i, h in enumerate(keep)}
+    assert [sorted((p["place"], p["hash"]) for p in kept) for kept in got] == [[(i, number[int(h)]) for i, h in enumerate(c) if int(h) in number] for c in chunks]
+    assert [len(k) for k in col.kept_words(batch, iter(())).column(0).to_pylist()] == [0] * 4
