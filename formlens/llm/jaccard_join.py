@@ -27,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import Names, Scratch, partitions, spread_join
+from formlens.llm.common import Names, Scratch, partitions, small_batches, spread_join
 from formlens.llm.components import connected_components
-from formlens.llm.textkernel import U, as_text, chunks, mix, release, set_key, shingle_sets, words
+from formlens.llm.textkernel import U, as_text, byte_offsets, chunks, mix, released, set_key, shingle_sets, words
 
 GROUP_LIMIT = 24
 FLUSH = 1 << 18
 SPREAD = 1  # buckets per partition: a set has more signatures in each of fewer buckets, and its key is sent once for all of them
 HELD = 1 << 22  # entries of a bucket before they are thinned out first
+SLICE_SHIFT = 29
+SLICES = 1 << (32 - SLICE_SHIFT)  # of a bucket's signatures; one is unpacked at a time
+STRETCH = 1 << 20
 LARGEST = 1 << 34  # elements of a set
 SMALL, FAMILIES = 8, 3  # up to this distance, so many families
 PLAIN = 1 << 17  # signatures below are codes of sets without slack
@@ -144,6 +147,7 @@ def _documents(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[i
 
 
 def _base(size: int, salt: int):
+    @released
     def run(batches):
         rows: list[tuple] = []
         for doc, u in _documents(batches, size):
@@ -152,7 +156,6 @@ def _base(size: int, salt: int):
                 yield _batch(rows, BASE)
                 rows = []
         yield _batch(rows, BASE)
-        release()
 
     return run
 
@@ -187,6 +190,7 @@ def _signature_rows(size: int, bands: Bands, buckets: int, salt: int):
                 rows.append((b, low[x:y].tobytes(), high[x:y].tobytes(), count.tobytes(), key[first].tobytes(), slack[first].tobytes(), tag[first].tobytes()))
         return _batch(rows, schema)
 
+    @released
     def run(batches):
         parts, held = [], 0
         for _, u in _documents(batches, size):
@@ -202,7 +206,6 @@ def _signature_rows(size: int, bands: Bands, buckets: int, salt: int):
                 parts, held = [], 0
         if parts:
             yield packed(parts)
-        release()
 
     return run, "bucket int, sig binary, high binary, count binary, key binary, slack binary, tag binary"
 
@@ -214,9 +217,12 @@ def _collisions(limit: int):
     """Rows of one bucket after the other -> candidate pairs (tag null), or hot signature counts of a set under a tag (b null).
 
     A signature of at most ``limit`` sets gives its pairs; of a more frequent one each set is paired
-    with one of them, the pivot.
+    with one of them, the pivot. A bucket stays packed as it came, and its signatures are unpacked one
+    slice of their range after the other.
     """
     entry = np.dtype([("sig", U), ("key", np.int64), ("slack", np.uint8), ("tag", np.uint16)])
+    count_of = np.dtype([("key", np.int64), ("tag", np.uint16), ("slack", np.uint8), ("n", np.int64)])
+    packed = {"sig": np.uint32, "high": np.uint8, "count": np.uint8, "key": np.int64, "slack": np.uint8, "tag": np.uint16}
     nothing = (np.zeros(0, U), np.zeros(0, np.int64))
 
     def groups(y):
@@ -242,62 +248,106 @@ def _collisions(limit: int):
         mask = np.repeat(high, count)
         return rest, y[~mask], y[mask], (sig[order], np.r_[hot[1], y["key"][new]][order])
 
-    def pairs(p):
+    def distinct(pairs):
+        p = np.concatenate(pairs)
         p = p[np.lexsort((p[:, 1], p[:, 0]))]
-        p = p[np.r_[True, (p[1:] != p[:-1]).any(1)]]
-        none = pa.nulls(len(p), pa.int64())
-        return pa.record_batch([pa.nulls(len(p), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], schema=CANDIDATE)
-
+        return p[np.r_[True, (p[1:] != p[:-1]).any(1)]]
+
+    def counted(rows):
+        """One row for each set and tag, with the sum of n."""
+        z = np.sort(np.concatenate(rows), order=["key", "tag"])
+        first = np.flatnonzero(np.r_[True, (z["key"][1:] != z["key"][:-1]) | (z["tag"][1:] != z["tag"][:-1])])
+        n = np.add.reduceat(z["n"], first)
+        z = z[first]
+        z["n"] = n
+        return z
+
+    def of_hot(y, hot):
+        """Counts by set and tag of the entries of hot signatures, and their pairs with the pivots."""
+        z = np.ones(len(y), count_of)
+        for name in ("key", "tag", "slack"):
+            z[name] = y[name]
+        y = y[y["sig"] >= PLAIN]
+        pivot = hot[1][np.searchsorted(hot[0], y["sig"])]
+        apart = pivot != y["key"]
+        return counted([z]), np.stack([np.minimum(pivot, y["key"])[apart], np.maximum(pivot, y["key"])[apart]], 1)
+
+    def of_few(y):
+        """All pairs within each signature."""
+        first, count = groups(y)
+        for c in np.unique(count[count > 1]):
+            at = first[count == c]
+            i, j = np.triu_indices(int(c), 1)
+            yield np.stack([y["key"][(at[:, None] + i).ravel()], y["key"][(at[:, None] + j).ravel()]], 1)
+
+    def unpacked(parts):
+        """Entries of the packed parts, one slice of the signatures' range after the other."""
+        low, high, count, key, slack, tag = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
+        owner = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        piece = (low >> np.uint32(SLICE_SHIFT)).astype(np.uint8)
+        for s in range(SLICES):
+            at = np.flatnonzero(piece == s)
+            own, x = owner[at], np.empty(len(at), entry)
+            x["sig"] = low[at] | (high[at].astype(U) << U(32))
+            x["key"], x["slack"], x["tag"] = key[own], slack[own], tag[own]
+            yield x
+
+    def stretches(batches):
+        """(bucket, packed columns) of consecutive rows of one bucket, of at most ``STRETCH`` entries (one row at least)."""
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            edge = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                for lo, hi in chunks(batch.column("high").slice(i, j - i), STRETCH):
+                    part = []
+                    for name, kind in packed.items():
+                        off, raw = byte_offsets(batch.column(name)), np.frombuffer(batch.column(name).buffers()[2], np.uint8)
+                        part.append(raw[off[i + lo] : off[i + hi]].view(kind))
+                    yield int(ids[i]), part
+
+    @released
     def run(batches):
-        bucket, parts, held, hot, bound = None, [], 0, nothing, HELD
-
-        def hot_rows(y):
-            if not len(y):
-                return
-            z = np.sort(y[["key", "tag", "slack"]], order=["key", "tag"])
-            first = np.flatnonzero(np.r_[True, (z["key"][1:] != z["key"][:-1]) | (z["tag"][1:] != z["tag"][:-1])])
-            yield pa.record_batch([pa.array(z["tag"][first], pa.int32()), pa.array(z["key"][first]), pa.nulls(len(first), pa.int64()), pa.array(np.diff(np.r_[first, len(z)]), pa.int64()), pa.array(z["slack"][first], pa.int64())], schema=CANDIDATE)
-            y = y[y["sig"] >= PLAIN]
-            pivot = hot[1][np.searchsorted(hot[0], y["sig"])]
-            apart = pivot != y["key"]
-            if apart.any():
-                yield pairs(np.stack([np.minimum(pivot, y["key"])[apart], np.maximum(pivot, y["key"])[apart]], 1))
-
-        def finish():
-            nonlocal hot
-            _, few, many, hot = compact(parts, hot)
-            yield from hot_rows(many)
-            first, count = groups(few)
-            found = []
-            for c in np.unique(count[count > 1]):
-                at = first[count == c]
-                i, j = np.triu_indices(int(c), 1)
-                found.append(np.stack([few["key"][(at[:, None] + i).ravel()], few["key"][(at[:, None] + j).ravel()]], 1))
+        bucket, bound = None, HELD
+        parts = []  # packed, not looked at
+        kept = []  # of each slice: entries of signatures that aren't hot, and hot signatures
+
+        def taken(last):
+            nonlocal kept
+            stay, hots, found = [], [], []
+            for x, (old, hot) in zip(unpacked(parts) if parts else (np.zeros(0, entry) for _ in range(SLICES)), kept or [([], nothing)] * SLICES, strict=True):
+                rest, few, many, hot = compact([*old, x], hot)
+                if len(many):
+                    counts, pairs = of_hot(many, hot)
+                    hots.append(counts)
+                    found.append(pairs)
+                if last:
+                    found.extend(of_few(few))
+                else:
+                    stay.append(([rest, few], hot))
+                found = [distinct(found)] if sum(map(len, found)) else []
+            kept = stay
+            if hots:
+                z = counted(hots)
+                yield pa.record_batch([pa.array(z["tag"], pa.int32()), pa.array(z["key"]), pa.nulls(len(z), pa.int64()), pa.array(z["n"]), pa.array(z["slack"], pa.int64())], schema=CANDIDATE)
             if found:
-                yield pairs(np.concatenate(found))
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != bucket:
-                    if parts:
-                        yield from finish()
-                    bucket, parts, held, hot, bound = row["bucket"], [], 0, nothing, HELD
-                count = np.frombuffer(row["count"], np.uint8)
-                x = np.empty(len(row["high"]), entry)
-                x["sig"] = np.frombuffer(row["sig"], np.uint32) | (np.frombuffer(row["high"], np.uint8).astype(U) << U(32))
-                for name, kind in (("key", np.int64), ("slack", np.uint8), ("tag", np.uint16)):
-                    x[name] = np.repeat(np.frombuffer(row[name], kind), count)
-                parts.append(x)
-                held += len(x)
-                if held > bound:  # keeps memory bounded when one signature fills the bucket
-                    rest, few, many, hot = compact(parts, hot)
-                    yield from hot_rows(many)
-                    parts = [rest, few]
-                    held = len(rest) + len(few)
-                    bound = max(HELD, 2 * held)
-        if parts:
-            yield from finish()
-        release()
+                p, none = found[0], pa.nulls(len(found[0]), pa.int64())
+                yield pa.record_batch([pa.nulls(len(p), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], schema=CANDIDATE)
+
+        held = 0
+        for at, part in stretches(batches):
+            if at != bucket:
+                if bucket is not None:
+                    yield from taken(True)
+                bucket, held, bound = at, 0, HELD
+            parts.append(part)
+            held += len(part[1])
+            if held > bound:  # keeps memory bounded when one signature fills the bucket
+                yield from taken(False)
+                held = sum(len(x) for old, _ in kept for x in old)
+                bound = max(HELD, 2 * held)
+        if bucket is not None:
+            yield from taken(True)
 
     return run
 
@@ -305,6 +355,7 @@ def _collisions(limit: int):
 def _resigned(bands: Bands):
     """(key, comp, u) -> tag, sig, key, comp, slack: the signatures of dense sets once more."""
 
+    @released
     def run(batches):
         schema = pa.schema([("tag", pa.int32()), ("sig", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("slack", pa.int64())])
         for batch in batches:
@@ -319,6 +370,7 @@ def _resigned(bands: Bands):
 def _close(percent: int):
     """Drop candidate pairs whose sizes or histograms rule the threshold out."""
 
+    @released
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
@@ -333,6 +385,7 @@ def _close(percent: int):
 
 
 def _verified(percent: int):
+    @released
     def run(batches):
         for batch in batches:
             keep = [similar(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), percent) for x, y in zip(batch.column("ua"), batch.column("ub"), strict=True)]
@@ -384,7 +437,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
     salt, clashes = -1, True
     while clashes:  # two sets with one key but different second keys: other keys for all
         salt += 1
-        base = scratch.save(source.mapInArrow(_base(shingle, salt), "doc_id long, n long, key long, other long, sketch binary"), f"base-{salt}")
+        with small_batches(spark):
+            base = scratch.save(source.mapInArrow(_base(shingle, salt), "doc_id long, n long, key long, other long, sketch binary"), f"base-{salt}")
         nodes = base.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size"), F.count("*").alias("n"), (F.min("other") < F.max("other")).alias("clash"))
         nodes, seen = scratch.measured(nodes, f"nodes-{salt}", F.count_if("clash").alias("clashes"))
         clashes = seen["clashes"] > 0
@@ -393,7 +447,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
 
     build, schema = _signature_rows(shingle, bands, parts * SPREAD, salt)
     dealt = known.select("doc_id", "text").mapInArrow(build, schema).repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    found = scratch.save(dealt.mapInArrow(_collisions(group_limit), "tag int, a long, b long, hot long, slack long"), "found")
+    with small_batches(spark):
+        found = scratch.save(dealt.mapInArrow(_collisions(group_limit), "tag int, a long, b long, hot long, slack long"), "found")
 
     heads = base.join(nodes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).groupBy("key").agg(F.max("n").alias("n"), F.first("sketch").alias("s"))
     pairs = found.filter("b is not null").select("a", "b").distinct()
@@ -416,6 +471,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
     few = seen["n"] <= BROADCAST_ROWS
     texts = known.join(F.broadcast(wanted.select("doc_id")) if few else wanted.select("doc_id"), "doc_id", "left_semi")
 
+    @released
     def sets(batches):
         for batch in batches:
             made = [(set_key(u, salt), u.tobytes()) for _, u in _documents([batch], shingle) if len(u)]
@@ -423,7 +479,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, shingl
                 yield _batch(made[lo : lo + 256], pa.schema([("key", pa.int64()), ("u", pa.binary())]))
 
     stored = texts.mapInArrow(sets, "key long, u binary").join(wanted.select("key"), "key", "left_semi")
-    stored = scratch.save(stored.dropDuplicates(["key"]), "sets")
+    with small_batches(spark):
+        stored = scratch.save(stored.dropDuplicates(["key"]), "sets")
     left, right = stored.select(F.col("key").alias("a"), F.col("u").alias("ua")), stored.select(F.col("key").alias("b"), F.col("u").alias("ub"))
 
     def checked(p: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formlens.llm.textkernel import U, Words, as_text, chunks, mix, release, words
+from formlens.llm.textkernel import U, Words, as_text, chunks, mix, release, released, words
 
 #: Classes of a word's last byte: 0 letters and all else, 1 stops and commas, 2 ! and ?, 3 |, 4 marks, 5 digits.
 _LAST = np.zeros(256, np.int64)
@@ -139,6 +139,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _feature_rows(dims: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             text = as_text(batch.column(2))
@@ -147,7 +148,6 @@ def _feature_rows(dims: int):
                 edge = np.searchsorted(doc, np.arange(hi - lo + 1))
                 cells = [f[a:b].astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(cells, pa.binary())], names=["doc_id", "label", "f"])
-        release()
 
     return run
 
@@ -186,11 +186,11 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             text = as_text(batch.column(at).cast(pa.string()))
             s = np.concatenate([np.zeros(0), *(model.scores(words(text.slice(lo, hi - lo))) for lo, hi in chunks(text))])
             yield pa.record_batch([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, score, predicted])
-        release()
 
     return docs.mapInArrow(run, schema)

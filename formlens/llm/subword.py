@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.textkernel import U, as_text, chunks, mix, release, run_hashes
+from formlens.llm.textkernel import U, as_text, chunks, mix, released, run_hashes
 
 MARK = 0x2581
 NONE, BYTES = -1, -2
@@ -326,6 +326,7 @@ def encode_samples(docs: DataFrame, model_path: str, k: int = 2, alpha: float =
     by byte pieces; a literal word mark does too. Pieces of over 62 characters are an error. Other columns are not read; an empty table gives no rows.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]):
         v = vocabulary(model_path)
         for batch in batches:
@@ -345,7 +346,6 @@ def encode_samples(docs: DataFrame, model_path: str, k: int = 2, alpha: float =
                 own = ids.take(pa.array([r[0] for r in rows], pa.int64()))
                 columns = [own, pa.array([r[1] for r in rows], pa.int32()), lists, pa.array(size), *(pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)), pa.array(decoded, pa.bool_())]
                 yield pa.record_batch(columns, schema=SAMPLE)
-        release()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SAMPLE_DDL)
 

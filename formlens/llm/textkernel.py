@@ -8,8 +8,9 @@ polynomial over 2**64, words of a regular structure don't collide.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,17 @@ def release() -> None:
         trim(0)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with freed memory given back once it has ended: inside it, its last batches and arrays are still held."""
+
+    @wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]):
+        yield from run(batches)
+        release()
+
+    return outer
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """64-bit finaliser; every salt is another hash function."""
     x = x ^ U((salt * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)

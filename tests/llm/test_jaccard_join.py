@@ -159,3 +159,95 @@ def test_a_set_is_sent_once_for_all_its_signatures_in_a_bucket():
     rows = [r for b in run(iter([pa.record_batch([pa.array([0, 1, 2]), pa.array(text)], names=["doc_id", "text"])])) for r in b.to_pylist()]
     sent, signed = sum(len(r["key"]) // 8 for r in rows), sum(len(r["high"]) for r in rows)
     assert signed == sum(sum(r["count"]) for r in rows) and signed > 1000 and sent * 20 < signed
+
+
+def packed_bucket(rnd, rows, sets, signatures_of_a_set, of=None):
+    """Batches of one bucket as ``_signature_rows`` makes them, and the (signature, key) pairs in them."""
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("sig", "high", "count", "key", "slack", "tag"))])
+    made, known = [], []
+    for _ in range(rows):
+        key = rnd.integers(0, 1 << 40, sets)
+        sig = rnd.integers(1 << 20, 1 << 40, sets * signatures_of_a_set) if of is None else rnd.choice(of, sets * signatures_of_a_set)
+        known += zip(sig.tolist(), np.repeat(key, signatures_of_a_set).tolist(), strict=True)
+        made.append((7, sig.astype(np.uint32).tobytes(), (sig >> 32).astype(np.uint8).tobytes(), bytes([signatures_of_a_set] * sets), key.tobytes(), bytes([3] * sets), np.full(sets, 90, np.uint16).tobytes()))
+    table = pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+    return table.to_batches(max_chunksize=10), known
+
+
+def test_a_bucket_of_signatures_takes_little_memory():
+    import tracemalloc
+
+    from formlens.llm import jaccard_join as j
+
+    batches, known = packed_bucket(np.random.default_rng(1), 100, 100, 50)
+    tracemalloc.start()
+    try:
+        assert not sum(len(b) for b in j._collisions(24)(iter(batches)))
+        assert tracemalloc.get_traced_memory()[1] < 40 * len(known)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("held", [1 << 22, 500])
+def test_slices_of_a_bucket_lose_no_pair(monkeypatch, held):
+    """Signatures of up to three sets give all pairs, others connect their sets and are counted, in one go and with thinning out."""
+    from formlens.llm import jaccard_join as j
+
+    monkeypatch.setattr(j, "HELD", held)
+    monkeypatch.setattr(j, "STRETCH", 100)
+    rnd = np.random.default_rng(2)
+    of = rnd.integers(1 << 20, 1 << 40, 900)
+    batches, known = packed_bucket(rnd, 60, 8, 4, np.r_[of, np.repeat(of[:3], 100)])
+    rows = [r for b in j._collisions(3)(iter(batches)) for r in b.to_pylist()]
+    pairs = {(r["a"], r["b"]) for r in rows if r["b"] is not None}
+    sets, counts = {}, {}
+    for s, k in known:
+        sets.setdefault(s, set()).add(k)
+    for r in rows:
+        if r["b"] is None:
+            counts[r["a"]] = counts.get(r["a"], 0) + r["hot"]
+    for members in sets.values():
+        if len(members) <= 3:
+            assert all((a, b) in pairs for a in members for b in members if a < b)
+        else:
+            reached, todo = set(), [min(members)]
+            while todo:
+                x = todo.pop()
+                if x not in reached:
+                    reached.add(x)
+                    todo += [y for y in members if (min(x, y), max(x, y)) in pairs]
+            assert reached == members
+    if held > len(known):
+        assert counts == {k: n for k in {k for _, k in known} if (n := sum(k in m and len(m) > 3 for m in sets.values()))}
+
+
+def test_memory_is_given_back_when_the_last_batch_is_gone(monkeypatch):
+    import weakref
+
+    from formlens.llm import jaccard_join as j
+    from formlens.llm import textkernel
+
+    held, seen = [], []
+
+    def batches():
+        made, _ = packed_bucket(np.random.default_rng(3), 1, 10, 5, np.array([1 << 30]))
+        held.append(weakref.ref(made[0]))
+        yield made.pop()
+
+    monkeypatch.setattr(textkernel, "release", lambda: seen.append(held[-1]() is None))
+    assert sum(len(b) for b in j._collisions(24)(batches())) > 0
+    assert seen == [True]
+
+
+def test_texts_come_in_small_batches(spark):
+    from formlens.llm.common import small_batches
+
+    def size(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    df = spark.range(3000, numPartitions=1).selectExpr("repeat('x', 10000) as text").mapInArrow(size, "n long")
+    whole = [r.n for r in df.collect()]
+    with small_batches(spark, "1m"):
+        parts = [r.n for r in df.collect()]
+    assert max(whole) > 20_000_000 > 4_000_000 > max(parts) and [r.n for r in df.collect()] == whole
