@@ -237,3 +237,17 @@ def test_lines_beyond_tables_stay_behind(spark):
     assert sorted(map(str, near.collect())) == sorted(map(str, every.collect())) and near.count()
     assert ">= 300.0" in near._jdf.queryExecution().optimizedPlan().toString()
     assert plans.cells(x.limit(0), plans.page_list(x.limit(0))).count() == 0
+
+
+def test_pages_cells_and_units_are_not_broadcast(spark):
+    """Tables with rows for each page or line meet by sort and merge: by the size of their stored files Spark would broadcast millions of cells."""
+    from formlens.plans import layout as plans
+
+    x = view(spark, "/root/testdata/sf0.001", "lines")
+    sheets = plans.page_list(x)
+    marks, units, inside, bullets = plans.kept(x)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) > 1 << 20
+    bands = plans.stored(plans.bands(x), "bands")
+    for df in (plans.cells(x, sheets), plans.found(x, sheets), y.score_bands(n.answer_centres(units), bands), n.overlays(marks, units, inside, bullets, plans.said(x)), n.model_units(marks, units, inside, bullets)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
