@@ -251,3 +251,15 @@ def test_pages_cells_and_units_are_not_broadcast(spark):
     for df in (plans.cells(x, sheets), plans.found(x, sheets), y.score_bands(n.answer_centres(units), bands), n.overlays(marks, units, inside, bullets, plans.said(x)), n.model_units(marks, units, inside, bullets)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_answer_centres_hold_table_slots(spark, duck):  # noqa: F811
+    """Blanks inside tables are answer spaces too: one for each run of each cell, counted through the line."""
+    lines = spark.createDataFrame([(1, 0, 0, "ab__cd____", 10.0, 25.0, 60.0, 35.0), (1, 0, 1, "no blank", 10.0, 40.0, 50.0, 50.0), (1, 0, 2, "_", 10.0, 95.0, 15.0, 99.0)], "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame([(1, 0, 0, 0, 0.0, 20.0, 27.5, 90.0), (1, 0, 0, 1, 27.5, 20.0, 200.0, 90.0)], "doc_id long, page int, row int, col int, cx0 double, cy0 double, cx1 double, cy1 double")
+    found = lines.limit(0).selectExpr("*", "'' as kind", "line_no as unit_line", "1 as blanks")
+    assert sorted(map(tuple, n.answer_centres(found, n.cell_lines(lines, boxes)).collect())) == [(1, 0, 0, 30.0, 1), (1, 0, 0, 30.0, 2), (1, 0, 0, 30.0, 3)]
+    in_tables = {(r.doc_id, r.page, r.line_no): r.n for r in QUERIES["slot_numbers"](spark, SF).filter("row is not null").groupBy("doc_id", "page", "line_no").agg(F.sum("n").alias("n")).collect()}
+    got = QUERIES["answer_centres"](spark, SF).groupBy("doc_id", "page", "line_no").agg(F.max("slot").alias("n"), F.count("*").alias("rows")).collect()
+    slots = {(r.doc_id, r.page, r.line_no): r.n for r in got if r.n == r.rows}
+    assert in_tables and all(slots.get(k) == v for k, v in in_tables.items())
