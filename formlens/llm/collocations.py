@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from formlens.llm.common import Names, Scratch, row_numbers
-from formlens.llm.textkernel import LOWER, U, as_text, byte_offsets, chunks, mix, release, run_hashes
+from formlens.llm.common import Names, Scratch, row_numbers, small_batches
+from formlens.llm.textkernel import LOWER, U, as_text, byte_offsets, chunks, mix, released, run_hashes
 
 CHUNK = 1 << 21  # bytes of text coded together
+FILE = 8  # chunks of a stored file: Spark reads those of a file's row group at once, which else would be all of a task
 SLICE = 1 << 17  # phrases sent to the chunks at once
 BAND = 1 << 12  # first words of each language in the first band; each further one has four times as many
 BREAK = np.zeros(256, bool)
@@ -94,9 +95,8 @@ def _code(salt: int):
                 if len(terms):
                     lists = pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms)
                     yield pa.record_batch([lists, *(pa.array([x]) for x in rest)], schema=CODED)
-        release()
 
-    return run
+    return released(run)
 
 
 def lean_chunk(place: np.ndarray, hashes: np.ndarray, code: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, bool, bytes, bytes]:
@@ -121,7 +121,6 @@ def _lean(batches: Iterator[pa.RecordBatch]):
             place, hashes = (kept.values.field(c).to_numpy() for c in range(2))
             left, *rest = lean_chunk(place, hashes, *_unpack(wide.as_py(), codes.as_buffer(), starts.as_buffer()))
             yield pa.record_batch([pa.array([x]) for x in (left.tobytes(), *rest)], schema=LEAN)
-    release()
 
 
 class Trie:
@@ -218,7 +217,7 @@ def _keep(folder: str):
     def run(batches: Iterator[pa.RecordBatch]):
         return _lean(kept_words(batch, _parts(folder)) for batch in batches)
 
-    return run
+    return released(run)
 
 
 def _count(trie: Trie):
@@ -229,9 +228,8 @@ def _count(trie: Trie):
                 for side, node, word, n in trie.count(np.frombuffer(vocab.as_buffer(), np.int64), *_unpack(wide.as_py(), codes.as_buffer(), starts.as_buffer())):
                     if len(node):
                         yield pa.record_batch([pa.array(node, pa.int32()), pa.array(np.full(len(node), side), pa.int32()), pa.array(word), pa.array(n)], names=["node", "side", "word", "n"])
-        release()
 
-    return run
+    return released(run)
 
 
 class Corpus:
@@ -242,7 +240,8 @@ class Corpus:
         lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
         rows = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("key"), F.col("text").cast("string").alias("text"))
         for salt in range(8):
-            coded = scratch.save(rows.mapInArrow(_code(salt), CODED_DDL), f"coded-{salt}")
+            with small_batches(docs.sparkSession):
+                coded = scratch.save(rows.mapInArrow(_code(salt), CODED_DDL), f"coded-{salt}", maxRecordsPerFile=str(FILE))
             seen = coded.select(F.inline("terms")).groupBy("lang", "word", "hash").agg(F.sum("n").alias("f"))
             seen = scratch.save(seen, f"words-{salt}")
             if not seen.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
@@ -255,13 +254,15 @@ class Corpus:
         scratch.save(frequent.select("hash", "number"), "to-keep")
         self.words = scratch.save(frequent.select("lang", "word", F.col("number").alias("hash"), "f"), "frequent")
         lean = coded.select(F.col("terms.hash").alias("hashes"), "wide", "codes", "starts")
-        self.chunks = scratch.save(lean.mapInArrow(_keep(folder), LEAN_DDL), "chunks")
+        with small_batches(docs.sparkSession):
+            self.chunks = scratch.save(lean.mapInArrow(_keep(folder), LEAN_DDL), "chunks", maxRecordsPerFile=str(FILE))
         scratch.drop(f"coded-{salt}")
 
     def asked(self, phrases: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
         """Slices of ``phrases`` (lang, words, pre, asked) with their node, and the counts (node, side, word, n) of what is asked.
 
-        Words after and before that occur less than ``least`` times there are left out.
+        Words after and before that occur less than ``least`` times there are left out. Store what is made of one before taking
+        the next: each is broadcast, and many at once would take the executors' and the driver's memory.
         """
         slices = -(-phrases.count() // SLICE)
         for i in range(slices):
@@ -274,7 +275,8 @@ class Corpus:
             del rows
             counts = self.chunks.mapInArrow(_count(trie), COUNTS_DDL).groupBy("node", "side", "word").agg(F.sum("n").alias("n"))
             self.round += 1
-            counts = self.scratch.save(counts.filter((F.col("side") == HERE) | (F.col("n") >= self.least)), f"counts-{self.round}")
+            with small_batches(phrases.sparkSession):
+                counts = self.scratch.save(counts.filter((F.col("side") == HERE) | (F.col("n") >= self.least)), f"counts-{self.round}")
             yield phrases.sparkSession.createDataFrame(at, PHRASE_DDL), counts
 
 
@@ -286,13 +288,14 @@ def _grow(corpus: Corpus, band: DataFrame, longest: int, name: str) -> DataFrame
     """All phrases of 2 to ``longest`` words that start with a word of the band: (lang, words, pre), pre counting each prefix."""
     grown, frontier = [], band.select("lang", F.array("hash").alias("words"), F.array("f").alias("pre"))
     for length in range(2, longest + 1):
-        children = []
+        children = None
         for part, counts in corpus.asked(frontier.withColumn("asked", F.lit(AFTER))):
             longer = counts.join(F.broadcast(part), "node")
-            children.append(longer.select("lang", F.array_append("words", F.col("word")).alias("words"), F.array_append("pre", F.col("n")).alias("pre")))
-        if not children:
+            longer = longer.select("lang", F.array_append("words", F.col("word")).alias("words"), F.array_append("pre", F.col("n")).alias("pre"))
+            children = corpus.scratch.append(longer, f"grown-{name}-{length}")
+        if children is None:
             break
-        frontier = corpus.scratch.save(_union(children), f"grown-{name}-{length}")
+        frontier = children
         grown.append(frontier)
     return _union(grown) if grown else None
 
@@ -309,15 +312,15 @@ def _scored(corpus: Corpus, grown: DataFrame, floors: DataFrame, names: Names, l
     rest = rows.filter(m > 2).select("lang", F.explode(F.transform(F.sequence(F.lit(2), m - 1), lambda k: F.slice("words", k, m - k + 1))).alias("words"), F.lit(HERE).alias("asked"))
     left = rows.filter(m < longest).select("lang", "words", F.lit(BEFORE).alias("asked"))
     asked = rest.unionByName(left).groupBy("lang", "words").agg(F.bit_or("asked").alias("asked")).withColumn("pre", F.array().cast("array<long>"))
-    parts, inside = [], []
+    parts = inside = None
     for part, counts in corpus.asked(scratch.save(asked, f"asked-{name}")):
         part = F.broadcast(part.select("node", "words"))
-        parts.append(counts.filter(F.col("side") == HERE).join(part, "node").select(F.col("words").alias("rest"), F.col("n").alias("r")))
-        inside.append(counts.filter(F.col("side") == BEFORE).groupBy("node").agg(F.max("n").alias("a")).join(part, "node").select("words", "a"))
-    if parts:
-        rows = rows.join(scratch.save(_union(inside), f"inside-{name}"), ["words", "a"], "left_anti")
+        parts = scratch.append(counts.filter(F.col("side") == HERE).join(part, "node").select(F.col("words").alias("rest"), F.col("n").alias("r")), f"rest-{name}")
+        inside = scratch.append(counts.filter(F.col("side") == BEFORE).groupBy("node").agg(F.max("n").alias("a")).join(part, "node").select("words", "a"), f"inside-{name}")
+    if parts is not None:
+        rows = rows.join(inside, ["words", "a"], "left_anti")
         cuts = rows.filter(m > 2).select("words", F.posexplode(F.transform(F.sequence(F.lit(2), m - 1), lambda k: F.slice("words", k, m - k + 1))).alias("k", "rest"))
-        cuts = cuts.join(scratch.save(_union(parts), f"rest-{name}"), "rest").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("cuts"))
+        cuts = cuts.join(parts, "rest").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("cuts"))
         rows = rows.join(cuts, "words", "left").withColumn("rs", F.concat(F.coalesce("cuts.r", F.array().cast("array<long>")), F.array("f_last")))
     else:
         rows = rows.withColumn("rs", F.array("f_last"))

@@ -48,6 +48,12 @@ class Scratch:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.write(df, table, **options))
 
+    def append(self, df: DataFrame, table: str) -> DataFrame:
+        """``save`` of a table that is made piece by piece: adds a piece and returns all so far. Take the one returned last."""
+        path = f"{self.path}/{table}"
+        df.write.mode("append").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def measured(self, df: DataFrame, table: str, *figures: Column) -> tuple[DataFrame, dict]:
         """``save``, and aggregates of the rows that come along with the write (for sizes only: a repeated task may count twice)."""
         seen = Observation()

@@ -125,3 +125,32 @@ def test_kept_words_by_parts():
     number = {int(h): i for i, h in enumerate(keep)}
     assert [sorted((p["place"], p["hash"]) for p in kept) for kept in got] == [[(i, number[int(h)]) for i, h in enumerate(c) if int(h) in number] for c in chunks]
     assert [len(k) for k in col.kept_words(batch, iter(())).column(0).to_pylist()] == [0] * 4
+
+
+def test_phrases_are_stored_slice_by_slice(spark, monkeypatch):
+    """Phrases of several slices meet their counts one slice at a time, so no plan holds the broadcasts of all; none is lost."""
+    class Seen(Scratch):
+        plans = []
+
+        def save(self, df, table, **options):
+            self.plans.append((table, df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")))
+            return super().save(df, table, **options)
+
+        def append(self, df, table):
+            self.plans.append((table, df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")))
+            return super().append(df, table)
+
+    monkeypatch.setattr(col, "SLICE", 3)
+    corpus = col.Corpus(spark.createDataFrame([(i, "a b c d e f g h. ", "en") for i in range(20)], DDL), Seen(spark, "slices"), 20)
+    grown = col._grow(corpus, corpus.words.select("lang", "hash", "f"), 3, "t")
+    assert sorted(len(r.words) for r in grown.collect()) == [2] * 7 + [3] * 6
+    held = [n for table, n in Seen.plans if table.startswith("grown")]
+    assert len(held) > 2 and max(held) == 1
+
+
+def test_stored_chunks_lie_in_small_files(spark, monkeypatch):
+    """A file holds few chunks, as its row group is read at once, however many chunks one task makes."""
+    monkeypatch.setattr(col, "CHUNK", 1 << 8)
+    rows = spark.createDataFrame([(i, "many words of one text " * 8, "en") for i in range(40)], DDL).coalesce(1)
+    files = col.Corpus(rows, Scratch(spark, "files"), 2).chunks.selectExpr("input_file_name() as f").groupBy("f").count().collect()
+    assert sum(r["count"] for r in files) == 40 and max(r["count"] for r in files) <= 8
